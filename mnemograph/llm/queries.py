@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 N_SHARDS = 24
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -31,7 +38,47 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniform_shards(docs, N_SHARDS).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text by the public 32k piece model, and the digest of the text decoded from them."""
+    from mnemograph.llm import pieces
+
+    docs = _read(spark, sf_dir, "documents")
+    model = vocabulary("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(docs, "doc_id", "text", model), "doc_id", model)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        "ids",
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    from mnemograph.llm.simhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_distance=3)
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data, plain and disguised, in all documents."""
+    from mnemograph.llm.pii import scan
+
+    return scan(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as Ogg and read back."""
+    from mnemograph.llm.media import read_media, to_media
+
+    return read_media(to_media(_read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_simhash": op2_simhash,
+    "op4_pii": op4_pii,
+    "op5_ogg": op5_ogg,
     "op9_sharding": op9_sharding,
 }
 
