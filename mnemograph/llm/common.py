@@ -79,6 +79,18 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Rows of a few fixed-size columns that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow frame, marked for broadcast if a count shows at most ``rows`` rows.
+
+    Beyond that it is returned as it is, and the join shuffles both sides.
+    """
+    return F.broadcast(written) if written.count() <= rows else written
+
+
 def block_bits(rows: int, rows_per_block: int) -> int:
     """Bits of a uniform key so that a block of it holds about ``rows_per_block`` rows."""
     return max(0, math.ceil(math.log2(max(1, rows) / rows_per_block)))

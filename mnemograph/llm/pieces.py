@@ -20,9 +20,12 @@ score the longest last piece wins.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -34,8 +37,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 
-#: Words that a worker remembers between batches, and the longest word it remembers.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Words that a worker remembers between batches, the longest word it remembers, and pairs and pieces judged.
+CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 300_000, 64, 1 << 17
 #: A word longer than this is read on its own, without the trie's stack of states.
 LONG_WORD = 4096
 
@@ -67,82 +70,104 @@ class Model:
         self.bytes = {int(p[1:-1], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         known = [self.scores[i] for i in self.ids.values()]
         self.unknown_score = min(known) - UNKNOWN_PENALTY
-        self.follows = lru_cache(1 << 18)(self._follows)
-        self.whole = lru_cache(1 << 16)(lambda piece: self.merge(piece) == [piece])
+        self.halves = {p: self._halves(p) for p in self.ids} if self.kind == BPE else {}
+        self.follows = lru_cache(CACHE_PAIRS)(self._follows)
+        #: For two characters, the length of the longest piece that ends in them.
+        self.reach: dict[str, int] = {}
+        for p in self.halves:
+            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 0))
 
     # -- bpe ---------------------------------------------------------------
 
-    def merge(self, text: str) -> list[str]:
-        """Greedy merging: the best-scored neighbours first, of equal ones the leftmost."""
-        parts = list(text)
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The last merge that makes a piece of its own text; None for one character or if greedy merging never makes it."""
+        parts, last = list(piece), None
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                piece = self.ids.get(parts[i] + parts[i + 1])
-                if piece is not None and (best is None or self.scores[piece] > best):
-                    best, at = self.scores[piece], i
+                made = self.ids.get(parts[i] + parts[i + 1])
+                if made is not None and (best is None or self.scores[made] > best):
+                    best, at = self.scores[made], i
             if best is None:
-                break
+                return None
+            last = parts[at], parts[at + 1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return last
 
     def _follows(self, left: str, right: str) -> bool:
-        return self.merge(left + right) == [left, right]
+        """Whether the border of two pieces survives greedy merging of their joint text.
+
+        Undoes the two pieces merge by merge, latest first. A merge across the
+        border that would have come before the merge just undone breaks it. Of
+        equal scores the leftmost merge comes first.
+        """
+        ids, scores, halves = self.ids, self.scores, self.halves
+        limit, ties = float("-inf"), False  # a merge across beats this score, or meets it where ties count
+        while True:
+            across = ids.get(left + right)
+            if across is not None and (scores[across] > limit or (ties and scores[across] == limit)):
+                return False
+            a = halves.get(left) if len(left) > 1 else None
+            b = halves.get(right) if len(right) > 1 else None
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and scores[ids[left]] < scores[ids[right]]):
+                limit, ties, left = scores[ids[left]], False, a[1]
+            else:
+                limit, ties, right = scores[ids[right]], True, b[0]
 
     # -- the trie ----------------------------------------------------------
 
     def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, its pieces) of distinct words; shared prefixes are scored once.
 
-        ``states[d]`` is the forward state of the first d characters of the
-        word at hand: (score, length of the last piece).
+        ``last[d]`` is the length of the last piece of the first d characters of
+        the word at hand, ``score[d]`` their score in a unigram model.
         """
-        before, states = "", [(0.0, 0)]
+        before, last, score = "", [0], [0.0]
+        advance = self._best if self.kind == UNIGRAM else self._only
         for word in sorted(words):
-            shared = 0
-            top = min(len(word), len(before))
-            while shared < top and word[shared] == before[shared]:
-                shared += 1
-            del states[shared + 1 :]
-            advance = self._best if self.kind == UNIGRAM else self._only
-            for end in range(shared + 1, len(word) + 1):
-                states.append(advance(word, end, states))
+            shared = len(commonprefix((before, word)))
+            del last[shared + 1 :], score[shared + 1 :]
+            advance(word, shared + 1, last, score)
             parts, at = [], len(word)
             while at:
-                length = states[at][1]
+                length = last[at]
                 parts.append(word[at - length : at])
                 at -= length
             parts.reverse()
             yield word, parts
             before = word
 
-    def _best(self, word: str, end: int, states: list[tuple[float, int]]) -> tuple[float, int]:
-        """Viterbi: the best-scored way to end a piece here."""
-        best, last = float("-inf"), 0
-        for start in range(max(0, end - self.longest), end):
-            piece = self.ids.get(word[start:end])
-            if piece is not None:
-                score = self.scores[piece]
-            elif start == end - 1:
-                score = self.unknown_score
+    def _best(self, word: str, first: int, last: list[int], score: list[float]) -> None:
+        """Viterbi: for each further end, the best-scored way to end a piece there."""
+        for end in range(first, len(word) + 1):
+            best, length = float("-inf"), 0
+            for start in range(max(0, end - self.longest), end):
+                piece = self.ids.get(word[start:end])
+                if piece is not None:
+                    s = self.scores[piece]
+                elif start == end - 1:
+                    s = self.unknown_score
+                else:
+                    continue
+                if (s := s + score[start]) > best:
+                    best, length = s, end - start
+            last.append(length)
+            score.append(best)
+
+    def _only(self, word: str, first: int, last: list[int], score: list[float]) -> None:
+        """Greedy merging: for each further end, the one piece that may end there."""
+        reach, made, follows = self.reach, self.halves, self.follows
+        for end in range(first, len(word) + 1):
+            for start in range(max(0, end - reach.get(word[end - 2 : end], 1)), end - 1):
+                piece = word[start:end]
+                if made.get(piece) and (not start or follows(word[start - last[start] : start], piece)):
+                    last.append(end - start)
+                    break
             else:
-                continue
-            if (score := score + states[start][0]) > best:
-                best, last = score, end - start
-        return best, last
-
-    def _only(self, word: str, end: int, states: list[tuple[float, int]]) -> tuple[float, int]:
-        """Greedy merging: the one piece that may end here."""
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if start < end - 1 and piece not in self.ids:
-                continue
-            if start == 0:
-                if len(piece) == 1 or self.whole(piece):
-                    return 0.0, end
-            elif self.follows(word[start - states[start][1] : start], piece):
-                return 0.0, end - start
-        raise AssertionError(f"no piece ends at {end} of {word!r}")
+                # One character always is a piece of its own; no longer one may end here, so this one does.
+                last.append(1)
 
     # -- ids and texts -----------------------------------------------------
 
@@ -183,38 +208,41 @@ class Model:
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-def encode_texts(model: Model, texts: list[str], cache: dict[str, list[int]]) -> list[list[int]]:
-    """Ids of each text. ``cache`` keeps ids of words between calls, within its bound."""
-    split = [model.marked(t) for t in texts]
-    new = {w for words in split for w in words} - cache.keys()
-    found = {w: model.piece_ids(parts) for w, parts in model.segment(w for w in new if len(w) <= LONG_WORD)}
-    for w in new:
-        if len(w) > LONG_WORD:
-            found |= {w: model.piece_ids(parts) for w, parts in model.segment([w])}
-    out = []
-    for words in split:
-        ids: list[int] = []
-        for w in words:
-            ids += cache[w] if w in cache else found[w]
-        out.append(ids)
+def encode_texts(model: Model, texts: list[str], cache: dict[str, bytes]) -> list[np.ndarray]:
+    """Ids of each text. ``cache`` keeps the packed ids of words between calls, within its bound."""
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    cache.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS)
+    split = [model.marked(t) for t in texts]
+    new = set().union(*split) - cache.keys()
+    long_ = [w for w in new if len(w) > LONG_WORD]
+    for words in (new.difference(long_), *([w] for w in long_)):
+        for w, parts in model.segment(words):
+            cache[w] = _pack(model.piece_ids(parts))
+    out = [np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32) for words in split]
+    for w in new:
+        if len(w) > CACHE_CHARS:
+            del cache[w]
     return out
 
 
-def decode_ids(surface: list[bytes], ids: list[int], dummy_prefix: bool) -> str:
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"={len(ids)}i", *ids)
+
+
+def decode_ids(surface: list[bytes], ids: Iterable[int], dummy_prefix: bool) -> str:
     """The text of ids; bytes that are no UTF-8 become U+FFFD, the mark of the dummy prefix goes."""
     raw = b"".join([surface[i] for i in ids])
     return (raw[1:] if dummy_prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-#: About this many ids leave a task at once.
-BATCH_IDS = 4 << 20
+#: About this many characters are encoded at once.
+BATCH_CHARS = 2 << 20
 
 
-def encode(docs: DataFrame, key: str, text: str, model_path: str, model_type: int | None = None) -> DataFrame:
-    """(key, ids array<int>) of each row's whole text.
+def encode(
+    docs: DataFrame, key: str, text: str, model_path: str, model_type: int | None = None, with_text: bool = False
+) -> DataFrame:
+    """(key, ids array<int>) of each row's whole text; ``with_text`` adds the text decoded from the ids.
 
     ``model_path`` is a file that every executor has. ``model_type`` overrides
     the kind of model named in the file (1 unigram, 2 bpe).
@@ -228,21 +256,34 @@ def encode(docs: DataFrame, key: str, text: str, model_path: str, model_type: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = Model(model_path, model_type), {}
+        surface = model.surface
         for batch in batches:
-            texts = batch["text"].to_pylist()
             at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (size < BATCH_IDS or end == at):
-                    size += len(texts[end] or "")
-                    end += 1
-                ids = iter(encode_texts(model, [t for t in texts[at:end] if t is not None], cache))
-                rows = [None if t is None else next(ids) for t in texts[at:end]]
-                column = pa.array(rows, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch["key"].slice(at, end - at), column], ["key", "ids"])
-                at = end
-
-    return source.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+            for texts in _portions(batch["text"]):
+                found = iter(encode_texts(model, [t for t in texts if t is not None], cache))
+                ids = [None if t is None else next(found) for t in texts]
+                columns = [batch["key"].slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32()))]
+                if with_text:
+                    back = [None if x is None else decode_ids(surface, x.tolist(), model.dummy_prefix) for x in ids]
+                    columns.append(pa.array(back, pa.string()))
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "text"][: len(columns)])
+
+    schema = f"key {kind}, ids array<int>" + ", text string" * with_text
+    return source.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def _portions(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in lists of about ``BATCH_CHARS`` characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t.as_py())
+        size += len(held[-1] or "")
+        if size >= BATCH_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def decode(encoded: DataFrame, key: str, model_path: str, ids: str = "ids") -> DataFrame:

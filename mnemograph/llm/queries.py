@@ -25,6 +25,28 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    from mnemograph.llm.packing import pack
+
+    docs = _read(spark, sf_dir, "documents")
+    return pack(docs, "doc_id", "text", vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), end=2, capacity=1024)
+
+
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte strings of 400 or more that repeat anywhere in all documents, removed."""
+    from mnemograph.llm.suffixes import repeats
+
+    left = repeats(_read(spark, sf_dir, "documents"), "doc_id", "text", width=400)
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 24 shards, law ``rows``."""
     from mnemograph.llm.sharding import uniform_shards
@@ -44,8 +66,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _read(spark, sf_dir, "documents")
     model = vocabulary("piece_bpe_32k.model")
-    back = pieces.decode(pieces.encode(docs, "doc_id", "text", model), "doc_id", model)
-    return back.select(
+    return pieces.encode(docs, "doc_id", "text", model, with_text=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
         "ids",
@@ -60,6 +81,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_distance=3)
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of all embeddings, within labels."""
+    from mnemograph.llm.embeddings import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", threshold=0.93)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data, plain and disguised, in all documents."""
     from mnemograph.llm.pii import scan
@@ -77,8 +105,11 @@ def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
+    "op3_embeddings": op3_embeddings,
     "op4_pii": op4_pii,
     "op5_ogg": op5_ogg,
+    "op6_packing": op6_packing,
+    "op7_suffixes": op7_suffixes,
     "op9_sharding": op9_sharding,
 }
 
