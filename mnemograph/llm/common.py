@@ -15,6 +15,7 @@ import math
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +75,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(ws: Workspace, df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with two long columns that tell its rows apart and are the same whenever it is read.
+
+    For Parquet files they are a hash of the file's path and the row's index in
+    it. Any other frame is written first.
+    """
+    file, nr = names
+    try:
+        out = df.withColumns({file: F.xxhash64("_metadata.file_path"), nr: F.col("_metadata.row_index")})
+        return out if "_metadata" not in df.columns else _fixed(ws, df, file, nr)
+    except AnalysisException:
+        return _fixed(ws, df, file, nr)
+
+
+def _fixed(ws: Workspace, df: DataFrame, file: str, nr: str) -> DataFrame:
+    return ws.put(df.withColumns({file: F.lit(0).cast("long"), nr: F.monotonically_increasing_id()}), "numbered")
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and blanks included."""
     return F.col("`" + name.replace("`", "``") + "`")

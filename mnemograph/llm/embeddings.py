@@ -7,9 +7,10 @@ and its partner y in cell j, then x . (c_i - c_j) <= (x - y) . (c_i - c_j), and
 the right side is a projection of a short difference onto one direction. Its
 size is taken as ``BORDER`` standard deviations of such a projection.
 
-Cells are cut into blocks of bounded size; blocks of a cell meet pairwise, each
-meeting a task's row of its own, so a hot cell is many small products. Equal
-vectors of a label are one class with a weight before anything is compared.
+Cells are cut into blocks of bounded size; blocks of a cell meet pairwise, so a
+hot cell is many small products, and a meeting gives back a count and a
+connection for each vector, never its pairs. Equal vectors of a label are one
+class with a weight before anything is compared.
 """
 
 from __future__ import annotations
@@ -105,14 +106,9 @@ def near_duplicates(
     )
     classes = ws.put(classes, "classes")
     centroids = _centroids(classes)
-    pairs = ws.put(_pairs(ws, classes, centroids, threshold), "pairs")
-
-    both = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(
-        pairs.select(F.col("b").alias("class"), F.col("a").alias("other"))
-    )
-    weights = classes.select(F.col("class").alias("other"), "weight")
-    degree = both.join(weights, "other").groupBy("class").agg(F.sum("weight").alias("across"))
-    joined = connected_components(ws, pairs, "a", "b").withColumnRenamed("node", "class")
+    met = ws.put(_meetings(ws, classes, centroids, threshold), "met")
+    degree = met.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("across"))
+    joined = connected_components(ws, met.select("a", "b"), "a", "b").withColumnRenamed("node", "class")
     member = classes.select("class", "weight", "least").join(degree, "class", "left").join(joined, "class", "left")
     member = member.withColumn("root", F.coalesce("component", "class"))
     roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -149,8 +145,13 @@ def _centroids(classes: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def _pairs(ws: Workspace, classes: DataFrame, centroids: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """(a, b): classes of one label whose cosine reaches the threshold."""
+def _meetings(ws: Workspace, classes: DataFrame, centroids: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """(a, b, links): a class, one that it is connected with, and the weight of what it links with, by meeting of blocks.
+
+    A meeting gives back one row for each class that links there, never its
+    pairs. Two vectors of different cells may meet in either's cell; if both
+    meetings take place, that in the smaller cell counts.
+    """
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,18 +159,17 @@ def _pairs(ws: Workspace, classes: DataFrame, centroids: dict[int, np.ndarray],
             for size in np.unique(sizes):
                 own = batch.filter(pa.array(sizes == size))
                 c = centroids.get(int(size), np.ones((1, int(size))))
-                x = _unit(own["v"], int(size))
-                home, look = cells_of(x, c, threshold)
+                home, look = cells_of(_unit(own["v"], int(size)), c, threshold)
                 i, j = np.nonzero(look)
-                take = np.concatenate([np.arange(len(x)), i])
-                cell = np.concatenate([home, j])
-                lives = np.arange(len(take)) < len(x)
-                rows = pa.array(take)
-                out = [own[n].take(rows) for n in ("class", "label", "size", "v")]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(cell), pa.array(lives)], ["class", "label", "size", "v", "cell", "lives"])
-
-    schema = classes.select("class", "label", "size", "v").schema.add("cell", "long").add("lives", "boolean")
-    seats = ws.put(classes.select("class", "label", "size", "v").mapInArrow(assign, schema), "seats")
+                take = np.concatenate([np.arange(len(home)), i])
+                looks = [bits.tobytes() for bits in np.packbits(look, axis=1)]
+                out = [own[n].take(pa.array(take)) for n in ("class", "label", "size", "v", "weight")]
+                out += [pa.array(np.concatenate([home, j])), pa.array(home[take]), pa.array(looks, pa.binary()).take(pa.array(take))]
+                yield pa.RecordBatch.from_arrays(out, ["class", "label", "size", "v", "weight", "cell", "home", "looks"])
+
+    source = classes.select("class", "label", "size", "v", "weight")
+    schema = classes.select("class", "label", "size", "v", "weight").schema.add("cell", "long").add("home", "long").add("looks", "binary")
+    seats = ws.put(source.mapInArrow(assign, schema), "seats")
     where = ["label", "size", "cell"]
     # Rows of a cell are dealt into blocks by hash, about BLOCK in each.
     counts = seats.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -179,25 +179,46 @@ def _pairs(ws: Workspace, classes: DataFrame, centroids: dict[int, np.ndarray],
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")),
     )
-    sent = seats.withColumn("m", F.explode(meet)).select(*where, "m.p", "m.q", "block", "class", "lives", "v")
+    sent = seats.withColumn("m", F.explode(meet)).select(*where, "m.p", "m.q", "block", "class", "weight", "home", "looks", "v")
 
     def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
-        p, q = key[3].as_py(), key[4].as_py()
-        block = table["block"].to_numpy()
-        lives = table["lives"].to_numpy(zero_copy_only=False)
-        names = np.array(table["class"].to_pylist(), object)
+        cell, p, q = key[2].as_py(), key[3].as_py(), key[4].as_py()
+        block, home, weight = (table[n].to_numpy() for n in ("block", "home", "weight"))
+        looks = np.frombuffer(b"".join(table["looks"].to_pylist()), np.uint8).reshape(len(home), -1)
         x = _unit(table["v"], key[1].as_py())
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        n_links, least = np.zeros(len(home), np.int64), np.arange(len(home))
         for at in range(0, len(left), 512):
             rows = left[at : at + 512]
-            i, j = np.nonzero(x[rows] @ x[right].T >= threshold - 1e-9)
+            i, j = np.nonzero(x[rows] @ x[right].T >= threshold)
             a, b = rows[i], right[j]
-            # A visitor meets those who live here only; of a pair within a block one order counts.
-            good = (lives[a] | lives[b]) & ((p != q) | (names[a] < names[b]))
+            # One of the two must live here; within a block each pair counts in one order.
+            good = ((home[a] == cell) | (home[b] == cell)) & ((p != q) | (a < b))
             a, b = a[good], b[good]
-            good = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-            a, b = names[a[good]], names[b[good]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.string()), pa.array(np.maximum(a, b), pa.string())], ["a", "b"])
-
-    return sent.groupBy(*where, "p", "q").applyInArrow(compare, "a string, b string").distinct()
+            host, guest = np.where(home[a] == cell, a, b), np.where(home[a] == cell, b, a)
+            there = home[guest]
+            also = (looks[host, there >> 3] >> (7 - (there & 7)) & 1).astype(bool) & (there != cell)
+            good = ~also | (cell < there)
+            a, b = a[good], b[good]
+            np.add.at(n_links, a, weight[b])
+            np.add.at(n_links, b, weight[a])
+            least = _joined(least, a, b)
+        hit = np.flatnonzero(n_links)
+        names = table["class"].combine_chunks()
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(hit)), names.take(pa.array(least[hit])), pa.array(n_links[hit])], ["a", "b", "links"])
+
+    return sent.groupBy(*where, "p", "q").applyInArrow(compare, "a string, b string, links long")
+
+
+def _joined(least: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of the groups after joining those of a and b: the smallest row of each group."""
+    while True:
+        x, y = least[a], least[b]
+        if (x == y).all():
+            return least
+        new = least.copy()
+        np.minimum.at(new, np.maximum(x, y), np.minimum(x, y))
+        while (new[new] != new).any():
+            new = new[new]
+        least = new

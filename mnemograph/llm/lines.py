@@ -17,13 +17,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import BROADCAST_ROWS, Workspace, col, connected_components, fresh
+from mnemograph.llm.common import Workspace, col, connected_components, fresh, numbered, small
 
 #: Most differing bits of two fingerprints, and least edit similarity of two lines.
 MAX_BITS, SIMILARITY = 3, 0.8
 #: Blocks of the fingerprint: (first bit, bits).
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Counters in a long, and their width: up to 2,097,151 words in a line are counted exactly.
+#: Counters in a long and their width: up to 2,097,151 words in a line are counted exactly. Beyond that
+#: counters run over; equal lines still have equal fingerprints, and every link is verified.
 LANES, WIDTH = 3, 21
 #: Lines over this many characters are compared word by word, one symbol for each word.
 LONG_LINE = 2048
@@ -34,39 +35,26 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\s\x00-\x1f]+", " "))
 
 
-def _lanes() -> list[tuple[str, int]]:
-    """(name, first bit) of the packed counters; counter k of one holds bit first + 22 * k."""
-    return [(f"c{i}", i) for i in range(22)]
+#: Each packed counter c0, ..., c20 holds the bits i, i + 21 and i + 42; c21 holds bit 63.
+COUNTERS = WIDTH + 1
 
 
-def _mask() -> int:
-    """One bit in each lane, as far apart as the bits that share a counter."""
-    return sum(1 << (WIDTH * k) for k in range(LANES))
+def _spread(h: Column, i: int) -> Column:
+    """The bits that counter i holds, each at the foot of its lane."""
+    if i == WIDTH:
+        return F.shiftrightunsigned(h, 63)
+    feet = sum(1 << (WIDTH * k) for k in range(LANES))
+    return F.shiftrightunsigned(h, i).bitwiseAND(F.lit(feet))
 
 
-def _spread(h: Column, first: int) -> Column:
-    """Bits first, first + 22 and first + 44 of a hash, each in a lane of its own."""
-    parts = [
-        F.shiftleft(F.shiftrightunsigned(h, first + 22 * k).bitwiseAND(F.lit(1).cast("long")), WIDTH * k)
-        for k in range(LANES)
-        if first + 22 * k < 64
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.bitwiseOR(p)
-    return out
-
-
-def _majority(counts: list[tuple[str, int]], total: str) -> Column:
+def _majority(total: Column) -> Column:
     """The fingerprint: bits that are set in over half the words."""
-    out = F.lit(0).cast("long")
-    lane = F.lit((1 << WIDTH) - 1).cast("long")
-    for name, first in counts:
-        for k in range(LANES):
-            bit = first + 22 * k
-            if bit < 64:
-                n = F.shiftrightunsigned(F.col(name), WIDTH * k).bitwiseAND(lane)
-                out = out.bitwiseOR(F.when(2 * n > F.col(total), F.lit(_signed(1 << bit))).otherwise(F.lit(0).cast("long")))
+    out, none = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for i in range(COUNTERS):
+        for k in range(LANES if i < WIDTH else 1):
+            n = F.shiftrightunsigned(F.col(f"c{i}"), WIDTH * k).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))
+            bit = i + WIDTH * k if i < WIDTH else 63
+            out = out.bitwiseOR(F.when(2 * n > total, F.lit(_signed(1 << bit))).otherwise(none))
     return out
 
 
@@ -74,41 +62,27 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def with_simhash(lines: DataFrame, keys: list[str], norm: str, out: str) -> DataFrame:
-    """(keys, ``out``) of lines: the SimHash of the blank-separated words of ``norm``, repeats included."""
-    hashed = lines.select(*keys, F.explode(F.split(norm, " ")).alias("word")).select(*keys, F.xxhash64("word").alias("h"))
-    counts = _lanes()
-    sums = hashed.groupBy(*keys).agg(*[F.sum(_spread(F.col("h"), first)).alias(name) for name, first in counts], F.count(F.lit(1)).alias("words"))
-    return sums.select(*keys, _majority(counts, "words").alias(out))
-
-
-def _block_keys(f: Column) -> list[Column]:
-    """For each pair of blocks: which pair, and what the fingerprint holds in both."""
-    out = []
-    for i, ((a, n), (b, m)) in enumerate(combinations(BLOCKS, 2)):
-        mask = ((1 << n) - 1) << a | ((1 << m) - 1) << b
-        out.append(F.struct(F.lit(i).cast("tinyint").alias("i"), f.bitwiseAND(F.lit(_signed(mask))).alias("bits")))
-    return out
+def with_simhash(lines: DataFrame, norm: str, out: str) -> DataFrame:
+    """``lines`` with ``norm`` replaced by ``out``, the SimHash of its blank-separated words, repeats included.
 
+    The other columns must tell the lines apart.
+    """
+    keys = [c for c in lines.columns if c != norm]
+    hashed = lines.select(*keys, F.explode(F.split(norm, " ")).alias("word")).select(*keys, F.xxhash64("word").alias("h"))
+    sums = [F.sum(_spread(F.col("h"), i)).alias(f"c{i}") for i in range(COUNTERS)]
+    counted = hashed.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("words"))
+    return counted.select(*keys, _majority(F.col("words")).alias(out))
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints in column ``f`` within ``MAX_BITS`` bits; each once.
 
-    A pair that agrees in more than two blocks is kept only at the first pair of
-    blocks that it agrees in.
-    """
-    keyed = prints.select("f", F.explode(F.array(*_block_keys(F.col("f")))).alias("k")).select("f", "k.i", "k.bits")
+def block_pairs(prints: DataFrame, f: str) -> DataFrame:
+    """Pairs (a, b), a < b, of the distinct fingerprints ``f`` that differ in at most ``MAX_BITS`` bits."""
+    masks = [((1 << n) - 1) << a | ((1 << m) - 1) << b for (a, n), (b, m) in combinations(BLOCKS, 2)]
+    # What a mask leaves out is free to tell the masks apart; equal keys of two masks only cost a comparison.
+    keys = F.array(*[F.col(f).bitwiseAND(F.lit(_signed(mask))) for mask in masks])
+    keyed = prints.select(F.col(f).alias("f"), F.explode(keys).alias("k"))
     left, right = keyed.withColumnRenamed("f", "a"), keyed.withColumnRenamed("f", "b")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = list(combinations(BLOCKS, 2))
-    first = F.coalesce(
-        *[
-            F.when(differ.bitwiseAND(F.lit(_signed(((1 << n) - 1) << a | ((1 << m) - 1) << b))) == 0, F.lit(i))
-            for i, ((a, n), (b, m)) in enumerate(pairs)
-        ]
-    )
-    near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= MAX_BITS) & (left["i"] == first)
-    return left.join(right, (left["i"] == right["i"]) & (left["bits"] == right["bits"]) & near).select("a", "b")
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+    return left.join(right, (left["k"] == right["k"]) & near).select("a", "b").distinct()
 
 
 def _symbols(norm: Column) -> Column:
@@ -128,39 +102,101 @@ def similar(a: Column, b: Column, similarity: float) -> Column:
     return F.when(long_, within(_symbols(a), _symbols(b))).otherwise(within(a, b))
 
 
-def kept_lines(docs: DataFrame, row: str, order: list[str], text: str, ws: Workspace, similarity: float = SIMILARITY) -> DataFrame:
-    """(row, kept): for each row the ascending positions, from 0, of the lines that stay.
+def _verified(ws: Workspace, pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of line ids whose lines are similar."""
+    ta = texts.select(F.col("id").alias("a"), F.col("norm").alias("x"))
+    tb = texts.select(F.col("id").alias("b"), F.col("norm").alias("y"))
+    return ws.put(pairs.join(ta, "a").join(tb, "b").where(similar(F.col("x"), F.col("y"), similarity)).select("a", "b"), "similar")
 
-    ``row`` is a unique long; occurrences are ordered by ``order``, then ``row``,
-    then position. Blank lines are compared with nothing and stay.
-    """
-    split = docs.select(row, *order, F.posexplode(F.split(col(text), "\n", -1)).alias("pos", "line"))
-    every = split.select(row, *order, "pos", normalised(F.col("line")).alias("norm"))
-    lines = every.where("norm != ''").withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(1), "norm"))
-    at = F.struct(*order, row, "pos")
-    # Equal lines are one class; only its first occurrence is looked at from here on.
-    classes = ws.put(lines.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.max(F.char_length("norm")).alias("size")), "classes")
-    firsts = classes.select("h1", "h2", F.col(f"at.{row}").alias(row), F.col("at.pos").alias("pos"))
-    prints = ws.put(with_simhash(lines, ["h1", "h2"], "norm", "f"), "prints")
-    del firsts
 
-    # Classes of one fingerprint form a chain: each is compared with the next longer one.
-    pairs = _pairs(ws, classes, prints)
-    near = ws.put(_verified(ws, docs, row, text, pairs, similarity), "near")
-    joined = connected_components(ws, near, "a", "b")
-    named = classes.withColumn("id", F.struct("h1", "h2"))
-    member = named.join(joined, F.col("id") == F.col("node"), "left").select("at", F.coalesce("component", "id").alias("group"))
-    stay = member.groupBy("group").agg(F.min("at").alias("at")).select(F.col(f"at.{row}").alias(row), F.col("at.pos").alias("pos"))
-    blank = every.where("norm = ''").select(row, "pos")
-    return stay.unionByName(blank).groupBy(row).agg(F.array_sort(F.collect_list("pos")).alias("kept"))
+def kept_lines(ws: Workspace, docs: DataFrame, where: list[str], order: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
+    """(where, n_lines, kept): of each row, how many lines it has and the ascending positions of those that stay.
 
-
-def _pairs(ws: Workspace, classes: DataFrame, prints: DataFrame) -> DataFrame:
-    raise NotImplementedError
-
-
-def _verified(ws: Workspace, docs: DataFrame, row: str, text: str, pairs: DataFrame, similarity: float) -> DataFrame:
-    raise NotImplementedError
-
-
-del fresh, BROADCAST_ROWS
+    ``where`` are columns that tell rows apart; the first occurrence is that of
+    the smallest ``order`` (null comes last), then ``where``, then position.
+    """
+    split = docs.select(*where, col(order).alias("o"), F.posexplode(F.split(col(text), "\n", -1)).alias("pos", "line"))
+    every = split.select(*where, "o", "pos", normalised(F.col("line")).alias("norm"))
+    hashed = every.where("norm != ''").select(
+        *where, "o", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.char_length("norm").alias("size"), "norm"
+    )
+    # Equal lines are one class from here on, known by a number that is fixed as it is written.
+    at = F.struct(F.col("o").isNull().alias("none"), "o", *where, "pos")
+    classes = (
+        with_simhash(hashed, "norm", "f")
+        .groupBy("h1", "h2")
+        .agg(F.min(at).alias("at"), F.first("f").alias("f"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
+        .select("at", "f", "size", "n")
+    )
+    classes = ws.put(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    pairs = ws.put(block_pairs(classes.select("f").distinct(), "f"), "prints")
+    a, b = (classes.select(F.col("id").alias(n), F.col("f").alias(f"f{n}"), F.col("size").alias(f"s{n}"), F.col("n").alias(f"n{n}")) for n in "ab")
+    close = F.least("sa", "sb") >= F.greatest("sa", "sb") * similarity - 1e-6
+    other = pairs.withColumnsRenamed({"a": "fa", "b": "fb"}).join(a, "fa").join(b, "fb").where(close)
+    same = a.join(b, (F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b")) & close)
+    found = ws.put(other.select("a", "na", "b", "nb").unionByName(same.select("a", "na", "b", "nb")), "pairs")
+
+    texts = _texts(ws, every, classes, found, where)
+    # First each line against its most frequent neighbour; then only pairs that this has not joined already.
+    both = found.select("a", "b", F.struct(F.col("nb").alias("n"), (-F.col("b")).alias("other")).alias("x")).unionByName(
+        found.select(F.col("b").alias("a"), F.col("a").alias("b"), F.struct(F.col("na").alias("n"), (-F.col("a")).alias("other")).alias("x"))
+    )
+    best = both.groupBy("a").agg((-F.max("x")["other"]).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = _verified(ws, best, texts, similarity)
+    groups = ws.put(connected_components(ws, first, "a", "b"), "groups")
+    ga, gb = (groups.select(F.col("node").alias(n), F.col("component").alias(f"g{n}")) for n in "ab")
+    open_ = found.select("a", "b").join(ga, "a", "left").join(gb, "b", "left")
+    open_ = open_.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    second = _verified(ws, open_, texts, similarity)
+    joined = connected_components(ws, first.unionByName(second), "a", "b").withColumnRenamed("node", "id")
+
+    member = classes.select("id", "at").join(joined, "id", "left")
+    stay = member.groupBy(F.coalesce("component", "id").alias("group")).agg(F.min("at").alias("at"))
+    stay = stay.select(*[F.col(f"at.{c}").alias(c) for c in where], F.col("at.pos").alias("pos"))
+    # Blank lines are compared with nothing and stay.
+    stay = stay.unionByName(every.where("norm = ''").select(*where, "pos"))
+    return stay.groupBy(*where).agg(F.array_sort(F.collect_list("pos")).alias("kept"))
+
+
+def _texts(ws: Workspace, every: DataFrame, classes: DataFrame, found: DataFrame, where: list[str]) -> DataFrame:
+    """(id, norm) of the lines in any pair."""
+    ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
+    wanted = classes.select("id", *[F.col(f"at.{c}").alias(c) for c in where], F.col("at.pos").alias("pos")).join(ids, "id")
+    wanted = small(ws.put(wanted, "wanted"))
+    return ws.put(every.join(wanted, [*where, "pos"]).select("id", "norm"), "texts")
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with duplicate lines gone from ``text``, and two longs: n_lines before and n_kept.
+
+    Two lines link if their fingerprints differ in at most three bits and their
+    edit similarity reaches ``similarity``; equal normalised lines always do. Of
+    each connected group the first occurrence stays: that of the smallest key
+    (null comes last), then the order of the rows in their files.
+
+    Defined cases: a null text stays null and has no lines; blank lines stay and
+    are compared with nothing; a text whose lines all go becomes empty; repeated
+    rows are separate rows, of which the first keeps its lines; lines are read
+    whole. An empty table gives an empty table. Columns named n_lines or n_kept
+    raise ``ValueError``; helper columns avoid every clash.
+    """
+    if {"n_lines", "n_kept"} & {c.lower() for c in docs.columns}:
+        raise ValueError("docs already has a column n_lines or n_kept")
+    ws = Workspace(docs.sparkSession)
+    where = fresh(docs, "file", "nr")
+    lines, kept = fresh(docs, "lines", "kept")
+    rows = numbered(ws, docs, where)
+    plain = rows.select(*[F.col(c) for c in where], col(key).alias("k"), col(text).alias("t"))
+    stay = kept_lines(ws, plain, where, "k", "t", similarity).withColumnRenamed("kept", kept)
+    # The text is split below the join, so the positions are looked up in an array that is there.
+    whole = rows.select(*[col(c) for c in docs.columns if c != text], *where, F.split(col(text), "\n", -1).alias(lines))
+    out = whole.join(stay, where, "left")
+    none = F.array().cast("array<int>")
+    n = F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    left = F.array_join(F.transform(F.coalesce(F.col(kept), none), lambda p: F.get(F.col(lines), p)), "\n")
+    return out.select(
+        *[F.when(F.col(lines).isNotNull(), left).alias(text) if c == text else col(c) for c in docs.columns],
+        n.alias("n_lines"),
+        F.when(F.col(kept).isNull(), 0).otherwise(F.size(kept)).cast("long").alias("n_kept"),
+    )

@@ -5,8 +5,8 @@ is all that comes to the driver. The configuration linear program over it (one
 variable for each pattern of lengths that fits a sequence) is solved by
 multiplicative weights: a length that gets covered loses weight against those
 that are not, and an unbounded-knapsack dynamic program prices the best pattern
-for the weights. The
-fractional solution is rounded down and what is left is packed best-fit.
+for the weights. The fractional solution is rounded down and what is left is
+packed best-fit.
 
 The result is a plan of runs: "the pieces of length L with ranks r to r+n have
 the offset o in the sequences s to s+n". Its size depends on the capacity and
@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -211,8 +212,12 @@ def token_pieces(docs: DataFrame, key: str, text: str, tokenizer: str, ranks: st
     return source.mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+@lru_cache(1)
 def _encoder(tokenizer: str, ranks: str | None):
-    """text -> ids as an array of uint32; strings of special tokens are ordinary text."""
+    """text -> ids as an array of uint32; strings of special tokens are ordinary text.
+
+    A Python worker keeps it for its next tasks.
+    """
     if ranks is None:
         from tokenizers import Tokenizer
 

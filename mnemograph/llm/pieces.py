@@ -23,7 +23,6 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 
 #: Words that a worker remembers between batches, the longest word it remembers, and pairs and pieces judged.
-CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 300_000, 64, 1 << 17
+CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 500_000, 32, 1 << 17
 #: A word longer than this is read on its own, without the trie's stack of states.
 LONG_WORD = 4096
 
@@ -59,10 +58,11 @@ class Model:
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and bpe models are supported")
         self.dummy_prefix = options.add_dummy_prefix
-        self.pieces = [p.piece for p in m.pieces]
+        # Marks are held as the blanks that they stand for; SentencePiece reads both alike.
+        self.pieces = [p.piece.replace(MARK, " ") for p in m.pieces]
         self.types = [p.type for p in m.pieces]
-        self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type in (NORMAL, USER_DEFINED)}
-        if any(p.type == USER_DEFINED for p in m.pieces) or any(MARK in p.lstrip(MARK) for p in self.ids):
+        self.ids = {self.pieces[i]: i for i, p in enumerate(m.pieces) if p.type in (NORMAL, USER_DEFINED)}
+        if any(p.type == USER_DEFINED for p in m.pieces) or any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece crosses the start of a word, or is user-defined")
         self.scores = [p.score for p in m.pieces]
         self.longest = max(map(len, self.ids))
@@ -72,10 +72,7 @@ class Model:
         self.unknown_score = min(known) - UNKNOWN_PENALTY
         self.halves = {p: self._halves(p) for p in self.ids} if self.kind == BPE else {}
         self.follows = lru_cache(CACHE_PAIRS)(self._follows)
-        #: For two characters, the length of the longest piece that ends in them.
-        self.reach: dict[str, int] = {}
-        for p in self.halves:
-            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 0))
+        self._grow([p for p, halves in self.halves.items() if halves])
 
     # -- bpe ---------------------------------------------------------------
 
@@ -116,20 +113,55 @@ class Model:
             else:
                 limit, ties, right = scores[ids[right]], True, b[0]
 
+    def _grow(self, pieces: list[str]) -> None:
+        """An automaton that reads a word and knows at each end which pieces end there, the longest first."""
+        self.step: list[dict[str, int]] = [{}]
+        self.fail, self.ends = [0], [()]
+        for p in pieces:
+            node = 0
+            for c in p:
+                if c not in self.step[node]:
+                    self.step[node][c] = len(self.step)
+                    self.step.append({})
+                    self.fail.append(0)
+                    self.ends.append(())
+                node = self.step[node][c]
+            self.ends[node] = (len(p),)
+        level = list(self.step[0].values())
+        while level:
+            below = []
+            for node in level:
+                self.ends[node] += self.ends[self.fail[node]]
+                for c, child in self.step[node].items():
+                    back = self.fail[node]
+                    while back and c not in self.step[back]:
+                        back = self.fail[back]
+                    self.fail[child] = self.step[back].get(c, 0)
+                    below.append(child)
+            level = below
+
+    def _next(self, node: int, c: str) -> int:
+        while node and c not in self.step[node]:
+            node = self.fail[node]
+        return self.step[node].get(c, 0)
+
     # -- the trie ----------------------------------------------------------
 
     def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, its pieces) of distinct words; shared prefixes are scored once.
 
         ``last[d]`` is the length of the last piece of the first d characters of
-        the word at hand, ``score[d]`` their score in a unigram model.
+        the word at hand, ``state[d]`` their score in a unigram model, or where
+        the automaton is after them.
         """
-        before, last, score = "", [0], [0.0]
+        before, last, state = "", [0], [0]
         advance = self._best if self.kind == UNIGRAM else self._only
         for word in sorted(words):
-            shared = len(commonprefix((before, word)))
-            del last[shared + 1 :], score[shared + 1 :]
-            advance(word, shared + 1, last, score)
+            shared, top = 0, min(len(before), len(word))
+            while shared < top and before[shared] == word[shared]:
+                shared += 1
+            del last[shared + 1 :], state[shared + 1 :]
+            advance(word, shared, last, state)
             parts, at = [], len(word)
             while at:
                 length = last[at]
@@ -139,9 +171,9 @@ class Model:
             yield word, parts
             before = word
 
-    def _best(self, word: str, first: int, last: list[int], score: list[float]) -> None:
+    def _best(self, word: str, shared: int, last: list[int], state: list) -> None:
         """Viterbi: for each further end, the best-scored way to end a piece there."""
-        for end in range(first, len(word) + 1):
+        for end in range(shared + 1, len(word) + 1):
             best, length = float("-inf"), 0
             for start in range(max(0, end - self.longest), end):
                 piece = self.ids.get(word[start:end])
@@ -151,19 +183,23 @@ class Model:
                     s = self.unknown_score
                 else:
                     continue
-                if (s := s + score[start]) > best:
+                if (s := s + state[start]) > best:
                     best, length = s, end - start
             last.append(length)
-            score.append(best)
+            state.append(best)
 
-    def _only(self, word: str, first: int, last: list[int], score: list[float]) -> None:
+    def _only(self, word: str, shared: int, last: list[int], state: list) -> None:
         """Greedy merging: for each further end, the one piece that may end there."""
-        reach, made, follows = self.reach, self.halves, self.follows
-        for end in range(first, len(word) + 1):
-            for start in range(max(0, end - reach.get(word[end - 2 : end], 1)), end - 1):
-                piece = word[start:end]
-                if made.get(piece) and (not start or follows(word[start - last[start] : start], piece)):
-                    last.append(end - start)
+        step, ends, follows, node, end = self.step, self.ends, self.follows, state[shared], shared
+        for c in word[shared:]:
+            end += 1
+            to = step[node].get(c)
+            node = self._next(node, c) if to is None else to
+            state.append(node)
+            for n in ends[node]:
+                start = end - n
+                if not start or follows(word[start - last[start] : start], word[start:end]):
+                    last.append(n)
                     break
             else:
                 # One character always is a piece of its own; no longer one may end here, so this one does.
@@ -188,8 +224,8 @@ class Model:
         """The marked words of a text, which no piece crosses."""
         if not text:
             return []
-        text = text.replace(" ", MARK)
-        return _WORDS.findall(MARK + text if self.dummy_prefix else text)
+        text = text.replace(MARK, " ")
+        return _WORDS.findall(" " + text if self.dummy_prefix else text)
 
     @property
     def surface(self) -> list[bytes]:
@@ -201,11 +237,11 @@ class Model:
             elif t == UNKNOWN:
                 out.append(" ⁇ ".encode())
             else:
-                out.append(b"" if t == CONTROL else p.replace(MARK, " ").encode())
+                out.append(b"" if t == CONTROL else p.encode())
         return out
 
 
-_WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_WORDS = re.compile(" +[^ ]*|[^ ]+")
 
 
 def encode_texts(model: Model, texts: list[str], cache: dict[str, bytes]) -> list[np.ndarray]:
@@ -255,8 +291,7 @@ def encode(
     kind = source.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = Model(model_path, model_type), {}
-        surface = model.surface
+        model, surface, cache = _loaded(model_path, model_type)
         for batch in batches:
             at = 0
             for texts in _portions(batch["text"]):
@@ -273,6 +308,13 @@ def encode(
     return source.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+@lru_cache(2)
+def _loaded(path: str, model_type: int | None) -> tuple[Model, list[bytes], dict[str, bytes]]:
+    """A model, its surfaces and its cache of words, kept by a Python worker for its next tasks."""
+    model = Model(path, model_type)
+    return model, model.surface, {}
+
+
 def _portions(texts: pa.Array) -> Iterator[list[str | None]]:
     """The texts in lists of about ``BATCH_CHARS`` characters."""
     held, size = [], 0

@@ -47,6 +47,23 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their duplicate lines."""
+    from mnemograph.llm.lines import dedup_lines
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, "doc_id", "text").select("doc_id", "n_lines", "n_kept", "text")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, by text and by metadata."""
+    from mnemograph.llm.quality import classify
+
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    scored = classify(docs, labels, "doc_id", "text", ("lang", "source", "n_chars"), "quality")
+    return scored.select("doc_id", "quality_score", "quality_score_text", "quality_score_facts", (F.col("quality_score") >= 0.5).alias("kept"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 24 shards, law ``rows``."""
     from mnemograph.llm.sharding import uniform_shards
@@ -110,6 +127,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ogg": op5_ogg,
     "op6_packing": op6_packing,
     "op7_suffixes": op7_suffixes,
+    "op8_lines": op8_lines,
+    "op10_quality": op10_quality,
     "op9_sharding": op9_sharding,
 }
 

@@ -37,8 +37,8 @@ from mnemograph.llm.common import Workspace, col, small
 ANCHOR = 64
 #: Bytes that are scanned at once; longer texts are scanned in parts that overlap by a window.
 SCAN = 1 << 18
-#: Distinct stretches of one anchor that a suffix array takes; beyond that windows are counted by hash.
-CROWD = 512
+#: Distinct stretches of one anchor that a suffix array takes, at most about 3 MB; beyond that windows are counted by hash.
+CROWD = 4096
 #: Bytes in one suffix array, about.
 ARRAY_BYTES = 1 << 19
 
@@ -93,20 +93,21 @@ def stretches(data: bytes, width: int) -> Iterator[tuple[int, int, int]]:
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(suffixes in order of their first ``depth`` symbols, at equal heads by place; ranks by 1, 2, 4, ... symbols)."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
+    """(suffixes in order of their first ``depth`` symbols or more; ranks by 1, 2, 4, ... symbols)."""
+    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int32)
     ranks, length, n = [rank], 1, len(symbols)
     while True:
-        after = np.zeros(n, np.int64)
-        after[: n - length] = rank[length:] + 1 if length < n else 0
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0])) if n else np.zeros(0, np.int64)
-        rank = np.empty(n, np.int64)
+        key = rank * np.int64(n + 2)
+        if length < n:
+            key[: n - length] += rank[length:] + 1
+        order = np.argsort(key)
+        new = np.zeros(n, np.int32)
+        np.cumsum(np.diff(key[order]) != 0, out=new[1:])
+        rank = np.empty(n, np.int32)
         rank[order] = new
         length *= 2
         ranks.append(rank)
-        if length >= depth or (n and new[-1] == n - 1):
+        if length >= depth or not n or new[-1] == n - 1:
             return order, ranks
 
 
