@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from mnemograph.llm.common import Workspace, block_bits, col, fresh, gapless_rank
 
 #: Most rounds of multiplicative weights; the share of its scarcest length that a priced pattern
-#: covers in a round; how fast the price of a length falls as it gets covered.
-ROUNDS, STEP, DECAY = 5000, 0.34, 0.2
+#: covers in a round; how fast the weight of a length falls as it gets covered; how much more than in
+#: proportion a long piece weighs at first, as it is harder to place: the program is solved from either start.
+ROUNDS, STEP, DECAY, LONG = 20_000, 0.5, 0.05, (0.1, 1.0)
 #: Pieces of one length that are ranked in one task, about.
 RANKED_PER_BLOCK = 1 << 14
 
@@ -103,11 +104,12 @@ def fill(counts: dict[int, int], capacity: int) -> Counter[tuple[int, ...]]:
     return out
 
 
-def solve(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Counter[tuple[int, ...]]:
-    """Patterns with how often each is used; every piece is covered exactly once.
+def solve(counts: dict[int, int], capacity: int) -> Counter[tuple[int, ...]]:
+    """Patterns with how often each is used; every piece is covered exactly once."""
+    return min((_solve(counts, capacity, long_) for long_ in LONG), key=lambda x: sum(x.values()))
 
-    The better of the rounded linear program and plain best-fit is taken.
-    """
+
+def _solve(counts: dict[int, int], capacity: int, long_: float) -> Counter[tuple[int, ...]]:
     counts = {int(n): int(c) for n, c in counts.items() if c}
     if any(not 0 < n <= capacity for n in counts):
         raise ValueError("every length must be between 1 and the capacity")
@@ -117,16 +119,17 @@ def solve(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Counte
     need = np.array([counts[n] for n in lengths], float)
     done = np.zeros(len(lengths))  # the share of each need that is covered
     used: dict[bytes, float] = {}
-    for _ in range(rounds):
-        open_ = np.flatnonzero(done < 1)
+    for _ in range(ROUNDS):
+        open_ = np.flatnonzero(done < 1 - 1e-9)
         if not len(open_):
             break
-        # Prices start at the lengths, the dual of the volume bound, and fall as a length gets covered.
-        prices = lengths[open_] * np.exp(-DECAY * done[open_])
+        # Weights start near the lengths, the dual of the volume bound.
+        weights = lengths[open_] * (lengths[open_] / capacity) ** long_ * np.exp(-DECAY * done[open_])
         pattern = np.zeros(len(lengths), np.int64)
-        pattern[open_] = best_pattern(prices, lengths[open_], capacity)
+        pattern[open_] = best_pattern(weights, lengths[open_], capacity)
         have = np.flatnonzero(pattern)
-        rate = STEP * float((need[have] / pattern[have]).min())
+        per_use = need[have] / pattern[have]
+        rate = float(min(STEP * per_use.min(), (per_use * (1 - done[have])).min()))
         used[pattern.tobytes()] = used.get(pattern.tobytes(), 0.0) + rate
         done[have] += rate * pattern[have] / need[have]
     left = dict(counts)
@@ -139,9 +142,8 @@ def solve(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Counte
             whole[tuple(int(lengths[k]) for k in reversed(have) for _ in range(int(pattern[k])))] += times
             for k in have:
                 left[int(lengths[k])] -= times * int(pattern[k])
-    whole += finish(left, capacity)
-    plain = fill(counts, capacity)
-    return min(whole, plain, key=lambda x: sum(x.values()))
+    whole.update(finish(left, capacity))
+    return whole
 
 
 def finish(left: dict[int, int], capacity: int) -> Counter[tuple[int, ...]]:
