@@ -2,7 +2,8 @@
 
 ``review_table`` is a Python data source. Its option ``path`` names a JSON file
 of response bodies, or ``url`` with ``token`` an HTTP service. The filter on
-rows in need of review is pushed to the source.
+rows in need of review is pushed to the source; Spark asks for
+``spark.sql.python.filterPushdown.enabled`` to be true for that.
 """
 
 from __future__ import annotations
