@@ -41,6 +41,8 @@ SCAN = 1 << 18
 CROWD = 4096
 #: Bytes in one suffix array, about.
 ARRAY_BYTES = 1 << 19
+#: Suffixes that are scanned with a stack at once, about.
+STACK = 1 << 16
 
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -92,37 +94,61 @@ def stretches(data: bytes, width: int) -> Iterator[tuple[int, int, int]]:
 # -- suffix order --------------------------------------------------------------
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(suffixes in order of their first ``depth`` symbols or more; ranks by 1, 2, 4, ... symbols)."""
+def suffix_array(symbols: np.ndarray, depth: int, keep: set[int] | None = None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """(suffixes in order of their first ``depth`` symbols or more; ranks by 1, 2, 4, ... symbols, or those in ``keep``).
+
+    Doubling ends early where no two suffixes share as many symbols.
+    """
     rank = np.unique(symbols, return_inverse=True)[1].astype(np.int32)
-    ranks, length, n = [rank], 1, len(symbols)
+    length, n = 1, len(symbols)
+    ranks = {1: rank} if keep is None or 1 in keep else {}
     while True:
         key = rank * np.int64(n + 2)
         if length < n:
             key[: n - length] += rank[length:] + 1
         order = np.argsort(key)
+        key = key[order]
         new = np.zeros(n, np.int32)
-        np.cumsum(np.diff(key[order]) != 0, out=new[1:])
+        np.cumsum(key[1:] != key[:-1], out=new[1:])
         rank = np.empty(n, np.int32)
         rank[order] = new
         length *= 2
-        ranks.append(rank)
+        if keep is None or length in keep:
+            ranks[length] = rank
         if length >= depth or not n or new[-1] == n - 1:
             return order, ranks
 
 
-def common_prefix(ranks: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def common_prefix(ranks: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Length of the longest common prefix of suffixes i and j, up to what the ranks cover."""
-    n = len(ranks[0])
+    n = len(ranks[1])
     length = np.zeros(len(i), np.int64)
-    for level in range(len(ranks) - 1, -1, -1):
+    for level in sorted(ranks, reverse=True):
         a, b = i + length, j + length
         inside = (a < n) & (b < n)
         same = inside & (ranks[level][np.minimum(a, n - 1)] == ranks[level][np.minimum(b, n - 1)])
-        length += same * (1 << level)
+        length += same * level
     return np.minimum(length, n - np.maximum(i, j))
 
 
+def powers(width: int) -> list[int]:
+    """The powers of two that add up to ``width``, the largest first."""
+    return [1 << b for b in range(width.bit_length() - 1, -1, -1) if width >> b & 1]
+
+
+def share(ranks: dict[int, np.ndarray], width: int, i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Whether suffixes i and j share ``width`` symbols; needs the ranks of :func:`powers`."""
+    out = (i + width <= n) & (j + width <= n)
+    at = 0
+    for level in powers(width):
+        if level not in ranks:  # doubling has ended before: no two suffixes share as many
+            return np.zeros(len(i), bool)
+        rank = ranks[level]
+        out &= rank[np.minimum(i + at, n - 1)] == rank[np.minimum(j + at, n - 1)]
+        at += level
+    return out
+
+
 def _nearest_smaller(places: list[int], bounds: list[int], sign: int) -> list[int]:
     """For each suffix in order: its longest match among those before it that start earlier (sign 1) or later (-1).
 
@@ -165,17 +191,23 @@ def repeated_windows(parts: list[bytes], width: int, keep_first: bool = False) -
     if not parts:
         return []
     # Every part ends in a symbol of its own, so no match leaves a part.
-    symbols = np.concatenate([np.append(np.frombuffer(p, np.uint8).astype(np.int64), 256 + k) for k, p in enumerate(parts)])
-    order, ranks = suffix_array(symbols, width)
-    lcp = np.zeros(len(order), np.int64)
-    lcp[1:] = common_prefix(ranks, order[:-1], order[1:])
+    symbols = np.concatenate([np.append(np.frombuffer(p, np.uint8).astype(np.int32), np.int32(256 + k)) for k, p in enumerate(parts)])
+    n = len(symbols)
+    order, ranks = suffix_array(symbols, width, set(powers(width)))
+    long_ = np.zeros(n, bool)
+    long_[1:] = share(ranks, width, order[:-1], order[1:], n)
+    del ranks
     # A suffix whose neighbours in order both share less than a window has no match of one.
-    near = np.zeros(len(order), bool)
-    long_ = lcp >= width
-    near[long_] = True
+    near = long_.copy()
     near[:-1] |= long_[1:]
-    own, bounds = order[near], np.where(long_, lcp, 0)[near]
-    earlier, later = longest_factors(own, bounds)
+    own, bounds = order[near], long_[near] * width
+    # Matches do not reach across a bound of 0, so stretches of the order are solved one after another.
+    starts = np.flatnonzero(bounds == 0)
+    cuts = [0, *starts[np.searchsorted(starts, np.arange(STACK, len(own), STACK))[np.arange(STACK, len(own), STACK) <= (starts[-1] if len(starts) else -1)]].tolist(), len(own)]
+    earlier, later = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            earlier[a:b], later[a:b] = longest_factors(own[a:b], bounds[a:b])
     hit = np.zeros(len(symbols), bool)
     hit[own] = (earlier >= width) if keep_first else (earlier >= width) | (later >= width)
     out, at = [], 0
@@ -305,7 +337,11 @@ def _read(rows: DataFrame, doubtful: DataFrame, width: int) -> DataFrame:
 
 
 def _by_array(width: int):
-    """Stretches sorted by anchor -> what repeats in each, by suffix arrays over whole anchors."""
+    """Stretches sorted by anchor -> what repeats in each, by suffix arrays over whole anchors.
+
+    A large anchor gets an array of its own: how many stretches it has is known
+    before they are read.
+    """
 
     def solve(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         hits = repeated_windows([x[3] for x in held], width)
@@ -316,9 +352,9 @@ def _by_array(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for batch in batches:
-            columns = [batch[n].to_pylist() for n in ("anchor", "h1", "h2", "n")]
-            for anchor, h1, h2, n, piece in zip(*columns, batch["piece"], strict=True):
-                if anchor != last and size >= ARRAY_BYTES:
+            columns = [batch[n].to_pylist() for n in ("anchor", "h1", "h2", "n", "kinds")]
+            for anchor, h1, h2, n, kinds, piece in zip(*columns, batch["piece"], strict=True):
+                if anchor != last and held and size + kinds * 2 * width >= ARRAY_BYTES:
                     yield solve(held)
                     held, size = [], 0
                 last = anchor
@@ -355,21 +391,27 @@ def _by_hash(copies: DataFrame, width: int) -> DataFrame:
     return hits.groupBy("h1", "h2").agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: F.struct(w.alias("s"), (w + 1).alias("e"))).alias("runs"))
 
 
+#: Rows that are rewritten at once.
+SLICE = 256
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with their runs -> spans and the bytes left."""
-    for batch in batches:
-        lengths, spans, kept = [], [], []
-        for data, runs in zip(batch["raw"], batch["runs"].to_pylist(), strict=True):
-            data = data.as_py()
-            parts, at, own = [], 0, merged([(r["s"], r["e"]) for r in runs])
-            for s, e in own:
-                parts.append(data[at:s])
-                at = e
-            lengths.append(len(data))
-            spans.append([{"s": s, "e": e} for s, e in own])
-            kept.append(b"".join([*parts, data[at:]]))
-        columns = [batch["key"], pa.array(lengths, pa.int64()), pa.array(spans, _ARROW_RUNS), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "spans", "kept"])
+    for whole in batches:
+        for first in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(first, SLICE)
+            lengths, spans, kept = [], [], []
+            for data, runs in zip(batch["raw"], batch["runs"], strict=True):
+                data = data.as_py()
+                parts, at, own = [], 0, merged([(r["s"], r["e"]) for r in runs.as_py()])
+                for s, e in own:
+                    parts.append(data[at:s])
+                    at = e
+                lengths.append(len(data))
+                spans.append([{"s": s, "e": e} for s, e in own])
+                kept.append(b"".join([*parts, data[at:]]))
+            columns = [batch["key"], pa.array(lengths, pa.int64()), pa.array(spans, _ARROW_RUNS), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "spans", "kept"])
 
 
 def keep_first(texts: list[bytes], width: int) -> list[bytes]:
