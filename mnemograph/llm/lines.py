@@ -1,10 +1,10 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence per group.
 
 Lines are normalised (lower case, white space collapsed) and equal ones are one
-class. A line's fingerprint is the 64-bit SimHash of its words. Fingerprints
-within three bits agree in at least two of five blocks, so classes are joined on
-each of the ten pairs of blocks, compared by fingerprint, and what is left is
-verified by edit similarity. Of each connected group the first occurrence stays.
+class. A line's fingerprint is the 64-bit SimHash of its set of words. Fingerprints
+within three bits agree in at least two of five blocks, so classes meet in ten
+buckets, one for each pair of blocks; near fingerprints are verified by edit
+similarity. Of each connected group the first occurrence stays.
 
 All of it is DataFrame expressions. The bit counts of a SimHash are sums over
 exploded words with three 21-bit counters in a long, one combinable aggregate.
@@ -17,44 +17,56 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import Workspace, col, connected_components, fresh, numbered, small
+from mnemograph.llm.common import BROADCAST_ROWS, Workspace, col, connected_components, fresh, numbered, small
 
 #: Most differing bits of two fingerprints, and least edit similarity of two lines.
 MAX_BITS, SIMILARITY = 3, 0.8
 #: Blocks of the fingerprint: (first bit, bits).
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Counters in a long and their width: up to 2,097,151 words in a line are counted exactly. Beyond that
+#: Counters in a long and their width: up to 1,048,575 words in a line are counted exactly. Beyond that
 #: counters run over; equal lines still have equal fingerprints, and every link is verified.
 LANES, WIDTH = 3, 21
 #: Lines over this many characters are compared word by word, one symbol for each word.
-LONG_LINE = 2048
+LONG_LINE = 256
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\s\x00-\x1f]+", " "))
+#: What counts as white space within a line.
+BLANKS = " \t\r\f\x0b"
+
+
+def normalised(text: Column) -> Column:
+    """Lower case, runs of white space as one blank; newlines stay. The ends are not trimmed."""
+    low = F.lower(text)
+    odd = F.contains(low, F.lit("  "))
+    for c in BLANKS[1:]:
+        odd = odd | F.contains(low, F.lit(c))
+    # Most texts have none of it, and looking for fixed strings is far cheaper than the pattern.
+    return F.when(odd, F.regexp_replace(low, r"[ \t\r\f\x0b]+", " ")).otherwise(low)
 
 
 #: Each packed counter c0, ..., c20 holds the bits i, i + 21 and i + 42; c21 holds bit 63.
 COUNTERS = WIDTH + 1
+#: One bit at the foot of each lane.
+FEET = sum(1 << (WIDTH * k) for k in range(LANES))
 
 
 def _spread(h: Column, i: int) -> Column:
     """The bits that counter i holds, each at the foot of its lane."""
-    if i == WIDTH:
-        return F.shiftrightunsigned(h, 63)
-    feet = sum(1 << (WIDTH * k) for k in range(LANES))
-    return F.shiftrightunsigned(h, i).bitwiseAND(F.lit(feet))
+    return F.shiftrightunsigned(h, 63) if i == WIDTH else F.shiftrightunsigned(h, i).bitwiseAND(F.lit(FEET))
 
 
 def _majority(total: Column) -> Column:
-    """The fingerprint: bits that are set in over half the words."""
-    out, none = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for i in range(COUNTERS):
-        for k in range(LANES if i < WIDTH else 1):
-            n = F.shiftrightunsigned(F.col(f"c{i}"), WIDTH * k).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))
-            bit = i + WIDTH * k if i < WIDTH else 63
-            out = out.bitwiseOR(F.when(2 * n > total, F.lit(_signed(1 << bit))).otherwise(none))
+    """The fingerprint: bits that are set in over half the words.
+
+    What is missing to the top bit of a lane is added to all lanes at once, so
+    that the top bit of a lane says whether its count is over half the total.
+    """
+    top = WIDTH - 1
+    missing = F.lit((1 << top) - 1).cast("long") - F.least(F.floor(total / 2), F.lit((1 << top) - 1))
+    out = F.shiftleft(F.shiftrightunsigned(F.col(f"c{WIDTH}") + missing, top).bitwiseAND(F.lit(1).cast("long")), 63)
+    for i in range(WIDTH):
+        over = F.shiftrightunsigned(F.col(f"c{i}") + missing * F.lit(FEET), top).bitwiseAND(F.lit(FEET))
+        out = out.bitwiseOR(F.shiftleft(over, i))
     return out
 
 
@@ -63,26 +75,28 @@ def _signed(x: int) -> int:
 
 
 def with_simhash(lines: DataFrame, norm: str, out: str) -> DataFrame:
-    """``lines`` with ``norm`` replaced by ``out``, the SimHash of its blank-separated words, repeats included.
+    """``lines`` with ``norm`` replaced by ``out``, the SimHash of its set of blank-separated words.
 
-    The other columns must tell the lines apart.
+    The other columns must tell the lines apart. A word counts once: else one
+    that fills half a line, such as the bar of a table, decides all bits, and
+    thousands of different lines share a fingerprint.
     """
     keys = [c for c in lines.columns if c != norm]
-    hashed = lines.select(*keys, F.explode(F.split(norm, " ")).alias("word")).select(*keys, F.xxhash64("word").alias("h"))
+    hashed = lines.select(*keys, F.explode(F.array_distinct(F.split(norm, " "))).alias("word")).select(*keys, F.xxhash64("word").alias("h"))
     sums = [F.sum(_spread(F.col("h"), i)).alias(f"c{i}") for i in range(COUNTERS)]
     counted = hashed.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("words"))
+    # floor() of a quotient of longs is exact here: counts stay far below 2 ** 53.
     return counted.select(*keys, _majority(F.col("words")).alias(out))
 
 
-def block_pairs(prints: DataFrame, f: str) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints ``f`` that differ in at most ``MAX_BITS`` bits."""
+def _block_keys(f: Column) -> Column:
+    """What a fingerprint holds in each pair of blocks. Equal keys of two pairs of blocks only cost a comparison."""
     masks = [((1 << n) - 1) << a | ((1 << m) - 1) << b for (a, n), (b, m) in combinations(BLOCKS, 2)]
-    # What a mask leaves out is free to tell the masks apart; equal keys of two masks only cost a comparison.
-    keys = F.array(*[F.col(f).bitwiseAND(F.lit(_signed(mask))) for mask in masks])
-    keyed = prints.select(F.col(f).alias("f"), F.explode(keys).alias("k"))
-    left, right = keyed.withColumnRenamed("f", "a"), keyed.withColumnRenamed("f", "b")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    return left.join(right, (left["k"] == right["k"]) & near).select("a", "b").distinct()
+    return F.array(*[f.bitwiseAND(F.lit(_signed(mask))) for mask in masks])
+
+
+def _near(f: Column, g: Column) -> Column:
+    return F.bit_count(f.bitwiseXOR(g)) <= MAX_BITS
 
 
 def _symbols(norm: Column) -> Column:
@@ -102,69 +116,125 @@ def similar(a: Column, b: Column, similarity: float) -> Column:
     return F.when(long_, within(_symbols(a), _symbols(b))).otherwise(within(a, b))
 
 
-def _verified(ws: Workspace, pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of line ids whose lines are similar."""
+def _verified(ws: Workspace, docs: DataFrame, where: list[str], pairs: DataFrame, places: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of line ids whose lines are similar. Only documents that hold such a line are split."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = ws.put(places.join(ids, "id").groupBy(*where).agg(F.collect_list(F.struct("id", "pos")).alias("w")), "wanted")
+    few = wanted.agg(F.sum(F.size("w"))).first()[0] or 0
+    held = docs.select(*where, "t").join(F.broadcast(wanted) if few <= BROADCAST_ROWS else wanted, where)
+    one = held.select("w", _once(F.split("t", "\n", -1)).alias("lines"))
+    one = one.select(F.explode(F.transform("w", lambda x: F.struct(x["id"].alias("id"), F.get("lines", x["pos"]).alias("line")))).alias("x"))
+    texts = ws.put(one.select("x.id", F.trim(normalised(F.col("x.line"))).alias("norm")), "texts")
     ta = texts.select(F.col("id").alias("a"), F.col("norm").alias("x"))
     tb = texts.select(F.col("id").alias("b"), F.col("norm").alias("y"))
     return ws.put(pairs.join(ta, "a").join(tb, "b").where(similar(F.col("x"), F.col("y"), similarity)).select("a", "b"), "similar")
 
 
-def kept_lines(ws: Workspace, docs: DataFrame, where: list[str], order: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
-    """(where, n_lines, kept): of each row, how many lines it has and the ascending positions of those that stay.
+def _once(value: Column) -> Column:
+    """A value that is computed once for a row, however often it is used: a generator is never copied into its uses."""
+    return F.explode(F.array(value))
+
+
+def line_classes(docs: DataFrame, where: list[str]) -> DataFrame:
+    """(at, f, size, n): distinct normalised lines with their first place, fingerprint, length and number.
 
-    ``where`` are columns that tell rows apart; the first occurrence is that of
-    the smallest ``order`` (null comes last), then ``where``, then position.
+    ``docs`` is (where, o, t). The whole text is normalised before it is split,
+    so that nothing is computed again for each use of a line.
     """
-    split = docs.select(*where, col(order).alias("o"), F.posexplode(F.split(col(text), "\n", -1)).alias("pos", "line"))
-    every = split.select(*where, "o", "pos", normalised(F.col("line")).alias("norm"))
-    hashed = every.where("norm != ''").select(
-        *where, "o", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.char_length("norm").alias("size"), "norm"
-    )
-    # Equal lines are one class from here on, known by a number that is fixed as it is written.
+    split = docs.select(*where, "o", F.posexplode(F.split(normalised(F.col("t")), "\n", -1)).alias("pos", "line"))
+    lines = split.select(*where, "o", "pos", F.trim("line").alias("norm")).where("norm != ''")
+    keyed = lines.select(*where, "o", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.char_length("norm").alias("size"), "norm")
     at = F.struct(F.col("o").isNull().alias("none"), "o", *where, "pos")
-    classes = (
-        with_simhash(hashed, "norm", "f")
+    return (
+        with_simhash(keyed, "norm", "f")
         .groupBy("h1", "h2")
         .agg(F.min(at).alias("at"), F.first("f").alias("f"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
         .select("at", "f", "size", "n")
     )
-    classes = ws.put(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    pairs = ws.put(block_pairs(classes.select("f").distinct(), "f"), "prints")
-    a, b = (classes.select(F.col("id").alias(n), F.col("f").alias(f"f{n}"), F.col("size").alias(f"s{n}"), F.col("n").alias(f"n{n}")) for n in "ab")
-    close = F.least("sa", "sb") >= F.greatest("sa", "sb") * similarity - 1e-6
-    other = pairs.withColumnsRenamed({"a": "fa", "b": "fb"}).join(a, "fa").join(b, "fb").where(close)
-    same = a.join(b, (F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b")) & close)
-    found = ws.put(other.select("a", "na", "b", "nb").unionByName(same.select("a", "na", "b", "nb")), "pairs")
-
-    texts = _texts(ws, every, classes, found, where)
-    # First each line against its most frequent neighbour; then only pairs that this has not joined already.
-    both = found.select("a", "b", F.struct(F.col("nb").alias("n"), (-F.col("b")).alias("other")).alias("x")).unionByName(
-        found.select(F.col("b").alias("a"), F.col("a").alias("b"), F.struct(F.col("na").alias("n"), (-F.col("a")).alias("other")).alias("x"))
-    )
-    best = both.groupBy("a").agg((-F.max("x")["other"]).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = _verified(ws, best, texts, similarity)
-    groups = ws.put(connected_components(ws, first, "a", "b"), "groups")
-    ga, gb = (groups.select(F.col("node").alias(n), F.col("component").alias(f"g{n}")) for n in "ab")
-    open_ = found.select("a", "b").join(ga, "a", "left").join(gb, "b", "left")
-    open_ = open_.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    second = _verified(ws, open_, texts, similarity)
-    joined = connected_components(ws, first.unionByName(second), "a", "b").withColumnRenamed("node", "id")
 
+def linked(ws: Workspace, classes: DataFrame, docs: DataFrame, where: list[str], similarity: float) -> DataFrame:
+    """(node, component) of the classes, by id, that links connect.
+
+    Classes meet in buckets, one for each pair of blocks. First each meets the
+    most frequent class of its bucket. What that joins is one group, and only
+    pairs of different groups are left to compare: those with an end outside the
+    group of the bucket's most frequent class. No link is lost, and a dense
+    bucket does not give all its pairs.
+    """
+    close = F.least("sa", "sb") >= F.greatest("sa", "sb") * similarity - 1e-6
+    keyed = classes.select("id", "f", "size", "n", F.explode(_block_keys(F.col("f"))).alias("k"))
+    # Two classes that meet by chance are told by the bits in which they differ, before anything is joined.
+    differ = F.bit_count(F.bit_or("f").bitwiseXOR(F.bit_and("f")))
+    shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m"), differ.alias("d")).where(f"m > 2 or (m = 2 and d <= {MAX_BITS})").select("k")
+    seats = ws.put(keyed.join(small(ws.put(shared, "buckets")), "k"), "seats")
+    places = classes.select("id", *[F.col(f"at.{c}").alias(c) for c in where], F.col("at.pos").alias("pos"))
+
+    top = seats.groupBy("k").agg(F.max(F.struct("n", (-F.col("id")).alias("i"), "f", "size")).alias("top"))
+    top = ws.put(top.select("k", (-F.col("top.i")).alias("b"), F.col("top.f").alias("fb"), F.col("top.size").alias("sb")), "top")
+    met = seats.select("k", F.col("id").alias("a"), F.col("f").alias("fa"), F.col("size").alias("sa")).join(top, "k")
+    met = met.where((F.col("a") != F.col("b")) & _near(F.col("fa"), F.col("fb")) & close)
+    met = ws.put(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    first = _verified(ws, docs, where, met, places, similarity)
+    groups = ws.put(connected_components(ws, first, "a", "b"), "groups").withColumnRenamed("node", "id")
+
+    grouped = seats.join(groups, "id", "left").select("k", "id", "f", "size", F.coalesce("component", "id").alias("g"))
+    grouped = ws.put(grouped, "grouped")
+    tops = top.join(groups.select(F.col("id").alias("b"), "component"), "b", "left").select("k", F.coalesce("component", "b").alias("gt"))
+    apart = grouped.join(tops, "k").where("g != gt").select("k", F.col("id").alias("a"), F.col("f").alias("fa"), F.col("size").alias("sa"), F.col("g").alias("ga"))
+    rest = grouped.select("k", F.col("id").alias("b"), F.col("f").alias("fb"), F.col("size").alias("sb"), F.col("g").alias("gb"))
+    left = apart.join(rest, (apart["k"] == rest["k"]) & (F.col("ga") != F.col("gb")) & _near(F.col("fa"), F.col("fb")) & close)
+    left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+    left = ws.put(left, "left")
+    ws.drop(seats, grouped)
+    if not left.count():
+        return groups.withColumnRenamed("id", "node")
+    second = _verified(ws, docs, where, left, places, similarity)
+    # What these join are groups: one edge for each pair of them, and then each group's name.
+    whole = _in_groups(second.select(F.col("a").alias("id"), "b"), groups, "x").select("x", F.col("b").alias("id"))
+    whole = _in_groups(whole, groups, "y").select("x", "y").distinct()
+    names = ws.put(connected_components(ws, whole, "x", "y"), "names").select(F.col("node").alias("g"), F.col("component").alias("name"))
+    old = groups.join(names, F.col("component") == F.col("g"), "left").select(F.col("id").alias("node"), F.coalesce("name", "component").alias("component"))
+    new = names.join(groups.select("id"), F.col("g") == F.col("id"), "left_anti").select(F.col("g").alias("node"), F.col("name").alias("component"))
+    return old.unionByName(new)
+
+
+def _in_groups(ids: DataFrame, groups: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``, the group of ``id``, which is its own where it has none."""
+    return ids.join(groups, "id", "left").withColumn(out, F.coalesce("component", "id")).drop("component", "id")
+
+
+def kept_lines(ws: Workspace, docs: DataFrame, where: list[str], similarity: float = SIMILARITY) -> DataFrame:
+    """(where, kept): of each row that keeps any, the positions of the lines that are first in their group.
+
+    ``docs`` is (where, o, t): columns that tell rows apart, an order and a text.
+    The first occurrence is that of the smallest order (null comes last), then
+    ``where``, then position. Blank lines are in no group.
+    """
+    classes = ws.put(line_classes(docs, where).withColumn("id", F.monotonically_increasing_id()), "classes")
+    joined = linked(ws, classes, docs, where, similarity).withColumnRenamed("node", "id")
     member = classes.select("id", "at").join(joined, "id", "left")
     stay = member.groupBy(F.coalesce("component", "id").alias("group")).agg(F.min("at").alias("at"))
     stay = stay.select(*[F.col(f"at.{c}").alias(c) for c in where], F.col("at.pos").alias("pos"))
-    # Blank lines are compared with nothing and stay.
-    stay = stay.unionByName(every.where("norm = ''").select(*where, "pos"))
-    return stay.groupBy(*where).agg(F.array_sort(F.collect_list("pos")).alias("kept"))
+    return stay.groupBy(*where).agg(F.collect_list("pos").alias("kept"))
 
 
-def _texts(ws: Workspace, every: DataFrame, classes: DataFrame, found: DataFrame, where: list[str]) -> DataFrame:
-    """(id, norm) of the lines in any pair."""
-    ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
-    wanted = classes.select("id", *[F.col(f"at.{c}").alias(c) for c in where], F.col("at.pos").alias("pos")).join(ids, "id")
-    wanted = small(ws.put(wanted, "wanted"))
-    return ws.put(every.join(wanted, [*where, "pos"]).select("id", "norm"), "texts")
+def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(key, n_lines, n_kept, kept) for each row: which lines :func:`dedup_lines` keeps, without moving any text.
+
+    ``kept`` are the ascending positions, from 0, of lines that are the first of
+    their group; blank lines, which stay as well, are not among them. A null
+    text has no lines.
+    """
+    ws = Workspace(docs.sparkSession)
+    where = fresh(docs, "file", "nr")
+    rows = numbered(ws, docs, where)
+    plain = rows.select(*[F.col(c) for c in where], col(key).alias("o"), col(text).alias("t"))
+    stay = kept_lines(ws, plain, where, similarity)
+    breaks = F.octet_length("t") - F.octet_length(F.replace(F.col("t"), F.lit("\n"), F.lit("")))
+    out = plain.select(*where, "o", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines")).join(stay, where, "left")
+    kept = F.array_sort(F.coalesce("kept", F.array().cast("array<int>")))
+    return out.select(F.col("o").alias(key), "n_lines", F.size(kept).cast("long").alias("n_kept"), kept.alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -187,16 +257,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     where = fresh(docs, "file", "nr")
     lines, kept = fresh(docs, "lines", "kept")
     rows = numbered(ws, docs, where)
-    plain = rows.select(*[F.col(c) for c in where], col(key).alias("k"), col(text).alias("t"))
-    stay = kept_lines(ws, plain, where, "k", "t", similarity).withColumnRenamed("kept", kept)
-    # The text is split below the join, so the positions are looked up in an array that is there.
-    whole = rows.select(*[col(c) for c in docs.columns if c != text], *where, F.split(col(text), "\n", -1).alias(lines))
-    out = whole.join(stay, where, "left")
+    plain = rows.select(*[F.col(c) for c in where], col(key).alias("o"), col(text).alias("t"))
+    stay = kept_lines(ws, plain, where, similarity).withColumnRenamed("kept", kept)
+    whole = rows.select(*[col(c) for c in docs.columns], *where).join(ws.put(stay, "stay"), where, "left")
+    out = whole.select(*[col(c) for c in docs.columns if c != text], F.col(kept), _once(F.split(col(text), "\n", -1)).alias(lines))
     none = F.array().cast("array<int>")
-    n = F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    left = F.array_join(F.transform(F.coalesce(F.col(kept), none), lambda p: F.get(F.col(lines), p)), "\n")
+    there = F.col(lines).isNotNull()
+    blank = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda p: F.btrim(F.get(F.col(lines), p), F.lit(BLANKS)) == "")
+    out = out.withColumn(kept, F.when(there, F.array_sort(F.concat(F.coalesce(F.col(kept), none), blank))))
+    left = F.array_join(F.transform(F.col(kept), lambda p: F.get(F.col(lines), p)), "\n")
     return out.select(
-        *[F.when(F.col(lines).isNotNull(), left).alias(text) if c == text else col(c) for c in docs.columns],
-        n.alias("n_lines"),
-        F.when(F.col(kept).isNull(), 0).otherwise(F.size(kept)).cast("long").alias("n_kept"),
+        *[left.alias(text) if c == text else col(c) for c in docs.columns],
+        F.when(there, F.size(lines)).otherwise(0).cast("long").alias("n_lines"),
+        F.when(there, F.size(kept)).otherwise(0).cast("long").alias("n_kept"),
     )

@@ -48,11 +48,10 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without their duplicate lines."""
-    from mnemograph.llm.lines import dedup_lines
+    """Which lines of all documents stay; the pipeline's stage applies the same to the texts."""
+    from mnemograph.llm.lines import line_report
 
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, "doc_id", "text").select("doc_id", "n_lines", "n_kept", "text")
+    return line_report(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
