@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from mnemograph.llm.common import Workspace, col, fresh
 
 #: Bounds of the samples that are fitted on.
-LABELLED, POOL = 8_000, 8_000
+LABELLED, POOL = 6_000, 6_000
 #: Every HELD_OUT-th labelled row is kept for calibration.
 HELD_OUT = 4
 ROUNDS, PER_ROUND, SURE = 4, 600, 0.95
