@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import Workspace, col, connected_components, fresh
+from mnemograph.llm.common import Workspace, col, connected_components, fresh, numbered, small
 
 SEED = 42
 LOW = 0x5555555555555555
@@ -157,20 +157,21 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, max_distance: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_distance: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest key, of equal keys one row.
 
     Rows with a null key stay only in groups that have no other key.
     """
     ws = Workspace(docs.sparkSession)
-    row, component, f = fresh(docs, "row", "component", "f")
-    numbered = ws.put(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    # Row numbers order rows by key, so the smallest of a group is the row that stays.
-    prints = fingerprints(numbered.select(F.col(row).alias("row"), col(key).alias("key"), col(text).alias("text")), "text", "f", shingle)
-    prints = ws.put(prints, "fingerprints")
-    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
+    where = fresh(docs, "file", "nr")
+    rows = numbered(ws, docs, where)
+    named = rows.select(*[F.col(w).alias(n) for w, n in zip(where, ("file", "nr"), strict=True)], col(key).alias("key"), col(text).alias("text"))
+    prints = ws.put(fingerprints(named, "text", "f", shingle), "fingerprints")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "file", "nr"))
     classes = ws.put(prints.groupBy("f").agg(first.alias("first")), "classes")
     joined = connected_components(ws, ws.put(links(classes, "f", max_distance), "pairs"), "a", "b")
     member = classes.join(joined, classes["f"] == joined["node"], "left").select("first", F.coalesce("component", "f").alias("root"))
-    stay = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return numbered.join(ws.put(stay, "stay"), row, "left_semi").drop(row)
+    stay = member.groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.nr")
+    # What goes is far less than what stays, so the texts need not be shuffled to leave it out.
+    gone = ws.put(prints.select("file", "nr").join(stay, ["file", "nr"], "left_anti"), "gone")
+    return rows.join(small(gone.select(F.col("file").alias(where[0]), F.col("nr").alias(where[1]))), where, "left_anti").drop(*where)
