@@ -285,4 +285,5 @@ def pack(
     """
     ws = Workspace(docs.sparkSession)
     pieces = ws.put(token_pieces(docs, key, text, tokenizer, ranks, end, capacity), "pieces")
-    return place(pieces, capacity, ws).withColumnRenamed("key", key)
+    columns = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    return place(pieces, capacity, ws).select(F.col("key").alias(key), *columns)
