@@ -31,7 +31,7 @@ from mnemograph.llm.common import Workspace, block_bits, col, fresh, gapless_ran
 #: Most rounds of multiplicative weights; the share of its scarcest length that a priced pattern
 #: covers in a round; how fast the weight of a length falls as it gets covered; how much more than in
 #: proportion a long piece weighs at first, as it is harder to place: the program is solved from either start.
-ROUNDS, STEP, DECAY, LONG = 20_000, 0.5, 0.05, (0.1, 1.0)
+ROUNDS, STEP, DECAY, LONG = 20_000, 1.0, 0.05, (0.1, 1.0)
 #: Pieces of one length that are ranked in one task, about.
 RANKED_PER_BLOCK = 1 << 14
 
