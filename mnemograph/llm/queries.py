@@ -131,4 +131,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Only what SQL can say on whole tables: the others need hashes, models, media or draws that SQL does not have.
+ORACLE_SQL: dict[str, str] = {
+    "op3_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM v),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93),
+    reach(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.c),
+    own AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id),
+    number AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+    SELECT id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = id AS kept FROM own LEFT JOIN number ON a = id""",
+}
