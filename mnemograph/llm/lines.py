@@ -36,11 +36,11 @@ BLANKS = " \t\r\f\x0b"
 
 def normalised(text: Column) -> Column:
     """Lower case, runs of white space as one blank; newlines stay. The ends are not trimmed."""
-    low = F.lower(text)
-    odd = F.contains(low, F.lit("  "))
+    # Most texts have none of it, and looking for fixed strings is far cheaper than the pattern. It is looked
+    # for in the text as it is: a lower-cased one would be computed again for each of these tests.
+    low, odd = F.lower(text), F.contains(text, F.lit("  "))
     for c in BLANKS[1:]:
-        odd = odd | F.contains(low, F.lit(c))
-    # Most texts have none of it, and looking for fixed strings is far cheaper than the pattern.
+        odd = odd | F.contains(text, F.lit(c))
     return F.when(odd, F.regexp_replace(low, r"[ \t\r\f\x0b]+", " ")).otherwise(low)
 
 
