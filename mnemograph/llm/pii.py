@@ -175,12 +175,57 @@ def plain_letters(r: Rewritten) -> Rewritten:
 
 
 def plain_digits(r: Rewritten) -> Rewritten:
-    """Runs of spelled digits; one gap between two digits goes when both belong to the run."""
-    if not _ANY_SPELLED.search(r.text):
+    """Spelled digits that touch a digit, a sign, a bracket or a dot; a gap next to one goes where digits are on both sides.
+
+    In a long run of digits, most of them spelled, all gaps go.
+    """
+    items = [m for m in _ITEM.finditer(r.text) if m[0].lower() in SPELLED]
+    if not items:
         return r
+    edits = _runs(r.text) if _ANY_SPELLED.search(r.text) else []
+    runs = [(a, b) for a, b, _ in edits]
+    last = -1  # where the last spelled digit ends
+    for m in items:
+        a, b = m.span()
+        k = bisect_left(runs, (a + 1,)) - 1
+        if k >= 0 and b <= runs[k][1]:
+            continue
+        before, after = _past(r.text, a, -1), _past(r.text, b, 1)
+        left, right = r.text[before - 1 : before], r.text[after : after + 1]
+        joins_left = before < a and (left in _DIGITS or before == last)
+        joins_right = after > b and (right in _DIGITS or (n := _ITEM.match(r.text, after)) is not None and n[0].lower() in SPELLED)
+        near = (left in _SIGNS, right in _SIGNS, r.text[max(0, before - 5) : before].lower().endswith(_DOTS), r.text[after : after + 5].lower().startswith(_DOTS))
+        if joins_left or joins_right or any(near):
+            # The gap after a spelled digit that joins another one is left to that one.
+            edits += [(before, a, "")] if joins_left else []
+            edits += [(a, b, SPELLED[m[0].lower()])]
+            edits += [(b, after, "")] if joins_right and right in _DIGITS else []
+            last = b
+    spelled = {a for a, _, _ in edits}
+    edits += [(m.start(), m.end(1), "+") for m in _PLUS.finditer(r.text) if m.end() in spelled and m.start() not in spelled]
+    return r.edit(sorted(edits))
+
+
+_DIGITS, _SIGNS, _DOTS = frozenset("0123456789"), frozenset("+()[]{}<>."), ("dot", "punto", "punkt", "point")
+#: A spelled plus, and what may stand between it and the first spelled digit of its number.
+_PLUS = re.compile(rf"(?<!\w)(plus(?!\w)[\x20\t,-]{{0,3}})[\x20().0-9-]{{0,20}}?(?={_NUMBER})", re.IGNORECASE)
+
+
+def _past(text: str, at: int, step: int) -> int:
+    """The other side of a gap of at most three characters that starts or ends here."""
+    for _ in range(3):
+        c = text[at - 1 : at] if step < 0 else text[at : at + 1]
+        if not c or c not in " \t,-":
+            break
+        at += step
+    return at
+
+
+def _runs(text: str) -> list[tuple[int, int, str]]:
+    """Edits of long runs: one gap between two digits goes when both belong to the run."""
     edits = []
-    for m in _RUN.finditer(r.text):
-        items = list(_ITEM.finditer(r.text, m.start(), m.end()))
+    for m in _RUN.finditer(text):
+        items = list(_ITEM.finditer(text, m.start(), m.end()))
         if sum(i[0].lower() != "plus" for i in items) < 3:
             continue
         body, digits, at = m[0].lower(), [], 0
@@ -193,7 +238,7 @@ def plain_digits(r: Rewritten) -> Rewritten:
                     digits.append(body[at])
                 at += 1
         edits.append((m.start(), m.end(), "".join(digits)))
-    return r.edit(edits)
+    return edits
 
 
 def plain_signs(r: Rewritten) -> Rewritten:

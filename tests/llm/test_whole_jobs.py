@@ -6,6 +6,8 @@ from itertools import combinations
 
 import pytest
 
+from mnemograph.llm import pii
+
 # -- the pipeline's near copies ------------------------------------------------
 
 
@@ -60,3 +62,33 @@ def test_pipeline_keeps_one_of_all_near_copies(spark, near_texts):
     want = {n for n in range(len(sets)) if top(n) == n}
     docs = spark.createDataFrame(list(enumerate(near_texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+
+
+# -- spelled digits of any number ----------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("kind", "found"),
+    [
+        ("phone", "+49 30 one two three 4567"),
+        ("phone", "+1 (415) 555 zero one nine nine"),
+        ("phone", "+49 30 12 34 five six 7"),
+        ("phone", "+1 (four one five) 555 0199"),
+        ("phone", "plus 49 30 one two three 4567"),
+        ("phone", "plus one (415) 555 0199"),
+        ("ip", "one nine two dot one six eight dot one dot seven"),
+        ("ip", "192.168.one.7"),
+        ("card", "4111 1111 1111 one one one one"),
+        ("card", "4111 1111 1111 111 one"),
+    ],
+)
+def test_mixed_digits_are_found(kind, found):
+    text = f"Write to {found} today, not on one of 12 days."
+    base, every = pii.find(text)
+    assert not base[kind]
+    assert pii.masked(text, every) == text.replace(found, f"<{kind.upper()}>")
+
+
+@pytest.mark.parametrize("text", ["one of 12", "un 12 345 678 un", "two plus two (four)", "page one. two dots", "4111 1111 1111 one one one two"])
+def test_spelled_digits_in_prose_stay(text):
+    assert not any(pii.find(text)[1].values())
