@@ -92,3 +92,15 @@ def test_mixed_digits_are_found(kind, found):
 @pytest.mark.parametrize("text", ["one of 12", "un 12 345 678 un", "two plus two (four)", "page one. two dots", "4111 1111 1111 one one one two"])
 def test_spelled_digits_in_prose_stay(text):
     assert not any(pii.find(text)[1].values())
+
+
+# -- the registered query of line dedup ----------------------------------------
+
+
+def test_line_query_returns_the_texts(spark, tmp_path):
+    from mnemograph.llm.queries import op8_lines
+
+    rows = [(1, "one line of words\n\nanother line"), (2, "One  line of words\nlast"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_kept"], r["text"]) for r in op8_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 3, rows[0][1]), 2: (2, 1, "last"), 3: (0, 0, None)}
