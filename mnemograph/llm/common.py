@@ -18,6 +18,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,11 +57,17 @@ class Workspace:
 
     def drop(self, *written: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in written:
-            path = jvm.org.apache.hadoop.fs.Path(df.mnemograph_path)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, df.mnemograph_path)
+
+    def close(self) -> None:
+        """Delete all tables; for callers that have written the result elsewhere."""
+        _delete(self.spark, self.root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -98,16 +105,30 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-#: Rows of a few fixed-size columns that may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def _width(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in a hashed relation."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 24
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind), F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        each = 16 * max(1, len(kind.elementType)) if isinstance(kind.elementType, T.StructType) else 16
+        return F.greatest(F.size(value), F.lit(0)).cast("long") * each + 24
+    return F.lit(8).cast("long")
 
 
-def small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A narrow frame, marked for broadcast if a count shows at most ``rows`` rows.
+def small(written: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A frame, marked for broadcast if its measured size is at most ``limit`` bytes.
 
     Beyond that it is returned as it is, and the join shuffles both sides.
     """
-    return F.broadcast(written) if written.count() <= rows else written
+    each = sum((_width(col(f.name), f.dataType) for f in written.schema), F.lit(32).cast("long"))
+    size = written.agg(F.sum(each)).first()[0] or 0
+    return F.broadcast(written) if size <= limit else written
 
 
 def block_bits(rows: int, rows_per_block: int) -> int:

@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import BROADCAST_ROWS, Workspace, col, connected_components, fresh, numbered, small
+from mnemograph.llm.common import Workspace, col, connected_components, fresh, numbered, small
 
 #: Most differing bits of two fingerprints, and least edit similarity of two lines.
 MAX_BITS, SIMILARITY = 3, 0.8
@@ -120,8 +120,7 @@ def _verified(ws: Workspace, docs: DataFrame, where: list[str], pairs: DataFrame
     """The pairs (a, b) of line ids whose lines are similar. Only documents that hold such a line are split."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = ws.put(places.join(ids, "id").groupBy(*where).agg(F.collect_list(F.struct("id", "pos")).alias("w")), "wanted")
-    few = wanted.agg(F.sum(F.size("w"))).first()[0] or 0
-    held = docs.select(*where, "t").join(F.broadcast(wanted) if few <= BROADCAST_ROWS else wanted, where)
+    held = docs.select(*where, "t").join(small(wanted), where)
     one = held.select("w", _once(F.split("t", "\n", -1)).alias("lines"))
     one = one.select(F.explode(F.transform("w", lambda x: F.struct(x["id"].alias("id"), F.get("lines", x["pos"]).alias("line")))).alias("x"))
     texts = ws.put(one.select("x.id", F.trim(normalised(F.col("x.line"))).alias("norm")), "texts")

@@ -34,7 +34,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 or more that repeat anywhere in all documents, removed."""
+    """Byte strings of 400 or more that repeat anywhere in all documents, removed; and with the first copies kept."""
     from mnemograph.llm.suffixes import repeats
 
     left = repeats(_read(spark, sf_dir, "documents"), "doc_id", "text", width=400)
@@ -44,6 +44,10 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("spans") > 0).alias("repeats"),
+        (F.col("n_bytes") - F.octet_length("kept_first")).cast("long").alias("n_removed_later"),
+        F.size("later").cast("long").alias("n_spans_later"),
+        F.sha2("kept_first", 256).alias("kept_first_sha256"),
     )
 
 

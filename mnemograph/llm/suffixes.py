@@ -16,6 +16,11 @@ only stretches with equal anchors can hold equal windows:
    factor), and the larger positions the longest that starts later.
 4. What repeats in a stretch holds for all its copies; spans go back to texts.
 
+Two results come of the same arrays: every copy of a repeated string goes, or
+later copies go and the first stays. For the second, stretches stand in an array
+in the order of their first place, so a longest previous factor of a window's
+length says that the window has been before.
+
 An anchor with very many distinct stretches is not gathered in one task: its
 windows are then counted by their 128-bit hashes, which combine before the
 shuffle. Both ways give the same windows.
@@ -28,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import Workspace, col, small
+from mnemograph.llm.common import Workspace, col, fresh, numbered, small
 
 #: Bytes that an anchor's hash covers.
 ANCHOR = 64
@@ -120,14 +125,23 @@ def suffix_array(symbols: np.ndarray, depth: int, keep: set[int] | None = None)
 
 
 def common_prefix(ranks: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Length of the longest common prefix of suffixes i and j, up to what the ranks cover."""
-    n = len(ranks[1])
+    """Length of the longest common prefix of suffixes i and j; needs the ranks of every power up to some largest."""
+    n, levels = len(ranks[1]), sorted(ranks, reverse=True)
     length = np.zeros(len(i), np.int64)
-    for level in sorted(ranks, reverse=True):
-        a, b = i + length, j + length
+
+    def advance(at: np.ndarray, level: int) -> np.ndarray:
+        """Of the pairs ``at``, those that agree on ``level`` more symbols, which are added."""
+        a, b = i[at] + length[at], j[at] + length[at]
         inside = (a < n) & (b < n)
         same = inside & (ranks[level][np.minimum(a, n - 1)] == ranks[level][np.minimum(b, n - 1)])
-        length += same * level
+        length[at[same]] += level
+        return at[same]
+
+    more = np.arange(len(i))
+    while len(more):
+        more = advance(more, levels[0])
+    for level in levels[1:]:
+        advance(np.arange(len(i)), level)
     return np.minimum(length, n - np.maximum(i, j))
 
 
@@ -183,40 +197,56 @@ def longest_factors(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.
     return found[0], found[1]
 
 
-def repeated_windows(parts: list[bytes], width: int, keep_first: bool = False) -> list[np.ndarray]:
-    """For each part: whether each of its windows also starts elsewhere in the parts.
+def factors(parts: list[bytes], width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each place of each part: lengths of its longest earlier and later match, 0 where shorter than ``width``.
 
-    With ``keep_first`` a window is a repeat only if the other one starts earlier.
+    Earlier is in the order of the parts. Matches never leave a part.
     """
     if not parts:
         return []
     # Every part ends in a symbol of its own, so no match leaves a part.
     symbols = np.concatenate([np.append(np.frombuffer(p, np.uint8).astype(np.int32), np.int32(256 + k)) for k, p in enumerate(parts)])
     n = len(symbols)
-    order, ranks = suffix_array(symbols, width, set(powers(width)))
+    # The order goes to the ends of the parts: with ties, the best match of a suffix could stand elsewhere.
+    order, ranks = suffix_array(symbols, max(map(len, parts)) + 1, {1 << b for b in range(width.bit_length())})
     long_ = np.zeros(n, bool)
     long_[1:] = share(ranks, width, order[:-1], order[1:], n)
-    del ranks
     # A suffix whose neighbours in order both share less than a window has no match of one.
     near = long_.copy()
     near[:-1] |= long_[1:]
-    own, bounds = order[near], long_[near] * width
+    lcp = np.zeros(n, np.int64)
+    at = np.flatnonzero(long_)
+    lcp[at] = common_prefix(ranks, order[at - 1], order[at])
+    del ranks
+    own, bounds = order[near], lcp[near]
     # Matches do not reach across a bound of 0, so stretches of the order are solved one after another.
     starts = np.flatnonzero(bounds == 0)
-    cuts = [0, *starts[np.searchsorted(starts, np.arange(STACK, len(own), STACK))[np.arange(STACK, len(own), STACK) <= (starts[-1] if len(starts) else -1)]].tolist(), len(own)]
-    earlier, later = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    wanted = np.arange(STACK, len(own), STACK)
+    wanted = wanted[wanted <= starts[-1]] if len(starts) else wanted[:0]
+    cuts = [0, *np.unique(starts[np.searchsorted(starts, wanted)]).tolist(), len(own)]
+    found = np.zeros((2, n), np.int64)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a < b:
-            earlier[a:b], later[a:b] = longest_factors(own[a:b], bounds[a:b])
-    hit = np.zeros(len(symbols), bool)
-    hit[own] = (earlier >= width) if keep_first else (earlier >= width) | (later >= width)
+            found[:, own[a:b]] = longest_factors(own[a:b], bounds[a:b])
     out, at = [], 0
     for p in parts:
-        out.append(hit[at : at + max(0, len(p) - width + 1)])
+        out.append((found[0, at : at + len(p)], found[1, at : at + len(p)]))
         at += len(p) + 1
     return out
 
 
+def repeated_windows(parts: list[bytes], width: int, keep_first: bool = False) -> list[np.ndarray]:
+    """For each part: whether each of its windows also starts elsewhere in the parts.
+
+    With ``keep_first`` a window is a repeat only if the other one starts earlier.
+    """
+    out = []
+    for p, (earlier, later) in zip(parts, factors(parts, width), strict=True):
+        hit = (earlier >= width) if keep_first else (earlier >= width) | (later >= width)
+        out.append(hit[: max(0, len(p) - width + 1)])
+    return out
+
+
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     """(first, end) of the runs of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
@@ -238,66 +268,87 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeats(df: DataFrame, key: str, text: str, width: int = 400) -> DataFrame:
-    """One row per row of ``df``: key, n_bytes, spans (removed byte runs, maximal), kept_sha256, kept (the bytes left).
+    """One row per row of ``df``: key, n_bytes, spans, kept, later, kept_first.
 
-    Removed is each byte covered by a ``width``-byte string that also starts
-    anywhere else, in the same text included; all copies of it go. Texts are
-    judged as they came in, as UTF-8 bytes; matches never cross texts.
+    ``spans`` are the maximal runs of bytes covered by a ``width``-byte string
+    that also starts anywhere else, in the same text included, and ``kept`` the
+    bytes outside them: all copies go. ``later`` and ``kept_first`` are the same
+    for strings that also start earlier, so of each string the first copy
+    stays: that of the smallest key (null comes last), then the order of the rows
+    in their files, then position. Texts are judged as they came in, as UTF-8
+    bytes; matches never cross texts.
 
     Defined cases: a null text counts as empty; texts shorter than ``width`` keep
-    everything; repeated rows of at least that length lose everything; null keys
-    pass through; other columns are not read; an empty table gives an empty table.
+    everything; repeated rows of at least that length lose everything, but for
+    the first of them in ``kept_first``; null keys pass through; other columns
+    are not read; an empty table gives an empty table.
     """
     if width < ANCHOR + 1:
         raise ValueError(f"width must be over {ANCHOR}")
     ws = Workspace(df.sparkSession)
     raw = F.coalesce(col(text).cast("binary"), F.lit(b""))
-    rows = df.select(col(key).alias("key"), raw.alias("raw"), F.unhex(F.substring(F.sha2(raw, 256), 1, 32)).alias("t"))
-    texts = ws.put(rows.groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("raw")).alias("size")), "texts")
+    where = fresh(df, "file", "nr")
+    place = F.struct(col(key).isNull().alias("none"), col(key).alias("key"), *[F.col(c) for c in where])
+    rows = numbered(ws, df, where).select(col(key).alias("key"), raw.alias("raw"), F.unhex(F.substring(F.sha2(raw, 256), 1, 32)).alias("t"), place.alias("o"))
+    twice = (F.col("copies") > 1) & (F.col("size") >= width)
+    texts = rows.groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("raw")).alias("size"), F.min("o").alias("o"))
+    texts = ws.put(texts.select("t", "o", twice.alias("all")), "texts")
     cut = ws.put(_cut(rows.select("t", "raw"), width), "stretches")
 
     # Anchors that occur in one place only are done. Copies of a text are one place.
-    place = F.xxhash64("t", "first")
-    anchors = cut.groupBy("anchor").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p != q").select("anchor")
+    spot = F.xxhash64("t", "first")
+    anchors = cut.groupBy("anchor").agg(F.min(spot).alias("p"), F.max(spot).alias("q")).where("p != q").select("anchor")
     anchors = ws.put(anchors, "anchors")
     seen = cut.join(small(anchors), "anchor", "left_semi").dropDuplicates(["t", "first"])
-    seen = ws.put(seen, "seen")
+    seen = ws.put(seen.join(texts.select("t", "o"), "t"), "seen")
     ws.drop(cut)
-    counted = ws.put(seen.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n")), "counted")
-    kinds = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    doubtful = counted.join(kinds, "anchor")
-    where = seen.groupBy("h1", "h2").agg(F.min(F.struct("t", "first", "windows")).alias("at"))
-    doubtful = doubtful.join(where, ["h1", "h2"]).select("anchor", "h1", "h2", "n", "kinds", "at.*")
-    copies = ws.put(_read(rows, ws.put(doubtful, "doubtful"), width), "copies")
-
-    few = copies.where(F.col("kinds") <= CROWD)
-    by_array = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_by_array(width), _FOUND)
-    once = ws.put(by_array.unionByName(_by_hash(copies.where(F.col("kinds") > CROWD), width)), "found")
-    whole = counted.where("n > 1").select("h1", "h2", F.lit(None).cast("array<struct<s:bigint,e:bigint>>").alias("runs"))
-
-    # A run without bounds is the whole stretch. Windows become the bytes that they cover.
-    runs = F.coalesce("runs", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("windows").alias("e"))))
-    bytes_ = F.transform(runs, lambda r: F.struct((F.col("first") + r["s"]).alias("s"), (F.col("first") + r["e"] + width - 1).alias("e")))
-    spans = seen.join(whole.unionByName(once), ["h1", "h2"]).select("t", bytes_.alias("runs"))
-    spans = ws.put(spans.groupBy("t").agg(F.flatten(F.collect_list("runs")).alias("runs")), "spans")
-
-    gone = texts.where((F.col("copies") > 1) & (F.col("size") >= width)).select("t")
-    part = ws.put(spans.select("t").join(gone, "t", "left_anti"), "part")
-    gone = ws.put(gone, "gone")
-    no_spans = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    # Equal stretches are one kind, with its first place.
+    at = F.min(F.struct("o", "first", "t", "windows")).alias("at")
+    kinds = ws.put(seen.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), at).select("anchor", "h1", "h2", "n", "at.*"), "kinds")
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    copies = ws.put(_read(rows, ws.put(kinds.join(several, "anchor"), "doubtful"), width), "copies")
+
+    few = copies.where(F.col("kinds") <= CROWD).drop("t")
+    by_array = few.repartition("anchor").sortWithinPartitions("anchor", "o", "first").select("anchor", "h1", "h2", "kinds", "piece").mapInArrow(_by_array(width), _FOUND)
+    found = ws.put(by_array.unionByName(_by_hash(copies.where(F.col("kinds") > CROWD), width)), "found")
+    marks = kinds.select("h1", "h2", "n", F.struct("o", "first").alias("at")).join(found, ["h1", "h2"], "left").where("n > 1 or runs is not null")
+
+    # Windows become the bytes that they cover. Of a kind that occurs twice, all repeats; only its first place may have no earlier one.
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("windows").alias("e")))
+    runs = F.when(F.col("n") > 1, whole).otherwise(F.col("runs"))
+    later = F.when(F.struct("o", "first") != F.col("at"), whole).otherwise(F.coalesce("later", none))
+
+    def bytes_of(windows: Column) -> Column:
+        return F.transform(windows, lambda r: F.struct((F.col("first") + r["s"]).alias("s"), (F.col("first") + r["e"] + width - 1).alias("e")))
+
+    spans = seen.join(marks, ["h1", "h2"]).select("t", bytes_of(runs).alias("runs"), bytes_of(later).alias("later"))
+    spans = spans.groupBy("t").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("later")).alias("later"))
+    spans = ws.put(spans, "spans")
+
+    # Only the first row of a text needs its spans: any other is a copy of a whole text.
+    hit = texts.join(spans.select("t", F.lit(True).alias("some")), "t", "left").where("all or some")
+    hit = ws.put(hit.select("t", "all", F.coalesce("some", F.lit(False)).alias("some"), F.col("o").alias("first")), "hit")
+    marked = rows.join(small(hit), "t", "left").withColumn("again", F.coalesce(F.col("o") != F.col("first"), F.lit(False)))
+    marked = marked.withColumns({"all": F.coalesce("all", F.lit(False)), "some": F.coalesce(F.col("some") & ~F.col("again"), F.lit(False))})
     n_bytes = F.octet_length("raw").cast("long")
-    all_ = F.array(F.struct(F.lit(0).cast("long").alias("s"), n_bytes.alias("e")))
-    hit = gone.withColumn("all", F.lit(True)).unionByName(part.withColumn("all", F.lit(False)))
-    marked = rows.join(small(ws.put(hit, "hit")), "t", "left")
-    native = marked.where("all is null or all").select(
-        "key", n_bytes.alias("n_bytes"), F.when(F.col("all"), all_).otherwise(no_spans).alias("spans"), F.when(F.col("all"), F.lit(b"")).otherwise(F.col("raw")).alias("kept")
+    full = F.array(F.struct(F.lit(0).cast("long").alias("s"), n_bytes.alias("e")))
+    copy = F.col("all") & F.col("again")
+    native = marked.where("not some").select(
+        "key",
+        n_bytes.alias("n_bytes"),
+        F.when(F.col("all"), full).otherwise(none).alias("spans"),
+        F.when(F.col("all"), F.lit(b"")).otherwise(F.col("raw")).alias("kept"),
+        F.when(copy, full).otherwise(none).alias("later"),
+        F.when(copy, F.lit(b"")).otherwise(F.col("raw")).alias("kept_first"),
     )
-    partly = marked.where("not all").select("t", "key", "raw").join(spans, "t").select("key", "raw", "runs")
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, spans array<struct<s:long,e:long>>, kept binary"
+    partly = marked.where("some").select("t", "key", "raw", "all").join(spans, "t").select("key", "raw", "all", "runs", "later")
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, spans {_SPANS}, kept binary, later {_SPANS}, kept_first binary"
     return native.unionByName(partly.mapInArrow(_apply, schema)).withColumnRenamed("key", key)
 
 
-_FOUND = "h1 long, h2 long, runs array<struct<s:long,e:long>>"
+_SPANS = "array<struct<s:long,e:long>>"
+_FOUND = f"h1 long, h2 long, runs {_SPANS}, later {_SPANS}"
 _ARROW_RUNS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
@@ -328,100 +379,114 @@ def _cut(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _read(rows: DataFrame, doubtful: DataFrame, width: int) -> DataFrame:
-    """One copy of the bytes of each doubtful stretch."""
-    wanted = doubtful.groupBy("t").agg(F.collect_list(F.struct("anchor", "h1", "h2", "n", "kinds", "first", "windows")).alias("w"))
+    """``doubtful`` with ``piece``, the bytes of each stretch."""
+    wanted = doubtful.groupBy("t").agg(F.collect_list(F.struct(*[c for c in doubtful.columns if c != "t"])).alias("w"))
     texts = rows.select("t", "raw").join(small(doubtful.select("t").distinct()), "t", "left_semi").dropDuplicates(["t"])
     piece = F.expr(f"substring(raw, int(x.first + 1), int(x.windows + {width} - 1))")
-    pieces = texts.join(wanted, "t").select("raw", F.explode("w").alias("x"))
-    return pieces.select("x.anchor", "x.h1", "x.h2", "x.n", "x.kinds", piece.alias("piece"))
+    pieces = texts.join(wanted, "t").select("t", "raw", F.explode("w").alias("x"))
+    return pieces.select("t", "x.*", piece.alias("piece"))
 
 
 def _by_array(width: int):
-    """Stretches sorted by anchor -> what repeats in each, by suffix arrays over whole anchors.
+    """Stretches sorted by anchor and first place -> what repeats in each, by suffix arrays over whole anchors.
 
     A large anchor gets an array of its own: how many stretches it has is known
     before they are read.
     """
 
-    def solve(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        hits = repeated_windows([x[3] for x in held], width)
-        rows = [(h1, h2, [{"s": s, "e": e} for s, e in _runs(hit)]) for (h1, h2, n, _), hit in zip(held, hits, strict=True) if n == 1 and hit.any()]
-        h1, h2, runs = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(runs, _ARROW_RUNS)], ["h1", "h2", "runs"])
+    def solve(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        rows = []
+        for (h1, h2, data), (earlier, later) in zip(held, factors([x[2] for x in held], width), strict=True):
+            n = len(data) - width + 1
+            before, after = earlier[:n] >= width, later[:n] >= width
+            if before.any() or after.any():
+                rows.append((h1, h2, _named(_runs(before | after)), _named(_runs(before))))
+        h1, h2, runs, first = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(runs, _ARROW_RUNS), pa.array(first, _ARROW_RUNS)], ["h1", "h2", "runs", "later"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for batch in batches:
-            columns = [batch[n].to_pylist() for n in ("anchor", "h1", "h2", "n", "kinds")]
-            for anchor, h1, h2, n, kinds, piece in zip(*columns, batch["piece"], strict=True):
+            columns = [batch[n].to_pylist() for n in ("anchor", "h1", "h2", "kinds")]
+            for anchor, h1, h2, kinds, piece in zip(*columns, batch["piece"], strict=True):
                 if anchor != last and held and size + kinds * 2 * width >= ARRAY_BYTES:
                     yield solve(held)
                     held, size = [], 0
                 last = anchor
-                held.append((h1, h2, n, piece.as_py()))
-                size += len(held[-1][3])
+                held.append((h1, h2, piece.as_py()))
+                size += len(held[-1][2])
         if held:
             yield solve(held)
 
     return run
 
 
+def _named(runs: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"s": s, "e": e} for s, e in runs]
+
+
 def _by_hash(copies: DataFrame, width: int) -> DataFrame:
-    """The same for crowded anchors: windows are counted by place against the anchor and 128-bit hash."""
+    """The same for crowded anchors: windows are told apart by 128-bit hash, and each hash has a first place."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "h1", "h2", "n", "w", "x1", "x2"]
+        names = ["h1", "h2", "w", "x1", "x2"]
         for batch in batches:
             held: list[list[int]] = [[] for _ in names]
-            columns = [batch[n].to_pylist() for n in ("anchor", "h1", "h2", "n")]
-            for anchor, h1, h2, n, piece in zip(*columns, batch["piece"], strict=True):
+            columns = [batch[n].to_pylist() for n in ("h1", "h2")]
+            for h1, h2, piece in zip(*columns, batch["piece"], strict=True):
                 data = piece.as_py()
                 for w in range(len(data) - width + 1):
                     x1, x2 = _split(xxhash.xxh3_128_digest(data[w : w + width]))
-                    for column, v in zip(held, (anchor, h1, h2, n, w, x1, x2), strict=True):
+                    for column, v in zip(held, (h1, h2, w, x1, x2), strict=True):
                         column.append(v)
                 if len(held[0]) >= 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], names)
                     held = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], names)
 
-    each = copies.select("anchor", "h1", "h2", "n", "piece").mapInArrow(windows, "anchor long, h1 long, h2 long, n long, w long, x1 long, x2 long")
-    twice = each.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("x1", "x2")
-    hits = each.where("n = 1").join(twice, ["x1", "x2"], "left_semi")
-    return hits.groupBy("h1", "h2").agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: F.struct(w.alias("s"), (w + 1).alias("e"))).alias("runs"))
+    each = copies.select("h1", "h2", "piece").mapInArrow(windows, "h1 long, h2 long, w long, x1 long, x2 long")
+    each = each.join(copies.select("h1", "h2", F.struct("o", "first").alias("place")), ["h1", "h2"])
+    twice = each.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("seen"), F.min("place").alias("least")).where("seen > 1").drop("seen")
+    hits = each.join(twice, ["x1", "x2"])
+
+    def gathered(w: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(w)), lambda w: F.struct(w.alias("s"), (w + 1).alias("e")))
+
+    return hits.groupBy("h1", "h2").agg(gathered(F.col("w")).alias("runs"), gathered(F.when(F.col("place") != F.col("least"), F.col("w"))).alias("later"))
 
 
 #: Rows that are rewritten at once.
 SLICE = 256
 
 
+def _without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The bytes outside ascending spans."""
+    parts, at = [], 0
+    for s, e in spans:
+        parts.append(data[at:s])
+        at = e
+    return b"".join([*parts, data[at:]])
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their runs -> spans and the bytes left."""
+    """Rows with their runs -> spans and the bytes left, for all copies and for later ones."""
     for whole in batches:
         for first in range(0, whole.num_rows, SLICE):
             batch = whole.slice(first, SLICE)
-            lengths, spans, kept = [], [], []
-            for data, runs in zip(batch["raw"], batch["runs"], strict=True):
+            lengths, out = [], [[], [], [], []]
+            for data, all_, runs, later in zip(batch["raw"], batch["all"], batch["runs"], batch["later"], strict=True):
                 data = data.as_py()
-                parts, at, own = [], 0, merged([(r["s"], r["e"]) for r in runs.as_py()])
-                for s, e in own:
-                    parts.append(data[at:s])
-                    at = e
+                own = [(0, len(data))] if all_.as_py() else merged([(r["s"], r["e"]) for r in runs.as_py()])
+                late = merged([(r["s"], r["e"]) for r in later.as_py()])
                 lengths.append(len(data))
-                spans.append([{"s": s, "e": e} for s, e in own])
-                kept.append(b"".join([*parts, data[at:]]))
-            columns = [batch["key"], pa.array(lengths, pa.int64()), pa.array(spans, _ARROW_RUNS), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "spans", "kept"])
+                for column, v in zip(out, (_named(own), _without(data, own), _named(late), _without(data, late)), strict=True):
+                    column.append(v)
+            columns = [batch["key"], pa.array(lengths, pa.int64())]
+            columns += [pa.array(c, k) for c, k in zip(out, (_ARROW_RUNS, pa.binary()) * 2, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "spans", "kept", "later", "kept_first"])
 
 
 def keep_first(texts: list[bytes], width: int) -> list[bytes]:
-    """Small lists only: later copies of repeated windows go, the first stays; the classic use of the array."""
-    out = []
-    for data, hit in zip(texts, repeated_windows(texts, width, keep_first=True), strict=True):
-        at, parts = 0, []
-        for s, e in merged([(s, e + width - 1) for s, e in _runs(hit)]):
-            parts.append(data[at:s])
-            at = e
-        out.append(b"".join([*parts, data[at:]]))
-    return out
-
+    """A list in memory: later copies of repeated windows go, the first stays; the same as ``kept_first`` of :func:`repeats`."""
+    hits = repeated_windows(texts, width, keep_first=True)
+    return [_without(data, merged([(s, e + width - 1) for s, e in _runs(hit)])) for data, hit in zip(texts, hits, strict=True)]

@@ -497,6 +497,18 @@ def plain_repeats(texts, width):
     return out
 
 
+def plain_later(texts, width):
+    seen, out = set(), []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - width + 1):
+            if t[i : i + width] in seen:
+                gone[i : i + width] = True
+            seen.add(t[i : i + width])
+        out.append(gone)
+    return out
+
+
 def test_suffix_order():
     rng = random.Random(4)
     for _ in range(20):
@@ -534,8 +546,33 @@ def test_repeats_query(docs, corpus, crowd, monkeypatch):
         edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
         spans = tuple(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
         want[k, len(t), spans, bytes(np.frombuffer(t, np.uint8)[~gone])] += 1
-    got = suffixes.repeats(docs, "doc_id", "text", 100).collect()
-    assert Counter((r["doc_id"], r["n_bytes"], tuple(tuple(s) for s in r["spans"]), bytes(r["kept"])) for r in got) == want
+    rows = suffixes.repeats(docs, "doc_id", "text", 100).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], tuple(tuple(s) for s in r["spans"]), bytes(r["kept"])) for r in rows) == want
+    first = Counter()
+    ordered = sorted(range(len(texts)), key=lambda i: (corpus[i][0] is None, corpus[i][0] or 0, i))
+    for i, gone in zip(ordered, plain_later([texts[i] for i in ordered], 100), strict=True):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+        spans = tuple(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+        first[corpus[i][0], spans, bytes(np.frombuffer(texts[i], np.uint8)[~gone])] += 1
+    assert Counter((r["doc_id"], tuple(tuple(s) for s in r["later"]), bytes(r["kept_first"])) for r in rows) == first
+    assert any(r["later"] and r["kept_first"] for r in rows)
+
+
+def test_factor_lengths():
+    rng = random.Random(9)
+    texts = [bytes(rng.randrange(97, 99) for _ in range(60)) for _ in range(4)] + [b"a" * 50]
+    joined = [(k, i) for k, t in enumerate(texts) for i in range(len(t))]
+
+    def match(x, y):
+        a, b = texts[x[0]][x[1] :], texts[y[0]][y[1] :]
+        return next((n for n, (c, d) in enumerate(zip(a, b, strict=False)) if c != d), min(len(a), len(b)))
+
+    for k, (earlier, later) in enumerate(suffixes.factors(texts, 7)):
+        for i in range(len(texts[k])):
+            before = max((match((k, i), p) for p in joined if p < (k, i)), default=0)
+            after = max((match((k, i), p) for p in joined if p > (k, i)), default=0)
+            # Shorter matches than the width are of no interest and may be reported as none.
+            assert earlier[i] == (before if before >= 7 else 0) and later[i] == (after if after >= 7 else 0)
 
 
 def test_no_repeats(docs):
