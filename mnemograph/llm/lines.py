@@ -12,6 +12,7 @@ exploded words with three 21-bit counters in a long, one combinable aggregate.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -23,11 +24,11 @@ from mnemograph.llm.common import Workspace, col, connected_components, fresh, n
 MAX_BITS, SIMILARITY = 3, 0.8
 #: Blocks of the fingerprint: (first bit, bits).
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Counters in a long and their width: up to 1,048,575 words in a line are counted exactly. Beyond that
-#: counters run over; equal lines still have equal fingerprints, and every link is verified.
-LANES, WIDTH = 3, 21
-#: Lines over this many characters are compared word by word, one symbol for each word.
-LONG_LINE = 256
+#: Counters in a long and their width: up to 1,048,575 words in a line are counted so. A line of more
+#: words has at least ``VAST`` bytes; those have a counter for each bit.
+LANES, WIDTH, VAST = 3, 21, 1 << 21
+#: Edit distances that are sought first: near lines differ in few characters, however long they are.
+NARROW = (32, 256)
 
 
 #: What counts as white space within a line.
@@ -74,15 +75,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def with_simhash(lines: DataFrame, norm: str, out: str) -> DataFrame:
+def with_simhash(lines: DataFrame, norm: str, out: str, vast: bool = False) -> DataFrame:
     """``lines`` with ``norm`` replaced by ``out``, the SimHash of its set of blank-separated words.
 
     The other columns must tell the lines apart. A word counts once: else one
     that fills half a line, such as the bar of a table, decides all bits, and
-    thousands of different lines share a fingerprint.
+    thousands of different lines share a fingerprint. ``vast`` is for lines of
+    any number of words; the result is the same.
     """
     keys = [c for c in lines.columns if c != norm]
     hashed = lines.select(*keys, F.explode(F.array_distinct(F.split(norm, " "))).alias("word")).select(*keys, F.xxhash64("word").alias("h"))
+    if vast:
+        sums = [F.sum(F.getbit("h", F.lit(i))).alias(f"c{i}") for i in range(64)]
+        bits = [F.when(F.col(f"c{i}") * 2 > F.col("words"), F.lit(_signed(1 << i))).otherwise(F.lit(0)).cast("long") for i in range(64)]
+        counted = hashed.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("words"))
+        return counted.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits).alias(out))
     sums = [F.sum(_spread(F.col("h"), i)).alias(f"c{i}") for i in range(COUNTERS)]
     counted = hashed.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("words"))
     # floor() of a quotient of longs is exact here: counts stay far below 2 ** 53.
@@ -99,21 +106,18 @@ def _near(f: Column, g: Column) -> Column:
     return F.bit_count(f.bitwiseXOR(g)) <= MAX_BITS
 
 
-def _symbols(norm: Column) -> Column:
-    """A line as one symbol for each word: the words' hashes as characters of a 20,480-letter alphabet."""
-    letters = F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(20480)) + 0x4E00), 4, "0"))
-    return F.decode(F.unhex(F.array_join(letters, "")), "UTF-16BE")
-
-
 def similar(a: Column, b: Column, similarity: float) -> Column:
-    """Whether 1 - edit distance / longer length reaches ``similarity``; the distance is only sought up to that."""
+    """Whether 1 - edit distance / longer length, in characters, reaches ``similarity``.
 
-    def within(x: Column, y: Column) -> Column:
-        most = F.floor(F.greatest(F.char_length(x), F.char_length(y)) * (1 - similarity) + 1e-9).cast("int")
-        return F.call_function("levenshtein", x, y, most) >= 0
-
-    long_ = F.greatest(F.char_length(a), F.char_length(b)) > LONG_LINE
-    return F.when(long_, within(_symbols(a), _symbols(b))).otherwise(within(a, b))
+    The distance is only sought up to that. Its cost grows with the length and
+    the bound, so small bounds are tried before the full one; the answer is the
+    same.
+    """
+    most = F.floor(F.greatest(F.char_length(a), F.char_length(b)) * (1 - similarity) + 1e-9).cast("int")
+    out = F.call_function("levenshtein", a, b, most) >= 0
+    for bound in reversed(NARROW):
+        out = F.when(most <= bound, F.call_function("levenshtein", a, b, most) >= 0).when(F.call_function("levenshtein", a, b, F.lit(bound)) >= 0, True).otherwise(out)
+    return out
 
 
 def _verified(ws: Workspace, docs: DataFrame, where: list[str], pairs: DataFrame, places: DataFrame, similarity: float) -> DataFrame:
@@ -140,13 +144,19 @@ def line_classes(docs: DataFrame, where: list[str]) -> DataFrame:
     ``docs`` is (where, o, t). The whole text is normalised before it is split,
     so that nothing is computed again for each use of a line.
     """
-    split = docs.select(*where, "o", F.posexplode(F.split(normalised(F.col("t")), "\n", -1)).alias("pos", "line"))
-    lines = split.select(*where, "o", "pos", F.trim("line").alias("norm")).where("norm != ''")
-    keyed = lines.select(*where, "o", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.char_length("norm").alias("size"), "norm")
+
+    def keyed(source: DataFrame) -> DataFrame:
+        split = source.select(*where, "o", F.posexplode(F.split(normalised(F.col("t")), "\n", -1)).alias("pos", "line"))
+        lines = split.select(*where, "o", "pos", F.trim("line").alias("norm")).where("norm != ''")
+        return lines.select(*where, "o", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.char_length("norm").alias("size"), "norm")
+
+    vast = F.octet_length("norm") >= VAST
+    # Lower case may take more bytes than upper case, at most three times as many.
+    large = keyed(docs.where(F.octet_length("t") * 3 >= VAST)).where(vast)
+    prints = with_simhash(keyed(docs).where(~vast), "norm", "f").unionByName(with_simhash(large, "norm", "f", vast=True))
     at = F.struct(F.col("o").isNull().alias("none"), "o", *where, "pos")
     return (
-        with_simhash(keyed, "norm", "f")
-        .groupBy("h1", "h2")
+        prints.groupBy("h1", "h2")
         .agg(F.min(at).alias("at"), F.first("f").alias("f"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
         .select("at", "f", "size", "n")
     )
@@ -240,7 +250,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     """``docs`` with duplicate lines gone from ``text``, and two longs: n_lines before and n_kept.
 
     Two lines link if their fingerprints differ in at most three bits and their
-    edit similarity reaches ``similarity``; equal normalised lines always do. Of
+    edit similarity in characters, at any length, reaches ``similarity``; equal normalised lines always do. Of
     each connected group the first occurrence stays: that of the smallest key
     (null comes last), then the order of the rows in their files.
 

@@ -592,8 +592,6 @@ def plain_distance(a, b):
 
 
 def plain_similar(a, b):
-    if max(len(a), len(b)) > lines.LONG_LINE:
-        a, b = a.split(" "), b.split(" ")
     return plain_distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9)
 
 

@@ -104,3 +104,51 @@ def test_line_query_returns_the_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_lines"], r["n_kept"], r["text"]) for r in op8_lines(spark, str(tmp_path)).collect()}
     assert got == {1: (3, 3, rows[0][1]), 2: (2, 1, "last"), 3: (0, 0, None)}
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_similarity_is_by_characters_at_every_length(spark):
+    """The bounds that are tried first change nothing, and 256 characters are no border."""
+    from pyspark.sql import functions as F
+
+    from mnemograph.llm.lines import similar
+
+    rng = random.Random(5)
+    pairs = []
+    for size in (5, 100, 159, 160, 161, 250, 256, 257, 300, 700, 1300, 1500):
+        a = "".join(rng.choice("abcde fgh") for _ in range(size))
+        for share in (0.0, 0.1, 0.19, 0.21, 0.5):
+            b = list(a)
+            for at in rng.sample(range(size), round(share * size)):
+                b[at] = "z"
+            pairs.append((a, "".join(b)))
+        pairs.append((a, a[: round(size * 0.79)]))
+        pairs.append((a, a[: -(-size * 81 // 100)]))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similar(F.col("a"), F.col("b"), 0.8).alias("s")).collect()
+    assert {r["s"] for r in got} == {True, False}
+    for r in got:
+        assert r["s"] == (plain_edits(r["a"], r["b"]) <= int(0.2 * max(len(r["a"]), len(r["b"])) + 1e-9))
+
+
+def test_lines_of_very_many_words(spark, monkeypatch):
+    """Lines with a counter for each bit have the fingerprints of packed counters, and near ones link."""
+    from mnemograph.llm import lines
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    near = list(base)
+    near[7] = "other"
+    rows = [(1, " ".join(base)), (2, " ".join(near) + "\nshort line"), (3, "something else here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
+    monkeypatch.setattr(lines, "VAST", 500)
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()} == want
+    assert want[2] == "short line"
