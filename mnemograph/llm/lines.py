@@ -150,10 +150,14 @@ def line_classes(docs: DataFrame, where: list[str]) -> DataFrame:
         lines = split.select(*where, "o", "pos", F.trim("line").alias("norm")).where("norm != ''")
         return lines.select(*where, "o", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.char_length("norm").alias("size"), "norm")
 
-    vast = F.octet_length("norm") >= VAST
     # Lower case may take more bytes than upper case, at most three times as many.
-    large = keyed(docs.where(F.octet_length("t") * 3 >= VAST)).where(vast)
-    prints = with_simhash(keyed(docs).where(~vast), "norm", "f").unionByName(with_simhash(large, "norm", "f", vast=True))
+    longest = docs.agg(F.max(F.octet_length("t"))).first()[0] or 0
+    prints = keyed(docs)
+    if longest * 3 < VAST:
+        prints = with_simhash(prints, "norm", "f")
+    else:
+        vast = F.octet_length("norm") >= VAST
+        prints = with_simhash(prints.where(~vast), "norm", "f").unionByName(with_simhash(prints.where(vast), "norm", "f", vast=True))
     at = F.struct(F.col("o").isNull().alias("none"), "o", *where, "pos")
     return (
         prints.groupBy("h1", "h2")
