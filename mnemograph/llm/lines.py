@@ -110,14 +110,40 @@ def similar(a: Column, b: Column, similarity: float) -> Column:
     """Whether 1 - edit distance / longer length, in characters, reaches ``similarity``.
 
     The distance is only sought up to that. Its cost grows with the length and
-    the bound, so small bounds are tried before the full one; the answer is the
-    same.
+    the bound, so what bounds it from above is looked at before, and then small
+    bounds before the full one; the answer is the same.
     """
     most = F.floor(F.greatest(F.char_length(a), F.char_length(b)) * (1 - similarity) + 1e-9).cast("int")
     out = F.call_function("levenshtein", a, b, most) >= 0
     for bound in reversed(NARROW):
         out = F.when(most <= bound, F.call_function("levenshtein", a, b, most) >= 0).when(F.call_function("levenshtein", a, b, F.lit(bound)) >= 0, True).otherwise(out)
-    return out
+    return F.when(_word_by_word(a, b) <= most, True).when(_in_the_middle(a, b) <= most, True).otherwise(out)
+
+
+def _word_by_word(a: Column, b: Column) -> Column:
+    """At least the edit distance: what it costs to replace each word by the one in its place."""
+
+    def size(w: Column) -> Column:
+        return F.coalesce(F.char_length(w), F.lit(0))
+
+    costs = F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(F.greatest(size(x), size(y)) + 1))
+    return F.aggregate(costs, F.lit(0), lambda total, c: total + c)
+
+
+def _in_the_middle(a: Column, b: Column) -> Column:
+    """At least the edit distance: what is between the words that both begin with and those that both end with."""
+    x, y = F.split(a, " "), F.split(b, " ")
+
+    def same(x: Column, y: Column) -> Column:
+        at = F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True).cast("int")
+        return F.when(at > 0, at - 1).otherwise(F.size(x))
+
+    def chars(words: Column, n: Column) -> Column:
+        return F.char_length(F.array_join(F.slice(words, F.lit(1), n), " "))
+
+    front = same(x, y)
+    back = F.least(same(F.reverse(x), F.reverse(y)), F.least(F.size(x), F.size(y)) - front)
+    return F.greatest(F.char_length(a), F.char_length(b)) - chars(x, front) - chars(F.reverse(x), back)
 
 
 def _verified(ws: Workspace, docs: DataFrame, where: list[str], pairs: DataFrame, places: DataFrame, similarity: float) -> DataFrame:

@@ -132,6 +132,12 @@ def test_similarity_is_by_characters_at_every_length(spark):
             pairs.append((a, "".join(b)))
         pairs.append((a, a[: round(size * 0.79)]))
         pairs.append((a, a[: -(-size * 81 // 100)]))
+        words = a.split(" ")
+        for gone in range(0, len(words), max(1, len(words) // 3)):
+            pairs.append((a, " ".join(words[:gone] + words[gone + 1 :])))
+            pairs.append((a, " ".join(words[:gone] + ["a", "a", "a"] + words[gone:])))
+            pairs.append((a, " ".join(words[:gone] + ["q" * rng.randint(1, size // 3 + 1)] + words[gone + 1 :])))
+    pairs += [("a a a a a a", "a a a a a a a"), ("a a", "a"), ("a b a", "a"), ("x", "y")]
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similar(F.col("a"), F.col("b"), 0.8).alias("s")).collect()
     assert {r["s"] for r in got} == {True, False}
     for r in got:
