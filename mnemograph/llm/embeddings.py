@@ -2,10 +2,11 @@
 
 Vectors only meet within their label. Centroids are fitted on a bounded sample.
 A vector lives in the cell of its nearest centroid and looks into each cell whose
-border it is near enough to that a partner may live there: if x lives in cell i
-and its partner y in cell j, then x . (c_i - c_j) <= (x - y) . (c_i - c_j), and
-the right side is a projection of a short difference onto one direction. Its
-size is taken as ``BORDER`` standard deviations of such a projection.
+border is within half the threshold's angle. No link is lost: the border of
+cells i and j is a plane through the origin; if x lives in i and its partner y
+in j, the arc between them crosses it, so the angles of x and of y to the plane
+add up to at most that of the arc, and one of the two is at most half of it.
+That one looks into the other's cell.
 
 Cells are cut into blocks of bounded size; blocks of a cell meet pairwise, so a
 hot cell is many small products, and a meeting gives back a count and a
@@ -28,9 +29,9 @@ from mnemograph.llm.common import Workspace, col, connected_components
 
 #: Vectors that the centroids are fitted on, at most, and vectors for each centroid.
 SAMPLE, PER_CELL = 20_000, 512
+#: Bytes of the vectors that the centroids are fitted on, at most, in double precision.
+FIT_BYTES = 64 << 20
 ITERATIONS = 8
-#: Standard deviations of a projected difference within which a vector looks across a border.
-BORDER = 2.5
 #: Vectors in a block.
 BLOCK = 2048
 
@@ -48,14 +49,22 @@ def fit_centroids(x: np.ndarray, k: int, iterations: int = ITERATIONS) -> np.nda
     return c
 
 
-def cells_of(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(home cell, mask of the other cells to look into) of unit vectors."""
+def between(c: np.ndarray) -> np.ndarray:
+    """Distances of unit centroids from each other."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * c @ c.T))
+
+
+def cells_of(x: np.ndarray, c: np.ndarray, threshold: float, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(home cell, mask of the other cells to look into) of unit vectors; ``apart`` is :func:`between` of ``c``.
+
+    Of two vectors with a cosine of ``threshold`` or more and different homes, one looks into the other's home.
+    """
     near = x @ c.T
     home = np.argmax(near, axis=1)
     gap = np.take_along_axis(near, home[:, None], 1) - near
-    between = np.sqrt(np.maximum(0.0, 2 - 2 * c @ c.T))
-    reach = BORDER * math.sqrt(2 - 2 * threshold) / math.sqrt(x.shape[1])
-    look = gap <= reach * between[home]
+    # The sine of the angle to a border is the gap over the distance of the centroids.
+    reach = math.sin(math.acos(max(-1.0, min(1.0, threshold))) / 2) + 1e-9
+    look = gap <= reach * (between(c) if apart is None else apart)[home] + 1e-12
     look[np.arange(len(x)), home] = False
     return home, look
 
@@ -135,10 +144,11 @@ def _centroids(classes: DataFrame) -> dict[int, np.ndarray]:
     """
     out = {}
     for size, n in ((r[0], r[1]) for r in classes.groupBy("size").count().orderBy(F.desc("count")).limit(64).collect()):
-        share = min(1.0, SAMPLE / n)
+        most = max(1, min(SAMPLE, FIT_BYTES // (8 * size)))
+        share = min(1.0, most / n)
         drawn = classes.where((F.col("size") == size) & (F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
         # The share is a bound in expectation; the limit makes it one for certain.
-        table = drawn.orderBy("class").limit(2 * SAMPLE).select("v").toArrow()
+        table = drawn.orderBy("class").limit(2 * most).select("v").toArrow()
         x = _unit(table["v"], size) if table.num_rows else np.ones((1, size))
         k = round(2 * math.sqrt(n / PER_CELL)) if n > PER_CELL else 1
         out[size] = fit_centroids(x, min(k, len(x) // 4 or 1))
@@ -153,13 +163,15 @@ def _meetings(ws: Workspace, classes: DataFrame, centroids: dict[int, np.ndarray
     meetings take place, that in the smaller cell counts.
     """
 
+    apart = {size: between(c) for size, c in centroids.items()}
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch["size"].to_numpy()
             for size in np.unique(sizes):
                 own = batch.filter(pa.array(sizes == size))
                 c = centroids.get(int(size), np.ones((1, int(size))))
-                home, look = cells_of(_unit(own["v"], int(size)), c, threshold)
+                home, look = cells_of(_unit(own["v"], int(size)), c, threshold, apart.get(int(size)))
                 i, j = np.nonzero(look)
                 take = np.concatenate([np.arange(len(home)), i])
                 looks = [bits.tobytes() for bits in np.packbits(look, axis=1)]

@@ -158,3 +158,55 @@ def test_lines_of_very_many_words(spark, monkeypatch):
     monkeypatch.setattr(lines, "VAST", 500)
     assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()} == want
     assert want[2] == "short line"
+
+
+# -- cells of vectors lose no link ---------------------------------------------
+
+
+@pytest.mark.parametrize("free", [2, 3, 8, 64])
+def test_one_of_two_partners_looks_across_every_border(free):
+    """Vectors that fill few of 64 directions, with partners just within the threshold."""
+    import numpy as np
+
+    from mnemograph.llm.embeddings import cells_of, fit_centroids
+
+    rng = np.random.default_rng(free)
+    plane = np.linalg.qr(rng.normal(size=(64, free)))[0].T
+    x = rng.normal(size=(20_000, free))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= np.sum(side * x, axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.9301 * x + np.sqrt(1 - 0.9301**2) * side
+    x, y = x @ plane, y @ plane
+    c = fit_centroids(x, 24)
+    (home_x, look_x), (home_y, look_y) = cells_of(x, c, 0.93), cells_of(y, c, 0.93)
+    rows = np.arange(len(x))
+    met = (home_x == home_y) | look_x[rows, home_y] | look_y[rows, home_x]
+    assert met.all() and (home_x != home_y).any()
+
+
+@pytest.mark.parametrize("free", [3, 8])
+def test_vector_query_finds_all_links(spark, free, monkeypatch):
+    import numpy as np
+
+    from mnemograph.llm import embeddings
+
+    monkeypatch.setattr(embeddings, "PER_CELL", 20)
+    monkeypatch.setattr(embeddings, "BLOCK", 50)
+    rng = np.random.default_rng(free)
+    x = rng.normal(size=(500, free)) @ rng.normal(size=(free, 24))
+    x = np.concatenate([x, x[:40] + 0.05 * rng.normal(size=(40, 24))])
+    rows = [(i, v.tolist(), "ab"[i % 2]) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93) & (np.arange(540)[:, None] % 2 == np.arange(540) % 2) & ~np.eye(540, dtype=bool)
+    assert links.sum() > 100
+    least = np.arange(540)
+    while True:
+        new = np.minimum(least, np.where(links, least[None, :], 540).min(axis=1))
+        if (new == least).all():
+            break
+        least = new
+    for i in range(540):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (links[i].sum(), least[i], least[i] == i)
