@@ -2,11 +2,13 @@
 
 The lengths of all pieces are a histogram of at most ``capacity`` counts, which
 is all that comes to the driver. The configuration linear program over it (one
-variable for each pattern of lengths that fits a sequence) is solved by
-multiplicative weights: a length that gets covered loses weight against those
-that are not, and an unbounded-knapsack dynamic program prices the best pattern
-for the weights. The fractional solution is rounded down and what is left is
-packed best-fit.
+variable for each pattern of lengths that fits a sequence) is a game: one side
+mixes patterns, the other weighs lengths. Both play multiplicative weights: a
+pattern gains with the weight that it covers, a length loses with how well it is
+covered. An unbounded-knapsack dynamic program prices the best pattern for the
+weights of the lengths; it joins the mix, and its value gives a bound that no
+packing is below. That goes on until mix and bound are within ``GAP``. The
+fractional solution is rounded down and what is left is packed best-fit.
 
 The result is a plan of runs: "the pieces of length L with ranks r to r+n have
 the offset o in the sequences s to s+n". Its size depends on the capacity and
@@ -19,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,10 +31,13 @@ from pyspark.sql import functions as F
 
 from mnemograph.llm.common import Workspace, block_bits, col, fresh, gapless_rank
 
-#: Most rounds of multiplicative weights; the share of its scarcest length that a priced pattern
-#: covers in a round; how fast the weight of a length falls as it gets covered; how much more than in
-#: proportion a long piece weighs at first, as it is harder to place: the program is solved from either start.
-ROUNDS, STEP, DECAY, LONG = 20_000, 1.0, 0.05, (0.1, 1.0)
+#: The program is solved until its value is within this share of its lower bound, or for so many
+#: rounds; steps of both sides in a round; the exponent of a step for a coverage of one.
+GAP, ROUNDS, STEPS, RATE = 0.005, 600, 40, 0.3
+#: How much more than in proportion to its length a piece weighs at first, as long ones are harder to place.
+START = 1.0
+#: Lengths up to which the knapsack goes length by length, and beyond which room by room.
+FEW_LENGTHS = 64
 #: Pieces of one length that are ranked in one task, about.
 RANKED_PER_BLOCK = 1 << 14
 
@@ -39,25 +45,30 @@ RANKED_PER_BLOCK = 1 << 14
 def best_pattern(values: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Copies of each length in the most valuable pattern: unbounded knapsack by dynamic programming.
 
-    ``lengths`` ascend. O(capacity * lengths) in capacity vector steps.
+    ``lengths`` ascend. O(capacity * lengths) in min(capacity, lengths) vector steps or so.
     """
     best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
+    if len(lengths) <= FEW_LENGTHS:
+        for n, v in zip(lengths.tolist(), values.tolist(), strict=True):
+            # Rooms that differ by multiples of n are a column; more copies only ever add to a smaller room.
+            rows = -(-(capacity + 1) // n)
+            grid = np.append(best, np.full(rows * n - capacity - 1, -np.inf)).reshape(rows, n)
+            paid = np.arange(rows)[:, None] * v
+            best = (np.maximum.accumulate(grid - paid, axis=0) + paid).ravel()[: capacity + 1]
+    else:
+        for room in range(int(lengths[0]), capacity + 1):
+            n = int(np.searchsorted(lengths, room, "right"))
+            best[room] = max(best[room - 1], float((best[room - lengths[:n]] + values[:n]).max()))
+    copies, room, close = np.zeros(len(lengths), np.int64), capacity, 1e-9 * float(best[capacity])
+    while room >= lengths[0] and best[room] > close:
         n = int(np.searchsorted(lengths, room, "right"))
-        if n:
-            gain = best[room - lengths[:n]] + values[:n]
-            k = int(np.argmax(gain))
-            if gain[k] > best[room]:
-                best[room], last[room] = gain[k], k
-    copies, room = np.zeros(len(lengths), np.int64), capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
+        gain = best[room - lengths[:n]] + values[:n]
+        k = int(np.argmax(gain))
+        if gain[k] < best[room] - close:
+            room -= 1  # what is best here is best with less room
         else:
-            copies[last[room]] += 1
-            room -= int(lengths[last[room]])
+            copies[k] += 1
+            room -= int(lengths[k])
     return copies
 
 
@@ -104,44 +115,102 @@ def fill(counts: dict[int, int], capacity: int) -> Counter[tuple[int, ...]]:
     return out
 
 
-def solve(counts: dict[int, int], capacity: int) -> Counter[tuple[int, ...]]:
-    """Patterns with how often each is used; every piece is covered exactly once."""
-    return min((_solve(counts, capacity, long_) for long_ in LONG), key=lambda x: sum(x.values()))
+@dataclass
+class Program:
+    """A fractional packing: rows of ``patterns`` (copies of each of ``lengths``) and how often each is used.
+
+    ``value`` is the sum of ``uses``; no packing has fewer sequences than ``bound``.
+    """
+
+    lengths: np.ndarray
+    patterns: np.ndarray
+    uses: np.ndarray
+    value: float
+    bound: float
+
+
+def _first(lengths: np.ndarray, need: np.ndarray, capacity: int, start: float) -> dict[bytes, float]:
+    """A fractional packing to start from: the best pattern for fixed weights, until one of its lengths is used up; again."""
+    weights = lengths * (lengths / capacity) ** start
+    done, used = np.zeros(len(lengths)), {}
+    while len(open_ := np.flatnonzero(done < 1 - 1e-9)):
+        pattern = np.zeros(len(lengths), np.int64)
+        pattern[open_] = best_pattern(weights[open_], lengths[open_], capacity)
+        have = np.flatnonzero(pattern)
+        times = float((need[have] * (1 - done[have]) / pattern[have]).min())
+        used[pattern.tobytes()] = used.get(pattern.tobytes(), 0.0) + times
+        done[have] += times * pattern[have] / need[have]
+    return used
 
 
-def _solve(counts: dict[int, int], capacity: int, long_: float) -> Counter[tuple[int, ...]]:
+def program(counts: dict[int, int], capacity: int, start: float = START) -> Program:
+    """The configuration linear program of a histogram, by multiplicative weights of patterns and of lengths.
+
+    Steps are optimistic: each side answers twice the newest gain less the one
+    before, which lets both converge instead of circling. Averages start anew
+    after 1, 2, 4, ... rounds.
+    """
+    lengths = np.array(sorted(n for n, c in counts.items() if c), np.int64)
+    need = np.array([counts[int(n)] for n in lengths], float)
+    used = _first(lengths, need, capacity, start)
+    patterns = np.array([np.frombuffer(k, np.int64) for k in used], float)
+    uses = np.array(list(used.values()))
+    value, bound = float(uses.sum()), float(lengths @ need) / capacity
+    mix, weights = np.log(uses / value), np.log(lengths * need / float(lengths @ need))
+    mix_before, weights_before = np.zeros(len(mix)), np.zeros(len(weights))
+    mix_sum, weights_sum, renew = np.zeros(len(mix)), np.zeros(len(weights)), 1
+
+    def shares(logs: np.ndarray) -> np.ndarray:
+        x = np.exp(logs - logs.max())
+        return x / x.sum()
+
+    for t in range(1, ROUNDS + 1):
+        if value <= max(bound * (1 + GAP), np.ceil(bound - 1e-6)):
+            break
+        covers = patterns / need * value  # what a pattern covers of each length; one on average
+        for _ in range(STEPS):
+            x, y = shares(mix), shares(weights)
+            mix_now, weights_now = covers @ y, x @ covers
+            mix = np.maximum(mix + RATE * (2 * mix_now - mix_before), mix.max() - 700)
+            weights = np.maximum(weights - RATE * (2 * weights_now - weights_before), weights.max() - 700)
+            mix_before, weights_before = mix_now, weights_now
+            mix_sum += x
+            weights_sum += y
+        for x in (shares(mix), mix_sum / mix_sum.sum()):
+            least = float((x @ patterns / need).min())
+            if least > 0 and 1 / least < value:
+                value, uses = 1 / least, x / least
+        for y in (shares(weights), weights_sum / weights_sum.sum()):
+            price = y / need
+            pattern = best_pattern(price, lengths, capacity)
+            bound = max(bound, 1 / float(pattern @ price))
+            if pattern @ price > (patterns @ price).max() * (1 + 1e-9):
+                patterns = np.vstack([patterns, pattern])
+                mix = np.append(mix, mix.max() - 3)
+                mix_before = np.append(mix_before, pattern / need @ y * value)
+                mix_sum, uses = np.append(mix_sum, 0.0), np.append(uses, 0.0)
+        if t == renew:
+            mix_sum, weights_sum, renew = np.zeros(len(mix)), np.zeros(len(weights)), 2 * renew
+    return Program(lengths, patterns.astype(np.int64), uses, value, bound)
+
+
+def solve(counts: dict[int, int], capacity: int, start: float = START) -> Counter[tuple[int, ...]]:
+    """Patterns with how often each is used; every piece is covered exactly once."""
     counts = {int(n): int(c) for n, c in counts.items() if c}
     if any(not 0 < n <= capacity for n in counts):
         raise ValueError("every length must be between 1 and the capacity")
     if not counts:
         return Counter()
-    lengths = np.array(sorted(counts))
-    need = np.array([counts[n] for n in lengths], float)
-    done = np.zeros(len(lengths))  # the share of each need that is covered
-    used: dict[bytes, float] = {}
-    for _ in range(ROUNDS):
-        open_ = np.flatnonzero(done < 1 - 1e-9)
-        if not len(open_):
-            break
-        # Weights start near the lengths, the dual of the volume bound.
-        weights = lengths[open_] * (lengths[open_] / capacity) ** long_ * np.exp(-DECAY * done[open_])
-        pattern = np.zeros(len(lengths), np.int64)
-        pattern[open_] = best_pattern(weights, lengths[open_], capacity)
-        have = np.flatnonzero(pattern)
-        per_use = need[have] / pattern[have]
-        rate = float(min(STEP * per_use.min(), (per_use * (1 - done[have])).min()))
-        used[pattern.tobytes()] = used.get(pattern.tobytes(), 0.0) + rate
-        done[have] += rate * pattern[have] / need[have]
-    left = dict(counts)
-    whole: Counter[tuple[int, ...]] = Counter()
-    for raw, n in sorted(used.items(), key=lambda x: -x[1]):
-        pattern = np.frombuffer(raw, np.int64)
-        have = [k for k in range(len(lengths)) if pattern[k]]
-        times = min([int(n), *(left[int(lengths[k])] // int(pattern[k]) for k in have)])
+    found = program(counts, capacity, start)
+    left, whole = dict(counts), Counter()
+    for k in np.argsort(-found.uses, kind="stable"):
+        have = np.flatnonzero(found.patterns[k])
+        each = {int(found.lengths[i]): int(found.patterns[k, i]) for i in have}
+        times = min([int(found.uses[k] + 1e-9), *(left[n] // c for n, c in each.items())])
         if times > 0:
-            whole[tuple(int(lengths[k]) for k in reversed(have) for _ in range(int(pattern[k])))] += times
-            for k in have:
-                left[int(lengths[k])] -= times * int(pattern[k])
+            whole[tuple(n for n in sorted(each, reverse=True) for _ in range(each[n]))] += times
+            for n, c in each.items():
+                left[n] -= times * c
     whole.update(finish(left, capacity))
     return whole
 

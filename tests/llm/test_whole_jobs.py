@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -210,3 +211,59 @@ def test_vector_query_finds_all_links(spark, free, monkeypatch):
         least = new
     for i in range(540):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (links[i].sum(), least[i], least[i] == i)
+
+
+# -- the packing program -------------------------------------------------------
+
+
+def histogram(kind):
+    rng = random.Random(3)
+    if kind == "few lengths":
+        return Counter(rng.choice([130, 205, 290, 333, 401, 455, 512, 600]) for _ in range(20_000))
+    if kind == "260 to 520":
+        return Counter(rng.randint(260, 520) for _ in range(20_000))
+    # Perfect packings of six triples, 1,000 of each.
+    return Counter(n for _ in range(6) for n in perfect(rng) for _ in range(1000))
+
+
+def perfect(rng):
+    a, b = rng.randint(250, 400), rng.randint(250, 400)
+    return a, b, 1024 - a - b
+
+
+@pytest.mark.parametrize("kind", ["few lengths", "260 to 520", "perfect triples"])
+def test_program_reaches_its_bound_from_either_start(kind):
+    from mnemograph.llm import packing
+
+    counts = histogram(kind)
+    plain = len(packing.best_fit(list(counts.elements()), 1024))
+    for start in (0.1, 1.0):
+        found = packing.program(counts, 1024, start)
+        assert found.bound <= found.value <= 1.01 * found.bound
+        need = [counts[int(n)] for n in found.lengths]
+        assert (found.uses @ found.patterns >= [x * (1 - 1e-9) for x in need]).all()
+        assert (found.patterns @ found.lengths <= 1024).all()
+        whole = packing.solve(counts, 1024, start)
+        covered = Counter()
+        for pattern, n in whole.items():
+            covered.update({k: n * c for k, c in Counter(pattern).items()})
+        assert covered == counts
+        assert found.bound - 1e-6 <= sum(whole.values()) <= min(1.01 * found.bound, plain)
+
+
+def test_both_ways_of_the_knapsack_agree(monkeypatch):
+    import numpy as np
+
+    from mnemograph.llm import packing
+
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        lengths = np.unique(rng.integers(1, 40, 9))
+        values = rng.random(len(lengths)) * lengths
+        worth = []
+        for few in (0, 100):
+            monkeypatch.setattr(packing, "FEW_LENGTHS", few)
+            copies = packing.best_pattern(values, lengths, 64)
+            assert copies @ lengths <= 64
+            worth.append(copies @ values)
+        assert worth[0] == pytest.approx(worth[1])
