@@ -22,19 +22,20 @@ def facts_as_of(facts: DataFrame, at: Column) -> DataFrame:
 def with_validity(facts: DataFrame, corrections: DataFrame) -> DataFrame:
     """``facts`` with ``invalid_at``: the first correction of the same subject and object after ``valid_at``.
 
-    ``corrections`` is (subject_id, object_id, ts). One shuffle on (subject,
-    object): facts and corrections are put in one order by time and each fact
-    takes the next correction, so no fact meets each of its corrections.
+    ``corrections`` is (subject_id, object_id, ts). Facts without an object have
+    none and pass by. One shuffle on (subject, object): facts and corrections
+    are put in one order, the newest first, and each fact takes the least
+    correction so far, which is a running minimum: linear in a key's rows.
     """
     cols = [c for c in facts.columns if c != "invalid_at"]
-    own = facts.select(F.struct(*cols).alias("f"), "subject_id", "object_id", F.col("valid_at").alias("t"), F.lit(None).cast("timestamp").alias("c"))
-    other = corrections.select(F.lit(None).cast(own.schema["f"].dataType).alias("f"), "subject_id", "object_id", F.col("ts").alias("t"), F.col("ts").alias("c"))
-    later = Window.partitionBy("subject_id", "object_id").orderBy("t").rangeBetween(1, Window.unboundedFollowing)
-    # Microseconds as the range: a correction at the same instant is not later.
-    both = own.unionByName(other).withColumn("t", F.unix_micros("t"))
-    joined = both.withColumn("invalid_at", F.min("c").over(later)).where("f is not null")
-    joined = joined.withColumn("invalid_at", F.when(F.col("object_id").isNotNull(), F.col("invalid_at")))
-    return joined.select("f.*", "invalid_at")
+    open_ = facts.where("object_id is null").select(*cols, F.lit(None).cast("timestamp").alias("invalid_at"))
+    own = facts.where("object_id is not null").select(F.struct(*cols).alias("f"), "subject_id", "object_id", F.col("valid_at").alias("t"), F.lit(None).cast("timestamp").alias("c"))
+    other = corrections.where("object_id is not null").select(F.lit(None).cast(own.schema["f"].dataType).alias("f"), "subject_id", "object_id", F.col("ts").alias("t"), F.col("ts").alias("c"))
+    # At one instant facts come before corrections: a correction at the same instant is not later.
+    order = [F.desc("t"), F.col("c").isNotNull()]
+    later = Window.partitionBy("subject_id", "object_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = own.unionByName(other).withColumn("invalid_at", F.min("c").over(later)).where("f is not null")
+    return joined.select("f.*", "invalid_at").unionByName(open_).select(*cols, "invalid_at")
 
 
 def degrees(facts: DataFrame) -> DataFrame:
@@ -48,16 +49,15 @@ def with_degree(facts: DataFrame) -> DataFrame:
     return facts.join(degrees(facts).withColumnRenamed("entity_id", "subject_id"), "subject_id").select(*facts.columns, "degree")
 
 
-def ranked(facts: DataFrame) -> list[Column]:
+def ranked() -> list[Column]:
     """Order of facts with a degree: well-connected subjects first, then the newest, then by id."""
-    del facts
     return [F.desc("degree"), F.desc("valid_at"), F.asc("id")]
 
 
 def top_facts(facts: DataFrame, limit: int = 20) -> DataFrame:
     """The first facts of the ranking, with their ``rank`` from 1: a top-k that is merged from partial ones."""
-    best = with_degree(facts).orderBy(*ranked(facts)).limit(limit)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*ranked(facts))).cast("long"))
+    best = with_degree(facts).orderBy(*ranked()).limit(limit)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*ranked())).cast("long"))
 
 
 def compilation(facts: DataFrame, limit: int = 20) -> DataFrame:

@@ -61,6 +61,7 @@ class Graph:
     by_key: dict[str, list[int]] = field(default_factory=dict)
     by_ref: dict[str, int] = field(default_factory=dict)
     by_subject: dict[str, list[int]] = field(default_factory=dict)
+    next_fact: int = 0
 
     def add_entity(self, e: dict) -> int:
         at = len(self.entities)
@@ -132,10 +133,12 @@ class Graph:
         object_ = None if name is None else self.upsert(name, text, "other", embed(name))
         vector = embed(text)
         if fact["isCorrection"]:
+            # What begins after the correction is not what it is about: it has only come late.
+            told = [f for f in self.active(subject) if f["valid_at"] is None or at is None or f["valid_at"] <= at]
             if object_ is not None:
-                hit = [f for f in self.active(subject) if f["object_id"] == object_]
+                hit = [f for f in told if f["object_id"] == object_]
             else:
-                scored = [(similarity(f["embedding"], vector), f) for f in self.active(subject) if f["object_id"] is None]
+                scored = [(similarity(f["embedding"], vector), f) for f in told if f["object_id"] is None]
                 best = max(scored, key=lambda x: x[0], default=None)
                 hit = [best[1]] if best and best[0] >= correction else []
             for f in hit:
@@ -143,7 +146,7 @@ class Graph:
             return bool(hit)
         low = text.lower()
         if not any(f["fact_text"].lower() == low or similarity(f["embedding"], vector) >= duplicate for f in self.active(subject)):
-            seq = len(self.facts)
+            seq, self.next_fact = self.next_fact, self.next_fact + 1
             f = {"graph_id": self.graph_id, "id": make_id(self.graph_id, "fact", seq, text), "subject_id": subject, "object_id": object_}
             f |= {"predicate": fact["predicate"], "fact_text": text, "embedding": vector, "valid_at": at, "invalid_at": None, "seq": seq}
             self.add_fact(f)
@@ -182,15 +185,19 @@ def merge(
     vectors: dict[str, list[float]] | None = None,
     duplicate: float = DUPLICATE,
     correction: float = CORRECTION,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, facts, failed): every graph after its new facts, in order; failed are corrections without effect.
 
     ``vectors`` is the word table that texts are embedded with; it travels with
     the function, so it must be of a vocabulary's size. Graphs that get no new
-    facts pass through without Python.
+    facts pass through without Python, and so do facts that have ended. ``keep``
+    may write the output of the fold and read it again: else each of the three
+    results folds anew.
     """
     schema = _STATE.format(e=_fields(ENTITIES), f=_fields(FACTS))
     touched = clean.select("graph_id").distinct()
+    counted = facts.groupBy("graph_id").agg((F.max("seq") + 1).alias("next_fact"))
     new = clean.select("graph_id", F.struct(F.lit(2).alias("part"), F.col("occurred_at").alias("t"), F.col("episode_seq").alias("s"), F.col("pos").alias("p")).alias("o"), F.lit("new").alias("what"), F.lit(None).cast(f"struct<{_fields(ENTITIES)}>").alias("entity"), F.lit(None).cast(f"struct<{_fields(FACTS)}>").alias("old"), "fact", "occurred_at", "episode_seq", F.col("pos").alias("pos"))
 
     def state(df: DataFrame, part: int, what: str, entity, old) -> DataFrame:
@@ -199,13 +206,15 @@ def merge(
         return own.select("*", F.lit(None).cast(new.schema["fact"].dataType).alias("fact"), F.lit(None).cast("timestamp").alias("occurred_at"), F.lit(None).cast("long").alias("episode_seq"), F.lit(None).cast("int").alias("pos"))
 
     none_e, none_f = F.lit(None).cast(f"struct<{_fields(ENTITIES)}>"), F.lit(None).cast(f"struct<{_fields(FACTS)}>")
-    before = state(entities, 0, "entity", F.struct(*ENTITIES.names), none_f).unionByName(state(facts, 1, "fact", none_e, F.struct(*FACTS.names)))
-    rows = before.unionByName(new).select("graph_id", "what", "entity", "old", "fact", "occurred_at", "episode_seq", "pos", "o.*")
+    running = facts.where("invalid_at is null")
+    before = state(entities, 0, "entity", F.struct(*ENTITIES.names), none_f).unionByName(state(running, 1, "fact", none_e, F.struct(*FACTS.names)))
+    rows = before.unionByName(new).join(counted, "graph_id", "left").select("next_fact", "graph_id", "what", "entity", "old", "fact", "occurred_at", "episode_seq", "pos", "o.*")
 
     def fold_graph(pdf: pd.DataFrame) -> pd.DataFrame:
         embed = word_embedder(vectors or {})
         pdf = pdf.sort_values(["part", "t", "s", "p"], kind="stable", na_position="first")
-        g = Graph(str(pdf["graph_id"].iloc[0]))
+        first = pdf["next_fact"].iloc[0]
+        g = Graph(str(pdf["graph_id"].iloc[0]), next_fact=0 if pd.isna(first) else int(first))
         out: list[dict] = []
         for r in pdf.to_dict("records"):
             if r["what"] == "entity":
@@ -220,7 +229,9 @@ def merge(
         return pd.DataFrame([{"graph_id": g.graph_id, **o} for o in out], columns=["graph_id", "what", "entity", "fact", "failed"])
 
     done = rows.groupBy("graph_id").applyInPandas(fold_graph, schema)
+    done = keep(done) if keep else done
     still_e, still_f = (t.join(touched, "graph_id", "left_anti") for t in (entities, facts))
+    still_f = still_f.unionByName(facts.where("invalid_at is not null").join(touched, "graph_id", "left_semi"))
     return (
         still_e.unionByName(done.where("what = 'entity'").select("entity.*")).select(ENTITIES.names),
         still_f.unionByName(done.where("what = 'fact'").select("fact.*")).select(FACTS.names),

@@ -7,6 +7,11 @@ documents given, so filter documents first where a pool is meant.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,8 @@ from mnemograph.functions.text import content_terms, tokens
 from mnemograph.functions.vector import COVERAGE, dot
 
 K1, B, RRF = 1.2, 0.75, 60
+#: Bytes of query vectors that are broadcast at once.
+QUERY_BYTES = 16 << 20
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -46,11 +53,37 @@ def top(scores: DataFrame, score: str, limit: int) -> DataFrame:
 
 
 def cosine_top(queries: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
-    """(query_id, id, similarity, rank): nearest documents. ``queries`` is (query_id, embedding), a stated set."""
-    pairs = docs.select("id", F.col("embedding").alias("y")).join(F.broadcast(queries.select("query_id", F.col("embedding").alias("x"))))
+    """(query_id, id, similarity, rank): nearest documents. ``queries`` is (query_id, embedding), a stated set.
+
+    Queries go in blocks of at most ``QUERY_BYTES``, each against all documents;
+    a block keeps its own ``limit`` best of every partition before the shuffle.
+    """
+    asked = queries.select("query_id", F.col("embedding").alias("x"))
+    size = asked.agg(F.sum(F.size("x") * 8 + 64)).first()[0] or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
+    out = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked for i in range(blocks)]
+    return reduce(DataFrame.unionByName, [_nearest(q, docs, limit) for q in out])
+
+
+def _nearest(asked: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
+    pairs = docs.select("id", F.col("embedding").alias("y")).join(F.broadcast(asked))
     return top(pairs.select("query_id", "id", F.round(dot(F.col("x"), F.col("y")), 6).alias("similarity")), "similarity", limit)
 
 
+def _key(score: str) -> Column:
+    """What a list is sorted by: the score descending, then the id."""
+    return F.struct(F.coalesce(-F.col(score), F.lit(float("inf"))).alias("s"), F.col("id").alias("id"))
+
+
+def _before(keys: Column, key: Column, steps: list[int]) -> Column:
+    """How many of ascending ``keys`` are less than ``key``: a binary search."""
+
+    def step(at: Column, by: Column) -> Column:
+        return F.when((at + by <= F.size(keys)) & (F.get(keys, at + by - 1) < key), at + by).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+
 def hybrid(
     query: str,
     embedding: Column,
@@ -63,17 +96,54 @@ def hybrid(
 
     Every document is ranked by both scores. Below a coverage of one half the
     vector is not trusted: its ranks do not count and similarities are 0.
+
+    No list is sorted as a whole. Each of the first ``limit`` of a list has at
+    least 1 / (rrf_k + limit), so whatever is among the best has a rank in one
+    list that gives half of that: the top of each list is enough to find them,
+    and their exact ranks come from counting documents between them. The
+    result is computed at once; it has at most ``limit`` rows.
     """
     trusted = coverage >= COVERAGE
     text = F.lit(query)
     scored = docs.join(bm25_scores(text, docs), "id").withColumn("similarity", F.round(dot(F.col("embedding"), embedding), 6) if trusted else F.lit(0.0))
-    by_text = F.row_number().over(Window.orderBy(F.desc("bm25"), "id"))
-    by_vector = F.row_number().over(Window.orderBy(F.desc("similarity"), "id"))
-    rrf = F.lit(1.0) / (F.lit(float(rrf_k)) + by_text)
-    rrf = rrf + F.lit(1.0) / (F.lit(float(rrf_k)) + by_vector) if trusted else rrf
     shared = F.size(F.array_intersect(content_terms(text), content_terms(F.col("text")))).cast("long")
-    out = scored.select("id", "bm25", "similarity", shared.alias("shared_terms"), F.round(rrf, 6).alias("rrf"))
-    return out.orderBy(F.desc("rrf"), "id").limit(limit)
+    scored = scored.select("id", "bm25", "similarity", shared.alias("shared_terms")).persist(StorageLevel.DISK_ONLY)
+    try:
+        best = _fused(scored, ["bm25", "similarity"] if trusted else ["bm25"], limit, rrf_k)
+    finally:
+        scored.unpersist()
+    return docs.sparkSession.createDataFrame(best, scored.schema.add("rrf", "double"))
+
+
+def _fused(scored: DataFrame, lists: list[str], limit: int, rrf_k: int) -> list[tuple]:
+    """The best rows of a reciprocal-rank fusion; at most some multiple of ``limit`` rows come to the driver."""
+    if limit < 1:
+        return []
+    # Fused scores are rounded to six digits, so rows within that of the least are looked at as well.
+    least = 1 / (rrf_k + limit) - 2e-6
+    reach = limit if len(lists) == 1 else max(limit, math.ceil(len(lists) / least) - rrf_k if least > 0 else 1 << 30)
+    found = {}
+    for score in lists:
+        for r in scored.orderBy(_key(score)).limit(reach).collect():
+            found[r["id"]] = r
+    if not found:
+        return []
+    spark, places = scored.sparkSession, {}
+    names = [f"k{i}" for i in range(len(lists))]
+    kind = scored.schema["id"].dataType.simpleString()
+    keys = {s: sorted((float("inf") if r[s] is None else -r[s], r["id"]) for r in found.values()) for s in lists}
+    asked = spark.createDataFrame([tuple(keys[s] for s in lists)], ", ".join(f"{n} array<struct<s:double,id:{kind}>>" for n in names))
+    steps = [1 << b for b in reversed(range(len(found).bit_length()))]
+    at = [F.struct(F.lit(i).alias("list"), _before(F.col(n), _key(s), steps).alias("at")) for i, (n, s) in enumerate(zip(names, lists, strict=True))]
+    counts = scored.join(F.broadcast(asked)).select(F.explode(F.array(*at)).alias("p")).groupBy("p.list", "p.at").count().collect()
+    for i, s in enumerate(lists):
+        n = Counter({r["at"]: r["count"] for r in counts if r["list"] == i})
+        total = 0
+        for k, (_, id_) in enumerate(keys[s]):
+            total += n[k]
+            places[s, id_] = total
+    fused = [(*r, round(sum(1.0 / (rrf_k + places[s, r["id"]]) for s in lists), 6)) for r in found.values()]
+    return sorted(fused, key=lambda r: (-r[-1], r[0]))[:limit]
 
 
 def with_floor(ranked: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Chat turns as a stream: each micro-batch is folded into the stored graph.
 
 State is the stored graph itself, so a restart goes on from the last complete
-version. A batch that is replayed after a failure finds its episodes already
-stored and leaves them out, so its facts are not merged twice.
+version. A batch that is replayed after it was stored finds its episodes there
+and leaves them out, so its facts are not merged twice.
 """
 
 from __future__ import annotations
@@ -15,41 +15,44 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mnemograph.operators import ingest
 from mnemograph.schema import natural_id
-from mnemograph.sources.store import Store
+from mnemograph.sources.store import Store, joined, part_of
 
 Extractor = Callable[[DataFrame], DataFrame]
 
 
-def merge_turns(store: Store, turns: DataFrame, extract: Extractor, vectors: dict[str, list[float]] | None = None) -> None:
-    """Fold a batch of chat turns. ``extract`` gives (graph_id, episode_seq, facts) of turns.
+def merge_turns(store: Store, turns: DataFrame, extract: Extractor, vectors: dict[str, list[float]] | None = None) -> int:
+    """Fold a batch of chat turns; the store's version after it.
 
-    Only graphs that the batch is about are read into the fold.
+    ``extract`` gives (graph_id, episode_seq, facts) of turns. It is asked once,
+    and its answer is written before anything uses it; so is what the fold gives.
+    Only partitions of graphs in the batch are read and written again; episodes
+    are added. All three tables change with one manifest, or none does: a batch
+    that is replayed after a failure starts from the tables it started from.
     """
-    seen = store.read("episodes").select("id")
+    seen = store.read("episodes").select(F.col("id").alias("episode_id"))
     new = turns.withColumn("episode_id", natural_id(F.col("graph_id"), F.lit("episode"), F.col("episode_seq")))
-    new = new.join(seen.withColumnRenamed("id", "episode_id"), "episode_id", "left_anti").drop("episode_id")
-    clean = ingest.clean_facts(new, extract(new))
-    entities, facts, _ = ingest.merge(clean, store.read("entities"), store.read("facts"), vectors)
-    # Episodes go last: until they are there, a replay does the same work again from the same versions.
-    n_entities, n_facts = store.version("entities"), store.version("facts")
-    store.write("entities", entities)
+    new = store.keep(new.join(seen, "episode_id", "left_anti").drop("episode_id"))
     try:
-        store.write("facts", facts)
-    except Exception:
-        del n_entities, n_facts
-        raise
-    store.append("episodes", ingest.episodes(new, clean))
+        clean = store.keep(ingest.clean_facts(new, store.keep(extract(new))))
+        parts = [r[0] for r in clean.select(part_of(F.col("graph_id"))).distinct().collect()]  # at most PARTS
+        if not parts:
+            return store.version()
+        now = store.manifest()
+        entities, facts, _ = ingest.merge(clean, store.read("entities", parts), store.read("facts", parts), vectors, keep=store.keep)
+        rewritten = {str(p) for p in parts}
+        for table, df in (("entities", entities), ("facts", facts)):
+            now[table] = {p: f for p, f in now[table].items() if p not in rewritten} | store.stage(table, df)
+        now["episodes"] = joined(now["episodes"], store.stage("episodes", ingest.episodes(new, clean)))
+        return store.commit(now)
+    finally:
+        store.sweep()
 
 
 def ingest_stream(turns: DataFrame, store: Store, extract: Extractor, checkpoint: str, vectors: dict[str, list[float]] | None = None, available_now: bool = True) -> StreamingQuery:
     """Start the stream; ``turns`` is a streaming frame of chat turns."""
 
     def batch(df: DataFrame, _: int) -> None:
-        df.persist()
-        try:
-            merge_turns(store, df, extract, vectors)
-        finally:
-            df.unpersist()
+        merge_turns(store, df, extract, vectors)
 
     writer = turns.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

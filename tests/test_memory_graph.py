@@ -148,7 +148,6 @@ def test_validity(spark):
     assert ends == {"1": T0 + timedelta(minutes=5), "2": None, "3": None, "4": T0 + timedelta(minutes=8)}
     at = F.lit(T0 + timedelta(minutes=6))
     assert {r["id"] for r in graph.facts_as_of(got, at).collect()} == {"3", "4"}
-    assert "IsNull(invalid_at)" in graph.active(own.withColumn("invalid_at", F.lit(None)))._jdf.queryExecution().toString() or True
 
 
 def test_edits(spark):
@@ -423,10 +422,11 @@ def test_export(spark):
 
 def test_store(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/graph")
-    assert store.read("facts").count() == 0 and store.version("facts") == -1
+    assert store.read("facts").count() == 0 and store.version() == -1
     store.append("facts", facts(spark, fact("1", "a")))
     store.append("facts", facts(spark, fact("2", "a", ended=T0)))
-    assert store.version("facts") == 1 and store.read("facts").schema == FACTS or store.read("facts").count() == 2
+    assert store.version() == 1 and store.read("facts").count() == 2
+    assert [(f.name, f.dataType) for f in store.read("facts").schema] == [(f.name, f.dataType) for f in FACTS]
     plan = graph.active(store.read("facts")).select("id")._jdf.queryExecution().toString()
     assert "IsNull(invalid_at)" in plan
     store.delete_all()
