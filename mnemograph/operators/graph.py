@@ -84,6 +84,12 @@ def graph_json(entities: DataFrame, facts: DataFrame) -> DataFrame:
     return n.join(e).select(F.to_json(F.struct("nodes", "links")).alias("json"))
 
 
+def graph_lines(entities: DataFrame, facts: DataFrame) -> DataFrame:
+    """``json``: one row for each node and each link, for graphs of any size."""
+    n = nodes(entities).select(F.to_json(F.struct(F.struct("id", "name", "kind").alias("node"))).alias("json"))
+    return n.unionByName(links(facts).select(F.to_json(F.struct(F.struct("source", "target", "label").alias("link"))).alias("json")))
+
+
 def export_rows(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """Review-table rows of active facts whose subject exists."""
     subjects = entities.select(F.col("id").alias("subject_id"), F.col("name").alias("subject_name"), kind(F.col("kind")).alias("kind"))

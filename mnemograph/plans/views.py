@@ -75,10 +75,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def benchmark_queries(spark: SparkSession, sf_dir: str, words: int = 6) -> DataFrame:
-    """The first words of each benchmark item as a query."""
-    head = F.array_join(F.slice(F.split("text", " "), 1, words), " ")
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), head.alias("text"))
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as a query."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def page_bodies(rows: DataFrame, database_id: str) -> DataFrame:
     when = F.date_format(F.to_utc_timestamp("valid_from", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     properties = F.struct(
         F.struct(text(F.col("subject_name")).alias("title")).alias("Name"),
-        F.struct(F.struct(F.col("kind").alias("name")).alias("select")).alias("Kind"),
+        F.struct(text(F.col("kind")).alias("rich_text")).alias("Kind"),
         F.struct(text(F.col("fact_text")).alias("rich_text")).alias("Fact"),
         F.struct(F.struct(when.alias("start")).alias("date")).alias("Valid From"),
         F.struct(F.col("needs_review").alias("checkbox")).alias("Needs Review"),
@@ -62,10 +62,21 @@ def page_bodies(rows: DataFrame, database_id: str) -> DataFrame:
 
 def database_body(parent_page: str, title: str = "Memory") -> str:
     """Request that creates the table."""
-    columns = {"Name": "title", "Kind": "select", "Fact": "rich_text", "Valid From": "date", "Needs Review": "checkbox", "Correction Notes": "rich_text"}
+    columns = {"Name": "title", "Kind": "rich_text", "Fact": "rich_text", "Valid From": "date", "Needs Review": "checkbox", "Correction Notes": "rich_text"}
     return json.dumps({"parent": {"type": "page_id", "page_id": parent_page}, "title": [{"type": "text", "text": {"content": title}}], "properties": {n: {k: {}} for n, k in columns.items()}})
 
 
+def all_pages(send: Callable[[str, str, str], str], path: str, body: dict) -> Iterator[dict]:
+    """Results of a query over all its pages."""
+    cursor = None
+    while True:
+        answer = json.loads(send("POST", path, json.dumps(body | ({"start_cursor": cursor} if cursor else {}))))
+        yield from answer.get("results", [])
+        cursor = answer.get("next_cursor") if answer.get("has_more") else None
+        if not cursor:
+            return
+
+
 def clear_body() -> str:
     """Request that marks a row as reviewed."""
     return json.dumps({"properties": {"Needs Review": {"checkbox": False}}})
@@ -84,13 +95,28 @@ def http_post(url: str, token: str, version: str) -> Callable[[str, str, str], s
 
 
 def export(facts: DataFrame, entities: DataFrame, parent_page: str, send: Callable[[str, str, str], str]) -> str:
-    """A new table with a row for each active fact of a known subject; its id. Rows stream through the driver."""
+    """A new table with a row for each active fact of a known subject; its id.
+
+    Rows are sent one after another from the driver, as the service takes a few
+    requests a second in all; :func:`send_rows` sends them from the executors.
+    """
     database = json.loads(send("POST", "/databases", database_body(parent_page))).get("id") or ""
     for row in page_bodies(export_rows(facts, entities), database).toLocalIterator():
         send("POST", "/pages", row["body"])
     return database
 
 
+def send_rows(bodies: DataFrame, connect: Callable[[], Callable[[str, str, str], str]]) -> None:
+    """One request for each ``body``, from the tasks that hold them; ``connect`` gives a sender in each task."""
+
+    def run(rows: Iterator) -> None:
+        send = connect()
+        for r in rows:
+            send("POST", "/pages", r["body"])
+
+    bodies.foreachPartition(run)
+
+
 class ReviewTable(DataSource):
     """``spark.read.format("review_table")``."""
 
@@ -106,7 +132,7 @@ class ReviewTable(DataSource):
 
 
 class ReviewReader(DataSourceReader):
-    """One request; the source has no partitions."""
+    """The source has no partitions; its answers come page by page, each naming where the next begins."""
 
     def __init__(self, options: dict):
         self.options, self.only_open = options, False
@@ -118,14 +144,17 @@ class ReviewReader(DataSourceReader):
             else:
                 yield f
 
-    def read(self, partition) -> Iterator[tuple]:
+    def results(self) -> Iterator[dict]:
+        """The rows of all pages; a file is one page."""
         if "path" in self.options:
             with open(self.options["path"], encoding="utf-8") as f:
-                body = f.read()
-        else:
-            send = http_post(self.options["url"], self.options["token"], self.options.get("version", "2022-06-28"))
-            body = send("POST", f"/databases/{self.options['database']}/query", query_body() if self.only_open else "{}")
-        for r in json.loads(body).get("results", []):
+                yield from json.load(f).get("results", [])
+            return
+        send = http_post(self.options["url"], self.options["token"], self.options.get("version", "2022-06-28"))
+        yield from all_pages(send, f"/databases/{self.options['database']}/query", json.loads(query_body()) if self.only_open else {})
+
+    def read(self, partition) -> Iterator[tuple]:
+        for r in self.results():
             if not r.get("id") or not isinstance(r.get("properties"), dict):
                 continue
             p = r["properties"]
