@@ -32,8 +32,8 @@ SAMPLE, PER_CELL = 20_000, 512
 #: Bytes of the vectors that the centroids are fitted on, at most, in double precision.
 FIT_BYTES = 64 << 20
 ITERATIONS = 8
-#: Vectors in a block.
-BLOCK = 2048
+#: Vectors in a block and their bytes in double precision, at most; rows of a block that are multiplied at once.
+BLOCK, BLOCK_BYTES, STRIP = 8192, 8 << 20, 128
 
 
 def fit_centroids(x: np.ndarray, k: int, iterations: int = ITERATIONS) -> np.ndarray:
@@ -183,8 +183,9 @@ def _meetings(ws: Workspace, classes: DataFrame, centroids: dict[int, np.ndarray
     schema = classes.select("class", "label", "size", "v", "weight").schema.add("cell", "long").add("home", "long").add("looks", "binary")
     seats = ws.put(source.mapInArrow(assign, schema), "seats")
     where = ["label", "size", "cell"]
-    # Rows of a cell are dealt into blocks by hash, about BLOCK in each.
-    counts = seats.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # Rows of a cell are dealt into blocks by hash.
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (F.col("size") * 8))))
+    counts = seats.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).select(*where, F.ceil(F.col("n") / most).cast("int").alias("blocks"))
     seats = seats.join(counts, where).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     # Block i meets blocks i, i+1, ...: a row goes to the meeting with each block of its cell once.
     meet = F.transform(
@@ -201,8 +202,8 @@ def _meetings(ws: Workspace, classes: DataFrame, centroids: dict[int, np.ndarray
         x = _unit(table["v"], key[1].as_py())
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
         n_links, least = np.zeros(len(home), np.int64), np.arange(len(home))
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
+        for at in range(0, len(left), STRIP):
+            rows = left[at : at + STRIP]
             i, j = np.nonzero(x[rows] @ x[right].T >= threshold)
             a, b = rows[i], right[j]
             # One of the two must live here; within a block each pair counts in one order.

@@ -1,14 +1,16 @@
-"""Quality by co-training: a text view and a metadata view teach each other.
-
-Each view has a logistic classifier of its own. They start from a bounded sample
-of labelled rows. In each round a view labels the rows of a bounded unlabelled
-pool that it is most sure of, and those go into the training set of the *other*
-view. At the end both are calibrated on labelled rows that neither has trained
-on, a small combiner over the calibrated log odds is fitted there as well, and
-every document is scored.
-
-Only features of the samples come to the driver: a fixed number of floats for
-each row, whatever the length of its text. All documents are scored.
+"""Quality by co-training: a content view and a page view teach each other.
+
+The content view sees the words of a text; the page view its metadata and its
+form: kinds of characters, lines, length. Each has a logistic classifier of its
+own, and both start from a bounded sample of labelled rows. In each round both
+score all documents without a label, and of those that a view is surest of, a
+bounded number for each class goes into the training set of the *other* view. At
+the end both are calibrated on labelled rows that neither has trained on, a
+small combiner over the calibrated log odds is fitted there as well, and every
+document is scored.
+
+Only features of the labelled sample and of what was picked come to the driver:
+a fixed number of floats for each row, whatever the length of its text.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,13 @@ from pyspark.sql import functions as F
 
 from mnemograph.llm.common import Workspace, col, fresh
 
-#: Bounds of the samples that are fitted on.
-LABELLED, POOL = 6_000, 6_000
+#: Most labelled rows that are fitted on.
+LABELLED = 6_000
 #: Every HELD_OUT-th labelled row is kept for calibration.
 HELD_OUT = 4
-ROUNDS, PER_ROUND, SURE = 4, 600, 0.95
+#: Rounds; documents that a view passes on in a round, shared out by the classes' sizes; the least
+#: probability to pass one on. Each round reads all documents once.
+ROUNDS, PER_ROUND, SURE = 2, 1_000, 0.9
 #: Hashed words and hashed metadata values.
 WORDS, FACTS = 1024, 128
 _WORD_CACHE = 200_000
@@ -44,27 +49,22 @@ for _code in range(256):
         _code < 128 and _c.isupper(), _code < 128 and _c.islower(), _code < 128 and _c.isdigit(), _c == " ", _c == "\n",
         33 <= _code < 127 and not _c.isalnum(), _c in "!?", _c in "|<>{}[]=/\\_", _code >= 128,
     ]
-SHAPE = _KINDS.shape[1] + 7
+#: Figures of a text's words, and of its form.
+STYLE, LAYOUT = 5, _KINDS.shape[1] + 4
 
 
 def text_features(text: str | None, buckets: dict[str, int]) -> np.ndarray:
-    """Shape of a whole text (shares of character kinds, words, lines) and its hashed words, of fixed size."""
-    out = np.zeros(SHAPE + WORDS, np.float32)
-    text = text or ""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    words = text.lower().split()
-    lines = [x for x in text.split("\n") if x.strip()]
+    """Figures of the words of a whole text and its hashed words, of fixed size."""
+    out = np.zeros(STYLE + WORDS, np.float32)
+    words = (text or "").lower().split()
     if not words:
         return out
     n, counts = len(words), Counter(words)
-    out[: _KINDS.shape[1]] = np.bincount(raw, minlength=256) @ _KINDS / len(raw)
-    out[_KINDS.shape[1] : SHAPE] = (
+    out[:STYLE] = (
         math.log1p(n) / 10,
         sum(map(len, words)) / n / 10,
         len(counts) / n,
         max(counts.values()) / n,
-        len(set(lines)) / len(lines),
-        math.log1p(n / len(lines)) / 5,
         sum(len(w) > 20 for w in counts) / len(counts),
     )
     if len(buckets) > _WORD_CACHE:
@@ -77,17 +77,23 @@ def text_features(text: str | None, buckets: dict[str, int]) -> np.ndarray:
         at.append(k)
         values.append(c)
     hashed = np.bincount(at, weights=np.log1p(values), minlength=WORDS)
-    out[SHAPE:] = hashed / np.linalg.norm(hashed)
+    out[STYLE:] = hashed / np.linalg.norm(hashed)
     return out
 
 
-def fact_features(facts: dict[str, object]) -> np.ndarray:
-    """Hashed metadata values; numbers count by their order of magnitude, half powers of two."""
-    out = np.zeros(FACTS, np.float32)
+def page_features(text: str | None, facts: dict[str, object]) -> np.ndarray:
+    """Hashed metadata values, numbers by their order of magnitude (half powers of two), and the form of a whole text."""
+    out = np.zeros(FACTS + LAYOUT, np.float32)
     for name, v in facts.items():
         if isinstance(v, int | float) and not isinstance(v, bool):
             v = "none" if v != v else f"{round(2 * math.log2(abs(v) + 1)) if abs(v) < float('inf') else 'inf'}"
         out[zlib.crc32(f"{name}={v}".encode("utf-8", "replace")) % FACTS] += 1
+    raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+    lines = [x for x in (text or "").split("\n") if x.strip()]
+    if lines:
+        kinds = _KINDS.shape[1]
+        out[FACTS : FACTS + kinds] = np.bincount(raw, minlength=256) @ _KINDS / len(raw)
+        out[FACTS + kinds :] = (math.log1p(len(raw)) / 10, math.log1p(len(lines)) / 5, math.log1p(len(raw) / len(lines)) / 10, len(set(lines)) / len(lines))
     return out
 
 
@@ -156,39 +162,57 @@ class CoTrained:
         return sigmoid(a), sigmoid(b), sigmoid(self.mix[0] * a + self.mix[1] * b + self.mix[2])
 
 
-def co_train(x: np.ndarray, f: np.ndarray, y: np.ndarray, pool_x: np.ndarray, pool_f: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
-    """Fit both views; rows are (text features, metadata features, label 0/1), the pool has no labels."""
+#: (pupil, its features of the rows, label) of rows that one view passes on to the other.
+Lesson = tuple[int, np.ndarray, float]
+#: What gives the lessons of a round, by both views and the share of class 1. No row is passed on to a view twice.
+Pool = Callable[[list[Logistic], float], list[Lesson]]
+
+
+def shares(base: float) -> dict[float, int]:
+    """How many rows of each class a view passes on in a round."""
+    return {1.0: max(1, round(PER_ROUND * base)), 0.0: max(1, round(PER_ROUND * (1 - base)))}
+
+
+def pool_of(x: np.ndarray, f: np.ndarray) -> Pool:
+    """Rows in memory as a pool."""
+    left = np.ones((len(x), 2), bool)
+
+    def lessons(models: list[Logistic], base: float) -> list[Lesson]:
+        out = []
+        for pupil, (teacher, seen) in ((1, (models[0], x)), (0, (models[1], f))):
+            p = sigmoid(teacher.odds(seen))
+            for label, share in shares(base).items():
+                sure = p if label else 1 - p
+                ready = np.flatnonzero(left[:, pupil] & (sure >= SURE))
+                best = ready[np.argsort(-sure[ready], kind="stable")[:share]]
+                out.append((pupil, best, label))
+        for pupil, best, _ in out:
+            left[best, pupil] = False
+        return [(pupil, (x, f)[pupil][best], label) for pupil, best, label in out]
+
+    return lessons
+
+
+def co_train(x: np.ndarray, f: np.ndarray, y: np.ndarray, pool: Pool | None, rounds: int = ROUNDS) -> CoTrained:
+    """Fit both views; rows are (content features, page features, label 0/1), the pool has rows without labels."""
     held = np.arange(len(y)) % HELD_OUT == HELD_OUT - 1
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)  # too few rows to keep any apart
     check = held if held.any() else ~held
-    views = [(x, pool_x), (f, pool_f)]
-    trained = [(v[~held], y[~held]) for v, _ in views]
-    left = [np.ones(len(p), bool) for _, p in views]  # of the pool, what each view has not been taught yet
+    views = (x, f)
+    trained = [(v[~held], y[~held]) for v in views]
 
     def now(k: int) -> Logistic:
-        return calibrate(fit(*trained[k]), views[k][0][check], y[check])
+        return calibrate(fit(*trained[k]), views[k][check], y[check])
 
     models = [now(0), now(1)]
-    for _ in range(rounds if len(pool_x) else 0):
-        taught = False
-        lessons = []
-        for teacher, pupil in ((0, 1), (1, 0)):
-            p = sigmoid(models[teacher].odds(views[teacher][1]))
-            base = float(y.mean())
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                share = max(1, round(PER_ROUND * (base if label else 1 - base)))
-                ready = np.flatnonzero(left[pupil] & (sure >= SURE))
-                best = ready[np.argsort(-sure[ready], kind="stable")[:share]]
-                lessons.append((pupil, best, label))
-        for pupil, rows, label in lessons:
-            if len(rows):
-                taught = True
-                left[pupil][rows] = False
-                old_x, old_y = trained[pupil]
-                trained[pupil] = np.concatenate([old_x, views[pupil][1][rows]]), np.concatenate([old_y, np.full(len(rows), label)])
-        if not taught:
+    for _ in range(rounds if pool else 0):
+        lessons = [x for x in pool(models, float(y.mean())) if len(x[1])]
+        if not lessons:
             break
+        for pupil, rows, label in lessons:
+            old_x, old_y = trained[pupil]
+            trained[pupil] = np.concatenate([old_x, rows]), np.concatenate([old_y, np.full(len(rows), label)])
         models = [now(0), now(1)]
     both = np.column_stack([models[0].odds(x[check]), models[1].odds(f[check])])
     line = fit(both, y[check], l2=1e-4, steps=400)
@@ -213,7 +237,8 @@ def _features(docs: DataFrame, key: Column, text: str, facts: list[str], label:
         buckets: dict[str, int] = {}
         for batch in batches:
             x = [text_features(t.as_py(), buckets).tobytes() for t in batch["text"]]
-            f = [fact_features(r).tobytes() for r in _facts_of(batch, names)] if names else [fact_features({}).tobytes()] * len(x)
+            facts_ = _facts_of(batch, names) if names else [{}] * len(x)
+            f = [page_features(t.as_py(), r).tobytes() for t, r in zip(batch["text"], facts_, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["key"], batch["label"], pa.array(x, pa.binary()), pa.array(f, pa.binary())], ["key", "label", "x", "f"])
 
     return source.mapInArrow(run, "key string, label double, x binary, f binary")
@@ -230,8 +255,16 @@ def _matrix(table: pa.Table, name: str, width: int) -> np.ndarray:
     return np.frombuffer(raw, np.float32).reshape(-1, width)
 
 
+def _rows_of(docs: DataFrame, picked: DataFrame, key: str, text: str, facts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(content features, page features, label) of a bounded number of picked rows (key, label), one for each key."""
+    here, mark = fresh(docs, "sample_key", "sample_label")
+    chosen = docs.join(F.broadcast(picked.select(F.col("key").alias(here), F.col("label").alias(mark))), col(key).cast("string") == F.col(here))
+    rows = _features(chosen, F.col(here), text, facts, F.col(mark)).dropDuplicates(["key"]).orderBy(F.xxhash64("key"), "key").toArrow()
+    return _matrix(rows, "x", STYLE + WORDS), _matrix(rows, "f", FACTS + LAYOUT), np.array(rows["label"].to_pylist(), np.float64)
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, facts: list[str], label: str) -> CoTrained | None:
-    """Co-train on at most ``LABELLED`` labelled and ``POOL`` other documents, drawn by the hash of their key.
+    """Co-train on at most ``LABELLED`` labelled documents, drawn by the hash of their key, and on all the others.
 
     None if the labels have fewer than two classes among the documents. Keys
     that are labelled both ways, and null keys and labels, are not used.
@@ -239,34 +272,58 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, facts: list[s
     ws = Workspace(docs.sparkSession)
     known = labels.where(col(key).isNotNull() & col(label).isin(0, 1)).groupBy(col(key).cast("string").alias("key"))
     known = known.agg(F.min(col(label)).cast("double").alias("label"), F.max(col(label)).cast("double").alias("top"))
-    order = F.xxhash64(F.lit("sample"), "key")
-    ids = docs.where(col(key).isNotNull()).select(col(key).cast("string").alias("key")).distinct()
     known = ws.put(known, "labels")
-    drawn = ids.join(known.where("label = top").drop("top"), "key").orderBy(order, "key").limit(LABELLED)
-    pool = ids.join(known.select("key"), "key", "left_anti").orderBy(order, "key").limit(POOL).withColumn("label", F.lit(None).cast("double"))
-    sample = ws.put(drawn.unionByName(pool), "sample")
-    here, mark = fresh(docs, "sample_key", "sample_label")
-    picked = sample.select(F.col("key").alias(here), F.col("label").alias(mark))
-    chosen = docs.join(F.broadcast(picked), col(key).cast("string") == F.col(here))  # at most LABELLED + POOL rows
-    # Repeated keys give repeated rows; one of each is enough.
-    rows = _features(chosen, F.col(here), text, facts, F.col(mark)).dropDuplicates(["key"]).orderBy(F.xxhash64("key"), "key").toArrow()
-    y = np.array(rows["label"].to_pylist(), np.float64)
-    x, f = _matrix(rows, "x", SHAPE + WORDS), _matrix(rows, "f", FACTS)
-    given = ~np.isnan(y)
-    if len(set(y[given])) < 2:
+    order = [F.xxhash64(F.lit("sample"), "key"), F.col("key")]
+    ids = docs.where(col(key).isNotNull()).select(col(key).cast("string").alias("key")).distinct()
+    sample = ws.put(ids.join(known.where("label = top").drop("top"), "key").orderBy(*order).limit(LABELLED), "sample")
+    x, f, y = _rows_of(docs, sample, key, text, facts)
+    if len(set(y)) < 2:
         return None
-    return co_train(x[given], f[given], y[given], x[~given], f[~given])
+    taught: list[list[DataFrame]] = [[], []]  # by pupil
+
+    def lessons(models: list[Logistic], base: float) -> list[Lesson]:
+        both = CoTrained(models[0], models[1], (0.0, 0.0, 0.0))
+        source = docs.where(col(key).isNotNull()).withColumn("\0key", col(key).cast("string"))
+        scored = _scored(source, both, text, facts, ["\0key"], ["all", "p0", "p1"]).withColumnRenamed("\0key", "key").drop("all")
+        # Repeated keys give repeated rows; any of them stands for the key.
+        scored = scored.groupBy("key").agg(F.min("p0").alias("p0"), F.min("p1").alias("p1")).join(known.select("key"), "key", "left_anti")
+        scored = ws.put(scored, "scored")
+        picks = []
+        for pupil in (1, 0):
+            open_ = scored
+            for t in taught[pupil]:
+                open_ = open_.join(F.broadcast(t.select("key")), "key", "left_anti")  # at most PER_ROUND + 1 rows
+            for value, share in shares(base).items():
+                p = F.col(f"p{1 - pupil}")
+                sure = p if value else 1 - p
+                best = open_.where(sure >= SURE).orderBy(sure.desc(), *order).limit(share)
+                picks.append(best.select("key", F.lit(float(value)).alias("label"), F.lit(pupil).alias("pupil")))
+        picked = ws.put(reduce(DataFrame.unionByName, picks), "picked")
+        ws.drop(scored)
+        out = []
+        for pupil in (1, 0):
+            own = picked.where(F.col("pupil") == pupil)
+            taught[pupil].append(own)
+            px, pf, py = _rows_of(docs, own, key, text, facts)
+            out += [(pupil, (px, pf)[pupil][py == value], value) for value in (1.0, 0.0)]
+        return out
+
+    return co_train(x, f, y, lessons)
 
 
 def score(docs: DataFrame, model: CoTrained | None, text: str, facts: list[str], out: str = "quality_score") -> DataFrame:
     """``docs`` without change, with three doubles: ``out``, ``out``_text and ``out``_facts.
 
     Without a model every score is 1: nothing is known against any document.
+    ``docs`` must not have columns of these names.
     """
+    return _scored(docs, model, text, facts, docs.columns, [out, f"{out}_text", f"{out}_facts"])
+
+
+def _scored(docs: DataFrame, model: CoTrained | None, text: str, facts: list[str], kept: list[str], out: list[str]) -> DataFrame:
+    """The columns ``kept`` and three scores."""
     names = [f"m{i}" for i in range(len(facts))]
-    kept = docs.columns
-    source = docs.select(*[col(c) for c in kept], *[_fact(docs, c).alias(f"\0{n}") for c, n in zip(facts, names, strict=True)])
-    at = kept.index(text)
+    source = docs.select(*[col(c) for c in kept], *[_fact(docs, c).alias(f"\0{n}") for c, n in zip(facts, names, strict=True)], col(text).alias("\0text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets: dict[str, int] = {}
@@ -276,17 +333,21 @@ def score(docs: DataFrame, model: CoTrained | None, text: str, facts: list[str],
                 p = (np.ones(n),) * 3
             else:
                 parts = []
-                texts = batch.column(at)
-                meta = pa.RecordBatch.from_arrays(batch.columns[len(kept) :], names) if names else None
+                texts = batch.column(batch.num_columns - 1)
+                meta = pa.RecordBatch.from_arrays(batch.columns[len(kept) : -1], names) if names else None
                 rows = _facts_of(meta, names) if names else [{}] * n
                 for a in range(0, n, 512):
-                    x = np.stack([text_features(t.as_py(), buckets) for t in texts[a : a + 512]])
-                    f = np.stack([fact_features(r) for r in rows[a : a + 512]])
+                    some = [t.as_py() for t in texts[a : a + 512]]
+                    x = np.stack([text_features(t, buckets) for t in some])
+                    f = np.stack([page_features(t, r) for t, r in zip(some, rows[a : a + 512], strict=True)])
                     parts.append(model.scores(x, f))
                 p = [np.concatenate(column) for column in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(p[2]), pa.array(p[0]), pa.array(p[1])], [*kept, out, f"{out}_text", f"{out}_facts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(p[2]), pa.array(p[0]), pa.array(p[1])], [*kept, *out])
 
-    return source.mapInArrow(run, docs.select(*[col(c) for c in kept]).schema.add(out, "double").add(f"{out}_text", "double").add(f"{out}_facts", "double"))
+    schema = docs.select(*[col(c) for c in kept]).schema
+    for name in out:
+        schema = schema.add(name, "double")
+    return source.mapInArrow(run, schema)
 
 
 def classify(
@@ -302,9 +363,12 @@ def classify(
 
     Defined cases: a null, empty or blank text has zero text features and is
     scored by what they and its metadata say; nulls in metadata are values like
-    any other; metadata columns that ``docs`` lacks are left out; repeated rows
+    any other; metadata columns that ``docs`` lacks are left out, other columns
+    pass through, and columns named like a score raise ``ValueError``; repeated rows
     get equal scores; texts are read whole; empty labels, or labels of one
     class, score everything 1; an empty table gives an empty table.
     """
+    if {out, f"{out}_text", f"{out}_facts"} & set(docs.columns):
+        raise ValueError(f"docs already has a column {out}, {out}_text or {out}_facts")
     present = [c for c in facts if c in docs.columns]
     return score(docs, train(docs, labels, key, text, present, label), text, present, out)

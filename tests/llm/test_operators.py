@@ -721,8 +721,8 @@ def test_the_views_teach_each_other():
         return (rng.normal(size=(len(labels), width)) + 1.2 * (labels[:, None] - 0.5) * (np.arange(width) < 4)).astype(np.float32)
 
     x, f, px, pf = view(y, 40), view(y, 40), view(hidden, 40), view(hidden, 40)
-    alone = quality.co_train(x, f, y, px[:0], pf[:0])
-    taught = quality.co_train(x, f, y, px, pf)
+    alone = quality.co_train(x, f, y, None)
+    taught = quality.co_train(x, f, y, quality.pool_of(px, pf))
     accuracy = lambda m: ((m.scores(px, pf)[2] >= 0.5) == hidden).mean()
     assert accuracy(taught) >= accuracy(alone) - 0.01 and accuracy(taught) > 0.85
 

@@ -267,3 +267,91 @@ def test_both_ways_of_the_knapsack_agree(monkeypatch):
             assert copies @ lengths <= 64
             worth.append(copies @ values)
         assert worth[0] == pytest.approx(worth[1])
+
+
+# -- co-training ---------------------------------------------------------------
+
+
+def pages_of_two_kinds(n, seed):
+    """(id, text, label): good ones are in lines and hold some words, bad ones in one line with others; the views see one each."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        good = i % 2
+        words = [f"{'good' if good else 'poor'}{rng.randrange(300)}" if rng.random() < 0.1 else f"common{rng.randrange(150)}" for _ in range(rng.randint(20, 60))]
+        lines = rng.random() < (0.95 if good else 0.05)
+        rows.append((i, "".join(w + ("\n" if lines and k % 6 == 5 else " ") for k, w in enumerate(words)), good))
+    return rows
+
+
+def test_both_views_teach_and_gain(spark):
+    """Few labels: what is passed on goes both ways, and the mix is better than either view alone."""
+    import numpy as np
+
+    from mnemograph.llm import quality
+
+    rows = pages_of_two_kinds(3000, 3)
+    buckets = {}
+    x = np.stack([quality.text_features(t, buckets) for _, t, _ in rows])
+    f = np.stack([quality.page_features(t, {}) for _, t, _ in rows])
+    y = np.array([q for *_, q in rows], float)
+    few, rest = slice(0, 240), slice(240, 3000)
+    got = []
+    pool = quality.pool_of(x[rest], f[rest])
+
+    def listening(models, base):
+        got.append(pool(models, base))
+        return got[-1]
+
+    taught = quality.co_train(x[few], f[few], y[few], listening)
+    for pupil in (0, 1):
+        for label in (0.0, 1.0):
+            assert sum(len(r) for lessons in got for p, r, v in lessons if (p, v) == (pupil, label)) > 50
+    alone = quality.co_train(x[few], f[few], y[few], None)
+
+    def right(p):
+        return ((p >= 0.5) == y[rest]).mean()
+
+    by_text, by_page, both = map(right, taught.scores(x[rest], f[rest]))
+    before = [right(p) for p in alone.scores(x[rest], f[rest])]
+    assert by_text > before[0] + 0.04
+    assert both >= max(by_text, by_page) and both > max(before[:2])
+
+    # The same on Spark, where every document without a label is looked at.
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows[:240]], "doc_id long, quality int")
+    scored = {r["doc_id"]: r["quality_score"] for r in quality.classify(docs, labels).collect()}
+    assert right(np.array([scored[i] for i in range(240, 3000)])) >= both - 0.01
+
+
+def test_spark_passes_on_what_the_list_does(spark, monkeypatch):
+    import numpy as np
+
+    from mnemograph.llm import quality
+
+    rows = pages_of_two_kinds(400, 5)
+    monkeypatch.setattr(quality, "PER_ROUND", 60)
+    seen = []
+    whole = quality.co_train
+
+    def spying(x, f, y, pool, rounds=2):
+        def lessons(models, base):
+            found = pool(models, base)
+            seen.append((models, base, found))
+            return found
+
+        return whole(x, f, y, lessons, rounds)
+
+    monkeypatch.setattr(quality, "co_train", spying)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(399, rows[399][1]), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows[:40]], "doc_id long, quality int")
+    quality.classify(docs, labels).count()
+    buckets = {}
+    x = np.stack([quality.text_features(t, buckets) for _, t, _ in rows[40:]])
+    f = np.stack([quality.page_features(t, {}) for _, t, _ in rows[40:]])
+    pool = quality.pool_of(x, f)
+    assert len(seen) == 2
+    for models, base, found in seen:
+        want = pool(models, base)
+        key = lambda lessons: {(p, v): sorted(r.tobytes() for r in rows_) for p, rows_, v in lessons}
+        assert key(found) == key(want)
