@@ -14,6 +14,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,6 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Workspaces that a :func:`swept` block will close, the innermost block last.
+_MADE: list[list[Workspace]] = []
+
+
 class Workspace:
     """Written tables of one operator call, under the shared folder."""
 
@@ -45,6 +51,8 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/mnemograph-{uuid.uuid4().hex}"
         self.count = 0
+        if _MADE:
+            _MADE[-1].append(self)
 
     def put(self, df: DataFrame, tag: str = "t") -> DataFrame:
         """Write ``df`` and return the written table; its lineage ends here."""
@@ -65,6 +73,17 @@ class Workspace:
         _delete(self.spark, self.root)
 
 
+@contextmanager
+def swept() -> Iterator[None]:
+    """Tables that operators write within the block are deleted at its end: results must have been written by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for ws in _MADE.pop():
+            ws.close()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

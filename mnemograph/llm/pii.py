@@ -128,10 +128,9 @@ _WORD_DOT = r"\x20{1,3}(?:dot|punto|punkt|point)\x20{1,3}|\x20{1,3}\.\x20{1,3}|\
 _NAME, _HOST = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+"
 _AT, _DOT = rf"(?:{_HIDDEN_AT}|{_WORD_AT}|@)", rf"(?:{_HIDDEN_DOT}|{_WORD_DOT}|\.)"
 #: A disguised address: a local part, an at of any form, and host labels with dots of any form between them.
-_ADDRESS = re.compile(rf"(?<![A-Za-z0-9_%+.-])(?P<local>{_NAME}(?:(?:{_HIDDEN_DOT}|\x20dot\x20|\.){_NAME}){{0,4}}+)(?P<at>{_AT})(?P<host>{_HOST}(?:{_DOT}{_HOST}){{1,5}})", re.IGNORECASE)
+_ADDRESS = re.compile(rf"(?<![A-Za-z0-9_%+.-])(?P<local>{_NAME}(?:(?:{_HIDDEN_DOT}|\x20dot\x20|\.){_NAME}){{0,31}}+)(?P<at>{_AT})(?P<host>{_HOST}(?:{_DOT}{_HOST}){{1,126}})", re.IGNORECASE)
 _AT_SIGN = re.compile(rf"{_HIDDEN_AT}|{_WORD_AT}", re.IGNORECASE)
 _DOT_SIGN = re.compile(rf"{_HIDDEN_DOT}|{_WORD_DOT}", re.IGNORECASE)
-_HIDDEN_DOT_RE = re.compile(_HIDDEN_DOT, re.IGNORECASE)
 _SPOKEN_DOT_RE = re.compile(rf"{_HIDDEN_DOT}|\x20{{1,3}}(?:dot|punto|punkt|point)\x20{{1,3}}", re.IGNORECASE)
 _DOT_HINT = re.compile(r"[\[({<]\s{0,3}(?:at|@|arroba|ät|dot|\.|punto|punkt|point)\s{0,3}[\])}>]|\x20(?:dot|punto|punkt|point)\x20|\x20@|@\x20", re.IGNORECASE)
 _LETTER_HINT = re.compile("[" + "".join(map(re.escape, LETTERS)) + "]")
@@ -247,7 +246,7 @@ def plain_signs(r: Rewritten) -> Rewritten:
         return r
     edits: list[tuple[int, int, str]] = []
     for m in _ADDRESS.finditer(r.text):
-        if m["at"] == "@" and not _SPOKEN_DOT_RE.search(m["host"]) and not _HIDDEN_DOT_RE.search(m["local"]):
+        if m["at"] == "@" and not _SPOKEN_DOT_RE.search(m["host"]) and not _SPOKEN_DOT_RE.search(m["local"]):
             continue
         worded = _WORDED_AT.fullmatch(m["at"])
         if worded and not _SPOKEN_DOT_RE.search(m["host"]):
@@ -268,7 +267,11 @@ _IP_DOT = re.compile(r"(?<=[0-9])(?:\x20?[\[({]\x20?(?:dot|\.)\x20?[\])}]\x20?|\
 
 
 def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
-    """(base spans, all spans) by kind, in order; offsets are code points, ends exclusive."""
+    """(base spans, all spans) by kind, in order; offsets are code points, ends exclusive.
+
+    What is found after rewriting is added if it is clear of the base spans of
+    its kind or holds whole ones of them and more; those stay as well.
+    """
     base = {kind: f(text) for kind, f in DETECTORS.items()}
     read = plain_signs(plain_digits(plain_letters(Rewritten(text))))
     if read.starts is None:
@@ -281,7 +284,8 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
         for found in f(read.text):
             s, e = read.source(found)
             k = bisect_left(ends, s + 1)
-            if (k == len(have) or have[k][0] >= e) and (not added or added[-1][1] <= s):
+            met = have[k : bisect_left(have, (e, 0), k)]
+            if (s, e) not in met and all(s <= a and b <= e for a, b in met) and (not added or added[-1][1] <= s):
                 added.append((s, e))
         every[kind] = sorted(have + added)
     return base, every
@@ -317,7 +321,7 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(2 * len(KINDS) + 2)]
+            columns: list[list] = [[] for _ in _FIELDS]
             for t in batch["text"]:
                 base, every = find(t.as_py() or "")
                 values = (
@@ -325,6 +329,7 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
                     hashlib.sha256(joined(base).encode()).hexdigest(),
                     joined(every),
                     *(len(base[k]) for k in KINDS),
+                    sum(map(len, every.values())),
                 )
                 for column, v in zip(columns, values, strict=True):
                     column.append(v)
@@ -334,7 +339,7 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     return source.mapInArrow(_typed(run), f"key {kind}, {kinds}").withColumnRenamed("key", key)
 
 
-_FIELDS = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(f"n_base_{k}" for k in KINDS)]
+_FIELDS = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(f"n_base_{k}" for k in KINDS), "n_spans"]
 
 
 def _typed(run: Callable) -> Callable:
@@ -343,7 +348,12 @@ def _typed(run: Callable) -> Callable:
 
 
 def mask(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in angle brackets; a null text stays null."""
+    """``docs`` with every span in ``text`` replaced by its kind in angle brackets, overlapping ones by one.
+
+    Defined cases: a null text stays null and an empty one empty; texts are read
+    whole, of any length; repeated rows stay; all other columns pass through,
+    whatever their names; an empty table gives an empty table.
+    """
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

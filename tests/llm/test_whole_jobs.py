@@ -355,3 +355,114 @@ def test_spark_passes_on_what_the_list_does(spark, monkeypatch):
         want = pool(models, base)
         key = lambda lessons: {(p, v): sorted(r.tobytes() for r in rows_) for p, rows_, v in lessons}
         assert key(found) == key(want)
+
+
+# -- spans that hold others ----------------------------------------------------
+
+
+def test_a_found_span_may_hold_base_spans():
+    text = "Write to john dot smith@example.com now"
+    base, every = pii.find(text)
+    assert base["email"] == [(18, 35)] and every["email"] == [(9, 35), (18, 35)]
+    assert pii.masked(text, every) == "Write to <EMAIL> now"
+
+
+def test_long_disguised_addresses():
+    local, host = " dot ".join("abcdefgh"), " dot ".join(["mail"] * 9 + ["org"])
+    text = f"at {local} at {host} x"
+    _, every = pii.find(text)
+    assert len(every["email"]) == 1
+
+
+# -- every query of the subpackage, and every stage, on small and odd tables ---
+
+
+ODD = [
+    (1, "Write to a@b.org or 10.0.0.1, 4111 1111 1111 1111 or +49 30 1234567.\nA line of several words here", "en", "s", 0),
+    (2, None, None, None, None),
+    (3, "", "en", "s", 0),
+    (4, "word " * 3000, "en", "t", 1),
+    (5, "word " * 3000, "en", "t", 1),
+    (5, "word " * 3000, "en", "t", 1),
+    (6, "the same line\nthe same line\n\nanother one of them", "de", "s", 2),
+    (7, "x" * 900, "de", "s", 2),
+    (8, "y" + "x" * 900, "de", "s", 2),
+]
+KIND = "doc_id long, text string, lang string, source string, n_chars int"
+
+
+@pytest.fixture(scope="module", params=["odd", "empty"])
+def odd_dir(spark, tmp_path_factory, request):
+    at = tmp_path_factory.mktemp(request.param)
+    rows = ODD if request.param == "odd" else []
+    spark.createDataFrame(rows, KIND).coalesce(1).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, 1), (4, 0), (6, 1), (7, 0), (None, 1)] if rows else [], "doc_id long, quality int").coalesce(1).write.parquet(f"{at}/labels.parquet")
+    vectors = [(1, [1.0, 0.0], "a"), (2, [0.99, 0.05], "a"), (3, None, "a"), (4, [0.0, 0.0], "a"), (5, [1.0, float("nan")], "a"), (6, [1.0, 0.0], None), (7, [1.0, 0.0], "b")]
+    spark.createDataFrame(vectors if rows else [], "vec_id long, embedding array<double>, label string").coalesce(1).write.parquet(f"{at}/embeddings.parquet")
+    return str(at), rows
+
+
+def test_queries_on_odd_tables(spark, odd_dir):
+    import hashlib
+    import zlib
+
+    from mnemograph.llm.queries import QUERIES
+
+    at, rows = odd_dir
+    got = {n: q(spark, at).collect() for n, q in QUERIES.items()}
+    assert {n: len(r) for n, r in got.items() if n not in ("op3_embeddings", "op6_packing")} == {n: len(rows) for n in got if n not in ("op3_embeddings", "op6_packing")}
+    if not rows:
+        assert not got["op3_embeddings"] and not got["op6_packing"]
+        return
+    raw = {i: (t or "").encode() for i, t, *_ in rows}
+    assert [tuple(r)[:4] for r in sorted(got["op3_embeddings"])] == [(1, 1, 1, True), (2, 1, 1, False), *((k, 0, k, True) for k in (3, 4, 5, 6, 7))]
+    for r in got["op5_ogg"]:
+        payload = raw[r["doc_id"]] + bytes(-len(raw[r["doc_id"]]) % 64 or (0 if raw[r["doc_id"]] else 64))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw[r["doc_id"]]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    for r in got["op7_suffixes"]:
+        copied, hit = r["doc_id"] in (4, 5), r["doc_id"] in (4, 5, 7, 8)
+        assert r["n_bytes"] == len(raw[r["doc_id"]]) and r["repeats"] == hit and (r["n_removed"] == r["n_bytes"]) == (copied or r["doc_id"] == 7 or not r["n_bytes"])
+        assert r["kept_sha256"] == hashlib.sha256(b"y" if r["doc_id"] == 8 else b"" if hit else raw[r["doc_id"]]).hexdigest()
+    sizes = sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got["op9_sharding"])
+    assert sizes == sorted((i, 8 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["n_spans"]) for r in got["op4_pii"]}[1] == (1, 1, 1, 1, 4)
+    places = {}
+    for r in got["op6_packing"]:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in places.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))] and sum(n for _, n in spans) <= 1024
+    assert {r["component_id"] for r in got["op2_simhash"] if r["doc_id"] in (2, 3)} == {2}
+    assert all(r["ids"] is None or r["n_ids"] == len(r["ids"]) for r in got["op1_sentencepiece"])
+
+
+def test_stages_on_odd_tables(spark, odd_dir):
+    import corpus_pipeline
+
+    at, rows = odd_dir
+    docs = spark.read.parquet(f"{at}/documents.parquet").withColumnRenamed("lang", "lang")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, at)
+        if name != "packing":
+            assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+        kept = [r["doc_id"] for r in out.collect()]
+        assert set(kept) <= {r[0] for r in rows}
+        if name in ("lines", "personal_data"):
+            assert sorted(kept) == sorted(r[0] for r in rows)
+        if name == "near_duplicates" and rows:
+            assert sorted(kept) == [1, 2, 4, 6, 7, 8]
+        if name == "packing":
+            assert set(kept) == {r[0] for r in rows}
+
+
+def test_pipeline_leaves_only_its_last_table(spark, odd_dir):
+    import glob
+
+    import corpus_pipeline
+
+    at, rows = odd_dir
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{root}/*/*"))
+    out = corpus_pipeline.run(spark, at)
+    assert len({r["doc_id"] for r in out.collect()}) > 0 if rows else out.count() == 0
+    assert [p.rsplit("-", 1)[1] for p in set(glob.glob(f"{root}/*/*")) - before] == ["packing"]
