@@ -323,7 +323,10 @@ def score(docs: DataFrame, model: CoTrained | None, text: str, facts: list[str],
 def _scored(docs: DataFrame, model: CoTrained | None, text: str, facts: list[str], kept: list[str], out: list[str]) -> DataFrame:
     """The columns ``kept`` and three scores."""
     names = [f"m{i}" for i in range(len(facts))]
-    source = docs.select(*[col(c) for c in kept], *[_fact(docs, c).alias(f"\0{n}") for c, n in zip(facts, names, strict=True)], col(text).alias("\0text"))
+    columns = [*[col(c) for c in kept], *[_fact(docs, c).alias(f"\0{n}") for c, n in zip(facts, names, strict=True)]]
+    # A text that passes through anyway is not sent twice.
+    at = kept.index(text) if text in kept else len(columns)
+    source = docs.select(*columns, *([] if text in kept else [col(text).alias("\0text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets: dict[str, int] = {}
@@ -333,8 +336,8 @@ def _scored(docs: DataFrame, model: CoTrained | None, text: str, facts: list[str
                 p = (np.ones(n),) * 3
             else:
                 parts = []
-                texts = batch.column(batch.num_columns - 1)
-                meta = pa.RecordBatch.from_arrays(batch.columns[len(kept) : -1], names) if names else None
+                texts = batch.column(at)
+                meta = pa.RecordBatch.from_arrays(batch.columns[len(kept) : len(kept) + len(names)], names) if names else None
                 rows = _facts_of(meta, names) if names else [{}] * n
                 for a in range(0, n, 512):
                     some = [t.as_py() for t in texts[a : a + 512]]
