@@ -1,10 +1,11 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence per group.
 
 Lines are normalised (lower case, white space collapsed) and equal ones are one
-class. A line's fingerprint is the 64-bit SimHash of its set of words. Fingerprints
-within three bits agree in at least two of five blocks, so classes meet in ten
-buckets, one for each pair of blocks; near fingerprints are verified by edit
-similarity. Of each connected group the first occurrence stays.
+class. A line's fingerprint is the 64-bit SimHash of its set of words. Classes meet
+in ten buckets, one for each pair of five blocks of the fingerprint: all within three
+bits meet, and of those further apart the ones whose bits fall into three blocks.
+What meets and differs in at most eight bits is verified by edit similarity. Of each
+connected group the first occurrence stays.
 
 All of it is DataFrame expressions. The bit counts of a SimHash are sums over
 exploded words with three 21-bit counters in a long, one combinable aggregate.
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from mnemograph.llm.common import Workspace, col, connected_components, fresh, numbered, small
 
-#: Most differing bits of two fingerprints, and least edit similarity of two lines.
-MAX_BITS, SIMILARITY = 3, 0.8
+#: Most differing bits of two fingerprints that share two blocks, and least edit similarity of two lines. Similar
+#: lines are mostly four to eight bits apart, and fewer than one in 4,000 of those that meet by chance are so near.
+MAX_BITS, SIMILARITY = 8, 0.8
 #: Blocks of the fingerprint: (first bit, bits).
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Counters in a long and their width: up to 1,048,575 words in a line are counted so. A line of more
@@ -279,10 +281,12 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with duplicate lines gone from ``text``, and two longs: n_lines before and n_kept.
 
-    Two lines link if their fingerprints differ in at most three bits and their
-    edit similarity in characters, at any length, reaches ``similarity``; equal normalised lines always do. Of
-    each connected group the first occurrence stays: that of the smallest key
-    (null comes last), then the order of the rows in their files.
+    Two lines link if their fingerprints agree in two of five blocks, which all
+    within three bits do, and differ in at most eight bits, and their edit
+    similarity in characters, at any length, reaches ``similarity``; equal
+    normalised lines always do. Of each connected group the first occurrence
+    stays: that of the smallest key (null comes last), then the order of the
+    rows in their files.
 
     Defined cases: a null text stays null and has no lines; blank lines stay and
     are compared with nothing; a text whose lines all go becomes empty; repeated
