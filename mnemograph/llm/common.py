@@ -150,6 +150,15 @@ def small(written: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(written) if size <= limit else written
 
 
+def large(df: DataFrame) -> DataFrame:
+    """A frame that no join may broadcast.
+
+    Spark judges by the size of the files below, which says little once rows are
+    exploded or were well compressed; the driver would build the whole relation.
+    """
+    return df.hint("merge")
+
+
 def block_bits(rows: int, rows_per_block: int) -> int:
     """Bits of a uniform key so that a block of it holds about ``rows_per_block`` rows."""
     return max(0, math.ceil(math.log2(max(1, rows) / rows_per_block)))
@@ -193,6 +202,8 @@ def connected_components(ws: Workspace, edges: DataFrame, a: str, b: str) -> Dat
         "links",
     )
     seen = None
+    # Least neighbours are two rows a link at most, each of about 64 bytes in a hashed relation.
+    bounded = lambda df: df if 128 * sign[0] <= BROADCAST_BYTES else large(df)
     while True:
         sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if sign[0] == 0 or sign == seen:
@@ -204,20 +215,20 @@ def connected_components(ws: Workspace, edges: DataFrame, a: str, b: str) -> Dat
             now.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
         )
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            now.join(least, F.col("lo") == F.col("u"))
+        wide = (
+            now.join(bounded(least), F.col("lo") == F.col("u"))
             .where(F.col("hi") != F.col("m"))
             .select("hi", F.col("m").alias("lo"))
             .distinct()
         )
-        large = ws.put(large, "large-star")
-        least = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        wide = ws.put(wide, "large-star")
+        least = wide.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         small = (
-            large.join(least, F.col("hi") == F.col("u"))
+            wide.join(bounded(least), F.col("hi") == F.col("u"))
             .where(F.col("lo") != F.col("m"))
             .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
             .distinct()
         )
         old, now = now, ws.put(small, "small-star")
-        ws.drop(old, large)
+        ws.drop(old, wide)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import Workspace, col, connected_components, fresh, numbered, small
+from mnemograph.llm.common import Workspace, col, connected_components, fresh, large, numbered, small
 
 SEED = 42
 LOW = 0x5555555555555555
@@ -104,6 +104,8 @@ def links(fps: DataFrame, fp: str, max_distance: int = 3) -> DataFrame:
     the adaptive skew join may split; the Manhattan bound and the exact distance
     are conditions of that join, so only true links leave it. A pair met in
     both halves leaves it once: the second half skips what the first one finds.
+    Neither side is broadcast: they hold 2 and about 50 rows a fingerprint, which
+    the size of its file does not tell.
     """
     if not 0 <= max_distance <= 3:
         raise ValueError("half cells are only searched one step around: max_distance must be 0 to 3")
@@ -122,7 +124,7 @@ def links(fps: DataFrame, fp: str, max_distance: int = 3) -> DataFrame:
         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
         & ((here["h"] == 0) | ~first_half_near)
     )
-    return here.join(around, (here["h"] == around["h"]) & (here["c"] == around["c"]) & near).select("a", "b")
+    return here.join(large(around), (here["h"] == around["h"]) & (here["c"] == around["c"]) & near).select("a", "b")
 
 
 def near_duplicates(
@@ -145,12 +147,12 @@ def near_duplicates(
     pairs = ws.put(links(classes, "f", max_distance), "pairs")
     joined = connected_components(ws, pairs, "a", "b")
     # Classes without a link are components of their own.
-    member = classes.join(joined, classes["f"] == joined["node"], "left").select(
+    member = classes.join(large(joined), classes["f"] == joined["node"], "left").select(
         "f", "least", F.coalesce("component", "f").alias("root")
     )
     roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = ws.put(member.join(roots, "root").select("f", "component_id"), "members")
-    return prints.join(member, "f").select(
+    member = ws.put(member.join(large(roots), "root").select("f", "component_id"), "members")
+    return prints.join(large(member), "f").select(
         F.col("key").alias(key),
         F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -170,8 +172,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "file", "nr"))
     classes = ws.put(prints.groupBy("f").agg(first.alias("first")), "classes")
     joined = connected_components(ws, ws.put(links(classes, "f", max_distance), "pairs"), "a", "b")
-    member = classes.join(joined, classes["f"] == joined["node"], "left").select("first", F.coalesce("component", "f").alias("root"))
+    member = classes.join(large(joined), classes["f"] == joined["node"], "left").select("first", F.coalesce("component", "f").alias("root"))
     stay = member.groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.nr")
     # What goes is far less than what stays, so the texts need not be shuffled to leave it out.
-    gone = ws.put(prints.select("file", "nr").join(stay, ["file", "nr"], "left_anti"), "gone")
+    gone = ws.put(prints.select("file", "nr").join(large(stay), ["file", "nr"], "left_anti"), "gone")
     return rows.join(small(gone.select(F.col("file").alias(where[0]), F.col("nr").alias(where[1]))), where, "left_anti").drop(*where)

@@ -359,6 +359,30 @@ def test_links_of_near_fingerprints(spark):
     assert all(meet[p] for p in near(3))
 
 
+def test_links_are_never_broadcast(spark):
+    """The file of 200 fingerprints is far below Spark's threshold, as that of 300,000 is; their cells are not."""
+    prints = common.Workspace(spark).put(spark.range(200).select(F.xxhash64("id").alias("f")))
+    pairs = simhash.links(prints, "f")
+    assert pairs.count() == 0
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_components_of_many_links_are_not_broadcast(spark, monkeypatch):
+    edges = [(n, n + 1) for n in range(0, 60) if n % 7]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = components_of(edges, {n for e in edges for n in e})
+    joins = []
+    put = common.Workspace.put
+    monkeypatch.setattr(common.Workspace, "put", lambda self, df, tag="t": joins.append(df._jdf.queryExecution().executedPlan().toString()) or put(self, df, tag))
+    for limit, met in ((common.BROADCAST_BYTES, True), (0, False)):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+        joins.clear()
+        got = common.connected_components(common.Workspace(spark), df, "a", "b").collect()
+        assert {r["node"]: r["component"] for r in got} == want
+        assert any("Join" in p for p in joins) and any("BroadcastHashJoin" in p for p in joins) == met
+
+
 def test_keep_one(spark, docs, corpus):
     got = simhash.keep_one(docs, "doc_id", "text", shingle=3)
     assert got.columns == docs.columns
