@@ -1,10 +1,14 @@
-"""Near copies of documents: shingle sets, MinHash bands, exact similarity.
+"""Near copies of documents: shingle sets, SimHash and MinHash candidates, exact similarity.
 
 Two documents are near copies if the Jaccard similarity of their sets of word
-shingles reaches a threshold. Candidates share one of ``BANDS`` keys, each of
-``ROWS`` smallest hashes; each pair of groups that meets is verified on the
-whole shingle sets. A pair at the threshold of 0.8 is missed with a probability
-of (1 - 0.8 ** 4) ** 24, about three in a million, and a nearer one with less.
+shingles reaches a threshold. Candidates come in two ways, and each is verified
+on the whole shingle sets. Sets whose SimHash differs in at most ``MAX_BITS``
+bits meet in the cells of segment popcounts (``simhash``), which loses none of
+them; but at a similarity of 0.8 ten bits are usual. For the rest, sets meet
+that share one of ``BANDS`` keys, each of ``ROWS`` smallest hashes. A pair at
+0.8 is missed by the keys with a probability of (1 - 0.8 ** 4) ** 24, about three
+in a million, and a nearer one with less. The keys come first, as the cells then
+need not give the pairs of what is one group already.
 
 Equal sets are one class before anything is joined, so copies of a text never
 meet each other.
@@ -17,13 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import Workspace, col, connected_components, fresh, numbered, small
-from mnemograph.llm.simhash import _LOWER, _WORD, SEED
+from mnemograph.llm.common import Workspace, col, connected_components, fresh, large, numbered, small
+from mnemograph.llm.simhash import _LOWER, _WORD, SEED, _majority, near_rows
 
 BANDS, ROWS = 24, 4
+#: Differing SimHash bits within which the cells of popcounts lose no pair.
+MAX_BITS = 3
 #: Shingles hashed at once.
 CHUNK = 1 << 12
 _DRAWN = np.random.RandomState(SEED).randint(0, 1 << 32, (4, BANDS * ROWS), np.uint64)
@@ -53,7 +59,7 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def _prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(file, nr, key, c, n, bands): a digest of each document's shingle set, its size and its band keys."""
+    """(file, nr, key, c, n, f, bands): a digest of each document's shingle set, its size, its SimHash and its band keys."""
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,10 +67,11 @@ def _prints(docs: DataFrame, shingle: int) -> DataFrame:
             sets = [shingle_set(t.as_py(), shingle) for t in batch["text"]]
             digests = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
             bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            columns = [*(batch[c] for c in ("file", "nr", "key")), digests, pa.array([len(s) for s in sets], pa.int64()), bands]
-            yield pa.RecordBatch.from_arrays(columns, ["file", "nr", "key", "c", "n", "bands"])
+            prints = pa.array(np.array([_majority(s) for s in sets], np.uint64).view(np.int64))
+            columns = [*(batch[c] for c in ("file", "nr", "key")), digests, pa.array([len(s) for s in sets], pa.int64()), prints, bands]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "nr", "key", "c", "n", "f", "bands"])
 
-    return docs.mapInArrow(run, f"file long, nr long, key {kind}, c binary, n long, bands array<long>")
+    return docs.mapInArrow(run, f"file long, nr long, key {kind}, c binary, n long, f long, bands array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -90,6 +97,23 @@ def _verified(ws: Workspace, pairs: DataFrame, classes: DataFrame, docs: DataFra
     return ws.put(pairs.join(sa, "a").join(sb, "b").where(near).select("a", "b"), "similar")
 
 
+def _sizes_allow(na: Column | str, nb: Column | str, similarity: float) -> Column:
+    return F.least(na, nb) >= F.greatest(na, nb) * similarity - 1e-6
+
+
+def print_links(ws: Workspace, classes: DataFrame, groups: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
+    """Similar pairs (a, b) of different groups whose SimHash differs in at most ``MAX_BITS`` bits, or None if there are none.
+
+    ``groups`` names the component of each class that has one; the others are groups of their own.
+    """
+    apart = classes.join(large(groups), classes["id"] == groups["node"], "left").select("id", "n", "f", F.coalesce("component", "id").alias("g"))
+    met = near_rows(
+        ws.put(apart, "apart"), "f", MAX_BITS, lambda a, b: (a("id") < b("id")) & (a("g") != b("g")) & _sizes_allow(a("n"), b("n"), similarity)
+    )
+    met = ws.put(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "met-by-print")
+    return _verified(ws, met, classes, docs, shingle, similarity) if met.count() else None
+
+
 def links(ws: Workspace, classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of class ids whose connected components are those of all similar pairs.
 
@@ -97,7 +121,7 @@ def links(ws: Workspace, classes: DataFrame, docs: DataFrame, shingle: int, simi
     group, and only pairs of different groups are left to compare, so a large
     group of near copies does not give all its pairs.
     """
-    close = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6
+    close = _sizes_allow("na", "nb", similarity)
     keyed = classes.select("id", "n", F.explode("bands").alias("k"))
     tops = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("top"))
     tops = ws.put(tops.where("m > 1").select("k", F.col("top.id").alias("a"), F.col("top.n").alias("na")), "tops")
@@ -133,9 +157,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     named = rows.select(*[F.col(w).alias(n) for w, n in zip(where, ("file", "nr"), strict=True)], col(key).alias("key"), col(text).alias("text"))
     prints = ws.put(_prints(named, shingle), "prints")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "file", "nr"))
-    classes = prints.groupBy("c").agg(first.alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = ws.put(classes.select(F.monotonically_increasing_id().alias("id"), "first", "n", "bands"), "classes")
-    joined = connected_components(ws, links(ws, classes, named, shingle, similarity), "a", "b")
+    classes = prints.groupBy("c").agg(first.alias("first"), F.first("n").alias("n"), F.first("f").alias("f"), F.first("bands").alias("bands"))
+    classes = ws.put(classes.select(F.monotonically_increasing_id().alias("id"), "first", "n", "f", "bands"), "classes")
+    found = links(ws, classes, named, shingle, similarity)
+    joined = connected_components(ws, found, "a", "b")
+    more = print_links(ws, classes, joined, named, shingle, similarity)
+    if more is not None:
+        joined = connected_components(ws, found.unionByName(more), "a", "b")
     member = classes.join(joined, classes["id"] == joined["node"], "left").select("first", F.coalesce("component", "id").alias("root"))
     stay = member.groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.nr")
     # What goes is far less than what stays, so the texts need not be shuffled to leave it out.

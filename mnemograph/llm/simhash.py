@@ -19,7 +19,7 @@ never meet each other.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,24 +107,32 @@ def links(fps: DataFrame, fp: str, max_distance: int = 3) -> DataFrame:
     Neither side is broadcast: they hold 2 and about 50 rows a fingerprint, which
     the size of its file does not tell.
     """
+    met = near_rows(fps.select(F.col(fp).alias("f")), "f", max_distance, lambda a, b: a("f") < b("f"))
+    return met.select(F.col("a_f").alias("a"), F.col("b_f").alias("b"))
+
+
+def near_rows(rows: DataFrame, fp: str, max_distance: int, wanted: Callable[[Callable, Callable], Column]) -> DataFrame:
+    """Pairs of rows whose fingerprints differ in at most ``max_distance`` <= 3 bits, columns as a_<name> and b_<name>.
+
+    ``wanted`` gets two functions from names to columns and says which pairs to
+    return; both orders of a pair meet, so it should hold for one of them.
+    """
     if not 0 <= max_distance <= 3:
         raise ValueError("half cells are only searched one step around: max_distance must be 0 to 3")
-    vectors = fps.select(F.col(fp).alias("f")).withColumn("v", _unary_counts(F.col("f")))
     halves = F.array(*[F.struct(F.lit(h).alias("h"), _half(F.col("v"), h).alias("c")) for h in (0, 1)])
-    here = vectors.select(F.col("f").alias("a"), F.col("v").alias("va"), F.explode(halves).alias("x")).select("a", "va", "x.h", "x.c")
-    around = (
-        vectors.select(F.col("f").alias("b"), F.col("v").alias("vb"), F.explode(halves).alias("x"))
-        .select("b", "vb", "x.h", F.explode(_steps(F.col("x.c"))).alias("c"))
-    )
+    vectors = rows.withColumn("v", _unary_counts(F.col(fp))).withColumn("x", F.explode(halves))
+    here = vectors.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns], F.col("v").alias("va"), "x.h", "x.c")
+    around = vectors.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns], F.col("v").alias("vb"), "x.h", F.explode(_steps(F.col("x.c"))).alias("c"))
     apart = F.col("va").bitwiseXOR(F.col("vb"))
     first_half_near = F.bit_count(apart.bitwiseAND(F.lit(0xFFFFFFFF))) <= 1
     near = (
-        (F.col("a") < F.col("b"))
+        wanted(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
         & (F.bit_count(apart) <= max_distance)
-        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
+        & (F.bit_count(F.col(f"a_{fp}").bitwiseXOR(F.col(f"b_{fp}"))) <= max_distance)
         & ((here["h"] == 0) | ~first_half_near)
     )
-    return here.join(large(around), (here["h"] == around["h"]) & (here["c"] == around["c"]) & near).select("a", "b")
+    met = here.join(large(around), (here["h"] == around["h"]) & (here["c"] == around["c"]) & near)
+    return met.select(*[f"{side}_{c}" for side in "ab" for c in rows.columns])
 
 
 def near_duplicates(

@@ -65,6 +65,31 @@ def test_pipeline_keeps_one_of_all_near_copies(spark, near_texts):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
 
 
+def test_near_copies_meet_by_simhash_too(spark, near_texts, monkeypatch):
+    """Without any band key, pairs within three bits of SimHash are still found, by the cells of popcounts."""
+    import corpus_pipeline
+    import numpy as np
+    import xxhash
+
+    from mnemograph.llm import shingles as operator
+    from mnemograph.llm import simhash
+
+    sets = [shingles(t) for t in near_texts]
+    prints = [simhash._majority(np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in s], np.uint64)) for s in sets]
+    least = list(range(len(sets)))
+    found = 0
+    for a, b in combinations(range(len(sets)), 2):
+        if sets[a] == sets[b] or ((prints[a] ^ prints[b]).bit_count() <= 3 and jaccard(sets[a], sets[b]) >= 0.8):
+            found += sets[a] != sets[b]
+            x, y = sorted((least[a], least[b]))
+            least = [x if n == y else n for n in least]
+    assert found > 20
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(operator, "links", lambda ws, *rest: ws.put(none))
+    docs = spark.createDataFrame(list(enumerate(near_texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(least)
+
+
 # -- spelled digits of any number ----------------------------------------------
 
 
