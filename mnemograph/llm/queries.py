@@ -34,10 +34,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 or more that repeat anywhere in all documents, removed; and with the first copies kept."""
+    """Byte strings of 400 or more that repeat anywhere in all documents, removed; with the first copies kept; and passages of over 50 words."""
     from mnemograph.llm.suffixes import repeats
 
-    left = repeats(_read(spark, sf_dir, "documents"), "doc_id", "text", width=400)
+    left = repeats(_read(spark, sf_dir, "documents"), "doc_id", "text", width=400, passage=51)
     return left.select(
         "doc_id",
         "n_bytes",
@@ -48,6 +48,8 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept_first")).cast("long").alias("n_removed_later"),
         F.size("later").cast("long").alias("n_spans_later"),
         F.sha2("kept_first", 256).alias("kept_first_sha256"),
+        "n_passages",
+        "n_passage_words",
     )
 
 

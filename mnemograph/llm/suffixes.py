@@ -24,6 +24,10 @@ length says that the window has been before.
 An anchor with very many distinct stretches is not gathered in one task: its
 windows are then counted by their 128-bit hashes, which combine before the
 shuffle. Both ways give the same windows.
+
+Passages are the same by words: a run of so many words that also stands in another
+text, however it is spaced. Its stretches share the smallest hash of ``GRAM`` words,
+and the windows of those that differ are compared by hash.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemograph.llm.common import Workspace, col, fresh, numbered, small
@@ -48,6 +52,8 @@ CROWD = 4096
 ARRAY_BYTES = 1 << 19
 #: Suffixes that are scanned with a stack at once, about.
 STACK = 1 << 16
+#: Words that the anchor of a passage covers, a power of two, and windows of words that are scanned at once.
+GRAM, SCAN_WORDS = 16, 1 << 15
 
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -267,8 +273,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 # -- on Spark ------------------------------------------------------------------
 
 
-def repeats(df: DataFrame, key: str, text: str, width: int = 400) -> DataFrame:
-    """One row per row of ``df``: key, n_bytes, spans, kept, later, kept_first.
+def repeats(df: DataFrame, key: str, text: str, width: int = 400, passage: int | None = None) -> DataFrame:
+    """One row per row of ``df``: key, n_bytes, spans, kept, later, kept_first, n_passages, n_passage_words.
 
     ``spans`` are the maximal runs of bytes covered by a ``width``-byte string
     that also starts anywhere else, in the same text included, and ``kept`` the
@@ -278,6 +284,11 @@ def repeats(df: DataFrame, key: str, text: str, width: int = 400) -> DataFrame:
     in their files, then position. Texts are judged as they came in, as UTF-8
     bytes; matches never cross texts.
 
+    ``n_passages`` are the maximal runs of words covered by ``passage`` words that
+    also stand in a row, one after another, in another row's text, and ``n_passage_words``
+    the words in them; both are null without ``passage``. Words are what is between
+    blanks (0x20 and 0x09 to 0x0D). Nothing is removed for them.
+
     Defined cases: a null text counts as empty; texts shorter than ``width`` keep
     everything; repeated rows of at least that length lose everything, but for
     the first of them in ``kept_first``; null keys pass through; other columns
@@ -285,6 +296,8 @@ def repeats(df: DataFrame, key: str, text: str, width: int = 400) -> DataFrame:
     """
     if width < ANCHOR + 1:
         raise ValueError(f"width must be over {ANCHOR}")
+    if passage is not None and passage < GRAM:
+        raise ValueError(f"passage must be at least {GRAM}")
     ws = Workspace(df.sparkSession)
     raw = F.coalesce(col(text).cast("binary"), F.lit(b""))
     where = fresh(df, "file", "nr")
@@ -292,7 +305,7 @@ def repeats(df: DataFrame, key: str, text: str, width: int = 400) -> DataFrame:
     rows = numbered(ws, df, where).select(col(key).alias("key"), raw.alias("raw"), F.unhex(F.substring(F.sha2(raw, 256), 1, 32)).alias("t"), place.alias("o"))
     twice = (F.col("copies") > 1) & (F.col("size") >= width)
     texts = rows.groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("raw")).alias("size"), F.min("o").alias("o"))
-    texts = ws.put(texts.select("t", "o", twice.alias("all")), "texts")
+    texts = ws.put(texts.select("t", "o", "copies", twice.alias("all")), "texts")
     cut = ws.put(_cut(rows.select("t", "raw"), width), "stretches")
 
     # Anchors that occur in one place only are done. Copies of a text are one place.
@@ -327,10 +340,24 @@ def repeats(df: DataFrame, key: str, text: str, width: int = 400) -> DataFrame:
     spans = ws.put(spans, "spans")
 
     # Only the first row of a text needs its spans: any other is a copy of a whole text.
-    hit = texts.join(spans.select("t", F.lit(True).alias("some")), "t", "left").where("all or some")
-    hit = ws.put(hit.select("t", "all", F.coalesce("some", F.lit(False)).alias("some"), F.col("o").alias("first")), "hit")
+    hit = texts.join(spans.select("t", F.lit(True).alias("some")), "t", "left")
+    said = [F.lit(None).cast("long").alias(c) for c in _SAID]
+    if passage is None:
+        hit = hit.where("all or some")
+    else:
+        hit = hit.join(passages(ws, rows, texts, where, passage), "t", "left").where("all or some or n_passages is not null or copies > 1")
+        said = ["n_passages", "n_passage_words"]
+        # All words of a copied text stand in another row.
+        words = F.when(F.col("copies") > 1, F.regexp_count(F.col("raw").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
+    hit = hit.select("t", "all", F.coalesce("some", F.lit(False)).alias("some"), F.col("o").alias("first"), "copies", *said)
+    hit = ws.put(hit, "hit")
     marked = rows.join(small(hit), "t", "left").withColumn("again", F.coalesce(F.col("o") != F.col("first"), F.lit(False)))
     marked = marked.withColumns({"all": F.coalesce("all", F.lit(False)), "some": F.coalesce(F.col("some") & ~F.col("again"), F.lit(False))})
+    if passage is not None:
+        whole = words >= passage
+        zero = F.lit(0).cast("long")
+        n, in_them = F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_passages", zero)), F.when(whole, words).otherwise(F.coalesce("n_passage_words", zero))
+        marked = marked.withColumns({"n_passages": n, "n_passage_words": in_them})
     n_bytes = F.octet_length("raw").cast("long")
     full = F.array(F.struct(F.lit(0).cast("long").alias("s"), n_bytes.alias("e")))
     copy = F.col("all") & F.col("again")
@@ -341,12 +368,15 @@ def repeats(df: DataFrame, key: str, text: str, width: int = 400) -> DataFrame:
         F.when(F.col("all"), F.lit(b"")).otherwise(F.col("raw")).alias("kept"),
         F.when(copy, full).otherwise(none).alias("later"),
         F.when(copy, F.lit(b"")).otherwise(F.col("raw")).alias("kept_first"),
+        *_SAID,
     )
-    partly = marked.where("some").select("t", "key", "raw", "all").join(spans, "t").select("key", "raw", "all", "runs", "later")
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, spans {_SPANS}, kept binary, later {_SPANS}, kept_first binary"
+    partly = marked.where("some").select("t", "key", "raw", "all", *_SAID).join(spans, "t").select("key", "raw", "all", "runs", "later", *_SAID)
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, spans {_SPANS}, kept binary, later {_SPANS}, kept_first binary, n_passages long, n_passage_words long"
     return native.unionByName(partly.mapInArrow(_apply, schema)).withColumnRenamed("key", key)
 
 
+#: What is said of passages.
+_SAID = ("n_passages", "n_passage_words")
 _SPANS = "array<struct<s:long,e:long>>"
 _FOUND = f"h1 long, h2 long, runs {_SPANS}, later {_SPANS}"
 _ARROW_RUNS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
@@ -455,6 +485,145 @@ def _by_hash(copies: DataFrame, width: int) -> DataFrame:
     return hits.groupBy("h1", "h2").agg(gathered(F.col("w")).alias("runs"), gathered(F.when(F.col("place") != F.col("least"), F.col("w"))).alias("later"))
 
 
+# -- passages of words ---------------------------------------------------------
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def word_stretches(hashes: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+    """(anchor hash, first window, windows) of the stretches of texts that stand one after another.
+
+    ``hashes`` are those of their words, ``ends`` where each text ends. No window
+    crosses an end.
+    """
+    h, n = hashes, 1
+    for m in _MULTIPLIERS[: GRAM.bit_length() - 1]:
+        h = (h[:-n] * m) ^ (h[:-n] >> np.uint64(29)) ^ h[n:]
+        n *= 2
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    # The order of hashes must not depend on what is scanned together: the same bits are compared everywhere.
+    anchor = _sliding_argmin((h >> np.uint64(24)) << np.uint64(24), length - GRAM + 1)
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    at = np.flatnonzero(text[: len(text) - length + 1] == text[length - 1 :])
+    cuts = np.flatnonzero((np.diff(anchor[at]) != 0) | (np.diff(at) != 1)) + 1
+    first = np.concatenate([[0], cuts])
+    count = np.diff(np.concatenate([first, [len(at)]]))
+    yield from zip(h[anchor[at[first]]].view(np.int64).tolist(), at[first].tolist(), count.tolist(), strict=True)
+
+
+def _cut_words(texts: DataFrame, length: int) -> DataFrame:
+    """Stretches of each text by words: hash of the anchor, hash of the words, text, first window, windows."""
+    names = ["anchor", "h1", "h2", "t", "first", "windows"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+
+    def solve(held: list[tuple[bytes, int, np.ndarray]]) -> pa.RecordBatch:
+        out: list[list] = [[] for _ in names]
+        hashes, ends = np.concatenate([x[2] for x in held]), np.cumsum([len(x[2]) for x in held])
+        raw, begins, of, k = hashes.tobytes(), [0, *ends.tolist()], [x[:2] for x in held], 0
+        for anchor, at, windows in word_stretches(hashes, ends, length):
+            while at >= begins[k + 1]:
+                k += 1
+            h1, h2 = _split(xxhash.xxh3_128_digest(raw[8 * at : 8 * (at + windows + length - 1)]))
+            for column, v in zip(out, (anchor, h1, h2, of[k][0], of[k][1] + at - begins[k], windows), strict=True):
+                column.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for t, data in zip(batch["t"], batch["raw"], strict=True):
+                words = data.as_py().split()
+                for at in range(0, len(words) - length + 1, SCAN_WORDS):
+                    held.append((t.as_py(), at, _word_hashes(words[at : at + SCAN_WORDS + length - 1])))
+                    size += len(held[-1][2])
+                    if size >= SCAN_WORDS:
+                        yield solve(held)
+                        held, size = [], 0
+        if held:
+            yield solve(held)
+
+    return texts.mapInArrow(run, "anchor long, h1 long, h2 long, t binary, first long, windows long")
+
+
+def _word_windows(texts: DataFrame, length: int) -> DataFrame:
+    """The stretches ``w`` of each text with ``xs``, the hashes of their windows."""
+    names = ["anchor", "h1", "h2", "kinds", "p", "q"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, xs = [[] for _ in names], []
+            for data, wanted in zip(batch["raw"], batch["w"], strict=True):
+                raw = _word_hashes(data.as_py().split()).tobytes()
+                for x in wanted.as_py():
+                    places = range(8 * x["first"], 8 * (x["first"] + x["windows"]), 8)
+                    found = np.fromiter((xxhash.xxh3_64_intdigest(raw[at : at + 8 * length]) for at in places), np.uint64, len(places))
+                    xs.append(found.view(np.int64))
+                    for column, name in zip(held, names, strict=True):
+                        column.append(x[name])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in held], pa.array(xs, pa.list_(pa.int64()))], [*names, "xs"])
+
+    return texts.select("raw", "w").mapInArrow(run, "anchor long, h1 long, h2 long, kinds long, p long, q long, xs array<long>")
+
+
+def passages(ws: Workspace, rows: DataFrame, texts: DataFrame, where: list[str], length: int) -> DataFrame:
+    """(t, n_passages, n_passage_words) of the texts that share ``length`` words in a row with a different text.
+
+    ``p`` and ``q`` are the least and the largest hash of the texts that hold
+    something: it stands in two texts if they differ. Equal windows have equal
+    anchors, so a window is told by two hashes. What has few kinds meets by anchor,
+    one row for each stretch; the windows of a crowded one are counted everywhere.
+    """
+    cut = ws.put(_cut_words(rows.select("t", "raw"), length), "word-stretches")
+    spot = F.xxhash64("t")
+    anchors = ws.put(cut.groupBy("anchor").agg(F.min(spot).alias("p"), F.max(spot).alias("q")).where("p != q").select("anchor"), "word-anchors")
+    seen = ws.put(cut.join(small(anchors), "anchor", "left_semi"), "word-seen")
+    ws.drop(cut)
+    # Equal stretches are one kind, of which any copy serves.
+    kinds = seen.groupBy("anchor", "h1", "h2").agg(F.min(spot).alias("p"), F.max(spot).alias("q"), F.min(F.struct("t", "first", "windows")).alias("at"))
+    kinds = ws.put(kinds.select("anchor", "h1", "h2", "p", "q", "at.*"), "word-kinds")
+    # A kind in two texts repeats whole; where it is the only one of its anchor nothing else can.
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.expr("p = q")).alias("open")).where("kinds > 1 and open")
+    place = [F.col(f"o.{c}").alias(c) for c in where]
+    wanted = kinds.join(several, "anchor").groupBy("t").agg(F.collect_list(F.struct("anchor", "h1", "h2", "kinds", "first", "windows", "p", "q")).alias("w"))
+    wanted = ws.put(wanted.join(texts.select("t", *place), "t").drop("t"), "word-doubtful")
+    # One row of each text is read. Which ones is often small enough to be sent where what is wanted of them is not.
+    held = rows.select("raw", *place).join(small(wanted.select(*where)), where, "left_semi").join(small(wanted), where)
+    each = ws.put(_word_windows(held, length), "word-windows")
+
+    def windows(of: DataFrame) -> DataFrame:
+        return of.select("anchor", "h1", "h2", "p", "q", F.posexplode("xs").alias("w", "x"))
+
+    same = Window.partitionBy("anchor", "x")
+    few = windows(each.where(F.col("kinds") <= CROWD).repartition("anchor")).withColumns({"least": F.min("p").over(same), "most": F.max("q").over(same)})
+    few = few.where("p = q and least != most").select("h1", "h2", "w")
+    many = windows(each.where(F.col("kinds") > CROWD))
+    twice = many.groupBy("anchor", "x").agg(F.min("p").alias("least"), F.max("q").alias("most")).where("least != most").select("anchor", "x")
+    many = many.where("p = q").join(twice, ["anchor", "x"]).select("h1", "h2", "w")
+    found = few.unionByName(many).groupBy("h1", "h2").agg(F.collect_list("w").alias("hits"))
+    marks = kinds.select("h1", "h2", (F.col("p") != F.col("q")).alias("whole")).join(found, ["h1", "h2"], "left").where("whole or hits is not null")
+
+    span = lambda s, e: F.struct((F.col("first") + s).alias("s"), (F.col("first") + e + length - 1).alias("e"))
+    runs = F.when(F.col("whole"), F.array(span(F.lit(0), F.col("windows")))).otherwise(F.transform("hits", lambda w: span(w, w + 1)))
+    # A text with copies is a passage as a whole; here each of its stretches would come once for every copy.
+    alone = seen.join(small(ws.put(texts.where("copies > 1").select("t"), "word-copied")), "t", "left_anti")
+    by_text = alone.join(marks, ["h1", "h2"]).groupBy("t").agg(F.array_sort(F.flatten(F.collect_list(runs))).alias("runs"))
+    # Ascending spans that overlap or touch are one passage.
+    none = F.struct(*[F.lit(v).cast("long").alias(c) for c, v in (("n", 0), ("words", 0), ("end", -1))])
+
+    def add(total: Column, r: Column) -> Column:
+        return F.struct(
+            (total["n"] + (r["s"] > total["end"]).cast("long")).alias("n"),
+            (total["words"] + F.greatest(F.lit(0), r["e"] - F.greatest(r["s"], total["end"]))).alias("words"),
+            F.greatest(r["e"], total["end"]).alias("end"),
+        )
+
+    by_text = by_text.select("t", F.aggregate("runs", none, add).alias("x"))
+    return ws.put(by_text.select("t", F.col("x.n").alias("n_passages"), F.col("x.words").alias("n_passage_words")), "passages")
+
+
 #: Rows that are rewritten at once.
 SLICE = 256
 
@@ -483,7 +652,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     column.append(v)
             columns = [batch["key"], pa.array(lengths, pa.int64())]
             columns += [pa.array(c, k) for c, k in zip(out, (_ARROW_RUNS, pa.binary()) * 2, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "spans", "kept", "later", "kept_first"])
+            columns += [batch[c] for c in _SAID]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "spans", "kept", "later", "kept_first", *_SAID])
 
 
 def keep_first(texts: list[bytes], width: int) -> list[bytes]:

@@ -599,6 +599,38 @@ def test_factor_lengths():
             assert earlier[i] == (before if before >= 7 else 0) and later[i] == (after if after >= 7 else 0)
 
 
+@pytest.mark.parametrize(("scan", "crowd"), [(64, 4096), (1 << 15, 1)])
+def test_passages(spark, scan, crowd, monkeypatch):
+    """Runs of 20 words that stand in another row, below the width in bytes, however spaced; a text's own repeats do not count."""
+    monkeypatch.setattr(suffixes, "SCAN_WORDS", scan)
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    rng = random.Random(12)
+
+    def words(n):
+        return [rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(n)]
+
+    shared, near, own = words(25), words(300), words(30)
+    texts = [" ".join(words(200)) for _ in range(20)] + ["", None, "a b", " ".join(shared), " ".join(shared[:19])]
+    texts += [" ".join(words(k) + shared[k % 4 : 20 + k % 5] + words(30)) for k in range(9)] + ["\n".join(words(9) + shared[2:24]) + "\t \n"]
+    texts += [" ".join([*near[:k], "X", *near[k + 1 :]]) for k in (40, 150, 260)] + [" ".join(own * 3), " ".join(words(50))] + [" ".join(words(60))] * 2 + ["c d"] * 2
+    split = [(t or "").split() for t in texts]
+    holders = defaultdict(set)
+    for k, w in enumerate(split):
+        for i in range(len(w) - 19):
+            holders[tuple(w[i : i + 20])].add(k)
+    want = {}
+    for k, w in enumerate(split):
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - 19):
+            if len(holders[tuple(w[i : i + 20])]) > 1:
+                gone[i : i + 20] = True
+        want[k] = (len(suffixes._runs(gone)), int(gone.sum()))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_passages"], r["n_passage_words"]) for r in suffixes.repeats(df, "doc_id", "text", 400, passage=20).collect()}
+    assert got == want and sum(n for n, _ in want.values()) > 15 and want[texts.index(" ".join(own * 3))] == (0, 0)
+    assert suffixes.repeats(df, "doc_id", "text", 400).where("n_passages is not null").count() == 0
+
+
 def test_no_repeats(docs):
     assert suffixes.repeats(docs.limit(0), "doc_id", "text").count() == 0
 
