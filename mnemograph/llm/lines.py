@@ -116,19 +116,29 @@ def similar(a: Column, b: Column, similarity: float) -> Column:
     bounds before the full one; the answer is the same.
     """
     most = F.floor(F.greatest(F.char_length(a), F.char_length(b)) * (1 - similarity) + 1e-9).cast("int")
+    return F.when(_word_by_word(a, b) <= most, True).when(_in_the_middle(a, b) <= most, True).otherwise(_within(a, b, most))
+
+
+def _within(a: Column, b: Column, most: Column) -> Column:
+    """Whether the edit distance is at most ``most``, small bounds first."""
     out = F.call_function("levenshtein", a, b, most) >= 0
     for bound in reversed(NARROW):
         out = F.when(most <= bound, F.call_function("levenshtein", a, b, most) >= 0).when(F.call_function("levenshtein", a, b, F.lit(bound)) >= 0, True).otherwise(out)
-    return F.when(_word_by_word(a, b) <= most, True).when(_in_the_middle(a, b) <= most, True).otherwise(out)
+    return out
 
 
 def _word_by_word(a: Column, b: Column) -> Column:
     """At least the edit distance: what it costs to replace each word by the one in its place."""
+    return _replaced(F.split(a, " "), F.split(b, " "))
+
+
+def _replaced(p: Column, q: Column) -> Column:
+    """The same for lists of words."""
 
     def size(w: Column) -> Column:
         return F.coalesce(F.char_length(w), F.lit(0))
 
-    costs = F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(F.greatest(size(x), size(y)) + 1))
+    costs = F.zip_with(p, q, lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(F.greatest(size(x), size(y)) + 1))
     return F.aggregate(costs, F.lit(0), lambda total, c: total + c)
 
 
@@ -148,6 +158,42 @@ def _in_the_middle(a: Column, b: Column) -> Column:
     return F.greatest(F.char_length(a), F.char_length(b)) - chars(x, front) - chars(F.reverse(x), back)
 
 
+def alike(pairs: DataFrame, x: str, y: str, similarity: float) -> DataFrame:
+    """The rows whose texts ``x`` and ``y``, which go, are similar as :func:`similar` says; nothing is computed twice.
+
+    A condition is copied into the join below it, where each use of a list of
+    words splits the text again. Words that both begin with, and those that both
+    end with, change no distance: it is sought between them.
+    """
+    w, s, m = fresh(pairs, "w", "s", "m")
+    keep = [c for c in pairs.columns if c not in (x, y)]
+    most = F.floor(F.greatest(F.char_length(x), F.char_length(y)) * (1 - similarity) + 1e-9).cast("int")
+    one = pairs.select(*keep, x, y, _once(F.struct(F.split(x, " ").alias("p"), F.split(y, " ").alias("q"), most.alias("most"))).alias(w))
+    p, q, most = F.col(f"{w}.p"), F.col(f"{w}.q"), F.col(f"{w}.most")
+
+    def same(p: Column, q: Column) -> Column:
+        """How many words both begin with."""
+        unlike = F.zip_with(p, q, lambda u, v: ~u.eqNullSafe(v))
+        return F.array_position(F.concat(unlike, F.array(F.lit(True))), True).cast("int") - 1
+
+    def chars(words: Column, n: Column) -> Column:
+        return F.char_length(F.array_join(F.slice(words, F.lit(1), n), " "))
+
+    # What is null is similar already.
+    ends = F.struct(same(p, q).alias("front"), same(F.reverse(p), F.reverse(q)).alias("back"))
+    one = one.select(*keep, x, y, w, _once(F.when(_replaced(p, q) > most, ends)).alias(s))
+    front, back = F.col(f"{s}.front"), F.col(f"{s}.back")
+    back = F.least(back, F.least(F.size(p), F.size(q)) - front)
+    ends = F.struct(chars(p, front).alias("front"), chars(F.reverse(p), back).alias("back"), most.alias("most"))
+    one = one.select(*keep, x, y, _once(F.when(F.col(s).isNotNull(), ends)).alias(s))
+    front, back = F.col(f"{s}.front"), F.col(f"{s}.back")
+    between = [F.substring(F.col(t), front + 1, F.char_length(t) - front - back).alias(c) for t, c in ((x, "x"), (y, "y"))]
+    one = one.select(*keep, _once(F.when(F.col(s).isNotNull(), F.struct(*between, F.col(f"{s}.most").alias("most")))).alias(m))
+    a, b, most = F.col(f"{m}.x"), F.col(f"{m}.y"), F.col(f"{m}.most")
+    short = F.greatest(F.char_length(a), F.char_length(b)) <= most
+    return one.where(F.when(F.col(m).isNull() | short, True).otherwise(_within(a, b, most))).select(*keep)
+
+
 def _verified(ws: Workspace, docs: DataFrame, where: list[str], pairs: DataFrame, places: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of line ids whose lines are similar. Only documents that hold such a line are split."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -158,7 +204,7 @@ def _verified(ws: Workspace, docs: DataFrame, where: list[str], pairs: DataFrame
     texts = ws.put(one.select("x.id", F.trim(normalised(F.col("x.line"))).alias("norm")), "texts")
     ta = texts.select(F.col("id").alias("a"), F.col("norm").alias("x"))
     tb = texts.select(F.col("id").alias("b"), F.col("norm").alias("y"))
-    return ws.put(pairs.join(ta, "a").join(tb, "b").where(similar(F.col("x"), F.col("y"), similarity)).select("a", "b"), "similar")
+    return ws.put(alike(pairs.join(ta, "a").join(tb, "b"), "x", "y", similarity).select("a", "b"), "similar")
 
 
 def _once(value: Column) -> Column:

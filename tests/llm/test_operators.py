@@ -813,3 +813,22 @@ def test_quality_odd_cases(spark, docs, corpus):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
     assert quality.classify(docs, labels).count() == len(corpus)
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_alike(spark):
+    """The same rows as the plain distance tells, and each list of words is split once a row."""
+    rng = random.Random(8)
+    rows = [("", ""), ("", "a"), ("a b", "a b"), ("x" * 9, "x" * 8 + "y"), ("a a a", "a a"), ("é ü ñ ç", "é ü ñ c")]
+    for _ in range(400):
+        w = ["".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 90))]
+        v = list(w)
+        for _ in range(rng.randrange(0, 3 + len(w))):
+            at = rng.randrange(len(v) + 1)
+            v[at : at + rng.randrange(2)] = ["".join(rng.choice("abcdé") for _ in range(rng.randrange(0, 9)))] * rng.randrange(2)
+        rows.append((" ".join(w), " ".join(v)))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, x string, y string")
+    plain = F.levenshtein("x", "y") <= F.floor(F.greatest(F.char_length("x"), F.char_length("y")) * 0.2 + 1e-9)
+    want = sorted(r["i"] for r in df.where(plain).collect())
+    out = lines.alike(df, "x", "y", 0.8)
+    assert sorted(r["i"] for r in out.collect()) == want and 50 < len(want) < 350 and out.columns == ["i"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(x") == 1
