@@ -328,7 +328,7 @@ def q28_name_tokens_initials(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.array_sort(text.name_tokens(name)), " ").alias("tokens"), text.initials(name).alias("initials"))
 
 
-_EXTRA = ["Juan", "Juan Gómez", "Juan Gomez", "JG", "Maria Gomez", "red", "SR", "x"]
+_EXTRA = ["Iker", "Iker Ríos", "Iker Rios", "IR", "Maria Rios", "red", "SR", "x"]
 
 
 @query(
@@ -344,10 +344,10 @@ def q29_fuzzy_match_pairs(spark, sf_dir):
     return resolve.fuzzy_pairs(names, names)
 
 
-@query("SELECT * FROM (VALUES ('juan g.', 'e1'), ('MARIA', 'e2'), ('Mary', 'e2')) t(name, id)")
+@query("SELECT * FROM (VALUES ('iker r.', 'e1'), ('MARIA', 'e2'), ('Mary', 'e2')) t(name, id)")
 def q30_alias_match(spark, sf_dir):
-    known = spark.createDataFrame([("e1", "Juan Gómez", ["Juan G."], 1), ("e2", "Maria", ["Mary", "maria"], 2), ("e3", "mary", [], 3)], "id string, name string, aliases array<string>, seq long")
-    return resolve.exact(spark.createDataFrame([("juan g.",), ("MARIA",), ("Mary",), ("Bob",)], "name string"), known)
+    known = spark.createDataFrame([("e1", "Iker Ríos", ["Iker R."], 1), ("e2", "Maria", ["Mary", "maria"], 2), ("e3", "mary", [], 3)], "id string, name string, aliases array<string>, seq long")
+    return resolve.exact(spark.createDataFrame([("iker r.",), ("MARIA",), ("Mary",), ("Bob",)], "name string"), known)
 
 
 @query("SELECT c_name AS external_ref, 'k' || CAST(c_custkey AS VARCHAR) AS id FROM customer")
@@ -451,9 +451,9 @@ def q42_rerank_order(spark, sf_dir):
     return rows.select("id", F.array_join(kept, "/").alias("lines"))
 
 
-@query("SELECT * FROM (VALUES (1, ''), (2, ''), (3, 'What you remember about the user and their world:' || chr(10) || 'likes tea')) t(id, section)")
+@query("SELECT * FROM (VALUES (1, ''), (2, ''), (3, 'What you remember about the user and their world:' || chr(10) || 'grows figs')) t(id, section)")
 def q43_prompt_sections(spark, sf_dir):
-    rows = spark.createDataFrame([(1, None), (2, ""), (3, "likes tea")], "id int, context string")
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "grows figs")], "id int, context string")
     return rows.select("id", prompt.memory_section(F.col("context")).alias("section"))
 
 

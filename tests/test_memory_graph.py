@@ -18,7 +18,7 @@ from mnemograph.sources.store import Store
 from mnemograph.streaming.ingest_stream import fact_counts, ingest_stream, merge_turns
 
 T0 = datetime(2024, 1, 1)
-WORDS = [["likes", "prefers", "preferred"], ["replies", "answers"], ["the"], ["user"], ["weather"], ["is"], ["sunny"], ["today"], ["how"], ["should"], ["be"], ["handled"], ["dark"], ["mode"], ["wants"], ["o"], ["1"], ["visa"], ["no"], ["longer"], ["concise"], ["completely"], ["unrelated"], ["sentence"], ["short"]]
+WORDS = [["likes", "prefers", "preferred"], ["letters", "answers"], ["the"], ["user"], ["weather"], ["is"], ["sunny"], ["today"], ["how"], ["should"], ["be"], ["handled"], ["loud"], ["music"], ["holds"], ["b"], ["7"], ["permit"], ["never"], ["again"], ["curt"], ["completely"], ["unrelated"], ["sentence"], ["short"]]
 VECTORS = {w: [float(k == i) for k in range(len(WORDS))] for i, group in enumerate(WORDS) for w in group}
 
 
@@ -51,7 +51,7 @@ def test_tokens(spark):
     assert value(spark, text.content_terms(F.lit("How should the webhook be handled, webhook?"))) == ["webhook", "handled"]
 
 
-MATCHES = [("Juan", "Juan Gómez", True), ("Juan Gomez", "Juan Gómez", True), ("JG", "Juan Gómez", True), ("Juan", "Maria", False), ("Juan Perez", "Maria Gomez", False), ("", "x", False), ("O-1 visa", "visa", True), ("jg", "Juan A Gomez", True), ("the user", "User", True)]
+MATCHES = [("Iker", "Iker Ríos", True), ("Iker Rios", "Iker Ríos", True), ("IR", "Iker Ríos", True), ("Iker", "Maria", False), ("Iker Perez", "Maria Rios", False), ("", "x", False), ("B-7 permit", "permit", True), ("ir", "Iker A Rios", True), ("the user", "User", True)]
 
 
 @pytest.mark.parametrize(("a", "b", "want"), MATCHES)
@@ -62,7 +62,7 @@ def test_names_match(spark, a, b, want):
 
 def test_dot_and_embedding(spark):
     assert value(spark, dot(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))) == 0 and value(spark, dot(F.array().cast("array<float>"), F.array().cast("array<float>"))) == 0
-    rows = [(1, "the user likes concise replies"), (2, "the user prefers short concise answers"), (3, "the weather is sunny today"), (4, ""), (5, "webhook"), (6, "how should webhook idempotency be handled"), (7, "the is")]
+    rows = [(1, "the user likes curt letters"), (2, "the user prefers short curt answers"), (3, "the weather is sunny today"), (4, ""), (5, "webhook"), (6, "how should webhook idempotency be handled"), (7, "the is")]
     got = {r[0]: r for r in embed(spark.createDataFrame(rows, "id int, text string"), word_table(spark)).collect()}
     sim = ingest.similarity
     assert sim(got[1][1], got[2][1]) == pytest.approx(0.913, abs=1e-3) and sim(got[1][1], got[3][1]) == pytest.approx(0.2, abs=1e-3)
@@ -74,7 +74,7 @@ def test_dot_and_embedding(spark):
     assert value(spark, coverage(F.lit(rows[5][1]), known)) == pytest.approx(1 / 3)
 
 
-A = {"subjectName": "Ana", "objectName": None, "predicate": "likes", "factText": "likes tea", "isCorrection": False}
+A = {"subjectName": "Ana", "objectName": None, "predicate": "likes", "factText": "grows figs", "isCorrection": False}
 
 
 def test_strict_parsing(spark):
@@ -89,7 +89,7 @@ def test_strict_parsing(spark):
     assert value(spark, parsing.json_field(F.lit('{"id": "a"}'), "$.id")) == "a" and value(spark, parsing.json_field(F.lit("{"), "$.id")) is None
 
 
-@pytest.mark.parametrize(("s", "o", "t", "junk"), [("I", None, "x", True), ("Ana", "you", "x", True), ("Ana", None, "The current date is 1", True), ("Ana", None, "at 5 o'clock", True), ("I ", None, "x", False), ("Ana", "Bob", "likes tea", False)])
+@pytest.mark.parametrize(("s", "o", "t", "junk"), [("I", None, "x", True), ("Ana", "you", "x", True), ("Ana", None, "The current date is 1", True), ("Ana", None, "at 5 o'clock", True), ("I ", None, "x", False), ("Ana", "Bob", "grows figs", False)])
 def test_junk(spark, s, o, t, junk):
     assert value(spark, text.is_junk(F.lit(s), F.lit(o).cast("string"), F.lit(t))) is junk
 
@@ -173,14 +173,14 @@ def test_edits(spark):
 
 def test_nearest_and_duplicates(spark):
     embed_ = ingest.word_embedder(VECTORS)
-    own = facts(spark, fact("1", "u", fact_text="wants the O-1 visa", embedding=embed_("wants the O-1 visa")), fact("2", "u", fact_text="prefers dark mode", embedding=embed_("prefers dark mode")))
-    wrong = spark.createDataFrame([("c", "u", embed_("no longer wants the O-1 visa")), ("d", "u", embed_("weather"))], "correction_id string, subject_id string, embedding array<float>")
+    own = facts(spark, fact("1", "u", fact_text="holds the B-7 permit", embedding=embed_("holds the B-7 permit")), fact("2", "u", fact_text="prefers loud music", embedding=embed_("prefers loud music")))
+    wrong = spark.createDataFrame([("c", "u", embed_("never again holds the B-7 permit")), ("d", "u", embed_("weather"))], "correction_id string, subject_id string, embedding array<float>")
     got = mutate.nearest(own, wrong).collect()
     assert [(r["correction_id"], r["id"], r["similarity"]) for r in got] == [("c", "1", pytest.approx(5 / 35**0.5, abs=1e-5))]
     assert [r["id"] for r in graph.active(mutate.invalidate_nearest(own, wrong, F.lit(T0))).collect()] == ["2"]
-    twice = facts(spark, fact("2", "u", fact_text="Likes Tea", at=1), fact("1", "u", "o", fact_text="likes tea"), fact("3", "v", fact_text="likes tea"))
+    twice = facts(spark, fact("2", "u", fact_text="Grows Figs", at=1), fact("1", "u", "o", fact_text="grows figs"), fact("3", "v", fact_text="grows figs"))
     assert sorted(r["id"] for r in mutate.exact_duplicates_removed(twice).collect()) == ["1", "3"]
-    near = mutate.near_duplicate_pairs(own.unionByName(facts(spark, fact("3", "u", embedding=embed_("really likes dark mode")))), "subject_id", "id", "embedding")
+    near = mutate.near_duplicate_pairs(own.unionByName(facts(spark, fact("3", "u", embedding=embed_("really likes loud music")))), "subject_id", "id", "embedding")
     assert [(r["a"], r["b"]) for r in near.collect()] == [("2", "3")]
 
 
@@ -188,10 +188,10 @@ def test_nearest_and_duplicates(spark):
 
 
 def test_resolution(spark):
-    people = spark.createDataFrame([entity("1", "Juan", 0, aliases=["Juan Gómez"]), entity("2", "Maria Lopez", 1, ref="abc"), entity("3", "juan", 2)], ENTITIES)
-    asked = spark.createDataFrame([("JUAN GÓMEZ",), ("ML",), ("Lopez",), ("Pedro",), ("juan",), ("",), (None,)], "name string")
+    people = spark.createDataFrame([entity("1", "Iker", 0, aliases=["Iker Ríos"]), entity("2", "Maria Lopez", 1, ref="abc"), entity("3", "iker", 2)], ENTITIES)
+    asked = spark.createDataFrame([("IKER RÍOS",), ("ML",), ("Lopez",), ("Pedro",), ("iker",), ("",), (None,)], "name string")
     got = {r["name"]: (r["id"], r["how"]) for r in resolve.resolve(asked, people).collect()}
-    assert got == {"JUAN GÓMEZ": ("1", "exact"), "ML": ("2", "fuzzy"), "Lopez": ("2", "fuzzy"), "Pedro": (None, None), "juan": ("1", "exact"), "": (None, None)}
+    assert got == {"IKER RÍOS": ("1", "exact"), "ML": ("2", "fuzzy"), "Lopez": ("2", "fuzzy"), "Pedro": (None, None), "iker": ("1", "exact"), "": (None, None)}
     refs = spark.createDataFrame([("abc",), ("x",)], "external_ref string")
     assert [tuple(r) for r in resolve.by_reference(refs, people).collect()] == [("abc", "2")]
 
@@ -209,8 +209,8 @@ def test_fuzzy_pairs_equal_all_pairs(spark):
 
 
 def test_bm25(spark):
-    docs = spark.createDataFrame([("1", "the user likes concise replies"), ("2", "completely unrelated sentence")], "id string, text string")
-    got = {r[0]: r[1] for r in search.bm25_scores(F.lit("concise replies"), docs).collect()}
+    docs = spark.createDataFrame([("1", "the user likes curt letters"), ("2", "completely unrelated sentence")], "id string, text string")
+    got = {r[0]: r[1] for r in search.bm25_scores(F.lit("curt letters"), docs).collect()}
     assert got["1"] > 0 and got["2"] == 0
     assert {r[1] for r in search.bm25_scores(F.lit("zzz"), docs).collect()} == {0.0} and search.bm25_scores(F.lit("a"), docs.limit(0)).count() == 0
     assert search.bm25_scores(F.lit(""), docs).count() == 2
@@ -218,24 +218,24 @@ def test_bm25(spark):
 
 def hybrid_docs(spark):
     embed_ = ingest.word_embedder(VECTORS)
-    rows = [("strong", "the user likes concise replies"), ("text", "concise replies completely unrelated sentence"), ("vector", "prefers answers")]
-    return spark.createDataFrame([(i, t, embed_(t)) for i, t in rows], "id string, text string, embedding array<float>"), F.array(*map(F.lit, embed_("likes concise replies"))).cast("array<float>")
+    rows = [("strong", "the user likes curt letters"), ("text", "curt letters completely unrelated sentence"), ("vector", "prefers answers")]
+    return spark.createDataFrame([(i, t, embed_(t)) for i, t in rows], "id string, text string, embedding array<float>"), F.array(*map(F.lit, embed_("likes curt letters"))).cast("array<float>")
 
 
 def test_hybrid(spark):
     docs, vector = hybrid_docs(spark)
-    assert search.hybrid("concise replies", vector, docs, 3).first()["id"] == "strong"
-    assert search.hybrid("concise replies", vector, docs, 2).count() == 2
-    low = search.hybrid("concise replies", vector, docs, 3, coverage=0.0).collect()
-    by_text = [r[0] for r in search.bm25_scores(F.lit("concise replies"), docs).orderBy(F.desc("bm25"), "id").collect()]
+    assert search.hybrid("curt letters", vector, docs, 3).first()["id"] == "strong"
+    assert search.hybrid("curt letters", vector, docs, 2).count() == 2
+    low = search.hybrid("curt letters", vector, docs, 3, coverage=0.0).collect()
+    by_text = [r[0] for r in search.bm25_scores(F.lit("curt letters"), docs).orderBy(F.desc("bm25"), "id").collect()]
     assert [r["id"] for r in low] == by_text and {r["similarity"] for r in low} == {0.0}
-    assert {r["id"] for r in search.with_floor(search.hybrid("concise replies", vector, docs, 3)).collect()} == {"strong", "text"}
+    assert {r["id"] for r in search.with_floor(search.hybrid("curt letters", vector, docs, 3)).collect()} == {"strong", "text"}
 
 
 def test_row_order_changes_nothing(spark):
     docs, vector = hybrid_docs(spark)
-    want = search.hybrid("concise replies", vector, docs, 3).collect()
-    assert search.hybrid("concise replies", vector, docs.orderBy(F.desc("id")).repartition(3), 3).collect() == want
+    want = search.hybrid("curt letters", vector, docs, 3).collect()
+    assert search.hybrid("curt letters", vector, docs.orderBy(F.desc("id")).repartition(3), 3).collect() == want
 
 
 # -- the ordered merge ---------------------------------------------------------
@@ -260,9 +260,9 @@ def run(spark, *groups, start=None):
 
 
 def test_merge_cases(spark):
-    (people, own, failed), clean = run(spark, [said("Juan", "prefers dark mode")], [said("Juan Gómez", "really likes dark mode"), said("I", "x")], [said("Juan", "wants the O-1 visa")], [said("JG", "no longer wants the O-1 visa", wrong=True), said("Juan", "weather today", wrong=True)])
-    assert [(e["name"], e["aliases"], e["kind"]) for e in people] == [("Juan", ["Juan Gómez"], "user")]
-    assert {f["fact_text"]: f["invalid_at"] is None for f in own} == {"prefers dark mode": True, "wants the O-1 visa": False}
+    (people, own, failed), clean = run(spark, [said("Iker", "prefers loud music")], [said("Iker Ríos", "really likes loud music"), said("I", "x")], [said("Iker", "holds the B-7 permit")], [said("IR", "never again holds the B-7 permit", wrong=True), said("Iker", "weather today", wrong=True)])
+    assert [(e["name"], e["aliases"], e["kind"]) for e in people] == [("Iker", ["Iker Ríos", "IR"], "user")]
+    assert {f["fact_text"]: f["invalid_at"] is None for f in own} == {"prefers loud music": True, "holds the B-7 permit": False}
     assert [f["factText"] for f in failed] == ["weather today"]
     stored = ingest.episodes(turns(spark, 4), clean)
     assert stored.count() == 4 and stored.columns == EPISODES.names
@@ -308,8 +308,8 @@ class PlainGraph:
 @pytest.mark.parametrize("seed", range(4))
 def test_merge_equals_plain_lists(spark, seed):
     rng = random.Random(seed)
-    who = ["Juan", "Juan Gómez", "JG", "Maria", "maria lopez", "Gomez", "ML", "Ana Gil"]
-    what = ["likes dark mode", "prefers dark mode", "wants the O-1 visa", "no longer wants the visa", "is sunny", "the weather is sunny today", "concise replies", "short answers"]
+    who = ["Iker", "Iker Ríos", "IR", "Maria", "maria lopez", "Rios", "ML", "Ana Gil"]
+    what = ["likes loud music", "prefers loud music", "holds the B-7 permit", "never again holds the permit", "is sunny", "the weather is sunny today", "curt letters", "short answers"]
     groups = [[said(rng.choice(who), rng.choice(what), rng.choice([None, None, *who]), rng.random() < 0.3) for _ in range(rng.randint(0, 3))] for _ in range(25)]
     (people, own, failed), clean = run(spark, *groups)
     plain, embed_ = PlainGraph(), ingest.word_embedder(VECTORS)
@@ -344,11 +344,11 @@ def test_session(spark):
     s = Session(own, word_table(spark))
     assert not s.exhaustive() and len(s.compilation().split("\n")) == 3 and s.exhaustive()
     assert s.per_turn("fact number") is None
-    s.facts = mutate.append(own, facts(spark, fact("99", "u", fact_text="likes concise replies", at=99)))
-    assert "concise" not in s.compilation() and not s.exhaustive()
-    assert s.per_turn("concise replies", excluding=s.compilation()) == "likes concise replies"
+    s.facts = mutate.append(own, facts(spark, fact("99", "u", fact_text="likes curt letters", at=99)))
+    assert "curt" not in s.compilation() and not s.exhaustive()
+    assert s.per_turn("curt letters", excluding=s.compilation()) == "likes curt letters"
     s.start()
-    assert "concise" in s.compilation()
+    assert "curt" in s.compilation()
     many = Session(facts(spark, *[fact(f"{i:02}", "u", at=i) for i in range(10)]), fact_limit=5)
     many.compilation()
     assert not many.exhaustive()
@@ -365,18 +365,18 @@ def test_gate_by_content(spark):
 
 
 def test_exclusion_is_by_substring(spark):
-    own = facts(spark, fact("1", "u", fact_text="likes tea"), fact("2", "u", fact_text="likes tea very much"))
-    assert [r["id"] for r in without_known(own, "likes teapots").collect()] == ["2"]
+    own = facts(spark, fact("1", "u", fact_text="grows figs"), fact("2", "u", fact_text="grows figs very much"))
+    assert [r["id"] for r in without_known(own, "grows figstrees").collect()] == ["2"]
 
 
 def test_rerank(spark):
-    own = facts(spark, *[fact(str(i), "u", fact_text=f"concise {i}", at=i) for i in range(3)])
+    own = facts(spark, *[fact(str(i), "u", fact_text=f"curt {i}", at=i) for i in range(3)])
     s = Session(own, fact_limit=1)
     s.compilation()
-    plain = s.per_turn("concise")
-    assert s.per_turn("concise", reranker=chat_reranker(lambda p: "[3, 2, 1]")).split("\n") == plain.split("\n")[::-1]
-    assert s.per_turn("concise", reranker=lambda q, c: [*c[:-1], "foreign"]) == plain
-    assert s.per_turn("concise", reranker=chat_reranker(lambda p: 1 / 0)) == plain
+    plain = s.per_turn("curt")
+    assert s.per_turn("curt", reranker=chat_reranker(lambda p: "[3, 2, 1]")).split("\n") == plain.split("\n")[::-1]
+    assert s.per_turn("curt", reranker=lambda q, c: [*c[:-1], "foreign"]) == plain
+    assert s.per_turn("curt", reranker=chat_reranker(lambda p: 1 / 0)) == plain
 
 
 def test_context_cache():
@@ -396,7 +396,7 @@ def test_context_cache():
 def test_review_rows(spark, tmp_path):
     body = json.dumps(scripted._RESPONSE)
     rows = review_table.parse_review_rows(spark.createDataFrame([(body,), ("{}",)], "body string")).collect()
-    assert {(r["page_id"], r["subject_name"], r["correction_notes"]) for r in rows} == {("page-1", "Ana", "no longer wants the visa"), ("page-2", "Bob", "likes nothing"), ("page-3", "", "")}
+    assert {(r["page_id"], r["subject_name"], r["correction_notes"]) for r in rows} == {("page-1", "Ana", "gave up the north room"), ("page-2", "Bob", "keeps no cat"), ("page-3", "", "")}
     path = tmp_path / "r.json"
     path.write_text(body)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -436,7 +436,7 @@ def test_store(spark, tmp_path):
 def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "in"
     own = turns(spark, 6)
-    answers = {0: [said("Ana", "likes tea")], 1: [said("Ana", "LIKES TEA")], 2: [], 3: [said("Bob", "wants the visa")], 4: [said("Bob", "no longer wants the visa", wrong=True)], 5: [said("Ana", "is sunny")]}
+    answers = {0: [said("Ana", "grows figs")], 1: [said("Ana", "GROWS FIGS")], 2: [], 3: [said("Bob", "holds the permit")], 4: [said("Bob", "never again holds the permit", wrong=True)], 5: [said("Ana", "is sunny")]}
     table = spark.createDataFrame([("g", k, v) for k, v in answers.items()], FACT_TYPE)
     extract = lambda df: df.select("graph_id", "episode_seq").join(table, ["graph_id", "episode_seq"])
     for i in range(3):

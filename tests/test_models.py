@@ -77,8 +77,8 @@ class Written:
 
 
 def test_extractors_and_their_choice():
-    chat = Written([{"text": as_json(said("likes tea"))}])
-    assert models.ExternalExtractor(chat).extract("x")[0]["factText"] == "likes tea" and chat.systems[0]
+    chat = Written([{"text": as_json(said("grows figs"))}])
+    assert models.ExternalExtractor(chat).extract("x")[0]["factText"] == "grows figs" and chat.systems[0]
     assert models.ExternalExtractor(Written([{"image": 1}])).extract("x") == []
     order = []
     local = models.LocalExtractor(lambda: order.append("load") or chat, lambda work: order.append("turn") or models.one_at_a_time()(work))
