@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from mnemograph.functions import prompt, text
 from mnemograph.functions.parsing import parse_extraction, parse_order
 from mnemograph.functions.vector import coverage, dot, embed
-from mnemograph.operators import graph, mutate, resolve, search
+from mnemograph.operators import graph, lexical_index, mutate, resolve, search
 from mnemograph.plans import scripted
 from mnemograph.plans.views import benchmark_queries, corrections, documents, entities, episodes, facts, micros, raw_facts, read, with_, with_vectors
+from mnemograph.sources.working import keeper
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,13 +169,22 @@ def q16_content_terms(spark, sf_dir):
 _ASK = "the thing of that inan er ndou"
 
 
+def _index(spark, docs: DataFrame) -> lexical_index.LexicalIndex:
+    """An index of one pool."""
+    return lexical_index.build(docs.withColumn("graph_id", F.lit(None).cast("string")), keeper(spark))
+
+
 @query(
     f"WITH q AS (SELECT 0 AS query_id, '{_ASK}' AS text), d AS (SELECT doc_id AS id, text FROM documents), "
     + _bm25("q", "d")
     + " SELECT d.id, coalesce(s.bm25, 0.0) AS bm25 FROM d LEFT JOIN scores s ON s.id = d.id"
 )
 def q17_bm25_scores(spark, sf_dir):
-    return search.bm25_scores(F.lit(_ASK), documents(spark, sf_dir))
+    """Scores of all documents, through the index."""
+    docs = documents(spark, sf_dir)
+    asked = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(None).cast("string").alias("graph_id"), F.lit(_ASK).alias("text"))
+    found = lexical_index.Search(_index(spark, docs), asked, keeper(spark)).scores()
+    return docs.select("id").join(found.drop("query_id"), "id", "left").select("id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
 
 
 @query(
@@ -183,7 +193,31 @@ def q17_bm25_scores(spark, sf_dir):
     + " SELECT query_id, id, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS rank FROM scores) WHERE rank <= 5"
 )
 def q18_bm25_topk_multi_query(spark, sf_dir):
-    return search.top(search.bm25(benchmark_queries(spark, sf_dir), documents(spark, sf_dir)), "bm25", 5)
+    """The best documents of each benchmark item, through the index: segments that cannot hold any are not read."""
+    asked = benchmark_queries(spark, sf_dir).withColumn("graph_id", F.lit(None).cast("string"))
+    return lexical_index.Search(_index(spark, documents(spark, sf_dir)), asked, keeper(spark)).top(5)
+
+
+#: Texts after a change: a third of the documents have gone, and another third are texts of benchmark items.
+_CHANGED = """d AS (SELECT d.doc_id AS id, CASE WHEN d.doc_id % 3 = 1 THEN coalesce(b.text, '') ELSE d.text END AS text FROM documents d LEFT JOIN benchmark b
+    ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark) WHERE d.doc_id % 3 <> 0)"""
+
+
+@query(
+    f"WITH q AS (SELECT item_id AS query_id, text FROM benchmark), {_CHANGED}, "
+    + _bm25("q", "d")
+    + " SELECT query_id, id, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS rank FROM scores) WHERE rank <= 5"
+)
+def q57_bm25_after_changes(spark, sf_dir):
+    """The index of all documents, after texts have gone, come and changed, without those that stayed being read again."""
+    docs, keep = documents(spark, sf_dir), keeper(spark)
+    asked = benchmark_queries(spark, sf_dir)
+    n = asked.agg(F.count(F.lit(1)).alias("n"))
+    other = asked.select(F.col("query_id").alias("item"), F.col("text").alias("other"))
+    new = docs.where("id % 3 <> 0").join(F.broadcast(n)).withColumn("item", F.col("id") % F.col("n")).join(other, "item", "left")
+    new = new.select("id", F.when(F.col("id") % 3 == 1, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text"))
+    index = lexical_index.refreshed(_index(spark, docs), new.withColumn("graph_id", F.lit(None).cast("string")), keep, "1")
+    return lexical_index.Search(index, asked.withColumn("graph_id", F.lit(None).cast("string")), keep).top(5)
 
 
 @query(f"SELECT doc_id AS id, len(list_intersect({_terms(chr(39) + _ASK + chr(39))}, {_terms('text')})) AS shared FROM documents")

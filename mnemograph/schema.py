@@ -47,6 +47,40 @@ FACTS = T.StructType(
     ]
 )
 
+
+#: The lexical index: heads of blocks, their postings, and where documents lie; ``sign`` is a hash of a text.
+INDEX_HEADS = T.StructType(
+    [
+        T.StructField("graph_id", T.StringType()),
+        T.StructField("segment", T.StringType()),
+        T.StructField("term", T.StringType()),
+        T.StructField("df", T.LongType()),
+        T.StructField("most", T.LongType()),
+        T.StructField("least", T.LongType()),
+    ]
+)
+
+INDEX_POSTINGS = T.StructType(
+    [
+        T.StructField("graph_id", T.StringType()),
+        T.StructField("segment", T.StringType()),
+        T.StructField("term", T.StringType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("tf", T.LongType()),
+        T.StructField("dl", T.LongType()),
+    ]
+)
+
+INDEX_PLACES = T.StructType(
+    [
+        T.StructField("graph_id", T.StringType()),
+        T.StructField("segment", T.StringType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("dl", T.LongType()),
+        T.StructField("sign", T.LongType()),
+    ]
+)
+
 CHAT_TURNS = T.StructType(
     [
         T.StructField("graph_id", T.StringType()),

@@ -9,9 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemograph.schema import ENTITIES, EPISODES, FACTS
+from mnemograph.schema import ENTITIES, EPISODES, FACTS, INDEX_HEADS, INDEX_PLACES, INDEX_POSTINGS
 
-TABLES = {"entities": ENTITIES, "facts": FACTS, "episodes": EPISODES}
+#: The last three are the lexical index of active facts.
+TABLES = {"entities": ENTITIES, "facts": FACTS, "episodes": EPISODES, "heads": INDEX_HEADS, "postings": INDEX_POSTINGS, "places": INDEX_PLACES}
 #: Partitions of a table by the hash of the graph id.
 PARTS = 64
 
@@ -53,7 +54,7 @@ class Store:
         path, fs = self._fs()
         stream = fs.open(path(f"{self.root}/manifest/{n:09d}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return {t: {} for t in TABLES} | json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
