@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mnemograph.functions import prompt, text
 from mnemograph.functions.parsing import parse_extraction, parse_order
 from mnemograph.functions.vector import coverage, dot, embed
-from mnemograph.operators import graph, lexical_index, mutate, resolve, search
+from mnemograph.operators import graph, hybrid, lexical_index, mutate, resolve, search
 from mnemograph.plans import scripted
 from mnemograph.plans.views import benchmark_queries, corrections, documents, entities, episodes, facts, micros, raw_facts, read, with_, with_vectors
 from mnemograph.sources.working import keeper
@@ -273,6 +273,29 @@ def q22_hybrid_low_coverage(spark, sf_dir):
     return search.hybrid(_ASK, _first_vector(spark, sf_dir), _doc_vectors(spark, sf_dir), 10, coverage=0.3)
 
 
+#: Benchmark items as queries and all documents, each with a vector; every fifth item's vector is not trusted.
+_MANY = """n AS (SELECT count(*) AS n FROM embeddings), d AS (SELECT doc_id AS id, text, embedding FROM documents, n JOIN embeddings ON vec_id = doc_id % n),
+    q AS (SELECT item_id AS query_id, text, embedding, CASE WHEN item_id % 5 = 0 THEN 0.0 ELSE 1.0 END AS coverage FROM benchmark, n JOIN embeddings ON vec_id = item_id % n)"""
+
+
+@query(
+    f"WITH {_MANY}, "
+    + _bm25("q", "d")
+    + f""", every AS (SELECT q.query_id, d.id, coverage, coalesce(s.bm25, 0.0) AS bm25, CASE WHEN coverage < 0.5 THEN 0.0 ELSE {_DOT.format(a="d.embedding", b="q.embedding")} END AS similarity,
+        len(list_intersect({_terms("q.text")}, {_terms("d.text")})) AS shared_terms FROM q CROSS JOIN d LEFT JOIN scores s ON s.query_id = q.query_id AND s.id = d.id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS b FROM every),
+    fused AS (SELECT *, round(1.0::DOUBLE / (60.0::DOUBLE + a) + CASE WHEN coverage < 0.5 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / (60.0::DOUBLE + b) END, 6) AS rrf FROM ranked)
+    SELECT query_id, id, bm25, similarity, shared_terms, rrf, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM fused) WHERE rank <= 5"""
+)
+def q58_hybrid_many(spark, sf_dir):
+    """The fused best documents of every benchmark item, over all documents."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = vectors.agg(F.count(F.lit(1)).alias("n"))
+    some = lambda df, key: df.join(F.broadcast(n)).withColumn("vec_id", F.col(key) % F.col("n")).join(vectors, "vec_id").drop("vec_id", "n")
+    asked = some(benchmark_queries(spark, sf_dir), "query_id").withColumn("coverage", F.when(F.col("query_id") % 5 == 0, 0.0).otherwise(1.0))
+    return hybrid.hybrid_many(asked, some(documents(spark, sf_dir), "id"), keeper(spark), 5)
+
+
 _CLICK = "click k42 of the session"
 
 

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from mnemograph.operators import graph, lexical_index, search
+from mnemograph.operators import graph, hybrid, lexical_index
 from mnemograph.schema import CHAT_TURNS
 from mnemograph.sources.store import Store
 from mnemograph.sources.working import keeper
@@ -144,3 +144,43 @@ def test_the_store_keeps_the_index_of_active_facts(spark, tmp_path):
     assert len(docs) == 3
 
 
+# -- many hybrid searches ------------------------------------------------------
+
+
+def plain_hybrid(queries, docs, limit):
+    """{(query, id, rank, rrf)}; lists of (query, text, vector, coverage) and (id, text, vector)."""
+    scores = plain_scores([(q, None, t or "") for q, t, _, _ in queries], [(None, i, t) for i, t, _ in docs])
+    out = set()
+    for q, _, v, trust in queries:
+        word = {i: scores.get((q, i), 0.0) for i, _, _ in docs}
+        near = {i: round(sum(a * b for a, b in zip(v, w, strict=True)), 6) if v and w and len(v) == len(w) else 0.0 for i, _, w in docs}
+        total = dict.fromkeys(word, 0.0)
+        for own in [word, near] if trust >= 0.5 else [word]:
+            for n, i in enumerate(sorted(own, key=lambda i: (-own[i], i)), 1):
+                total[i] += 1 / (60 + n)
+        best = sorted(((-round(s, 6), i) for i, s in total.items()))[:limit]
+        out |= {(q, i, n, -s) for n, (s, i) in enumerate(best, 1)}
+    return out
+
+
+def vector(rng, n=4):
+    v = [rng.gauss(0, 1) for _ in range(n)]
+    size = math.sqrt(sum(x * x for x in v))
+    return [x / size for x in v]
+
+
+def test_hybrid_many_equals_all_ranks(spark, monkeypatch):
+    monkeypatch.setattr(hybrid, "QUERIES", 4)
+    rng = random.Random(14)
+    docs = [(f"{i:04d}", t, vector(rng)) for i, (_, _, t) in enumerate(pool(rng, "x", 400))]
+    docs += [(f"t{i}", docs[7][1], docs[7][2]) for i in range(30)] + [(f"u{i}", "w3", None) for i in range(20)] + [("v1", None, vector(rng)), ("v2", "", []), ("v3", "w1 w2", vector(rng, 3))]
+    queries = [(i, f"w{rng.randint(0, 9)} w{rng.randint(60, 130)}", vector(rng), 1.0) for i in range(6)]
+    queries += [(10, "w1 w100", vector(rng), 0.2), (11, "nothing of it", vector(rng), 0.0), (12, None, vector(rng), 1.0), (13, "w5", [], 1.0), (14, docs[7][1], docs[7][2], 1.0), (15, "w2", vector(rng, 3), 1.0)]
+    asked = spark.createDataFrame(queries, "query_id int, text string, embedding array<double>, coverage double")
+    rows = spark.createDataFrame(docs, "id string, text string, embedding array<double>").repartition(3)
+    for limit in (1, 7):
+        got = hybrid.hybrid_many(asked, rows, keeper(spark), limit).collect()
+        assert {(r["query_id"], r["id"], r["rank"], r["rrf"]) for r in got} == plain_hybrid(queries, docs, limit)
+        assert all(r["similarity"] == 0.0 for r in got if r["query_id"] in (10, 11))
+    assert hybrid.hybrid_many(asked, rows.limit(0), keeper(spark)).collect() == []
+    assert hybrid.hybrid_many(asked.limit(0), rows, keeper(spark)).collect() == []
