@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,14 +20,26 @@ PRONOUNS = (
 #: Marks of facts that do not last.
 TRANSIENT = ["current date", "current time", "o'clock", "the date is", "the time is", "today's date"]
 
-#: Latin letters with diacritics, and what they fold to; combining marks fold to nothing.
-_BASE = {
-    "a": "àáâãäåāăąǎ", "c": "çćĉċč", "d": "ďđ", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥħ", "i": "ìíîïĩīĭįı", "j": "ĵ", "k": "ķ", "l": "ĺļľł",
-    "n": "ñńņň", "o": "òóôõöøōŏőǒ", "r": "ŕŗř", "s": "śŝşšș", "t": "ţťŧț", "u": "ùúûüũūŭůűųǔ", "w": "ŵ", "y": "ýÿŷ", "z": "źżž",
-}
-_FROM = "".join(_BASE.values())
-_TO = "".join(k * len(v) for k, v in _BASE.items())
-_MARKS = "".join(chr(c) for c in range(0x300, 0x370))
+#: Letters with a stroke and the like, which have no decomposition, and what they fold to.
+_STROKES = {"ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ı": "i", "ð": "d", "ƀ": "b", "ɓ": "b", "ƈ": "c", "ɗ": "d", "ɠ": "g", "ƙ": "k", "ƞ": "n", "ɵ": "o", "ƥ": "p", "ƭ": "t", "ʈ": "t", "ʋ": "v", "ƴ": "y", "ƶ": "z"}
+
+
+def _folds() -> dict[str, str]:
+    """Letter -> base letter, and mark -> nothing, by canonical decomposition; letters of several bases stay as they are."""
+    out = dict(_STROKES)
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xF900, 0x10000))):
+        base = [d for d in unicodedata.normalize("NFD", c) if not unicodedata.combining(d)]
+        if not base:
+            out[c] = ""
+        elif len(base) == 1 and base[0] != c:
+            out[c] = _STROKES.get(base[0], base[0])
+    return out
+
+
+#: The one table that names are folded by, in expressions and in Python.
+FOLDS = _folds()
+_FROM = "".join(sorted(FOLDS, key=lambda c: (FOLDS[c] == "", c)))
+_TO = "".join(FOLDS[c] for c in _FROM)
 
 
 def tokens(text: Column) -> Column:
@@ -44,8 +58,8 @@ def shared_terms(query_terms: Column, text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without diacritics (Latin letters; others stay)."""
-    return F.translate(F.translate(F.lower(text), _FROM, _TO), _MARKS, "")
+    """Lower case without diacritics, in any script."""
+    return F.translate(F.lower(text), _FROM, _TO)
 
 
 def name_tokens(name: Column) -> Column:

@@ -1,29 +1,38 @@
 """The ordered merge of extracted facts into a graph.
 
 Whether a fact is new depends on the facts before it, and resolving a name on
-the entities before it, so a graph is folded in order. Graphs are independent:
-one group of ``applyInPandas`` for each ``graph_id``, sorted by time, episode
-and place of the fact. What need not be ordered (episode texts, parsing, the junk
-filter) is done with expressions before.
+the entities before it, so a graph is folded in order. But a name can only meet
+names that it matches, and a fact only facts of its subject. So names are
+resolved in parts, the connected components of names that match each other, and
+facts are folded subject by subject, each in the order of time, episode and place
+of the fact; numbers that count through the whole graph are given afterwards. No
+graph is ever one group.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemograph.functions.text import STOPWORDS, episode_text, is_junk
+from mnemograph.functions.text import initials as name_initials_of
+from mnemograph.functions.text import name_tokens as name_tokens_of
+from mnemograph.operators.components import connected_components, numbered_within
 from mnemograph.operators.mutate import CORRECTION, DUPLICATE
 from mnemograph.operators.names import fold, initials, lower_tokens, matches, name_tokens
 from mnemograph.schema import ENTITIES, FACTS, natural_id
+from mnemograph.sources.working import Keep, keeper
 
 Embedder = Callable[[str], list[float]]
+#: Rows that a task gives back at once.
+ROWS = 4096
 
 
 def word_embedder(vectors: dict[str, list[float]]) -> Embedder:
@@ -51,17 +60,15 @@ def make_id(*parts: object) -> str:
 
 
 @dataclass
-class Graph:
-    """The entities and facts of one graph, with the indexes that keep a merge from reading all of them."""
+class People:
+    """Entities in their order, with the indexes that keep a merge from reading all of them; ``new_id`` names a new one."""
 
-    graph_id: str
+    graph_id: str | None
     entities: list[dict] = field(default_factory=list)
-    facts: list[dict] = field(default_factory=list)
     by_name: dict[str, int] = field(default_factory=dict)
     by_key: dict[str, list[int]] = field(default_factory=dict)
     by_ref: dict[str, int] = field(default_factory=dict)
-    by_subject: dict[str, list[int]] = field(default_factory=dict)
-    next_fact: int = 0
+    new_id: Callable[[int, str], str] | None = None
 
     def add_entity(self, e: dict) -> int:
         at = len(self.entities)
@@ -79,10 +86,6 @@ class Graph:
         for k in {*own, *([initials(name)] if len(own) > 1 else [])}:
             self.by_key.setdefault(k, []).append(at)
 
-    def add_fact(self, f: dict) -> None:
-        self.by_subject.setdefault(f["subject_id"], []).append(len(self.facts))
-        self.facts.append(f)
-
     def find(self, name: str) -> tuple[int | None, bool]:
         """(place, exact) of the first entity of an equal, else of a matching name."""
         at = self.by_name.get(name.lower())
@@ -106,8 +109,8 @@ class Graph:
         at, exact = self.find(name)
         if at is None:
             seq = len(self.entities)
-            e = {"graph_id": self.graph_id, "id": make_id(self.graph_id, "entity", seq, name), "name": name, "summary": summary, "kind": kind}
-            at = self.add_entity(e | {"embedding": embedding, "aliases": [], "external_ref": None, "seq": seq})
+            id_ = self.new_id(seq, name) if self.new_id else make_id(self.graph_id, "entity", seq, name)
+            at = self.add_entity({"graph_id": self.graph_id, "id": id_, "name": name, "summary": summary, "kind": kind, "embedding": embedding, "aliases": [], "external_ref": None, "seq": seq})
         elif exact:
             self.entities[at] |= {"summary": summary, "embedding": embedding}
         else:
@@ -122,35 +125,66 @@ class Graph:
             self.by_ref[external_ref] = at
         return e["id"]
 
-    def active(self, subject_id: str) -> Iterator[dict]:
-        return (f for i in self.by_subject.get(subject_id, ()) if (f := self.facts[i])["invalid_at"] is None)
-
-    def merge(self, fact: dict, at: object, embed: Embedder, duplicate: float, correction: float) -> bool:
-        """Apply one extracted fact; False if it is a correction that corrects nothing."""
-        text = fact["factText"]
-        subject = self.upsert(fact["subjectName"], text, "user", embed(fact["subjectName"]))
-        name = fact["objectName"]
-        object_ = None if name is None else self.upsert(name, text, "other", embed(name))
-        vector = embed(text)
-        if fact["isCorrection"]:
-            # What begins after the correction is not what it is about: it has only come late.
-            told = [f for f in self.active(subject) if f["valid_at"] is None or at is None or f["valid_at"] <= at]
-            if object_ is not None:
-                hit = [f for f in told if f["object_id"] == object_]
-            else:
-                scored = [(similarity(f["embedding"], vector), f) for f in told if f["object_id"] is None]
-                best = max(scored, key=lambda x: x[0], default=None)
-                hit = [best[1]] if best and best[0] >= correction else []
-            for f in hit:
-                f["invalid_at"] = at
-            return bool(hit)
-        low = text.lower()
-        if not any(f["fact_text"].lower() == low or similarity(f["embedding"], vector) >= duplicate for f in self.active(subject)):
-            seq, self.next_fact = self.next_fact, self.next_fact + 1
-            f = {"graph_id": self.graph_id, "id": make_id(self.graph_id, "fact", seq, text), "subject_id": subject, "object_id": object_}
-            f |= {"predicate": fact["predicate"], "fact_text": text, "embedding": vector, "valid_at": at, "invalid_at": None, "seq": seq}
-            self.add_fact(f)
-        return True
+
+class Told:
+    """The facts of one subject, in order; vectors of running ones lie in a matrix for each size."""
+
+    def __init__(self, duplicate: float, correction: float):
+        self.duplicate, self.correction = duplicate, correction
+        self.facts: list[dict] = []
+        self.running: dict[int, None] = {}
+        self.texts: Counter = Counter()
+        self.vectors: dict[int, tuple[np.ndarray, list[int]]] = {}
+
+    def add(self, f: dict) -> None:
+        at = len(self.facts)
+        self.facts.append(f)
+        self.running[at] = None
+        self.texts[f["fact_text"].lower()] += 1
+        size = len(f["embedding"])
+        if size:
+            rows, places = self.vectors.get(size, (np.zeros((4, size)), []))
+            if len(places) == len(rows):
+                rows = np.concatenate([rows, np.zeros_like(rows)])
+            rows[len(places)] = f["embedding"]
+            places.append(at)
+            self.vectors[size] = rows, places
+
+    def _end(self, at: int, when: object) -> None:
+        f = self.facts[at]
+        f["invalid_at"] = when
+        if when is not None:
+            del self.running[at]
+            self.texts[f["fact_text"].lower()] -= 1
+
+    def _similar(self, vector: list[float]) -> dict[int, float]:
+        """Similarity of running facts with a vector of this size; any other has 0."""
+        if len(vector) not in self.vectors:
+            return {}
+        rows, places = self.vectors[len(vector)]
+        scores = rows[: len(places)] @ np.asarray(vector, float)
+        return {at: float(x) for at, x in zip(places, scores, strict=True) if at in self.running}
+
+    def merge(self, f: dict, wrong: bool) -> bool:
+        """Apply one fact; False if it is a correction that corrects nothing."""
+        at = f["valid_at"]
+        scores = self._similar(f["embedding"])
+        if not wrong:
+            known = self.texts[f["fact_text"].lower()] > 0 or (self.running and max(scores.values(), default=0.0) >= self.duplicate)
+            if not known and not (self.running and self.duplicate <= 0):
+                self.add(f)
+            return True
+        # What begins after the correction is not what it is about: it has only come late.
+        told = [i for i in self.running if self.facts[i]["valid_at"] is None or at is None or self.facts[i]["valid_at"] <= at]
+        if f["object_id"] is not None:
+            hit = [i for i in told if self.facts[i]["object_id"] == f["object_id"]]
+        else:
+            free = [i for i in told if self.facts[i]["object_id"] is None]
+            best = max(free, key=lambda i: scores.get(i, 0.0), default=None)
+            hit = [best] if best is not None and scores.get(best, 0.0) >= self.correction else []
+        for i in hit:
+            self._end(i, at)
+        return bool(hit)
 
 
 def clean_facts(turns: DataFrame, extractions: DataFrame) -> DataFrame:
@@ -171,13 +205,114 @@ def episodes(turns: DataFrame, clean: DataFrame) -> DataFrame:
     return own.select("graph_id", natural_id(F.col("graph_id"), F.lit("episode"), F.col("episode_seq")).alias("id"), text.alias("raw_text"), F.left(text, F.lit(200)).alias("summary"), "occurred_at")
 
 
-_STATE = "graph_id string, what string, entity struct<{e}>, fact struct<{f}>, failed struct<episode_seq:bigint,pos:int,subjectName:string,factText:string>"
-
-
 def _fields(schema) -> str:
     return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in schema)
 
 
+def name_parts(names: DataFrame, keep: Keep) -> DataFrame:
+    """(graph_id, name, part) of ``names`` (graph_id, name, also): names of one graph that may meet have one part.
+
+    Names meet that are equal but for case, whose tokens are contained in each
+    other's, of which one is the other's initials, or that are given as ``also``
+    of each other. A set of tokens is looked for at its rarest token only: what
+    contains it has that one, and a token that half of all names have is the
+    rarest of very few sets.
+    """
+    own = names.select("graph_id", F.explode(F.array_compact(F.array("name", "also"))).alias("name")).distinct()
+    t = F.array_sort(name_tokens_of(F.col("name")))
+    # A name without tokens is met by its equals only.
+    node = F.when(F.size("t") > 0, F.concat(F.lit("t"), F.array_join("t", " "))).otherwise(F.concat(F.lit("n"), F.lower("name")))
+    graph = F.when(F.col("graph_id").isNull(), "-").otherwise(F.concat(F.length("graph_id").cast("string"), F.lit(":"), F.col("graph_id")))
+    named = own.withColumn("t", t).withColumn("i", name_initials_of(F.col("name")))
+    named = keep(named.withColumn("g", graph).withColumn("node", F.concat("g", F.lit("|"), node)))
+    sets = named.where(F.size("t") > 0).select("g", "node", "t").distinct()
+    holds = sets.select("g", "node", "t", F.explode("t").alias("token"))
+    many = holds.groupBy("g", "token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = holds.join(many, ["g", "token"]).groupBy("g", "node").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("t").alias("small"))
+    within = rarest.select("g", "token", F.col("node").alias("a"), "small").join(holds.select("g", "token", F.col("node").alias("b"), "t"), ["g", "token"])
+    within = within.where((F.col("a") != F.col("b")) & (F.size(F.array_except("small", "t")) == 0)).select("a", "b")
+    short = sets.where(F.size("t") == 1).select("g", F.col("node").alias("a"), F.element_at("t", 1).alias("i"))
+    initial = named.where("i <> ''").select("g", "i", F.col("node").alias("b")).distinct().join(short, ["g", "i"]).select("a", "b")
+    one = names.where("also is not null").select("graph_id", "name", F.col("also").alias("other"))
+    at = named.select(F.col("graph_id").alias("g1"), F.col("name").alias("n1"), F.col("node").alias("m"))
+    given = one.join(at, F.col("graph_id").eqNullSafe(F.col("g1")) & (F.col("name") == F.col("n1"))).select("graph_id", "other", F.col("m").alias("a"))
+    given = given.join(at, F.col("graph_id").eqNullSafe(F.col("g1")) & (F.col("other") == F.col("n1"))).select("a", F.col("m").alias("b"))
+    joined = connected_components(within.unionByName(initial).unionByName(given), keep)
+    return keep(named.join(joined, "node", "left").select("graph_id", "name", F.coalesce("component", "node").alias("part")))
+
+
+def _resolved(clean: DataFrame, entities: DataFrame, vectors: dict[str, list[float]] | None, keep: Keep) -> tuple[DataFrame, DataFrame]:
+    """(entities after the batch, facts with subject_id and object_id)."""
+    place = ("t", "s", "p")
+    subject = clean.select("graph_id", *place, F.lit(0).alias("role"), F.col("fact.subjectName").alias("name"), F.col("fact.factText").alias("text"))
+    object_ = clean.where("fact.objectName is not null").select("graph_id", *place, F.lit(1).alias("role"), F.col("fact.objectName").alias("name"), F.col("fact.factText").alias("text"))
+    mentions = subject.unionByName(object_)
+    aliases = entities.select("graph_id", "name", F.explode_outer("aliases").alias("also"))
+    names = mentions.select("graph_id", "name", F.lit(None).cast("string").alias("also")).unionByName(aliases).distinct()
+    parts = name_parts(names, keep)
+    of = lambda df: df.join(parts.select(F.col("graph_id").alias("g"), F.col("name").alias("n"), "part"), F.col("graph_id").eqNullSafe(F.col("g")) & (F.col("name") == F.col("n"))).drop("g", "n")
+    none = F.lit(None).cast(f"struct<{_fields(ENTITIES)}>")
+    known = of(entities).select("part", "graph_id", F.lit(None).cast("timestamp").alias("t"), F.col("seq").alias("s"), F.lit(-1).alias("p"), F.lit(-1).alias("role"), F.struct(*ENTITIES.names).alias("entity"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("text"))
+    asked = of(mentions).select("part", "graph_id", *place, "role", none.alias("entity"), "name", "text")
+    # Parts without a mention pass through.
+    active = asked.select("part").distinct()
+    rows = known.join(active, "part", "left_semi").unionByName(asked)
+
+    rows = rows.withColumn("new", F.col("role") >= 0).repartition("part").sortWithinPartitions("part", "new", "t", "s", "p", "role")
+
+    columns = {"graph_id": "graph_id", "t": "t", "s": "s", "p": "p", "role": "role", "ref": "name", "entity": "entity"}
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed = word_embedder(vectors or {})
+        made: dict[str, dict] = {}
+
+        def finished(people: People) -> list[dict]:
+            # An entity that was there has no role; a new one has the place of the mention that made it.
+            old = {"t": None, "s": 0, "p": 0, "role": -1}
+            return [{"graph_id": people.graph_id, **made.get(e["id"], old), "ref": None, "entity": e} for e in people.entities]
+
+        out: list[dict] = []
+        part, people = None, None
+        for kinds, r in _in_turn(batches):
+            if people is None or r["part"] != part:
+                out += finished(people) if people else []
+                part, people = r["part"], People(r["graph_id"])
+                made.clear()
+            if r["new"]:
+                here = f"+{r['s']}:{r['p']}:{r['role']}"
+                people.new_id = lambda _, __, here=here: here
+                had, at = len(people.entities), {n: r[n] for n in ("t", "s", "p", "role")}
+                ref = people.upsert(r["name"], r["text"], "other" if r["role"] else "user", embed(r["name"]))
+                if len(people.entities) > had:
+                    made[ref] = at
+                out.append({"graph_id": r["graph_id"], **at, "ref": ref, "entity": None})
+            else:
+                people.add_entity({**r["entity"], "aliases": _list(r["entity"]["aliases"]), "embedding": _list(r["entity"]["embedding"])})
+            if len(out) >= ROWS:
+                yield _batch(out, kinds, columns)
+        if people:
+            out += finished(people)
+            yield _batch(out, kinds, columns)
+
+    schema = f"graph_id string, t timestamp, s long, p int, role int, ref string, entity struct<{_fields(ENTITIES)}>"
+    done = keep(rows.mapInArrow(resolve, schema))
+    counts = entities.groupBy(F.col("graph_id").alias("g")).agg(F.count(F.lit(1)).alias("had"))
+    new = numbered_within(done.where("ref is null and role >= 0"), "graph_id", ["t", "s", "p", "role"], "nth", keep)
+    new = new.join(counts, F.col("graph_id").eqNullSafe(F.col("g")), "left").withColumn("seq", F.col("nth") + F.coalesce("had", F.lit(0)))
+    number = natural_id(F.col("graph_id"), F.lit("entity"), F.col("seq"), F.col("entity.name"))
+    new = keep(new.select("graph_id", F.col("entity.id").alias("ref"), number.alias("id"), "entity", F.col("seq").alias("new_seq")))
+    made = new.select(*[F.col("id") if n == "id" else F.col("new_seq").alias("seq") if n == "seq" else F.col(f"entity.{n}").alias(n) if n != "graph_id" else F.col(n) for n in ENTITIES.names])
+    passed = of(entities).join(active, "part", "left_anti").select(*ENTITIES.names)
+    after = passed.unionByName(done.where("ref is null and role < 0").select("entity.*")).unionByName(made)
+    ids = new.select(F.col("graph_id").alias("g"), F.col("ref").alias("made"), "id")
+    told = done.where("ref is not null").join(ids, F.col("graph_id").eqNullSafe(F.col("g")) & (F.col("ref") == F.col("made")), "left")
+    told = told.groupBy(F.col("graph_id").alias("g"), F.col("s").alias("s_"), F.col("p").alias("p_")).agg(
+        *[F.max(F.when(F.col("role") == r, F.coalesce("id", "ref"))).alias(n) for r, n in enumerate(("subject_id", "object_id"))]
+    )
+    facts = clean.join(told, F.col("graph_id").eqNullSafe(F.col("g")) & (F.col("s") == F.col("s_")) & (F.col("p") == F.col("p_"))).drop("g", "s_", "p_")
+    return after, keep(facts)
+
+
 def merge(
     clean: DataFrame,
     entities: DataFrame,
@@ -185,62 +320,94 @@ def merge(
     vectors: dict[str, list[float]] | None = None,
     duplicate: float = DUPLICATE,
     correction: float = CORRECTION,
-    keep: Callable[[DataFrame], DataFrame] | None = None,
+    keep: Keep | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, facts, failed): every graph after its new facts, in order; failed are corrections without effect.
 
     ``vectors`` is the word table that texts are embedded with; it travels with
     the function, so it must be of a vocabulary's size. Graphs that get no new
-    facts pass through without Python, and so do facts that have ended. ``keep``
-    may write the output of the fold and read it again: else each of the three
-    results folds anew.
+    facts pass through without Python, and so do names and subjects that nothing
+    new is said of, and facts that have ended. The largest groups are the names
+    that match each other and the running facts of one subject. ``keep`` writes a
+    frame and reads it again; without one the shared folder serves.
     """
-    schema = _STATE.format(e=_fields(ENTITIES), f=_fields(FACTS))
-    touched = clean.select("graph_id").distinct()
-    counted = facts.groupBy("graph_id").agg((F.max("seq") + 1).alias("next_fact"))
-    new = clean.select("graph_id", F.struct(F.lit(2).alias("part"), F.col("occurred_at").alias("t"), F.col("episode_seq").alias("s"), F.col("pos").alias("p")).alias("o"), F.lit("new").alias("what"), F.lit(None).cast(f"struct<{_fields(ENTITIES)}>").alias("entity"), F.lit(None).cast(f"struct<{_fields(FACTS)}>").alias("old"), "fact", "occurred_at", "episode_seq", F.col("pos").alias("pos"))
-
-    def state(df: DataFrame, part: int, what: str, entity, old) -> DataFrame:
-        order = F.struct(F.lit(part).alias("part"), F.lit(None).cast("timestamp").alias("t"), F.col("seq").alias("s"), F.lit(0).alias("p"))
-        own = df.join(touched, "graph_id", "left_semi").select("graph_id", order.alias("o"), F.lit(what).alias("what"), entity.alias("entity"), old.alias("old"))
-        return own.select("*", F.lit(None).cast(new.schema["fact"].dataType).alias("fact"), F.lit(None).cast("timestamp").alias("occurred_at"), F.lit(None).cast("long").alias("episode_seq"), F.lit(None).cast("int").alias("pos"))
-
-    none_e, none_f = F.lit(None).cast(f"struct<{_fields(ENTITIES)}>"), F.lit(None).cast(f"struct<{_fields(FACTS)}>")
-    running = facts.where("invalid_at is null")
-    before = state(entities, 0, "entity", F.struct(*ENTITIES.names), none_f).unionByName(state(running, 1, "fact", none_e, F.struct(*FACTS.names)))
-    rows = before.unionByName(new).join(counted, "graph_id", "left").select("next_fact", "graph_id", "what", "entity", "old", "fact", "occurred_at", "episode_seq", "pos", "o.*")
-
-    def fold_graph(pdf: pd.DataFrame) -> pd.DataFrame:
+    keep = keep or keeper(clean.sparkSession)
+    clean = keep(clean.select("graph_id", F.col("occurred_at").alias("t"), F.col("episode_seq").alias("s"), F.col("pos").alias("p"), "fact"))
+    touched = clean.select(F.col("graph_id").alias("g")).distinct()
+    mine = lambda df, how: df.join(touched, F.col("graph_id").eqNullSafe(F.col("g")), how)
+    people, new = _resolved(clean, keep(mine(entities, "left_semi").select(*ENTITIES.names)), vectors, keep)
+    own = keep(mine(facts, "left_semi").select(*FACTS.names))
+    subjects = new.select(F.col("graph_id").alias("g"), "subject_id").distinct()
+    of = lambda df, how: df.join(subjects, df["graph_id"].eqNullSafe(subjects["g"]) & (df["subject_id"] == subjects["subject_id"]), how)
+    running = own.where("invalid_at is null")
+    none = F.lit(None).cast(f"struct<{_fields(FACTS)}>")
+    old = of(running, "left_semi").select("graph_id", "subject_id", F.lit(None).cast("string").alias("object_id"), F.lit(None).cast("timestamp").alias("t"), F.col("seq").alias("s"), F.lit(-1).alias("p"), F.struct(*FACTS.names).alias("old"), F.lit(None).cast(new.schema["fact"].dataType).alias("fact"))
+    rows = old.unionByName(new.select("graph_id", "subject_id", "object_id", "t", "s", "p", none.alias("old"), "fact"))
+
+    rows = rows.withColumn("new", F.col("p") >= 0).repartition("graph_id", "subject_id").sortWithinPartitions("graph_id", "subject_id", "new", "t", "s", "p")
+    names = {"graph_id": "graph_id", "t": "t", "s": "s", "p": "p", "what": "subject_id", "fact": "old", "subjectName": "subject_id", "factText": "subject_id"}
+
+    def fold_subjects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = word_embedder(vectors or {})
-        pdf = pdf.sort_values(["part", "t", "s", "p"], kind="stable", na_position="first")
-        first = pdf["next_fact"].iloc[0]
-        g = Graph(str(pdf["graph_id"].iloc[0]), next_fact=0 if pd.isna(first) else int(first))
+
+        def finished(told: Told) -> list[dict]:
+            rows = []
+            for f in told.facts:
+                made = f.pop("made")
+                rows.append({"graph_id": f["graph_id"], **(made or {"t": None, "s": 0, "p": 0}), "what": "new" if made else "old", "fact": f})
+            return rows
+
         out: list[dict] = []
-        for r in pdf.to_dict("records"):
-            if r["what"] == "entity":
-                g.add_entity({**r["entity"], "aliases": list(r["entity"]["aliases"] if r["entity"]["aliases"] is not None else []), "embedding": _list(r["entity"]["embedding"])})
-            elif r["what"] == "fact":
-                g.add_fact({**r["old"], "embedding": _list(r["old"]["embedding"])})
-            elif not g.merge(r["fact"], r["occurred_at"], embed, duplicate, correction):
-                failed = {"episode_seq": int(r["episode_seq"]), "pos": int(r["pos"]), "subjectName": r["fact"]["subjectName"], "factText": r["fact"]["factText"]}
-                out.append({"what": "failed", "entity": None, "fact": None, "failed": failed})
-        out += [{"what": "entity", "entity": e, "fact": None, "failed": None} for e in g.entities]
-        out += [{"what": "fact", "entity": None, "fact": f, "failed": None} for f in g.facts]
-        return pd.DataFrame([{"graph_id": g.graph_id, **o} for o in out], columns=["graph_id", "what", "entity", "fact", "failed"])
-
-    done = rows.groupBy("graph_id").applyInPandas(fold_graph, schema)
-    done = keep(done) if keep else done
-    still_e, still_f = (t.join(touched, "graph_id", "left_anti") for t in (entities, facts))
-    still_f = still_f.unionByName(facts.where("invalid_at is not null").join(touched, "graph_id", "left_semi"))
+        subject, told = None, None
+        for kinds, r in _in_turn(batches):
+            if told is None or subject != (r["graph_id"], r["subject_id"]):
+                out += finished(told) if told else []
+                subject, told = (r["graph_id"], r["subject_id"]), Told(duplicate, correction)
+            if r["new"]:
+                f, made = r["fact"], {n: r[n] for n in ("t", "s", "p")}
+                one = {"graph_id": r["graph_id"], "id": "", "subject_id": r["subject_id"], "object_id": r["object_id"], "predicate": f["predicate"], "fact_text": f["factText"]}
+                one |= {"embedding": embed(f["factText"]), "valid_at": r["t"], "invalid_at": None, "seq": 0, "made": made}
+                if not told.merge(one, f["isCorrection"]):
+                    out.append({"graph_id": r["graph_id"], **made, "what": "failed", "subjectName": f["subjectName"], "factText": f["factText"]})
+            else:
+                told.add({**r["old"], "embedding": _list(r["old"]["embedding"]), "made": None})
+            if len(out) >= ROWS:
+                yield _batch(out, kinds, names)
+        if told:
+            out += finished(told)
+            yield _batch(out, kinds, names)
+
+    schema = f"graph_id string, t timestamp, s long, p int, what string, fact struct<{_fields(FACTS)}>, subjectName string, factText string"
+    done = keep(rows.mapInArrow(fold_subjects, schema))
+    counts = own.groupBy(F.col("graph_id").alias("g")).agg((F.max("seq") + 1).alias("next"))
+    made = numbered_within(done.where("what = 'new'"), "graph_id", ["t", "s", "p"], "nth", keep)
+    made = made.join(counts, F.col("graph_id").eqNullSafe(F.col("g")), "left").withColumn("seq", F.col("nth") + F.coalesce("next", F.lit(0)))
+    number = natural_id(F.col("graph_id"), F.lit("fact"), F.col("seq"), F.col("fact.fact_text"))
+    made = made.select(*[number.alias("id") if n == "id" else F.col("seq") if n == "seq" else F.col(n) if n == "graph_id" else F.col(f"fact.{n}").alias(n) for n in FACTS.names])
+    passed = own.where("invalid_at is not null").unionByName(of(running, "left_anti").select(*FACTS.names))
     return (
-        still_e.unionByName(done.where("what = 'entity'").select("entity.*")).select(ENTITIES.names),
-        still_f.unionByName(done.where("what = 'fact'").select("fact.*")).select(FACTS.names),
-        done.where("what = 'failed'").select("graph_id", "failed.*"),
+        mine(entities, "left_anti").select(*ENTITIES.names).unionByName(people.select(*ENTITIES.names)),
+        mine(facts, "left_anti").select(*FACTS.names).unionByName(passed).unionByName(done.where("what = 'old'").select("fact.*")).unionByName(keep(made)),
+        done.where("what = 'failed'").select("graph_id", F.col("s").alias("episode_seq"), F.col("p").alias("pos"), "subjectName", "factText"),
     )
 
 
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Schema, dict]]:
+    """(schema, row) of sorted rows, one after the other; what is held is a batch and the state of one part."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield batch.schema, row
+
+
+def _batch(rows: list[dict], kinds: pa.Schema, like: dict[str, str]) -> pa.RecordBatch:
+    """Rows as a batch, whose columns have the types of some that were read; ``rows`` is emptied."""
+    out = pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.field(of).type) for n, of in like.items()], list(like))
+    rows.clear()
+    return out
+
+
 def _list(x: object) -> list:
     return [] if x is None else list(x)
 
 
-__all__ = ["STOPWORDS", "Graph", "clean_facts", "episodes", "fold", "make_id", "merge", "similarity", "word_embedder"]
+__all__ = ["STOPWORDS", "People", "clean_facts", "episodes", "fold", "make_id", "merge", "name_parts", "similarity", "word_embedder"]

@@ -514,13 +514,50 @@ def q43_prompt_sections(spark, sf_dir):
     return rows.select("id", prompt.memory_section(F.col("context")).alias("section"))
 
 
-@query()
+#: A fact is new unless one of its text is running: it is the first since the last correction of its object. It ends
+#: with the next one. Ids count new facts in the order of time.
+_FOLD = """WITH e AS (SELECT *, CAST(user_id AS VARCHAR) AS graph_id, 'k' || regexp_extract(props, '([0-9]+)', 1) AS k FROM events WHERE event_type IN ('purchase', 'click', 'error')),
+    c AS (SELECT *, event_type || ' ' || k AS fact_text, count(*) FILTER (event_type = 'error') OVER (PARTITION BY graph_id, k ORDER BY ts, event_id) AS ends,
+        max(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY graph_id, k ORDER BY ts DESC, event_id DESC) AS later FROM e),
+    n AS (SELECT *, row_number() OVER (PARTITION BY graph_id, fact_text, ends ORDER BY ts, event_id) AS nth FROM c WHERE event_type <> 'error'),
+    f AS (SELECT *, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY ts, event_id) - 1 AS VARCHAR) AS seq FROM n WHERE nth = 1)"""
+
+
+@query(
+    _FOLD
+    + """ SELECT graph_id, substr(sha256(length(graph_id) || ':' || graph_id || '|4:fact|' || length(seq) || ':' || seq || '|' || length(fact_text) || ':' || fact_text), 1, 32) AS id,
+    fact_text, later IS NOT NULL AS ended FROM f"""
+)
 def q44_ingest_fold(spark, sf_dir):
     """Scripted episodes for every user of events, folded in order."""
     _, new, _ = scripted.ingest(spark, read(spark, sf_dir, "events"))
     return new.select("graph_id", "id", "fact_text", F.col("invalid_at").isNotNull().alias("ended"))
 
 
+@query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o, 'k' || regexp_extract(props, '([0-9]+)', 1) AS k
+        FROM events WHERE event_type IN ('purchase', 'click', 'error')),
+    m AS (SELECT g, o, 0 AS role, 'user ' || g AS name, 'user' AS kind FROM e UNION ALL SELECT g, o, 1, k, 'other' FROM e),
+    f AS (SELECT g, name, kind, min(o * 2 + role) AS first FROM m GROUP BY g, name, kind), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY g ORDER BY first) - 1 AS VARCHAR) AS seq FROM f)
+    SELECT g AS graph_id, substr(sha256(length(g) || ':' || g || '|6:entity|' || length(seq) || ':' || seq || '|' || length(name) || ':' || name), 1, 32) AS id, name, kind, CAST(seq AS BIGINT) AS seq FROM n"""
+)
+def q59_fold_people(spark, sf_dir):
+    """The entities that the same episodes make, numbered in the order in which they are first named."""
+    people, _, _ = scripted.ingest(spark, read(spark, sf_dir, "events"))
+    return people.select("graph_id", "id", "name", "kind", "seq")
+
+
+@query(
+    _FOLD.replace("f AS (SELECT", "x AS (SELECT", 1)
+    + """ SELECT graph_id, event_id AS episode_seq, fact_text FROM c WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM c o WHERE o.graph_id = c.graph_id AND o.k = c.k AND o.event_type <> 'error'
+    AND o.ends = c.ends - 1)"""
+)
+def q60_fold_corrections_without_effect(spark, sf_dir):
+    """Corrections of the same episodes that found nothing to end."""
+    _, _, failed = scripted.ingest(spark, read(spark, sf_dir, "events"))
+    return failed.select("graph_id", "episode_seq", F.col("factText").alias("fact_text"))
+
+
 @query("SELECT * FROM (VALUES ('page-1', 'applied', true), ('page-2', 'unmatched', false), ('page-3', 'no_facts', true)) t(page_id, status, cleared)")
 def q45_correction_import(spark, sf_dir):
     return scripted.import_corrections(spark)

@@ -59,8 +59,12 @@ def empty_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def ingest(spark: SparkSession, events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entities, facts, failed): purchases and clicks of each user as facts, errors as corrections, one graph for each user."""
-    k = F.concat(F.lit("item "), F.regexp_extract("props", "([0-9]+)", 1))
+    """(entities, facts, failed): purchases and clicks of each user as facts, errors as corrections, one graph for each user.
+
+    There is no word table, so facts are equal by their texts only; no name is
+    within another, so each is found by itself.
+    """
+    k = F.concat(F.lit("k"), F.regexp_extract("props", "([0-9]+)", 1))
     own = events.where("event_type in ('purchase', 'click', 'error')").select(
         F.col("user_id").cast("string").alias("graph_id"),
         F.col("event_id").alias("episode_seq"),
@@ -80,7 +84,7 @@ def ingest(spark: SparkSession, events: DataFrame) -> tuple[DataFrame, DataFrame
     )
     turns = own.select(*CHAT_TURNS.names)
     clean = fold.clean_facts(turns, own.select("graph_id", "episode_seq", "facts"))
-    return fold.merge(clean, *empty_graph(spark), VECTORS, duplicate=1.5)
+    return fold.merge(clean, *empty_graph(spark))
 
 
 _RESPONSE = {

@@ -329,7 +329,7 @@ def test_merge_equals_plain_lists(spark, seed):
 
 
 def test_external_reference():
-    g = ingest.Graph("g")
+    g = ingest.People("g")
     first = g.upsert("Jane Doe", "a", "other", [], "abc")
     assert g.upsert("Jane Smith", "b", "other", [], "abc") == first and g.entities[0]["summary"] == "b" and len(g.entities) == 1
     g.upsert("Maria", "c", "other", [])
