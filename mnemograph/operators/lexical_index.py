@@ -31,6 +31,8 @@ K1, B = 1.2, 0.75
 SEGMENT = 64
 #: Segments of a query that are scored before any is left out, for each document that is asked for: each may hold one good one.
 PROBES = 2
+#: Characters that one task makes words of, about.
+PART_CHARS = 8 << 20
 
 #: Columns of the three tables.
 HEADS, POSTINGS, PLACES = INDEX_HEADS.names, INDEX_POSTINGS.names, INDEX_PLACES.names
@@ -45,33 +47,43 @@ class LexicalIndex:
     places: DataFrame
 
     def statistics(self) -> DataFrame:
-        """(graph_id, n, avgdl) of each pool."""
-        return self.places.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        """(g, n, avgdl) of each pool that has any word."""
+        n = self.places.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+        words = self.heads.groupBy(F.col("graph_id").alias("g")).agg(F.sum("words").alias("all_words"))
+        return words.join(n, F.col("g").eqNullSafe(F.col("graph_id"))).select("g", "n", (F.col("all_words") / F.col("n")).alias("avgdl"))
 
 
 def _sign(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _placed(docs: DataFrame, generation: str) -> DataFrame:
-    """``docs`` (a written table with graph_id, id, dl) with ``segment``: runs of a pool's documents by length.
+def _kind(chars: Column) -> Column:
+    """Lengths within a fifth of each other, about, are of one kind: a block's shortest document is then near to all of it."""
+    return F.floor(F.log2(chars + F.lit(1.0)) * 4)
 
-    Documents of one class of lengths are spread by hash over the segments that
-    the class fills, so only counts of classes are ever in order.
+
+def _kinds(docs: DataFrame) -> DataFrame:
+    """(g, kind, n, before): how many of a pool's documents (graph_id, chars) are of a kind, and of shorter ones."""
+    kinds = docs.groupBy(F.col("graph_id").alias("g"), _kind(F.col("chars")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    # A pool has a kind for each quarter of a power of two, some hundred at most.
+    return kinds.withColumn("before", F.sum("n").over(Window.partitionBy("g").orderBy("kind")) - F.col("n"))
+
+
+def _placed(docs: DataFrame, kinds: DataFrame, generation: str) -> DataFrame:
+    """``docs`` (graph_id, id, chars, ...) with ``segment``: runs of a pool's documents by length.
+
+    Documents of one kind are spread by hash over the segments that it fills, so
+    a row needs the counts of kinds only, and no list is ever in order.
     """
-    kind = F.floor(F.log2(F.col("dl") + F.lit(1.0)) * 4)
-    classes = docs.groupBy(F.col("graph_id").alias("g"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    # A pool has a class for each quarter of a power of two, some hundred at most.
-    before = F.sum("n").over(Window.partitionBy("g").orderBy("kind")) - F.col("n")
-    classes = classes.withColumn("before", before)
     share = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
     at = F.floor((F.col("before") + share * F.col("n")) / SEGMENT)
-    joined = docs.withColumn("kind_", kind).join(classes, F.col("graph_id").eqNullSafe(F.col("g")) & (F.col("kind_") == F.col("kind")))
+    joined = docs.withColumn("kind_", _kind(F.col("chars"))).join(kinds, F.col("graph_id").eqNullSafe(F.col("g")) & (F.col("kind_") == F.col("kind")))
     return joined.select(*docs.columns, F.concat_ws("-", F.lit(generation), at.cast("string")).alias("segment"))
 
 
 def _heads(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("graph_id", "segment", "term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"), F.min("dl").alias("least")).select(*HEADS)
+    counts = F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.sum("tf").alias("words")
+    return postings.groupBy("graph_id", "segment", "term").agg(*counts).select(*HEADS)
 
 
 def build(docs: DataFrame, keep: Keep, generation: str = "0") -> LexicalIndex:
@@ -80,13 +92,15 @@ def build(docs: DataFrame, keep: Keep, generation: str = "0") -> LexicalIndex:
     ``keep`` writes a frame and reads it again; ``generation`` names the
     segments and must be another one at each change. A null text has no words.
     """
-    w = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))
-    read = keep(docs.select("graph_id", "id", _sign(F.col("text")).alias("sign"), w.alias("w")).withColumn("dl", F.size("w").cast("long")))
-    places = keep(_placed(read.drop("w"), generation).select(*PLACES))
-    # Whole texts are dealt by segment once; counting needs no other exchange.
-    own = places.select(F.col("graph_id").alias("g"), F.col("id").alias("i"), "segment")
-    dealt = read.join(own, F.col("graph_id").eqNullSafe(F.col("g")) & (F.col("id") == F.col("i"))).select("graph_id", "segment", "id", "dl", "w")
-    words = dealt.repartition("graph_id", "segment").select("graph_id", "segment", "id", "dl", F.explode("w").alias("term"))
+    sized = docs.select("graph_id", "id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
+    sizes = keep(sized.select("graph_id", "id", "chars", _sign(F.col("text")).alias("sign")))
+    kinds = keep(_kinds(sizes))
+    places = keep(_placed(sizes, kinds, generation).select(*PLACES))
+    # Whole texts are dealt by segment once, and counting needs no other exchange; words are made after it. They become
+    # many more bytes there than texts have, so the number of partitions is not left to the size of the exchange.
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, (sizes.agg(F.sum("chars")).first()[0] or 0) // PART_CHARS)
+    dealt = _placed(sized, kinds, generation).select("graph_id", "segment", "id", "text").repartition(n, "graph_id", "segment")
+    words = dealt.withColumn("w", tokens(F.col("text"))).select("graph_id", "segment", "id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
     postings = keep(words.groupBy("graph_id", "segment", "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).select(*POSTINGS))
     return LexicalIndex(keep(_heads(postings)), postings, places)
 
@@ -97,7 +111,7 @@ def refreshed(index: LexicalIndex, docs: DataFrame, keep: Keep, generation: str)
     Segments that nothing of this concerns are copied as they are.
     """
     now = docs.select("graph_id", "id", "text").withColumn("sign", _sign(F.col("text")))
-    then = index.places.select(F.col("graph_id").alias("g"), F.col("id").alias("i"), F.col("sign").alias("s"), "segment", "dl")
+    then = index.places.select(F.col("graph_id").alias("g"), F.col("id").alias("i"), F.col("sign").alias("s"), "segment")
     both = keep(now.join(then, F.col("graph_id").eqNullSafe(F.col("g")) & (F.col("id") == F.col("i")) & (F.col("sign") == F.col("s")), "full"))
     came, went = both.where("i is null"), both.where("id is null").select("g", F.col("segment").alias("gone_from"), F.col("i").alias("gone"))
     every = keep(both.where("i is not null").groupBy("g", "segment").agg(F.count("id").alias("left"), F.max(F.col("id").isNull()).alias("hurt")))
@@ -117,7 +131,8 @@ def refreshed(index: LexicalIndex, docs: DataFrame, keep: Keep, generation: str)
     places = staying(index.places)
     thinned = of(open_, small, "left_anti")
     # Documents of small segments move: their terms are known, so their texts need not be.
-    moved = keep(_placed(keep(of(places, small, "left_semi").drop("segment")), f"{generation}m").select(*PLACES))
+    moving = keep(of(places, small, "left_semi").drop("segment"))
+    moved = keep(_placed(moving, _kinds(moving), f"{generation}m").select(*PLACES))
     home = moved.select(F.col("graph_id").alias("g"), F.col("id").alias("i"), F.col("segment").alias("home"))
     loose = of(open_, small, "left_semi").join(home, F.col("graph_id").eqNullSafe(F.col("g")) & (F.col("id") == F.col("i")))
     rewritten = keep(thinned.unionByName(loose.withColumn("segment", F.col("home")).select(*POSTINGS)))
@@ -150,7 +165,7 @@ class Search:
         asked = self.queries.select("query_id", F.col("graph_id").alias("g"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
         heads = self.keep(self.index.heads.join(asked.select("term").distinct(), "term", "left_semi"))
         frequency = heads.groupBy(F.col("graph_id").alias("g"), "term").agg(F.sum("df").alias("of_all"))
-        stats = self.index.statistics().withColumnRenamed("graph_id", "g")
+        stats = self.index.statistics()
         weighed = asked.join(frequency, asked["g"].eqNullSafe(frequency["g"]) & (asked["term"] == frequency["term"])).select("query_id", asked["g"], asked["term"], "of_all")
         weighed = weighed.join(stats, weighed["g"].eqNullSafe(stats["g"])).select(weighed["*"], "n", "avgdl")
         idf = F.log((F.col("n") - F.col("of_all") + 0.5) / (F.col("of_all") + 0.5) + 1)

@@ -48,7 +48,7 @@ FACTS = T.StructType(
 )
 
 
-#: The lexical index: heads of blocks, their postings, and where documents lie; ``sign`` is a hash of a text.
+#: The lexical index: heads of blocks, their postings, and where documents lie; ``words`` counts repeats, ``chars`` is the length and ``sign`` a hash of a text.
 INDEX_HEADS = T.StructType(
     [
         T.StructField("graph_id", T.StringType()),
@@ -57,6 +57,7 @@ INDEX_HEADS = T.StructType(
         T.StructField("df", T.LongType()),
         T.StructField("most", T.LongType()),
         T.StructField("least", T.LongType()),
+        T.StructField("words", T.LongType()),
     ]
 )
 
@@ -76,7 +77,7 @@ INDEX_PLACES = T.StructType(
         T.StructField("graph_id", T.StringType()),
         T.StructField("segment", T.StringType()),
         T.StructField("id", T.StringType()),
-        T.StructField("dl", T.LongType()),
+        T.StructField("chars", T.LongType()),
         T.StructField("sign", T.LongType()),
     ]
 )
