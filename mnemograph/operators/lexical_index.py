@@ -1,9 +1,9 @@
 """A stored inverted index for BM25: blocks of postings with their maxima, changed with the texts, and a top-k that leaves blocks out.
 
 Documents of a pool lie in segments of about ``SEGMENT``, like lengths together. A
-block is what one segment holds of one term: its head says how many documents
-that is, the most that any has of the term and the length of the shortest. A
-search reads heads first. They bound what any document of a segment can score,
+block is what one segment holds of one term: how many documents that is, the most
+that any has of the term, the length of the shortest, and the postings. A search
+reads these heads of blocks first. They bound what any document of a segment can score,
 whatever the average length has become since; the best segments by bound are
 scored, and of the others only those whose bound reaches the k-th score found.
 
@@ -11,7 +11,7 @@ A change touches segments: those that lose a document are written without it,
 new documents get segments of their own, and segments that have become small are
 packed again from their postings; no text that stays is read again.
 
-Everything is a DataFrame of three tables, so it can be stored anywhere; ``Store``
+Everything is a DataFrame of two tables, so it can be stored anywhere; ``Store``
 keeps them beside the facts.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemograph.functions.text import tokens
-from mnemograph.schema import INDEX_HEADS, INDEX_PLACES, INDEX_POSTINGS
+from mnemograph.schema import INDEX_BLOCKS, INDEX_PLACES
 from mnemograph.sources.working import Keep
 
 K1, B = 1.2, 0.75
@@ -34,22 +34,27 @@ PROBES = 2
 #: Characters that one task makes words of, about.
 PART_CHARS = 8 << 20
 
-#: Columns of the three tables.
-HEADS, POSTINGS, PLACES = INDEX_HEADS.names, INDEX_POSTINGS.names, INDEX_PLACES.names
+#: Columns of the two tables, and those of a block that a bound needs.
+BLOCKS, PLACES = INDEX_BLOCKS.names, INDEX_PLACES.names
+HEADS = [c for c in BLOCKS if c != "docs"]
 
 
 @dataclass
 class LexicalIndex:
     """Tables of any number of pools; a pool is what ``graph_id`` names, null included."""
 
-    heads: DataFrame
-    postings: DataFrame
+    blocks: DataFrame
     places: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(graph_id, segment, term, id, tf, dl), a row for each document of each block."""
+        return self.blocks.select("graph_id", "segment", "term", F.inline("docs"))
+
     def statistics(self) -> DataFrame:
         """(g, n, avgdl) of each pool that has any word."""
         n = self.places.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
-        words = self.heads.groupBy(F.col("graph_id").alias("g")).agg(F.sum("words").alias("all_words"))
+        words = self.blocks.groupBy(F.col("graph_id").alias("g")).agg(F.sum("words").alias("all_words"))
         return words.join(n, F.col("g").eqNullSafe(F.col("graph_id"))).select("g", "n", (F.col("all_words") / F.col("n")).alias("avgdl"))
 
 
@@ -81,9 +86,10 @@ def _placed(docs: DataFrame, kinds: DataFrame, generation: str) -> DataFrame:
     return joined.select(*docs.columns, F.concat_ws("-", F.lit(generation), at.cast("string")).alias("segment"))
 
 
-def _heads(postings: DataFrame) -> DataFrame:
+def _blocks(postings: DataFrame) -> DataFrame:
+    """Blocks of (graph_id, segment, term, id, tf, dl); one has as many postings as its segment has documents at most."""
     counts = F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.sum("tf").alias("words")
-    return postings.groupBy("graph_id", "segment", "term").agg(*counts).select(*HEADS)
+    return postings.groupBy("graph_id", "segment", "term").agg(*counts, F.collect_list(F.struct("id", "tf", "dl")).alias("docs")).select(*BLOCKS)
 
 
 def build(docs: DataFrame, keep: Keep, generation: str = "0") -> LexicalIndex:
@@ -99,10 +105,10 @@ def build(docs: DataFrame, keep: Keep, generation: str = "0") -> LexicalIndex:
     # Whole texts are dealt by segment once, and counting needs no other exchange; words are made after it. They become
     # many more bytes there than texts have, so the number of partitions is not left to the size of the exchange.
     n = max(docs.sparkSession.sparkContext.defaultParallelism, (sizes.agg(F.sum("chars")).first()[0] or 0) // PART_CHARS)
-    dealt = _placed(sized, kinds, generation).select("graph_id", "segment", "id", "text").repartition(n, "graph_id", "segment")
+    dealt = _placed(sized, kinds, generation).select("graph_id", "segment", "id", "text").repartition(n, "segment")
     words = dealt.withColumn("w", tokens(F.col("text"))).select("graph_id", "segment", "id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
-    postings = keep(words.groupBy("graph_id", "segment", "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).select(*POSTINGS))
-    return LexicalIndex(keep(_heads(postings)), postings, places)
+    postings = words.groupBy("graph_id", "segment", "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return LexicalIndex(keep(_blocks(postings)), places)
 
 
 def refreshed(index: LexicalIndex, docs: DataFrame, keep: Keep, generation: str) -> LexicalIndex:
@@ -127,7 +133,7 @@ def refreshed(index: LexicalIndex, docs: DataFrame, keep: Keep, generation: str)
     def staying(df: DataFrame) -> DataFrame:
         return df.join(went, df["graph_id"].eqNullSafe(went["g"]) & (df["segment"] == went["gone_from"]) & (df["id"] == went["gone"]), "left_anti")
 
-    open_ = keep(staying(of(index.postings, touched, "left_semi")))
+    open_ = keep(staying(LexicalIndex(of(index.blocks, touched, "left_semi"), index.places).postings))
     places = staying(index.places)
     thinned = of(open_, small, "left_anti")
     # Documents of small segments move: their terms are known, so their texts need not be.
@@ -135,11 +141,10 @@ def refreshed(index: LexicalIndex, docs: DataFrame, keep: Keep, generation: str)
     moved = keep(_placed(moving, _kinds(moving), f"{generation}m").select(*PLACES))
     home = moved.select(F.col("graph_id").alias("g"), F.col("id").alias("i"), F.col("segment").alias("home"))
     loose = of(open_, small, "left_semi").join(home, F.col("graph_id").eqNullSafe(F.col("g")) & (F.col("id") == F.col("i")))
-    rewritten = keep(thinned.unionByName(loose.withColumn("segment", F.col("home")).select(*POSTINGS)))
+    rewritten = _blocks(thinned.unionByName(loose.withColumn("segment", F.col("home")).select(*thinned.columns)))
     new = build(came.select("graph_id", "id", "text"), keep, generation)
     return LexicalIndex(
-        keep(of(index.heads, touched, "left_anti").unionByName(_heads(rewritten)).unionByName(new.heads)),
-        keep(of(index.postings, touched, "left_anti").unionByName(rewritten).unionByName(new.postings)),
+        keep(of(index.blocks, touched, "left_anti").unionByName(rewritten).unionByName(new.blocks)),
         keep(of(places, small, "left_anti").unionByName(moved).unionByName(new.places)),
     )
 
@@ -163,7 +168,7 @@ class Search:
 
     def __post_init__(self) -> None:
         asked = self.queries.select("query_id", F.col("graph_id").alias("g"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-        heads = self.keep(self.index.heads.join(asked.select("term").distinct(), "term", "left_semi"))
+        heads = self.keep(self.index.blocks.select(*HEADS).join(asked.select("term").distinct(), "term", "left_semi"))
         frequency = heads.groupBy(F.col("graph_id").alias("g"), "term").agg(F.sum("df").alias("of_all"))
         stats = self.index.statistics()
         weighed = asked.join(frequency, asked["g"].eqNullSafe(frequency["g"]) & (asked["term"] == frequency["term"])).select("query_id", asked["g"], asked["term"], "of_all")
@@ -178,10 +183,11 @@ class Search:
 
     def scores(self, where: DataFrame | None = None) -> DataFrame:
         """(query_id, id, bm25) of documents that share a term with a query, in the segments ``where`` (query_id, segment), or in all."""
-        own = self.index.postings.join(self.terms, self.index.postings["graph_id"].eqNullSafe(self.terms["g"]) & (self.index.postings["term"] == self.terms["term"]))
-        own = own.select("query_id", "segment", "idf", "avgdl", "id", "tf", "dl")
+        blocks = self.index.blocks
+        own = blocks.join(self.terms, blocks["graph_id"].eqNullSafe(self.terms["g"]) & (blocks["term"] == self.terms["term"])).select("query_id", "segment", "idf", "avgdl", "docs")
         if where is not None:
             own = own.join(where, ["query_id", "segment"], "left_semi")
+        own = own.select("query_id", "idf", "avgdl", F.inline("docs"))
         part = F.col("idf") * _impact(F.col("tf"), F.col("dl"), F.col("avgdl"), self.k1, self.b)
         return own.groupBy("query_id", "id").agg(F.greatest(F.round(F.sum(part), 6), F.lit(0.0)).alias("bm25"))
 

@@ -48,8 +48,8 @@ FACTS = T.StructType(
 )
 
 
-#: The lexical index: heads of blocks, their postings, and where documents lie; ``words`` counts repeats, ``chars`` is the length and ``sign`` a hash of a text.
-INDEX_HEADS = T.StructType(
+#: The lexical index: blocks of postings, and where documents lie; ``words`` counts repeats, ``chars`` is the length and ``sign`` a hash of a text.
+INDEX_BLOCKS = T.StructType(
     [
         T.StructField("graph_id", T.StringType()),
         T.StructField("segment", T.StringType()),
@@ -58,17 +58,7 @@ INDEX_HEADS = T.StructType(
         T.StructField("most", T.LongType()),
         T.StructField("least", T.LongType()),
         T.StructField("words", T.LongType()),
-    ]
-)
-
-INDEX_POSTINGS = T.StructType(
-    [
-        T.StructField("graph_id", T.StringType()),
-        T.StructField("segment", T.StringType()),
-        T.StructField("term", T.StringType()),
-        T.StructField("id", T.StringType()),
-        T.StructField("tf", T.LongType()),
-        T.StructField("dl", T.LongType()),
+        T.StructField("docs", T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("dl", T.LongType())]))),
     ]
 )
 

@@ -9,10 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemograph.schema import ENTITIES, EPISODES, FACTS, INDEX_HEADS, INDEX_PLACES, INDEX_POSTINGS
+from mnemograph.schema import ENTITIES, EPISODES, FACTS, INDEX_BLOCKS, INDEX_PLACES
 
-#: The last three are the lexical index of active facts.
-TABLES = {"entities": ENTITIES, "facts": FACTS, "episodes": EPISODES, "heads": INDEX_HEADS, "postings": INDEX_POSTINGS, "places": INDEX_PLACES}
+#: The last two are the lexical index of active facts.
+TABLES = {"entities": ENTITIES, "facts": FACTS, "episodes": EPISODES, "blocks": INDEX_BLOCKS, "places": INDEX_PLACES}
 #: Partitions of a table by the hash of the graph id.
 PARTS = 64
 

@@ -43,7 +43,7 @@ def merge_turns(store: Store, turns: DataFrame, extract: Extractor, vectors: dic
         entities, facts, _ = ingest.merge(clean, store.read("entities", parts), store.read("facts", parts), vectors, keep=store.keep)
         rewritten = {str(p) for p in parts}
         index = lexical_index.refreshed(stored_index(store, parts), graph.active(facts).select("graph_id", "id", F.col("fact_text").alias("text")), store.keep, str(store.version() + 1))
-        changed = {"entities": entities, "facts": facts, "heads": index.heads, "postings": index.postings, "places": index.places}
+        changed = {"entities": entities, "facts": facts, "blocks": index.blocks, "places": index.places}
         for table, df in changed.items():
             now[table] = {p: f for p, f in now[table].items() if p not in rewritten} | store.stage(table, df)
         now["episodes"] = joined(now["episodes"], store.stage("episodes", ingest.episodes(new, clean)))
@@ -54,7 +54,7 @@ def merge_turns(store: Store, turns: DataFrame, extract: Extractor, vectors: dic
 
 def stored_index(store: Store, parts: list[int] | None = None) -> lexical_index.LexicalIndex:
     """The index of the active facts of all graphs, or of those in some partitions."""
-    return lexical_index.LexicalIndex(store.read("heads", parts), store.read("postings", parts), store.read("places", parts))
+    return lexical_index.LexicalIndex(store.read("blocks", parts), store.read("places", parts))
 
 
 def ingest_stream(turns: DataFrame, store: Store, extract: Extractor, checkpoint: str, vectors: dict[str, list[float]] | None = None, available_now: bool = True) -> StreamingQuery:

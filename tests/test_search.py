@@ -100,11 +100,11 @@ def test_a_changed_index_is_that_of_the_texts_now(spark, pooled, monkeypatch):
     counted = ("graph_id", "term", "id", "tf", "dl")
     assert as_set(new.postings, *counted) == as_set(fresh.postings, *counted) and new.postings.count() == fresh.postings.count()
     assert as_set(new.places, "graph_id", "id", "chars", "sign") == as_set(fresh.places, "graph_id", "id", "chars", "sign")
-    assert as_set(new.heads, *lexical_index.HEADS) == as_set(lexical_index._heads(new.postings), *lexical_index.HEADS)
+    assert as_set(new.blocks, *lexical_index.HEADS) == as_set(lexical_index._blocks(new.postings), *lexical_index.HEADS)
     assert found(searched(spark, new, queries).top(5).collect()) == expected(now, queries, 5)
     # Of pool a three segments lose a document; all others are as they were.
     before, after = (as_set(i.postings.where("graph_id = 'a'"), "segment") for i in (old, new))
-    kept = as_set(old.postings.where("graph_id = 'a'"), *lexical_index.POSTINGS) & as_set(new.postings.where("graph_id = 'a'"), *lexical_index.POSTINGS)
+    kept = as_set(old.postings.where("graph_id = 'a'"), *new.postings.columns) & as_set(new.postings.where("graph_id = 'a'"), *new.postings.columns)
     assert len(before & after) >= len(before) - 3 and len(kept) > 0.9 * old.postings.where("graph_id = 'a'").count()
     # Small segments of pool b were packed again.
     assert new.places.where("graph_id = 'b'").select("segment").distinct().count() <= 3
@@ -116,7 +116,7 @@ def test_index_of_nothing(spark):
     again = lexical_index.refreshed(index, spark.createDataFrame([("a", "1", "w1")], POOLED), keeper(spark), "1")
     assert found(searched(spark, again, [(1, "a", "w1")]).top(3).collect()) == {(1, "1", 1)}
     gone = lexical_index.refreshed(again, spark.createDataFrame([], POOLED), keeper(spark), "2")
-    assert gone.postings.count() == gone.places.count() == gone.heads.count() == 0
+    assert gone.blocks.count() == gone.places.count() == 0
 
 
 def said(subject, text, wrong=False, object_=None):
