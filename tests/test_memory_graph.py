@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 from datetime import datetime, timedelta
 
 import pytest
@@ -60,6 +61,19 @@ def test_names_match(spark, a, b, want):
     assert names.matches(a, b) is want and names.matches(b, a) is want
 
 
+def test_names_fold_alike(spark):
+    """Every letter below U+3000, by the expression and in Python; tokens too, of letters that the JVM knows."""
+    letters = [c for c in map(chr, range(0x21, 0x3000)) if unicodedata.category(c)[0] in "LMN"]
+    c = F.concat(F.lit("ab"), F.col("c"), F.lit("cd"))
+    known = F.regexp_like("c", F.lit(r"[\p{L}\p{M}\p{N}]"))
+    for r in spark.createDataFrame([(x,) for x in letters], "c string").select("c", text.folded(c).alias("f"), known.alias("known"), F.array_join(text.tokens(text.folded(c)), " ").alias("t")).collect():
+        assert r["f"] == names.fold(f"ab{r['c']}cd")
+        assert not r["known"] or r["t"] == " ".join(names.lower_tokens(names.fold(f"ab{r['c']}cd")))
+    for a, b in [("Łukasz", "Lukasz"), ("Søren", "Soren"), ("Đorđe", "Dorde"), ("Άννα", "Αννα"), ("Фёдор", "Федор")]:
+        assert names.matches(a, b) and value(spark, text.names_match(F.lit(a), F.lit(b)))
+    assert not names.matches("ﬁn", "fin") and not value(spark, text.names_match(F.lit("ﬁn"), F.lit("fin")))
+
+
 def test_dot_and_embedding(spark):
     assert value(spark, dot(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))) == 0 and value(spark, dot(F.array().cast("array<float>"), F.array().cast("array<float>"))) == 0
     rows = [(1, "the user likes curt letters"), (2, "the user prefers short curt answers"), (3, "the weather is sunny today"), (4, ""), (5, "webhook"), (6, "how should webhook idempotency be handled"), (7, "the is")]
