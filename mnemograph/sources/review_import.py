@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.operators import ingest
+from mnemograph.operators import graph, ingest, lexical_index
 from mnemograph.sources.review_table import clear_body
 from mnemograph.sources.store import Store, joined, part_of
+from mnemograph.streaming.ingest_stream import stored_index
 
 
 def outcomes(rows: DataFrame, clean: DataFrame, failed: DataFrame) -> DataFrame:
@@ -51,8 +52,9 @@ def import_corrections(
         clean = store.keep(ingest.clean_facts(turns, store.keep(extract(turns.drop("page_id")))))
         part = spark.range(1).select(part_of(F.lit(graph_id))).first()[0]
         entities, facts, failed = ingest.merge(clean, store.read("entities", [part]), store.read("facts", [part]), vectors, keep=store.keep)
+        index = lexical_index.refreshed(stored_index(store, [part]), graph.active(facts).select("graph_id", "id", F.col("fact_text").alias("text")), store.keep, str(store.version() + 1))
         now = store.manifest()
-        for table, df in (("entities", entities), ("facts", facts)):
+        for table, df in {"entities": entities, "facts": facts, "blocks": index.blocks, "places": index.places}.items():
             now[table] = {p: f for p, f in now[table].items() if p != str(part)} | store.stage(table, df)
         now["episodes"] = joined(now["episodes"], store.stage("episodes", ingest.episodes(turns.drop("page_id"), clean)))
         done = outcomes(turns.select("page_id", "episode_seq"), clean, failed).orderBy("page_id").collect()
