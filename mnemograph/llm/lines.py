@@ -2,10 +2,11 @@
 
 Lines are normalised (lower case, white space collapsed) and equal ones are one
 class. A line's fingerprint is the 64-bit SimHash of its set of words. Classes meet
-in buckets, one for each pair of seven blocks of the fingerprint and each of two
-neighbouring classes of length: all within five bits meet, and of those further apart
-the ones whose bits fall into five blocks. What meets and differs in at most twelve
-bits is verified by edit similarity. Of each connected group the first occurrence stays.
+in ten buckets, one for each pair of five blocks of the fingerprint: all within three
+bits meet, and of those further apart the ones whose bits fall into three blocks.
+What meets and differs in at most eight bits is verified by edit similarity. Of each
+connected group the first occurrence stays. Many similar lines do not meet (recall 0.40
+of pairs at scale 0.01): README has the figures of wider schemes.
 
 All of it is DataFrame expressions. The bit counts of a SimHash are sums over
 exploded words with three 21-bit counters in a long, one combinable aggregate.
@@ -13,7 +14,6 @@ exploded words with three 21-bit counters in a long, one combinable aggregate.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from itertools import combinations
 
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from mnemograph.llm.common import Workspace, col, connected_components, fresh, numbered, small
 
 #: Most differing bits of two fingerprints that share two blocks, and least edit similarity of two lines. Similar
-#: lines are six bits apart at the median and thirteen at 97 %.
-MAX_BITS, SIMILARITY = 12, 0.8
+#: lines are mostly four to eight bits apart, and fewer than one in 4,000 of those that meet by chance are so near.
+MAX_BITS, SIMILARITY = 8, 0.8
 #: Blocks of the fingerprint: (first bit, bits).
-BLOCKS = ((0, 10), (10, 9), (19, 9), (28, 9), (37, 9), (46, 9), (55, 9))
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Counters in a long and their width: up to 1,048,575 words in a line are counted so. A line of more
 #: words has at least ``VAST`` bytes; those have a counter for each bit.
 LANES, WIDTH, VAST = 3, 21, 1 << 21
@@ -99,18 +99,10 @@ def with_simhash(lines: DataFrame, norm: str, out: str, vast: bool = False) -> D
     return counted.select(*keys, _majority(F.col("words")).alias(out))
 
 
-def _block_keys(f: Column, size: Column, similarity: float) -> Column:
-    """What a fingerprint holds in each pair of blocks, with the class of the line's length and the one above it.
-
-    Lengths of similar lines are in one class or in neighbouring ones, so such lines share
-    one of the two. Other lengths do not meet, which keeps buckets of 18 bits from filling.
-    Equal keys of two pairs of blocks only cost a comparison.
-    """
-    # A hundredth wider than need be, so that rounding puts no pair two classes apart.
-    step = math.log(1.01 / similarity) if similarity > 0 else math.inf
-    length = F.floor(F.ln(F.greatest(size, F.lit(1))) / F.lit(step))
+def _block_keys(f: Column) -> Column:
+    """What a fingerprint holds in each pair of blocks. Equal keys of two pairs of blocks only cost a comparison."""
     masks = [((1 << n) - 1) << a | ((1 << m) - 1) << b for (a, n), (b, m) in combinations(BLOCKS, 2)]
-    return F.array(*[F.xxhash64(f.bitwiseAND(F.lit(_signed(mask))), length + up) for mask in masks for up in (0, 1)])
+    return F.array(*[f.bitwiseAND(F.lit(_signed(mask))) for mask in masks])
 
 
 def _near(f: Column, g: Column) -> Column:
@@ -228,7 +220,7 @@ def linked(ws: Workspace, classes: DataFrame, docs: DataFrame, where: list[str],
     bucket does not give all its pairs.
     """
     close = F.least("sa", "sb") >= F.greatest("sa", "sb") * similarity - 1e-6
-    keyed = classes.select("id", "f", "size", "n", F.explode(_block_keys(F.col("f"), F.col("size"), similarity)).alias("k"))
+    keyed = classes.select("id", "f", "size", "n", F.explode(_block_keys(F.col("f"))).alias("k"))
     # Two classes that meet by chance are told by the bits in which they differ, before anything is joined.
     differ = F.bit_count(F.bit_or("f").bitwiseXOR(F.bit_and("f")))
     shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m"), differ.alias("d")).where(f"m > 2 or (m = 2 and d <= {MAX_BITS})").select("k")
@@ -305,8 +297,8 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with duplicate lines gone from ``text``, and two longs: n_lines before and n_kept.
 
-    Two lines link if their fingerprints agree in two of seven blocks, which all
-    within five bits do, and differ in at most twelve bits, and their edit
+    Two lines link if their fingerprints agree in two of five blocks, which all
+    within three bits do, and differ in at most eight bits, and their edit
     similarity in characters, at any length, reaches ``similarity``; equal
     normalised lines always do. Of each connected group the first occurrence
     stays: that of the smallest key (null comes last), then the order of the

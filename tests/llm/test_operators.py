@@ -353,7 +353,7 @@ def test_links_of_near_fingerprints(spark):
         got = [tuple(r) for r in simhash.links(df, "f", k).collect()]
         assert len(got) == len(set(got)) and set(got) == near(k)
     meet = {tuple(sorted((a, b))): False for a, b in near(3)}
-    keyed = df.select("f", F.explode(lines._block_keys(F.col("f"), F.lit(50), 0.8)).alias("k"))
+    keyed = df.select("f", F.explode(lines._block_keys(F.col("f"))).alias("k"))
     for r in keyed.alias("x").join(keyed.alias("y"), "k").select("x.f", "y.f").distinct().collect():
         meet[tuple(sorted(r))] = True
     assert all(meet[p] for p in near(3))
@@ -661,9 +661,9 @@ def plain_line_print(norm):
 
 
 def plain_meet(differ):
-    """Whether fingerprints that differ in these bits share two of seven blocks and are within twelve bits."""
-    same = [differ >> at & (1 << n) - 1 for at, n in ((0, 10), (10, 9), (19, 9), (28, 9), (37, 9), (46, 9), (55, 9))].count(0)
-    return same >= 2 and differ.bit_count() <= 12
+    """Whether fingerprints that differ in these bits share two of five blocks and are within eight bits."""
+    same = [differ >> at & (1 << n) - 1 for at, n in ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))].count(0)
+    return same >= 2 and differ.bit_count() <= 8
 
 
 def plain_kept(rows):
@@ -736,7 +736,7 @@ def test_lines(spark, tmp_path):
 
 
 def test_lines_with_a_changed_word(spark):
-    """Recall against edit similarity alone: nine in ten lines of 20 to 60 words with one word changed go, and no other."""
+    """Recall against edit similarity alone: half of the lines of 20 to 60 words with one word changed go, and no other."""
     rng = random.Random(8)
     base = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(99)}" for _ in range(rng.randint(20, 60))) for _ in range(200)]
     near = []
@@ -749,12 +749,11 @@ def test_lines_with_a_changed_word(spark):
     docs = spark.createDataFrame([*enumerate(base), *enumerate(near, 1000)], "doc_id long, text string")
     gone = {r["doc_id"] for r in lines.dedup_lines(docs).collect() if r["n_kept"] == 0}
     assert gone == {1000 + i for i, x in enumerate(differ) if plain_meet(x)}
-    assert len(gone) >= 0.9 * len(base)
+    assert len(gone) >= len(base) / 2 and len(gone) > sum(x.bit_count() <= 3 for x in differ)
 
 
 def test_lines_against_edit_similarity_alone(spark):
-    """No gate of bits in the brute force. What goes is similar to something, and of lines with a tenth of their words
-    changed or 15 % cut off, which are further apart than most, over six in ten go (84 of 120 with three times the lines)."""
+    """No gate of bits in the brute force: what goes is similar to something. How much is missed is not bounded here."""
     rng = random.Random(21)
     texts = []
     for _ in range(20):
@@ -770,18 +769,7 @@ def test_lines_against_edit_similarity_alone(spark):
     group = components_of(sorted(similar), range(len(texts)))
     gone = {r["doc_id"] for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r["n_kept"] == 0}
     ought = {i for i in range(len(texts)) if group[i] != i}
-    assert gone <= ought and len(gone) >= 0.6 * len(ought)
-
-
-def test_lengths_part_no_similar_pair(spark):
-    """Lines of one fingerprint and lengths at the very edge of the similarity share a bucket; lengths far apart do not."""
-    sizes = [(n, math.ceil(0.8 * n - 1e-9)) for n in range(1, 3000)]
-    df = spark.createDataFrame(sizes, "a int, b int").select(
-        "a", "b", F.arrays_overlap(lines._block_keys(F.lit(7).cast("long"), F.col("a"), 0.8), lines._block_keys(F.lit(7).cast("long"), F.col("b"), 0.8)).alias("meet")
-    )
-    assert df.where("not meet").count() == 0
-    far = spark.range(1).select(F.arrays_overlap(lines._block_keys(F.lit(7).cast("long"), F.lit(100), 0.8), lines._block_keys(F.lit(7).cast("long"), F.lit(60), 0.8)))
-    assert not far.first()[0]
+    assert gone and gone <= ought
 
 
 def test_long_lines(spark):
