@@ -1,7 +1,9 @@
 """Resolving names to entities: exactly, by alias, by fuzzy match, by external reference.
 
-Every way is an equi-join. A fuzzy match implies a shared token, or a single
-token that equals the other's initials; those are the keys that names meet on.
+Every way is an equi-join. A fuzzy match is containment of token sets, or a single
+token that equals the other's initials. A set is looked for at its rarest token
+only, which each set that holds it must have, so a frequent token is a key of no
+name that has a rarer one.
 """
 
 from __future__ import annotations
@@ -35,20 +37,39 @@ def by_reference(refs: DataFrame, entities: DataFrame, ref: str = "external_ref"
 
 
 def _profiles(names: DataFrame, prefix: str) -> DataFrame:
-    """Names with their tokens, initials and the keys that they meet others on; names without tokens match none."""
-    own = names.select("name", name_tokens(F.col("name")).alias("t"), initials(F.col("name")).alias("i")).where(F.size("t") > 0)
-    keys = F.array_distinct(F.array_compact(F.array_append("t", F.when(F.col("i") != "", F.col("i")))))
-    return own.select(F.col("name").alias(f"{prefix}name"), F.col("t").alias(f"{prefix}t"), F.col("i").alias(f"{prefix}i"), F.explode(keys).alias("key"))
+    """Distinct names with their token sets and initials; names without tokens match none."""
+    own = names.select("name").distinct().select("name", name_tokens(F.col("name")).alias("t"), initials(F.col("name")).alias("i"))
+    return own.where(F.size("t") > 0).select(*[F.col(c).alias(prefix + c) for c in own.columns])
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l_name, r_name): pairs of names, each frame with a column ``name``, that match.
+def _holders(small: DataFrame, s: str, large: DataFrame, b: str) -> DataFrame:
+    """Pairs of a name of ``small`` and each of ``large`` that has its rarest token; sets with a token that none has meet nothing."""
+    holds = large.select(*large.columns, F.explode(f"{b}t").alias("key"))
+    often = holds.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counted = small.select(*small.columns, F.explode(f"{s}t").alias("key")).join(often, "key")
+    rarest = counted.groupBy(f"{s}name").agg(F.min(F.struct("n", "key")).alias("m"), F.count(F.lit(1)).alias("found"), F.first(f"{s}t").alias(f"{s}t"), F.first(f"{s}i").alias(f"{s}i"))
+    return rarest.where(F.col("found") == F.size(f"{s}t")).select(*small.columns, F.col("m.key").alias("key")).join(holds, "key").drop("key")
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l_name, l_t, l_i, r_name, r_t, r_i): what :func:`fuzzy_pairs` compares; a pair may come more than once.
 
-    A pair is compared on each key that it shares, but given back once.
+    Each name of one side meets the names of the other that hold its rarest
+    token, and the other way round; single tokens meet equal initials.
     """
-    pairs = _profiles(left.select("name").distinct(), "l_").join(_profiles(right.select("name").distinct(), "r_"), "key")
+    a, b = _profiles(left, "l_"), _profiles(right, "r_")
+    cols = [*a.columns, *b.columns]
+    within = _holders(a, "l_", b, "r_").select(cols)
+    around = _holders(b, "r_", a, "l_").select(cols)
+    short = a.where(F.size("l_t") == 1).join(b.where("r_i <> ''"), F.element_at("l_t", 1) == F.col("r_i")).select(cols)
+    long_ = b.where(F.size("r_t") == 1).join(a.where("l_i <> ''"), F.element_at("r_t", 1) == F.col("l_i")).select(cols)
+    return within.unionByName(around).unionByName(short).unionByName(long_)
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l_name, r_name): pairs of names, each frame with a column ``name``, that match; each once."""
     match = tokens_match(F.col("l_t"), F.col("l_i"), F.col("r_t"), F.col("r_i"))
-    return pairs.where(match).select("l_name", "r_name").distinct()
+    return fuzzy_candidates(left, right).where(match).select("l_name", "r_name").distinct()
 
 
 def fuzzy(names: DataFrame, entities: DataFrame, name: str = "name") -> DataFrame:

@@ -219,6 +219,20 @@ def test_fuzzy_pairs_equal_all_pairs(spark):
     assert got == {(a, b) for a in pool for b in pool if names.matches(a, b)}
 
 
+def test_a_frequent_token_is_no_key(spark):
+    """Half the names hold one token. They are compared at their rarer ones, and pairs equal those of all with all."""
+    rng = random.Random(4)
+    some = [f"w{rng.randrange(300)} v{rng.randrange(300)}" for _ in range(400)]
+    own = sorted({*some[:200], *[f"{n} common" for n in some[100:300]], "common", "wv", "other unheard"})
+    half = [n for n in own if "common" in n]
+    frame = spark.createDataFrame([(n,) for n in own], "name string")
+    wanted = {(x, y) for x in own for y in own if names.matches(x, y)}
+    assert {tuple(r) for r in resolve.fuzzy_pairs(frame, frame).collect()} == wanted
+    compared = resolve.fuzzy_candidates(frame, frame).count()
+    # Each of the pairs that match comes at most twice by containment; all with the token would be len(half) ** 2.
+    assert compared < 4 * len(wanted) < len(half) ** 2
+
+
 # -- search --------------------------------------------------------------------
 
 
