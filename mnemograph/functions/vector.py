@@ -30,21 +30,22 @@ def embed(texts: DataFrame, word_vectors: DataFrame, key: str = "id", text: str
     """(key, embedding, coverage): unit mean of the vectors of a text's known words, repeats and stopwords included.
 
     ``word_vectors`` is (word, vec); a word that it lacks is unknown. No known
-    word gives an empty vector, no words coverage 0 as well. The sum is taken in
-    double precision and one pass: words join their vectors, and components are
-    summed by position.
+    word gives an empty vector, no words coverage 0 as well. Words join their
+    vectors, and one aggregate takes the counts and a sum in double precision for
+    each component; how many there are is read from ``word_vectors`` at once.
     """
     words = texts.select(F.col(key).alias("k"), F.explode(tokens(F.col(text))).alias("word"))
     words = words.withColumn("content", ~F.col("word").isin(STOPWORDS))
     hit = words.join(word_vectors.select("word", "vec"), "word", "left")
-    counts = hit.groupBy("k").agg(
+    size = word_vectors.agg(F.max(F.size("vec"))).first()[0] or 0
+    sums = F.array(*[F.sum(F.get("vec", F.lit(i)).cast("double")) for i in range(max(size, 0))]).cast("array<double>")
+    own = hit.groupBy("k").agg(
         F.count("vec").alias("resolved"),
         F.count_if("content").alias("content"),
         F.count_if(F.col("content") & F.col("vec").isNotNull()).alias("known"),
+        F.filter(sums, lambda x: x.isNotNull()).alias("s"),
     )
-    parts = hit.where("vec is not null").select("k", F.posexplode("vec").alias("i", "x")).groupBy("k", "i").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    sums = parts.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("s"))
-    out = texts.select(F.col(key).alias("k")).join(counts, "k", "left").join(sums, "k", "left")
+    out = texts.select(F.col(key).alias("k")).join(own, "k", "left")
     mean = F.transform("s", lambda x: x / F.col("resolved"))
     out = out.withColumn("m", mean).withColumn("norm", F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x)))
     unit = F.when(F.col("norm") > 0, F.transform("m", lambda x: (x / F.col("norm")).cast("float"))).otherwise(F.transform("m", lambda x: x.cast("float")))
