@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemograph.functions.vector import dot
+from mnemograph.operators import vector_join
+from mnemograph.sources.working import Keep, keeper
 
 #: Least similarity for a correction without an object, and for a duplicate.
 CORRECTION, DUPLICATE = 0.5, 0.85
@@ -65,21 +66,34 @@ def invalidate_fact(facts: DataFrame, id_: str, at: Column) -> tuple[DataFrame,
     return _ended(facts, F.col("id") == id_, at)
 
 
-def nearest(facts: DataFrame, corrections: DataFrame, minimum: float = CORRECTION) -> DataFrame:
+def _least(minimum: float) -> None:
+    if minimum <= 0:
+        raise ValueError("a least similarity of 0 or less would be all pairs")
+
+
+def nearest(facts: DataFrame, corrections: DataFrame, minimum: float = CORRECTION, keep: Keep | None = None) -> DataFrame:
     """(correction_id, id, similarity): for each correction the active subject-only fact nearest to it, if near enough.
 
-    ``corrections`` is (correction_id, subject_id, embedding). Joined on the
-    subject; the best of each correction is a combinable aggregate.
+    ``corrections`` is (correction_id, subject_id, embedding). Blocks of a
+    subject's facts that bounds leave are multiplied (:mod:`vector_join`); the best
+    of each correction, by six digits and then by id, is a combinable aggregate.
+    What cannot pair there (null, zero, odd vectors) is near nothing.
     """
-    own = facts.where(F.col("invalid_at").isNull() & F.col("object_id").isNull()).select("subject_id", "id", F.col("embedding").alias("e"))
-    scored = corrections.join(own, "subject_id").select("correction_id", "id", F.round(dot(F.col("embedding"), F.col("e")), 6).alias("similarity"))
+    _least(minimum)
+    keep = keep or keeper(facts.sparkSession)
+    own = vector_join.usable(facts.where(F.col("invalid_at").isNull() & F.col("object_id").isNull()), "subject_id", "id", "embedding")
+    asked = keep(vector_join.usable(corrections, "subject_id", "correction_id", "embedding"))
+    own = keep(own.join(asked.select("g").distinct(), "g", "left_semi"))
+    pivots = vector_join.pivots(own)
+    found = vector_join.products(vector_join.blocks(asked, pivots, keep), vector_join.blocks(own, pivots, keep), minimum, keep, best=True)
+    scored = found.select(F.col("x").alias("correction_id"), F.col("y").alias("id"), F.round("product", 6).alias("similarity"))
     best = scored.where(F.col("similarity") >= minimum).groupBy("correction_id").agg(F.max("similarity").alias("similarity"), F.min_by("id", F.struct(-F.col("similarity"), "id")).alias("id"))
     return best.select("correction_id", "id", "similarity")
 
 
-def invalidate_nearest(facts: DataFrame, corrections: DataFrame, at: Column, minimum: float = CORRECTION) -> DataFrame:
+def invalidate_nearest(facts: DataFrame, corrections: DataFrame, at: Column, minimum: float = CORRECTION, keep: Keep | None = None) -> DataFrame:
     """``facts`` with what :func:`nearest` finds ended."""
-    hit = nearest(facts, corrections, minimum).select("id", F.lit(True).alias("hit")).distinct()
+    hit = nearest(facts, corrections, minimum, keep).select("id", F.lit(True).alias("hit")).distinct()
     return facts.join(hit, "id", "left").withColumn("invalid_at", F.when(F.col("hit"), at).otherwise(F.col("invalid_at"))).select(facts.columns)
 
 
@@ -89,12 +103,18 @@ def exact_duplicates_removed(facts: DataFrame) -> DataFrame:
     return facts.groupBy("subject_id", F.lower("fact_text").alias("key")).agg(first.alias("m")).select("m.f.*")
 
 
-def near_duplicate_pairs(vectors: DataFrame, group: str, id_: str, embedding: str, minimum: float = DUPLICATE) -> DataFrame:
-    """(a, b, similarity), a < b: vectors of a group that are at least as similar as ``minimum``."""
-    a = vectors.select(F.col(group).alias("g"), F.col(id_).alias("a"), F.col(embedding).alias("x"))
-    b = vectors.select(F.col(group).alias("g"), F.col(id_).alias("b"), F.col(embedding).alias("y"))
-    pairs = a.join(b, "g").where(F.col("a") < F.col("b"))
-    return pairs.select("a", "b", F.round(dot(F.col("x"), F.col("y")), 6).alias("similarity")).where(F.col("similarity") >= minimum)
+def near_duplicate_pairs(vectors: DataFrame, group: str, id_: str, embedding: str, minimum: float = DUPLICATE, keep: Keep | None = None) -> DataFrame:
+    """(a, b, similarity), a < b: vectors of a group that are at least as similar as ``minimum``.
+
+    Blocks that bounds leave are multiplied (:mod:`vector_join`), not all pairs of
+    a group. Rows of equal id do not pair; null, zero and odd vectors pair with nothing.
+    """
+    _least(minimum)
+    keep = keep or keeper(vectors.sparkSession)
+    rows = keep(vector_join.usable(vectors, group, id_, embedding))
+    found = vector_join.products(vector_join.blocks(rows, vector_join.pivots(rows), keep), None, minimum, keep)
+    pairs = found.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("product", 6).alias("similarity"))
+    return pairs.where(F.col("similarity") >= minimum)
 
 
 def supersession(facts: DataFrame) -> DataFrame:
