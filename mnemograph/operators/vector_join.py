@@ -157,7 +157,7 @@ def meetings(left: DataFrame, right: DataFrame | None, minimum: float, keep: Kee
     x = left.where(F.col("head").isNotNull()).select("g", "size", "block", "head")
     y = x if right is None else right.where(F.col("head").isNotNull()).select("g", "size", "block", "head")
     reach = _cells(x).withColumnRenamed("c", "x").join(_cells(y).withColumnRenamed("c", "y"), ["g", "size"])
-    reach = keep(reach.where(_reaches("x", "y", minimum)).select("g", "size", F.col("x.cell").alias("from_cell"), F.col("y.cell").alias("to_cell")))
+    reach = reach.where(_reaches("x", "y", minimum)).select("g", "size", F.col("x.cell").alias("from_cell"), F.col("y.cell").alias("to_cell"))
     # A cell of very many blocks is dealt over salts on one side; the heads of the other go to each.
     a = x.select("g", "size", F.col("head.cell").alias("from_cell"), F.col("block").alias("a"), F.col("head").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     b = y.select("g", "size", F.col("head.cell").alias("to_cell"), F.col("block").alias("b"), F.col("head").alias("q"), F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int").alias("salt"))
