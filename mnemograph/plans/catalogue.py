@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from mnemograph.functions import prompt, text
 from mnemograph.functions.parsing import parse_extraction, parse_order
 from mnemograph.functions.vector import coverage, dot, embed
-from mnemograph.operators import graph, hybrid, lexical_index, mutate, resolve, search
+from mnemograph.operators import graph, hybrid, lexical_index, mutate, resolve, search, sessions
 from mnemograph.plans import scripted
 from mnemograph.plans.views import benchmark_queries, corrections, documents, entities, episodes, facts, micros, raw_facts, read, with_, with_vectors
+from mnemograph.sources.extraction_table import register_extraction
 from mnemograph.sources.working import keeper
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -661,3 +662,31 @@ def q56_facts_as_of(spark, sf_dir):
     own = facts(spark, sf_dir)
     at = own.agg((F.max("valid_at") - F.expr("INTERVAL 1 DAY")).alias("at")).first()[0]
     return graph.facts_as_of(own, F.lit(at)).select("id")
+
+
+_TURNS = "conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+
+
+@query(
+    f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY {_TURNS}) AS nth FROM conversations),
+    s AS (SELECT *, sum(CASE WHEN role = 'system' OR nth = 1 THEN 1 ELSE 0 END) OVER (ORDER BY nth) AS session FROM o)
+    SELECT conv_id, turn, CAST(session AS BIGINT) AS session, row_number() OVER (PARTITION BY session ORDER BY nth) AS place FROM s"""
+)
+def q62_sessions_by_resets(spark, sf_dir):
+    """All turns as the stream of one host; a system turn resets it."""
+    own = read(spark, sf_dir, "conversations")
+    return sessions.by_resets(own, ["conv_id", "turn", "role", "text"], F.col("role") == "system", keeper(spark)).select("conv_id", "turn", "session", "place")
+
+
+@query(
+    with_("episodes")
+    + """, parts AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(user_text, '[.!?\n]+'), lambda t: trim(t, ' ')), lambda t: t <> '') AS p FROM episodes),
+    said AS (SELECT conv_id, turn, unnest(p) AS t, generate_subscripts(p, 1) - 1 AS pos FROM parts)
+    SELECT conv_id, turn, pos, split_part(t, ' ', 1) AS subject, t AS fact_text, starts_with(t, 'No ') AS is_correction FROM said"""
+)
+def q63_extraction_table_function(spark, sf_dir):
+    """A written model says each sentence of the user as a fact, about its first word; its answers are decoded as any model's."""
+    register_extraction(spark, scripted.sentence_extractor)
+    own = episodes(spark, sf_dir).withColumn("said", text.episode_text(F.col("user_text"), F.col("assistant_text"), F.lit(None).cast("string")))
+    sql = "SELECT e.conv_id, e.turn, f.pos, f.subjectName AS subject, f.factText AS fact_text, f.isCorrection AS is_correction FROM {own} e, LATERAL extract_facts(e.said) f"
+    return spark.sql(sql, own=own)

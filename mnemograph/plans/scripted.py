@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from mnemograph.functions.parsing import parse_extraction
 from mnemograph.operators import ingest as fold
 from mnemograph.schema import CHAT_TURNS, ENTITIES, FACTS
+from mnemograph.sources.models import ExternalExtractor
 from mnemograph.sources.review_table import parse_review_rows
 
 _A = {"subjectName": "Ana", "objectName": None, "predicate": "likes", "factText": "drinks green tea", "isCorrection": False}
@@ -171,3 +173,17 @@ def import_corrections(spark: SparkSession) -> DataFrame:
     outcome = found.join(failed.select(F.concat(F.lit("page-"), F.col("episode_seq").cast("string")).alias("page_id")).distinct().withColumn("failed", F.lit(True)), "page_id", "left")
     status = F.when(F.size("facts") == 0, "no_facts").when(F.col("failed"), "unmatched").otherwise("applied")
     return outcome.select("page_id", status.alias("status"), (status != "unmatched").alias("cleared"))
+
+
+class SentenceChat:
+    """A written model: every sentence of what the user said is a fact about its first word, and one that begins with "No" a correction."""
+
+    def complete(self, messages: list, system: str | None = None) -> list[dict]:
+        said = messages[-1][1][0]["text"].removeprefix("user: ").split("\nassistant: ")[0]
+        sentences = [t for t in (part.strip(" ") for part in re.split(r"[.!?\n]+", said)) if t]
+        facts = [{"subjectName": t.split(" ")[0], "objectName": None, "predicate": "said", "factText": t, "isCorrection": t.startswith("No ")} for t in sentences]
+        return [{"text": json.dumps(facts)}]
+
+
+def sentence_extractor() -> ExternalExtractor:
+    return ExternalExtractor(SentenceChat())
