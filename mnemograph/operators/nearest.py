@@ -43,7 +43,7 @@ class Queries:
 
     def top(self, batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
         """(query_id, id, similarity): of batches (id, embedding) in the order of ids, the ``limit`` best of each query."""
-        best = [_Best(len(b[1]), limit) for b in self.blocks]
+        best = [Best(len(b[1]), limit) for b in self.blocks]
         kind = None
         step = max(1, PRODUCTS // QUERIES)
         for batch in batches:
@@ -72,7 +72,7 @@ class Queries:
             yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(which[q])), pa.array(ids, kind), sims], ["query_id", "id", "similarity"])
 
 
-class _Best:
+class Best:
     """The best rows of a block of queries so far. Rows come in the order of ids, so of equal ones the earlier is better.
 
     A key orders similarities as SQL does, descending: NaN, numbers, null.

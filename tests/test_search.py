@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from mnemograph.operators import graph, hybrid, lexical_index
+from mnemograph.operators import graph, hybrid, lexical_index, search
 from mnemograph.schema import CHAT_TURNS
 from mnemograph.sources.store import Store
 from mnemograph.sources.working import keeper
@@ -185,3 +185,22 @@ def test_hybrid_many_equals_all_ranks(spark, monkeypatch):
         assert all(r["similarity"] == 0.0 for r in got if r["query_id"] in (10, 11))
     assert hybrid.hybrid_many(asked, rows.limit(0), keeper(spark)).collect() == []
     assert hybrid.hybrid_many(asked.limit(0), rows, keeper(spark)).collect() == []
+
+
+def test_best_of_many_queries_without_a_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(search.asked_words, "WEIGHTS", 40)
+    monkeypatch.setattr(search.asked_words, "CELLS", 60)
+    rng = random.Random(15)
+    docs = [(i, t) for i, (_, _, t) in enumerate(pool(rng, "x", 300))] + [(1000 + i, "w1 w2") for i in range(40)] + [(2000, ""), (2001, "w7 W7 w8")]
+    queries = [(i, f"w{rng.randint(0, 9)} w{rng.randint(60, 130)} w{i}") for i in range(12)] + [(20, "nothing of it"), (21, ""), (22, None), (23, "w1 w1 w2")]
+    asked = spark.createDataFrame(queries, "query_id int, text string")
+    rows = spark.createDataFrame(docs, "id long, text string").repartition(3)
+    best = search.bm25_top(asked, rows, 5, keeper(spark))
+    want = expected([(None, *d) for d in docs], [(q, None, t or "") for q, t in queries], 5)
+    assert found(best.collect()) == want
+    assert not any(j in best._jdf.queryExecution().toString() for j in ("SortMergeJoin", "BroadcastHashJoin"))
+    # A null text counts as a document and not in the mean length, as in SQL.
+    some = rows.unionByName(spark.createDataFrame([(3000, None)], "id long, text string"))
+    plain = search.top(search.bm25(asked.where("text is not null"), some), "bm25", 5)
+    assert as_set(plain, "query_id", "id", "bm25", "rank") == as_set(search.bm25_top(asked, some, 5, keeper(spark)), "query_id", "id", "bm25", "rank")
+    assert search.bm25_top(asked, rows.limit(0), 5, keeper(spark)).collect() == search.bm25_top(asked.limit(0), rows, 5, keeper(spark)).collect() == []
