@@ -17,8 +17,11 @@ keeps them beside the facts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,10 +108,49 @@ def build(docs: DataFrame, keep: Keep, generation: str = "0") -> LexicalIndex:
     # Whole texts are dealt by segment once, and counting needs no other exchange; words are made after it. They become
     # many more bytes there than texts have, so the number of partitions is not left to the size of the exchange.
     n = max(docs.sparkSession.sparkContext.defaultParallelism, (sizes.agg(F.sum("chars")).first()[0] or 0) // PART_CHARS)
-    dealt = _placed(sized, kinds, generation).select("graph_id", "segment", "id", "text").repartition(n, "segment")
-    words = dealt.withColumn("w", tokens(F.col("text"))).select("graph_id", "segment", "id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
-    postings = words.groupBy("graph_id", "segment", "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return LexicalIndex(keep(_blocks(postings)), places)
+    dealt = _placed(sized, kinds, generation).select("graph_id", "segment", "id", "text").repartition(n, "segment").sortWithinPartitions("graph_id", "segment")
+    words = dealt.select("graph_id", "segment", "id", tokens(F.col("text")).alias("w"))
+    kind = {c: docs.schema[c].dataType.simpleString() for c in ("graph_id", "id")}
+    schema = f"graph_id {kind['graph_id']}, segment string, term string, df long, most long, least long, words long, docs array<struct<id:{kind['id']},tf:long,dl:long>>"
+    return LexicalIndex(keep(words.mapInArrow(_counted, schema)), places)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents (graph_id, segment, id, w) that come segment by segment; a word is no row before its block is one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_batches([*held, batch])
+        names = list(zip(rows["graph_id"].to_pylist(), rows["segment"].to_pylist(), strict=True))
+        # The last segment may go on in the next batch.
+        last = len(names) - 1
+        while last and names[last - 1] == names[-1]:
+            last -= 1
+        held = [rows.slice(last)]
+        if last:
+            yield _blocks_of(rows.slice(0, last), names[:last])
+    for rows in held:
+        yield _blocks_of(rows, [None] * rows.num_rows)
+
+
+def _blocks_of(rows: pa.RecordBatch, names: list) -> pa.RecordBatch:
+    """The blocks of whole segments; ``names`` tell where one ends."""
+    segment = np.cumsum([0] + [a != b for a, b in zip(names, names[1:], strict=False)])
+    words = rows["w"].flatten().dictionary_encode()
+    dl = rows["w"].value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(rows.num_rows), dl)
+    n, kinds = rows.num_rows, max(1, len(words.dictionary))
+    keys, tf = np.unique((segment[doc] * kinds + words.indices.to_numpy()) * n + doc, return_counts=True)
+    block, doc = np.divmod(keys, n)
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+    at = pa.array(doc[starts])
+    found = pa.StructArray.from_arrays([rows["id"].take(pa.array(doc)), pa.array(tf, pa.int64()), pa.array(dl[doc])], ["id", "tf", "dl"])
+    ends = np.append(starts, len(keys))
+    each = [np.diff(ends), *(f.reduceat(x, starts) if len(starts) else x[:0] for f, x in ((np.maximum, tf), (np.minimum, dl[doc]), (np.add, tf)))]
+    term = words.dictionary.take(pa.array(block[starts] % kinds))
+    docs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+    return pa.RecordBatch.from_arrays([rows["graph_id"].take(at), rows["segment"].take(at), term, *(pa.array(x, pa.int64()) for x in each), docs], BLOCKS)
 
 
 def refreshed(index: LexicalIndex, docs: DataFrame, keep: Keep, generation: str) -> LexicalIndex:

@@ -204,3 +204,30 @@ def test_best_of_many_queries_without_a_row_for_each_pair(spark, monkeypatch):
     plain = search.top(search.bm25(asked.where("text is not null"), some), "bm25", 5)
     assert as_set(plain, "query_id", "id", "bm25", "rank") == as_set(search.bm25_top(asked, some, 5, keeper(spark)), "query_id", "id", "bm25", "rank")
     assert search.bm25_top(asked, rows.limit(0), 5, keeper(spark)).collect() == search.bm25_top(asked.limit(0), rows, 5, keeper(spark)).collect() == []
+
+
+def test_words_become_no_rows_before_their_block(spark):
+    """Blocks came from a row for each word, counted, gathered and sorted, before."""
+    docs = [("a", str(i), f"w{i % 3} w1 w1") for i in range(50)] + [("a", "null", None), (None, "n", "w1 x")]
+    plans = []
+    lexical_index.build(spark.createDataFrame(docs, POOLED).repartition(3), lambda df: plans.append(df._jdf.queryExecution().toString()) or keeper(spark)(df))
+    assert not any("Generate" in p or "ObjectHashAggregate" in p for p in plans)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_segments_that_go_on_in_the_next_batch(rows):
+    """Each segment gives its blocks once, however its documents come."""
+    import pyarrow as pa
+
+    names = [("a", "0-0"), ("a", "0-0"), ("a", "0-1"), (None, "0-1"), (None, "0-2"), (None, "0-2"), (None, "0-2"), ("b", "0-2")]
+    texts = [["x", "y", "x"], ["y"], [], None, ["z"], ["z", "z"], ["x"], ["x"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([g for g, _ in names]), pa.array([s for _, s in names]), pa.array(range(len(names)), pa.int64()), pa.array(texts, pa.list_(pa.string()))], ["graph_id", "segment", "id", "w"])
+    out = [r for b in lexical_index._counted(batch.slice(i, rows) for i in range(0, len(names), rows)) for r in b.to_pylist()]
+    got = {(r["graph_id"], r["segment"], r["term"]): (r["df"], r["most"], r["least"], r["words"], sorted((d["id"], d["tf"], d["dl"]) for d in r["docs"])) for r in out}
+    assert len(out) == len(got) and got == {
+        ("a", "0-0", "x"): (1, 2, 3, 2, [(0, 2, 3)]),
+        ("a", "0-0", "y"): (2, 1, 1, 2, [(0, 1, 3), (1, 1, 1)]),
+        (None, "0-2", "z"): (2, 2, 1, 3, [(4, 1, 1), (5, 2, 2)]),
+        (None, "0-2", "x"): (1, 1, 1, 1, [(6, 1, 1)]),
+        ("b", "0-2", "x"): (1, 1, 1, 1, [(7, 1, 1)]),
+    }
