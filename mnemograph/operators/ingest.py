@@ -246,7 +246,10 @@ def _resolved(clean: DataFrame, entities: DataFrame, vectors: dict[str, list[flo
     place = ("t", "s", "p")
     subject = clean.select("graph_id", *place, F.lit(0).alias("role"), F.col("fact.subjectName").alias("name"), F.col("fact.factText").alias("text"))
     object_ = clean.where("fact.objectName is not null").select("graph_id", *place, F.lit(1).alias("role"), F.col("fact.objectName").alias("name"), F.col("fact.factText").alias("text"))
-    mentions = subject.unionByName(object_)
+    # A name that was mentioned is known from then on, so what later mentions change is what the last of them sets.
+    order = F.struct(*place, "role", "text")
+    ends = subject.unionByName(object_).groupBy("graph_id", "name").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    mentions = keep(ends.select("graph_id", "name", F.explode(F.array_distinct(F.array("first", "last"))).alias("m")).select("graph_id", "m.*", "name"))
     aliases = entities.select("graph_id", "name", F.explode_outer("aliases").alias("also"))
     names = mentions.select("graph_id", "name", F.lit(None).cast("string").alias("also")).unionByName(aliases).distinct()
     parts = name_parts(names, keep)
@@ -260,7 +263,7 @@ def _resolved(clean: DataFrame, entities: DataFrame, vectors: dict[str, list[flo
 
     rows = rows.withColumn("new", F.col("role") >= 0).repartition("part").sortWithinPartitions("part", "new", "t", "s", "p", "role")
 
-    columns = {"graph_id": "graph_id", "t": "t", "s": "s", "p": "p", "role": "role", "ref": "name", "entity": "entity"}
+    columns = {"graph_id": "graph_id", "t": "t", "s": "s", "p": "p", "role": "role", "ref": "name", "name": "name", "entity": "entity"}
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = word_embedder(vectors or {})
@@ -285,7 +288,7 @@ def _resolved(clean: DataFrame, entities: DataFrame, vectors: dict[str, list[flo
                 ref = people.upsert(r["name"], r["text"], "other" if r["role"] else "user", embed(r["name"]))
                 if len(people.entities) > had:
                     made[ref] = at
-                out.append({"graph_id": r["graph_id"], **at, "ref": ref, "entity": None})
+                out.append({"graph_id": r["graph_id"], **at, "ref": ref, "name": r["name"], "entity": None})
             else:
                 people.add_entity({**r["entity"], "aliases": _list(r["entity"]["aliases"]), "embedding": _list(r["entity"]["embedding"])})
             if len(out) >= ROWS:
@@ -294,7 +297,7 @@ def _resolved(clean: DataFrame, entities: DataFrame, vectors: dict[str, list[flo
             out += finished(people)
             yield _batch(out, kinds, columns)
 
-    schema = f"graph_id string, t timestamp, s long, p int, role int, ref string, entity struct<{_fields(ENTITIES)}>"
+    schema = f"graph_id string, t timestamp, s long, p int, role int, ref string, name string, entity struct<{_fields(ENTITIES)}>"
     done = keep(rows.mapInArrow(resolve, schema))
     counts = entities.groupBy(F.col("graph_id").alias("g")).agg(F.count(F.lit(1)).alias("had"))
     new = numbered_within(done.where("ref is null and role >= 0"), "graph_id", ["t", "s", "p", "role"], "nth", keep)
@@ -305,12 +308,27 @@ def _resolved(clean: DataFrame, entities: DataFrame, vectors: dict[str, list[flo
     passed = of(entities).join(active, "part", "left_anti").select(*ENTITIES.names)
     after = passed.unionByName(done.where("ref is null and role < 0").select("entity.*")).unionByName(made)
     ids = new.select(F.col("graph_id").alias("g"), F.col("ref").alias("made"), "id")
-    told = done.where("ref is not null").join(ids, F.col("graph_id").eqNullSafe(F.col("g")) & (F.col("ref") == F.col("made")), "left")
-    told = told.groupBy(F.col("graph_id").alias("g"), F.col("s").alias("s_"), F.col("p").alias("p_")).agg(
-        *[F.max(F.when(F.col("role") == r, F.coalesce("id", "ref"))).alias(n) for r, n in enumerate(("subject_id", "object_id"))]
-    )
-    facts = clean.join(told, F.col("graph_id").eqNullSafe(F.col("g")) & (F.col("s") == F.col("s_")) & (F.col("p") == F.col("p_"))).drop("g", "s_", "p_")
-    return after, keep(facts)
+    told = done.where("ref is not null").select(F.col("graph_id").alias("g0"), F.col("name").alias("told"), "ref").distinct()
+    told = told.join(ids, F.col("g0").eqNullSafe(F.col("g")) & (F.col("ref") == F.col("made")), "left")
+    told = keep(told.select(F.col("g0").alias("g"), "told", F.coalesce("id", "ref").alias("whose")))
+    facts = clean
+    for role, field_ in (("subject_id", "subjectName"), ("object_id", "objectName")):
+        named = told.select("g", "told", F.col("whose").alias(role))
+        facts = facts.join(named, F.col("graph_id").eqNullSafe(F.col("g")) & (F.col(f"fact.{field_}") == F.col("told")), "left").drop("g", "told")
+    return after, facts.where("subject_id is not null or object_id is not null")
+
+
+def _timed(clean: DataFrame) -> DataFrame:
+    return clean.select("graph_id", F.col("occurred_at").alias("t"), F.col("episode_seq").alias("s"), F.col("pos").alias("p"), "fact")
+
+
+def merge_people(clean: DataFrame, entities: DataFrame, vectors: dict[str, list[float]] | None = None, keep: Keep | None = None) -> DataFrame:
+    """The entities that :func:`merge` gives, which do not depend on any fact being folded."""
+    keep = keep or keeper(clean.sparkSession)
+    clean = keep(_timed(clean))
+    touched = clean.select(F.col("graph_id").alias("g")).distinct()
+    mine = lambda how: entities.join(touched, F.col("graph_id").eqNullSafe(F.col("g")), how).select(*ENTITIES.names)
+    return mine("left_anti").unionByName(_resolved(clean, keep(mine("left_semi")), vectors, keep)[0].select(*ENTITIES.names))
 
 
 def merge(
@@ -332,10 +350,11 @@ def merge(
     frame and reads it again; without one the shared folder serves.
     """
     keep = keep or keeper(clean.sparkSession)
-    clean = keep(clean.select("graph_id", F.col("occurred_at").alias("t"), F.col("episode_seq").alias("s"), F.col("pos").alias("p"), "fact"))
+    clean = keep(_timed(clean))
     touched = clean.select(F.col("graph_id").alias("g")).distinct()
     mine = lambda df, how: df.join(touched, F.col("graph_id").eqNullSafe(F.col("g")), how)
     people, new = _resolved(clean, keep(mine(entities, "left_semi").select(*ENTITIES.names)), vectors, keep)
+    new = keep(new)
     own = keep(mine(facts, "left_semi").select(*FACTS.names))
     subjects = new.select(F.col("graph_id").alias("g"), "subject_id").distinct()
     of = lambda df, how: df.join(subjects, df["graph_id"].eqNullSafe(subjects["g"]) & (df["subject_id"] == subjects["subject_id"]), how)
@@ -410,4 +429,4 @@ def _list(x: object) -> list:
     return [] if x is None else list(x)
 
 
-__all__ = ["STOPWORDS", "People", "clean_facts", "episodes", "fold", "make_id", "merge", "name_parts", "similarity", "word_embedder"]
+__all__ = ["STOPWORDS", "People", "clean_facts", "episodes", "fold", "make_id", "merge", "merge_people", "name_parts", "similarity", "word_embedder"]

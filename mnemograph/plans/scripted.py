@@ -66,6 +66,15 @@ def ingest(spark: SparkSession, events: DataFrame) -> tuple[DataFrame, DataFrame
     There is no word table, so facts are equal by their texts only; no name is
     within another, so each is found by itself.
     """
+    return fold.merge(_clean(events), *empty_graph(spark))
+
+
+def ingest_people(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The entities of :func:`ingest`."""
+    return fold.merge_people(_clean(events), empty_graph(spark)[0])
+
+
+def _clean(events: DataFrame) -> DataFrame:
     k = F.concat(F.lit("k"), F.regexp_extract("props", "([0-9]+)", 1))
     own = events.where("event_type in ('purchase', 'click', 'error')").select(
         F.col("user_id").cast("string").alias("graph_id"),
@@ -85,8 +94,7 @@ def ingest(spark: SparkSession, events: DataFrame) -> tuple[DataFrame, DataFrame
         ).alias("facts"),
     )
     turns = own.select(*CHAT_TURNS.names)
-    clean = fold.clean_facts(turns, own.select("graph_id", "episode_seq", "facts"))
-    return fold.merge(clean, *empty_graph(spark))
+    return fold.clean_facts(turns, own.select("graph_id", "episode_seq", "facts"))
 
 
 _RESPONSE = {
